@@ -185,6 +185,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without those whose language cannot be told: no letters, or ambiguous; same columns."""
     model = fit(docs.where(~held_out(id_col)), id_col, text_col, lang_col)
-    text = F.col("__text")
-    judged = predict(docs.withColumn("__text", F.col(text_col)), model, "__text")
-    return judged.where((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous") & text.isNotNull()).select(*docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                lang, _, unsure = decode(model, part.column(text_col).to_pylist())
+                yield part.filter(pa.array([x != UNKNOWN and not u for x, u in zip(lang, unsure.tolist(), strict=True)]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -212,6 +212,19 @@ def fold_state(entity: DataFrame, versions: DataFrame, key: str, columns: list[s
     return stored.join(open_.select(key, F.col("valid_from").alias("at"), text.alias("text"), F.col("raw_seq").alias("seq")), key, "left").select(key, F.lit(True).alias("found"), "tomb", "at", "text", "seq")
 
 
+def fold_step(batch: DataFrame, state: DataFrame | None, key: str, columns: list[str]) -> dict[str, DataFrame]:
+    """One micro-batch: the outcomes of its rows, and the state of all keys after it."""
+    outcomes = fold_versions(batch, key, columns, state)
+    data = batch.select("raw_seq", F.col("source_modified_at").cast("timestamp").alias("at"), data_text(columns).alias("text"))
+    last = outcomes.where(F.col("outcome").isin(*WRITTEN)).join(data, "raw_seq").groupBy(key).agg(F.max_by(F.struct("outcome", "at", "text"), "raw_seq").alias("s"), F.max("raw_seq").alias("seq"))
+    gone = F.col("s.outcome") == "delete"
+    fresh = last.select(key, F.lit(True).alias("found"), gone.alias("tomb"), F.col("s.at").alias("at"), F.when(~gone, F.col("s.text")).alias("text"), "seq")
+    kept = [] if state is None else [state.join(fresh, key, "left_anti").select(*fresh.columns)]
+    for other in kept:
+        fresh = fresh.union(other)
+    return {"outcomes": outcomes, "state": fresh}
+
+
 def as_of(versions: DataFrame, at) -> DataFrame:
     """The version of each key that was valid at a time."""
     t = at if isinstance(at, Column) else F.lit(at)

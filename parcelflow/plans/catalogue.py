@@ -11,8 +11,10 @@ from parcelflow.functions import trigram
 from parcelflow.operators import audit, jobs, ledger, page, project, state, traverse, versions
 from parcelflow.operators.where import where as where_rows
 from parcelflow.sources import feed as feed_source
+from parcelflow.sources.snapshot import work_folder
+from parcelflow.streaming import feed_stream
 
-from .demo import NOW, sql, view
+from .demo import NOW, VIEWS, sql, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -614,3 +616,21 @@ def attachments_dedup(documents):
     files = documents.select(F.col("doc_id").alias("media_key"), F.coalesce("text", F.lit("")).cast("binary").alias("content"), F.lit("text/plain").alias("mime_type"))
     found, _ = feed_source.content_addressed(files.withColumn("media_key", F.col("media_key")))
     return found.select("source_hash", "object_key", F.col("size_bytes").cast("long").alias("size_bytes"))
+
+
+# --- streams ---------------------------------------------------------------------------------------------------
+
+
+def stream_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold over the feed as a stream of micro-batches, each committed with the state after it."""
+    root = work_folder(spark, "stream")
+    events = spark.readStream.schema(view(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+    feed = spark.sql(VIEWS["feed"], events=events)
+    stream = feed_stream.fold_batches(feed, f"{root}/snapshots", f"{root}/checkpoint", lambda batch, before: versions.fold_step(batch, before, "source_key", FEED_DATA))
+    stream.awaitTermination()
+    found = spark.read.parquet(f"{root}/snapshots/data/commit=*/outcomes")
+    return versions.outcome_counts(found)
+
+
+QUERIES["stream_versions"] = stream_versions
+ORACLES["stream_versions"] = ORACLES["outcomes"]

@@ -61,10 +61,8 @@ def split_children(records: DataFrame) -> tuple[DataFrame, DataFrame]:
         child = child.withColumn("error", wrong)
         time, _ = child_timestamp(F.col("child"), F.col("source_modified_at"))
         injected = F.lit(value) if value else F.col("source_key")
-        body = F.map_concat(
-            F.map_filter(F.expr("cast(try_parse_json(child) as map<string,variant>)"), lambda k, _, link=link: k != link),
-            F.create_map(F.lit(link), injected.cast("variant")),
-        )
+        own = F.expr(f"map_filter(cast(try_parse_json(child) as map<string,variant>), (k, v) -> k <> '{link}')")
+        body = F.map_concat(own, F.create_map(F.lit(link), injected.cast("variant")))
         parts.append(child.where("error is null").select("raw_seq", (F.col("pos") + number * 1_000_000).alias("ord"), F.lit(resource).alias("resource"), F.col("child_key").alias("source_key"), time.alias("source_modified_at"), F.to_json(body).alias("payload")))
         errors.append(child.where("error is not null").select("raw_seq", F.lit(resource).alias("resource"), "pos", "error"))
     return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, errors)

@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_own: dict[str, str] = {}
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that the cluster names in ``spark.checkpoint.dir``; a local one only where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return f"{found}/{name}-{uuid.uuid4().hex}"
+
 
 def write_snapshot(frames: dict[str, DataFrame], root: str, commit: int, partition_by: dict[str, list[str]] | None = None) -> str:
     """Write the frames under ``root/commit=<n>``; readers see them once the pointer row is there.

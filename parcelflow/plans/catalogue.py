@@ -109,15 +109,15 @@ def changed_fields(feed):
     return versions.expand_changes(_versions(feed), "source_key")
 
 
-@query("feed", oracle=_FOLD + """select source_key, arg_max(raw_seq, raw_seq) as last_seq, arg_max(mlg_can_view, raw_seq) as mlg_can_view, arg_max(list_price, raw_seq) filter (change_type <> 'delete') as list_price,
+@query("feed", oracle=_FOLD + """select source_key, arg_max(raw_seq, raw_seq) as last_seq, arg_max(mlg_can_view, raw_seq) as mlg_can_view, coalesce(arg_max(list_price, raw_seq) filter (change_type <> 'delete'), -1) as list_price,
   arg_max(status, raw_seq) filter (change_type <> 'delete') as status from versions group by 1""")
 def current_state(feed):
     v = _versions(feed)
     last = v.groupBy("source_key").agg(F.max("raw_seq").alias("last_seq"))
-    return state.merge_entities(None, v, "source_key", FEED_DATA, NOW).join(last, "source_key").select("source_key", "last_seq", "mlg_can_view", *FEED_DATA)
+    return state.merge_entities(None, v, "source_key", FEED_DATA, NOW).join(last, "source_key").select("source_key", "last_seq", "mlg_can_view", *FEED_DATA).fillna(-1, ["list_price"])
 
 
-@query("feed", oracle=_FOLD + """select source_key, arg_max(raw_seq, raw_seq) as last_seq, arg_max(mlg_can_view, raw_seq) as mlg_can_view, arg_max(list_price, raw_seq) filter (change_type <> 'delete') as list_price,
+@query("feed", oracle=_FOLD + """select source_key, arg_max(raw_seq, raw_seq) as last_seq, arg_max(mlg_can_view, raw_seq) as mlg_can_view, coalesce(arg_max(list_price, raw_seq) filter (change_type <> 'delete'), -1) as list_price,
   arg_max(status, raw_seq) filter (change_type <> 'delete') as status from versions group by 1""")
 def current_state_in_two_batches(feed):
     """The same from two batches in order of arrival, the second folded against the stored state of the first."""
@@ -130,12 +130,12 @@ def current_state_in_two_batches(feed):
     v2 = versions.build_versions(rest, out2, "source_key", FEED_DATA, v1.where("valid_to is null"))
     e2 = state.merge_entities(e1, v2, "source_key", FEED_DATA, NOW)
     last = versions.append_versions(v1, v2, "source_key").where("valid_to is null").select("source_key", F.col("raw_seq").alias("last_seq"))
-    return e2.join(last, "source_key").select("source_key", "last_seq", "mlg_can_view", *FEED_DATA)
+    return e2.join(last, "source_key").select("source_key", "last_seq", "mlg_can_view", *FEED_DATA).fillna(-1, ["list_price"])
 
 
-@query("feed", oracle=_FOLD + "select source_key, raw_seq, list_price from versions where valid_from <= timestamp '2024-01-15' and (valid_to > timestamp '2024-01-15' or valid_to is null)")
+@query("feed", oracle=_FOLD + "select source_key, raw_seq, coalesce(list_price, -1) as list_price from versions where valid_from <= timestamp '2024-01-15' and (valid_to > timestamp '2024-01-15' or valid_to is null)")
 def as_of(feed):
-    return versions.as_of(_versions(feed), F.expr("timestamp '2024-01-15'")).select("source_key", "raw_seq", "list_price")
+    return versions.as_of(_versions(feed), F.expr("timestamp '2024-01-15'")).select("source_key", "raw_seq", "list_price").fillna(-1, ["list_price"])
 
 
 @query("feed", oracle=_FOLD + "select source_key, raw_seq, coalesce(lag(raw_seq) over w, -1) as previous_seq, coalesce(lead(raw_seq) over w, -1) as next_seq from versions window w as (partition by source_key order by raw_seq)")

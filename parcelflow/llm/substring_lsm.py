@@ -2,16 +2,16 @@
 
 Every window of ``words`` consecutive words is represented in the index without storing it on its own. Inside a
 window the 8-word gram with the smallest hash (leftmost on ties) is its *anchor*; equal windows have equal anchors.
-Neighbouring windows that share one anchor form a *context*. A run of the index is an immutable Parquet table sorted
-by (gram, context): gram hash, hash of the context's whole word sequence, how often that context occurs, and one place
-where it can be read. About 2 of 29 positions are anchors, so an index entry stands for some 14 windows.
+Neighbouring windows that share one anchor form a *context*. About 2 of 29 positions are anchors. A run of the index
+is an immutable Parquet table sorted by gram: the hash of each anchor gram and how many contexts have it.
 
 * ``append`` turns a new batch into such a run, aggregated before and after the shuffle, so copies collapse.
-* ``compact`` merge-joins the runs into one.
-* ``repeated_windows`` judges the windows: a context that occurs twice repeats as a whole. Where one gram has several
-  contexts, their windows are read again from the text and compared by their own hash (verification); 28 or
-  fewer windows a context fit into one bit mask.
-* ``remove_repeats`` matches a batch's own contexts with the judged ones and drops the covered words.
+* ``compact`` merges the runs into one.
+* ``repeated_contexts`` merge-joins the batches' contexts with the grams that the index has more than once, and
+  verifies: a context whose whole word sequence occurs twice repeats as a whole. Where one gram has several contexts,
+  their windows are read again from the text and compared by their own hash; the 28 or fewer windows of a context fit
+  into one bit mask.
+* ``remove_repeats`` drops the covered words of a batch.
 
 No group is ever gathered: counts are aggregated map-side, joins may be split by adaptive execution.
 """
@@ -28,7 +28,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_folder
+from .shared import new_folder, written
 from .words import Words, mix, slices, utf8, windowed
 
 GRAM = 8
@@ -114,13 +114,13 @@ def _entries(words: int):
     return run
 
 
-_ENTRY = "doc_id long, row_key long, gram long, context long, first int, last int"
+_ENTRY = "doc_id long, row_key int, gram long, context long, first int, last int"
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Id, text, and a key that tells rows with the same id and different texts apart."""
     one = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return one.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    return one.withColumn("row_key", F.hash("doc_id", "text"))
 
 
 def _same():
@@ -129,7 +129,7 @@ def _same():
 
 
 def _verify(words: int):
-    """The windows of the contexts listed in ``places``, as (gram, context, n, window, bit)."""
+    """The windows of the contexts listed in ``places``, as (gram, context, n, window, bit); n is 1 or 2 (or more)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,60 +203,52 @@ class WindowIndex:
     def _store(self, run: DataFrame) -> str:
         path = f"{self.folder}/run-{self._made:06d}"
         self._made += 1
-        run.sortWithinPartitions("gram", "context").write.parquet(path)
+        run.sortWithinPartitions("gram").write.parquet(path)
         return path
 
     def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Index a new batch. Null and short texts (fewer words than a window) have no windows."""
         batch = _keyed(docs, id_col, text_col)
         self.batches.append(batch)
-        rep = F.min(F.struct("doc_id", "row_key", "first", "last")).alias("rep")
-        self.runs.append(self._store(batch.mapInArrow(_entries(self.words), _ENTRY).groupBy("gram", "context").agg(F.count("*").alias("n"), rep)))
+        self.runs.append(self._store(self._contexts_of(batch).groupBy("gram").agg(F.count("*").alias("n"))))
 
     def compact(self) -> None:
-        """Merge all runs into one; the same index, with one entry for each context."""
+        """Merge all runs into one; the same index, with one entry for each gram."""
         if len(self.runs) > 1:
-            self.runs = [self._store(self.entries().groupBy("gram", "context").agg(F.sum("n").alias("n"), F.min("rep").alias("rep")))]
+            self.runs = [self._store(self.entries().groupBy("gram").agg(F.sum("n").alias("n")))]
 
     def entries(self) -> DataFrame:
-        return self.spark.read.parquet(*self.runs)
+        return self.spark.read.schema("gram long, n long").parquet(*self.runs)
+
+    def _contexts_of(self, batch: DataFrame) -> DataFrame:
+        return batch.mapInArrow(_entries(self.words), _ENTRY)
 
-    def repeated_windows(self) -> DataFrame:
-        """(gram, context, mask): of each context, which of its windows occur more than once in all batches."""
+    def repeated_contexts(self) -> DataFrame:
+        """(doc_id, row_key, first, last, mask): where contexts have windows that occur more than once in all batches."""
         self.compact()
-        entries = self.entries()
-        often = entries.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("contexts")).where("total > 1")
-        found = entries.join(often, "gram")
-        whole = found.where("n > 1").select("gram", "context", F.lit(-1).cast("long").alias("mask"))
-        places = (
-            found.where("contexts > 1")
-            .select("rep.doc_id", "rep.row_key", F.struct("gram", "context", "n", "rep.first", "rep.last").alias("place"))
-            .groupBy("doc_id", "row_key")
-            .agg(F.collect_list("place").alias("places"))
-        )
         texts = reduce(DataFrame.union, self.batches)
-        texts = texts.withColumnsRenamed({"doc_id": "its_doc", "row_key": "its_key"})
-        read = places.join(texts, _same()).select("text", "places")
-        windows = read.mapInArrow(_verify(self.words), "gram long, context long, n long, window long, bit int")
-        windows = windows.groupBy("gram", "context", "window").agg(F.max("n").alias("n"), F.max("bit").alias("bit"))
-        twice = windows.groupBy("gram", "window").agg(F.sum("n").alias("total")).where("total > 1").drop("total")
-        partly = (
-            windows.where("n = 1")
-            .join(twice, ["gram", "window"])
-            .groupBy("gram", "context")
-            .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
-        )
-        return whole.union(partly)
+        often = self.entries().where("n > 1").select("gram")
+        found = written(self._contexts_of(texts).join(often, "gram"), "candidates")
+        rep = F.min(F.struct("doc_id", "row_key", "first", "last")).alias("rep")
+        contexts = found.groupBy("gram", "context").agg(F.count("*").alias("n"), rep)
+        contexts = written(contexts.select("gram", "context", F.least("n", F.lit(2)).cast("int").alias("n"), "rep.*"), "contexts")
+        whole = contexts.where("n > 1").select("gram", "context", F.lit(-1).cast("long").alias("mask"))
+        # only a gram with several contexts, one of them single, leaves anything to tell
+        mixed = contexts.groupBy("gram").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).where("contexts > 1 and least = 1")
+        places = contexts.join(mixed.select("gram"), "gram").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("gram", "context", "n", "first", "last")).alias("places"))
+        read = places.join(texts.withColumnsRenamed({"doc_id": "its_doc", "row_key": "its_key"}), _same()).select("text", "places")
+        windows = read.mapInArrow(_verify(self.words), "gram long, context long, n int, window long, bit int")
+        # a text that is there in several rows gives its windows several times; its contexts have n = 2 anyway
+        twice = windows.groupBy("gram", "window").agg(F.sum("n").alias("total")).where("total > 1").select("gram", "window")
+        single = windows.where("n = 1").select("gram", "context", "window", "bit")
+        partly = single.join(twice, ["gram", "window"]).groupBy("gram", "context").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+        judged = written(whole.union(partly), "judged")
+        return found.join(judged, ["gram", "context"]).select("doc_id", "row_key", "first", "last", "mask")
 
     def remove_repeats(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
         """One row per row of ``docs`` (which must have been appended): what is left without repeated windows."""
         batch = _keyed(docs, id_col, text_col)
-        marks = (
-            batch.mapInArrow(_entries(self.words), _ENTRY)
-            .join(self.repeated_windows(), ["gram", "context"])
-            .groupBy("doc_id", "row_key")
-            .agg(F.collect_set(F.struct("first", "last", "mask")).alias("places"))
-        )
+        marks = self.repeated_contexts().groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("first", "last", "mask")).alias("places"))
         texts = batch.withColumnsRenamed({"doc_id": "its_doc", "row_key": "its_key"})
         joined = texts.join(marks, _same(), "left").select(F.col("its_doc").alias("doc_id"), "text", "places")
         schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text

@@ -386,3 +386,17 @@ def test_stream_of_pages_lands_once(spark, tmp_path):
     rows = pages.select(F.col("ord").cast("long").alias("raw_seq"), F.lit("property").alias("resource"), F.get_json_object("record", "$.ListingKey").alias("source_key"), feed.json_timestamp(F.col("record")).alias("source_modified_at"), F.col("record").alias("payload"))
     feed_stream.land_stream(rows, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     assert sorted(r.source_key for r in spark.read.parquet(f"{tmp_path}/out/ledger").collect()) == ["L0", "L1"]
+
+
+def test_stateful_stream_folds_like_the_batch(spark, tmp_path):
+    """Each file is in order of arrival, and a micro-batch is one file."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = _random_feed(11, 120)
+    for i in range(2):
+        spark.createDataFrame(rows[60 * i : 60 * i + 60], FEED).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(FEED).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    folded = feed_stream.version_stream(stream, "key", ["price"])
+    query = folded.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {r.raw_seq: (r.key, r.outcome, r.prior_seq) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == plain_fold(rows)

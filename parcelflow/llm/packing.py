@@ -8,6 +8,7 @@ remaining capacity. A group has tens of thousands of pieces, so that it packs ne
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,7 +22,8 @@ from .shared import written
 
 WINDOW, END, GROUP_PIECES = 2048, 1, 40_000
 TOKENIZER = "word_bpe_49k.json"
-_MEMO = 600_000
+#: Bytes of memory for each of two generations of words and of parts of words whose ids are known.
+_WORD_BYTES, _PART_BYTES = 24 << 20, 48 << 20
 _SIMPLE = re.compile("([a-zß-öø-ÿ]+)([.,;:!?%#&$*]*)")
 
 
@@ -31,46 +33,93 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class _Memo(dict):
-    """Token ids (as little-endian 32-bit bytes) of words between blanks; cleared when full.
+class _Generations:
+    """What was seen of late: when about ``limit`` bytes are held, the generation before the last one is dropped."""
+
+    def __init__(self, limit: int):
+        self.limit, self.size = limit, 0
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def recall(self, key: str) -> bytes | None:
+        if (found := self.now.get(key)) is None and (found := self.old.get(key)) is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key: str, value: bytes) -> None:
+        self.now[key] = value
+        self.size += len(key) + len(value) + 200
+
+    def turn(self) -> None:
+        if self.size > self.limit:
+            self.old, self.now, self.size = self.now, {}, 0
+
+
+class _Memo:
+    """Token ids (as little-endian 32-bit integers) of words between blanks.
 
     The tokenizer drops white space, never joins across it, lower-cases, and takes letters and other characters apart.
-    So a text's ids are those of its words, and a word of plain letters and punctuation has those of either part.
+    So a text's ids are those of its words, and a word of plain letters and punctuation has those of either part. New
+    parts are encoded together, and told apart by the mark that the last token of each part has.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
-        self.part: dict[str, bytes] = {}
-
-    def _ids(self, part: str) -> bytes:
-        if (found := self.part.get(part)) is None:
-            if len(self.part) >= _MEMO:
-                self.part.clear()
-            found = self.part[part] = np.array(self.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return found
-
-    def __missing__(self, word: str) -> bytes:
-        low = word.lower()
-        m = _SIMPLE.fullmatch(low)
-        out = (self._ids(m[1]) + (self._ids(m[2]) if m[2] else b"")) if m else self._ids(word)
-        if len(word) <= 64:
-            if len(self) >= _MEMO:
-                self.clear()
-            self[word] = out
-        return out
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        tokenizer = Tokenizer.from_file(path)
+        self.encode = tokenizer.encode
+        vocabulary = tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words, self.parts = _Generations(_WORD_BYTES), _Generations(_PART_BYTES)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        ids = self._ids(" ".join(parts))
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(parts) and ends[-1] == len(ids):
+            for part, a, b in zip(parts, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                self.parts.keep(part, ids[a:b].tobytes())
+        else:  # a vocabulary without such marks
+            for part in parts:
+                self.parts.keep(part, self._ids(part).tobytes())
+
+    def learn(self, words: set[str]) -> None:
+        simple = {}
+        for word in words:
+            if self.words.recall(word) is None:
+                if m := _SIMPLE.fullmatch(word.lower()):
+                    simple[word] = [p for p in m.groups() if p]
+                else:
+                    self.words.keep(word, self._ids(word).tobytes())
+        unknown = list({p for parts in simple.values() for p in parts if self.parts.recall(p) is None})
+        if unknown:
+            self._learn_parts(unknown)
+        for word, parts in simple.items():
+            self.words.keep(word, b"".join(map(self.parts.now.__getitem__, parts)))
+
+    def text(self, text: str) -> bytes:
+        self.words.turn()
+        self.parts.turn()
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        ids = list(map(self.words.now.get, words))
+        if None in ids:
+            self.learn({w for w, found in zip(words, ids, strict=True) if found is None})
+            ids = map(self.words.now.get, words)
+        return b"".join(ids)
 
 
 _memos: dict[str, _Memo] = {}
-_BLANK = str.maketrans("\t\n\r", "   ")
 
 
 def token_ids(text: str | None, path: str) -> bytes:
     """The ids of a whole text as little-endian 32-bit integers."""
     if path not in _memos:
         _memos[path] = _Memo(path)
-    return b"".join(map(_memos[path].__getitem__, filter(None, (text or "").translate(_BLANK).split(" "))))
+    return _memos[path].text(text or "")
 
 
 def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

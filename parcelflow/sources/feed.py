@@ -107,6 +107,14 @@ def latest_media_url(raw: DataFrame) -> DataFrame:
     return raw.where("resource = 'media'").groupBy("source_key").agg(F.max_by(F.get_json_object("payload", "$.MediaURL"), "raw_seq").alias("media_url"))
 
 
+def read_media_files(spark: SparkSession, path: str) -> DataFrame:
+    """(media_key, content, mime_type) of files named by their media key."""
+    name = F.element_at(F.split("path", "/"), -1)
+    kind = F.lower(F.element_at(F.split(name, r"\."), -1))
+    mime = F.when(kind.isin("jpg", "jpeg"), "image/jpeg").when(kind.isin("png", "gif", "webp"), F.concat(F.lit("image/"), kind)).otherwise("application/octet-stream")
+    return spark.read.format("binaryFile").load(path).select(F.regexp_replace(name, r"\.[^.]*$", "").alias("media_key"), "content", mime.alias("mime_type"))
+
+
 def content_addressed(files: DataFrame, prefix: str = "") -> tuple[DataFrame, DataFrame]:
     """Files (media_key, content, mime_type) -> one attachment per distinct content, and each key's link to it.
 

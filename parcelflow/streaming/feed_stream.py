@@ -15,13 +15,17 @@ from parcelflow.sources.feed import explode_pages, land_raw
 from parcelflow.sources.snapshot import read_snapshot, write_snapshot
 
 
+#: What is there is processed and the query ends; ``POLL`` keeps looking for new pages.
+DRAIN, POLL = {"availableNow": True}, {"processingTime": "15 minutes"}
+
+
 def page_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
     """Records of page envelopes as their files arrive."""
     pages = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).text(folder)
     return explode_pages(pages.select(F.col("_metadata.file_path").alias("page"), "value"))
 
 
-def land_stream(rows: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+def land_stream(rows: DataFrame, root: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Exact, unbounded dedup: each micro-batch is anti-joined with the ledger, and committed under its batch id.
 
     A batch that is retried finds its own commit left out of what it is compared with, so it lands the same rows.
@@ -34,7 +38,7 @@ def land_stream(rows: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
             before = spark.read.option("basePath", f"{root}/ledger").parquet(f"{root}/ledger/batch=*").where(F.col("batch") < batch_id).drop("batch")
         land_raw(before, batch).write.mode("overwrite").parquet(f"{root}/ledger/batch={batch_id}")
 
-    return rows.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(**(trigger or DRAIN)).start()
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -80,7 +84,7 @@ def version_stream(typed: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return rows.groupBy("key").transformWithStateInPandas(VersionFold(), f"key {kind}, raw_seq long, outcome string, prior_seq long", "append", "none")
 
 
-def fold_batches(typed: DataFrame, root: str, checkpoint: str, fold: Callable[[DataFrame, DataFrame | None], dict[str, DataFrame]]) -> StreamingQuery:
+def fold_batches(typed: DataFrame, root: str, checkpoint: str, fold: Callable[[DataFrame, DataFrame | None], dict[str, DataFrame]], trigger: dict | None = None) -> StreamingQuery:
     """The recommended form: each micro-batch folds against the snapshot before it and commits one snapshot.
 
     ``fold`` (batch, previous state) gives the frames of the commit, the one named ``state`` among them. The commit's
@@ -91,7 +95,7 @@ def fold_batches(typed: DataFrame, root: str, checkpoint: str, fold: Callable[[D
         state = read_snapshot(batch.sparkSession, root, "state") if batch_id else None
         write_snapshot(fold(batch, state), root, batch_id)
 
-    return typed.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return typed.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or DRAIN)).start()
 
 
 def finish(query: StreamingQuery, finalize: Callable[[], None]) -> None:

@@ -234,6 +234,13 @@ def test_content_addressed(spark):
     assert len(keys) == 2 and keys[0].startswith("pre/media/m1/") and links.count() == 3
 
 
+def test_media_files(spark, tmp_path):
+    (tmp_path / "m1.JPG").write_bytes(b"x")
+    (tmp_path / "m2.bin").write_bytes(b"yy")
+    got = sorted((r.media_key, bytes(r.content), r.mime_type) for r in feed.read_media_files(spark, str(tmp_path)).collect())
+    assert got == [("m1", b"x", "image/jpeg"), ("m2", b"yy", "application/octet-stream")]
+
+
 # --- reads -----------------------------------------------------------------------------------------------------
 
 

@@ -22,8 +22,8 @@ from .shared import written
 
 WINDOW, END, GROUP_PIECES = 2048, 1, 40_000
 TOKENIZER = "word_bpe_49k.json"
-#: Bytes of memory for each of two generations of words and of parts of words whose ids are known.
-_WORD_BYTES, _PART_BYTES = 24 << 20, 48 << 20
+#: Bytes of a worker's memory for each of two generations of words, and of parts of words, whose ids are known.
+MEMORY = (36 << 20, 48 << 20)
 _SIMPLE = re.compile("([a-zß-öø-ÿ]+)([.,;:!?%#&$*]*)")
 
 
@@ -41,15 +41,21 @@ class _Generations:
         self.now: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def recall(self, key: str) -> bytes | None:
-        if (found := self.now.get(key)) is None and (found := self.old.get(key)) is not None:
-            self.keep(key, found)
-        return found
-
     def keep(self, key: str, value: bytes) -> None:
         self.now[key] = value
         self.size += len(key) + len(value) + 200
 
+    def recall(self, keys: set[str]) -> list[str]:
+        """Bring ``keys`` back from the last generation; those that neither has."""
+        now, old, missing = self.now, self.old, []
+        for key in keys:
+            if key not in now:
+                if (found := old.get(key)) is None:
+                    missing.append(key)
+                else:
+                    self.keep(key, found)
+        return missing
+
     def turn(self) -> None:
         if self.size > self.limit:
             self.old, self.now, self.size = self.now, {}, 0
@@ -63,7 +69,7 @@ class _Memo:
     parts are encoded together, and told apart by the mark that the last token of each part has.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: tuple[int, int]):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -72,7 +78,7 @@ class _Memo:
         vocabulary = tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words, self.parts = _Generations(_WORD_BYTES), _Generations(_PART_BYTES)
+        self.words, self.parts = map(_Generations, memory)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -81,25 +87,28 @@ class _Memo:
         ids = self._ids(" ".join(parts))
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) == len(parts) and ends[-1] == len(ids):
-            for part, a, b in zip(parts, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                self.parts.keep(part, ids[a:b].tobytes())
+            raw, at = ids.tobytes(), 0
+            for part, end in zip(parts, (4 * ends).tolist(), strict=True):
+                self.parts.keep(part, raw[at:end])
+                at = end
         else:  # a vocabulary without such marks
             for part in parts:
                 self.parts.keep(part, self._ids(part).tobytes())
 
     def learn(self, words: set[str]) -> None:
-        simple = {}
-        for word in words:
-            if self.words.recall(word) is None:
-                if m := _SIMPLE.fullmatch(word.lower()):
-                    simple[word] = [p for p in m.groups() if p]
-                else:
-                    self.words.keep(word, self._ids(word).tobytes())
-        unknown = list({p for parts in simple.values() for p in parts if self.parts.recall(p) is None})
-        if unknown:
+        simple = []
+        for word in self.words.recall(words):
+            if m := _SIMPLE.fullmatch(word.lower()):
+                simple.append((word, m[1], m[2]))
+            else:
+                self.words.keep(word, self._ids(word).tobytes())
+        parts = {letters for _, letters, _ in simple}
+        parts.update(marks for _, _, marks in simple if marks)
+        if unknown := self.parts.recall(parts):
             self._learn_parts(unknown)
-        for word, parts in simple.items():
-            self.words.keep(word, b"".join(map(self.parts.now.__getitem__, parts)))
+        known = self.parts.now
+        for word, letters, marks in simple:
+            self.words.keep(word, known[letters] + known[marks] if marks else known[letters])
 
     def text(self, text: str) -> bytes:
         self.words.turn()
@@ -112,17 +121,17 @@ class _Memo:
         return b"".join(ids)
 
 
-_memos: dict[str, _Memo] = {}
+_memos: dict[tuple, _Memo] = {}
 
 
-def token_ids(text: str | None, path: str) -> bytes:
+def token_ids(text: str | None, path: str, memory: tuple[int, int] = MEMORY) -> bytes:
     """The ids of a whole text as little-endian 32-bit integers."""
-    if path not in _memos:
-        _memos[path] = _Memo(path)
-    return _memos[path].text(text or "")
+    if (path, memory) not in _memos:
+        _memos[path, memory] = _Memo(path, memory)
+    return _memos[path, memory].text(text or "")
 
 
-def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, end: int = END, id_col: str = "doc_id", text_col: str = "text", memory: tuple[int, int] = MEMORY) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): each document's ids and the end id, cut into full windows and a rest.
 
     Null and empty texts are the end id alone.
@@ -134,7 +143,7 @@ def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, end:
         for batch in batches:
             row, start, length, crc, total = [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                ids = token_ids(text, path) + last
+                ids = token_ids(text, path, memory) + last
                 for a in range(0, len(ids), 4 * window):
                     part = ids[a : a + 4 * window]
                     row.append(i)
@@ -216,9 +225,9 @@ def pack(cut: DataFrame, window: int = WINDOW, group_pieces: int = GROUP_PIECES)
     return dealt.groupBy("part").applyInArrow(run, ", ".join(f"{c} long" for c in [*cut.columns, "sequence_id", "offset"]))
 
 
-def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", memory: tuple[int, int] = MEMORY) -> DataFrame:
     """One row per piece of every row of ``docs``: the columns of ``pieces``, sequence_id and offset.
 
     Repeated rows are packed each; a null id is a document like any other. Other columns are ignored.
     """
-    return pack(written(pieces(docs, path, window, id_col=id_col, text_col=text_col), "pieces"), window)
+    return pack(written(pieces(docs, path, window, id_col=id_col, text_col=text_col, memory=memory), "pieces"), window)

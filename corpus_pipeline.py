@@ -12,12 +12,13 @@ from parcelflow.llm.decontaminate import drop_contaminated
 from parcelflow.llm.exact_progressive import drop_exact_duplicates
 from parcelflow.llm.langid_ecoc import keep_identified
 from parcelflow.llm.packing import packed
-from parcelflow.llm.shared import table, written
+from parcelflow.llm.shared import small_batches, table, written
 from parcelflow.llm.simhash_bk import drop_near_duplicates
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language cannot be told go."""
+    small_batches(spark)
     return keep_identified(docs)
 
 
@@ -28,16 +29,19 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates (five-word shingles, similarity 0.8), one stays."""
+    small_batches(spark)
     return drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
+    small_batches(spark)
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, as sequences of at most 2048 tokens."""
+    small_batches(spark)
     return packed(docs, memory=(16 << 20, 32 << 20))  # the workers still hold what earlier stages left them
 
 

@@ -26,7 +26,7 @@ LEARN_ROWS, LEARN_LANGUAGES = 20_000, 256
 #: Texts whose best language has less than this share are flagged.
 AMBIGUOUS = 0.6
 _SHARPNESS = 3.0
-_SLICE = 1 << 20  # bytes of text whose n-grams are looked at together; they take some 120 times as much
+_SLICE = 1 << 18  # bytes of text whose n-grams are looked at together; they take some 120 times as much
 _LETTER = re.compile(r"[^\W\d_]")
 _is_letter: list[np.ndarray] = []
 

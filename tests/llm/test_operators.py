@@ -152,6 +152,36 @@ def test_near_duplicates_by_similarity(spark):
     assert sorted(r["doc_id"] for r in rows(kept)) == [10 * k for k in range(12)]
 
 
+def test_near_duplicates_equal_exact_jaccard(spark):
+    """Pairs on both sides of 0.8, chains, and two texts under one id."""
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for _ in range(150):  # each changed word costs five shingles of about 200: similarities from 0.63 to 0.95
+        base = [word() for _ in range(204)]
+        texts.append(base)
+        for _ in range(2):
+            copy = list(base)
+            for k in range(rng.randint(1, 9)):
+                copy[10 + 20 * k] = word()
+            texts.append(copy)
+    texts = [" ".join(t) for t in texts]
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+    name = list(range(len(texts)))
+    pairs = [(i, j) for k in range(0, len(texts), 3) for i, j in ((k, k + 1), (k, k + 2), (k + 1, k + 2))]
+    alike = [len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i, j in pairs]
+    for (i, j), same in zip(pairs, alike):
+        if same:
+            name = [min(name[i], name[j]) if n in (name[i], name[j]) else n for n in name]
+    assert 100 < sum(alike) < len(pairs) - 100
+    frame = spark.createDataFrame([*enumerate(texts), (1, "another text under the id of a copy")], "doc_id long, text string")
+    for more in ({}, {"tree_size": 2, "block_shingles": 300}):
+        got = {(r["doc_id"], r["component_id"]) for r in rows(simhash_bk.similar_groups(frame, 5, 0.8, **more))}
+        assert got == {*enumerate(name), (1, 1)}
+    kept = sorted(r["doc_id"] for r in rows(simhash_bk.drop_near_duplicates(frame)))
+    assert kept == sorted([i for i, n in enumerate(name) if i == n] + [1])
+
+
 # --- op9, op5 ----------------------------------------------------------------------------------------------------
 
 

@@ -2,9 +2,13 @@
 
 Hosts with allowed urls are seeds of trust, hosts with blocked urls seeds of distrust, each by the share of the
 host's urls that the rules judge. Trust flows along links (personalised PageRank); distrust flows against them, from a
-blocked host to the hosts that link to it (the same walk on the reversed graph). A host is blocked when its distrust
-outweighs its trust and a set part of a seed's. Only DataFrame functions; the edge table is aggregated to one row per
-pair of hosts before the first iteration, and an iteration is one join and one aggregation with map-side combine.
+blocked host to the hosts that link to it (the same walk on the reversed graph). That walk splits a host's distrust over all
+that link to it, so a verdict goes by *blame*: a host's own distrust and the mean blame of what its links lead to, whatever
+else leads there. A host is blocked when its blame outweighs its trust and a set part of a seed's. Only DataFrame functions;
+the edge table is aggregated to one row per pair of hosts before the first iteration, and an iteration is one join and
+one aggregation with map-side combine. Iterations end when no score changes by more than a tolerance.
+
+The SQL has ten iterations and goes by distrust; without links between hosts both give the same.
 """
 
 from __future__ import annotations
@@ -18,7 +22,9 @@ from .shared import written
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path prefix)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-DAMPING, ITERATIONS, PRECISION = 0.85, 10, 9
+DAMPING, ITERATIONS, PRECISION = 0.85, 10, 9  # ITERATIONS are those of the SQL
+#: Largest change of a score in five iterations that counts as none.
+TOLERANCE = 1e-7
 #: Part of a wholly blocked seed's own distrust that a host needs to be blocked.
 THRESHOLD = 0.5
 LINK = "(?i)(?:href|src)\\s*=\\s*[\"']?\\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\\s<>]+)"
@@ -53,35 +59,48 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return found.select("src", lower_ascii(F.col("dst")).alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
-    """(host, trust, distrust) of every host that is a seed or in a link.
+def _settled(new: DataFrame, old: DataFrame, tolerance: float) -> bool:
+    """Scores only grow from the restart shares, so five iterations change a score at least as much as the last."""
+    change = F.col("score") - F.coalesce("was", F.lit(0.0))
+    return new.join(old.withColumnRenamed("score", "was"), ["kind", "host"], "left").where(change > tolerance).isEmpty()
+
 
-    ``seeds``: (host, trust, distrust), ``links``: (src, dst, n), already written. A host passes on its score in
-    proportion to n. Without links the seeds keep their restart share.
+def spread(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, iterations: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, trust, distrust, blame) of every host that is a seed or in a link.
+
+    ``seeds``: (host, trust, distrust), ``links``: (src, dst, n), already written. A host passes on trust and distrust in
+    proportion to n; blame comes to it in proportion to the n of its own links. Without ``iterations`` the scores
+    are iterated until they settle. Without links the seeds keep their restart share.
     """
-    start = seeds.select("host", F.inline(F.array(F.struct(F.lit("trust").alias("kind"), F.col("trust").alias("score")), F.struct(F.lit("distrust").alias("kind"), F.col("distrust").alias("score")))))
+    kinds = (("trust", "trust"), ("distrust", "distrust"), ("blame", "distrust"))
+    start = seeds.select("host", F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(of).alias("score")) for kind, of in kinds])))
     start = start.where("score > 0").select("kind", "host", (F.col("score") * (1 - damping)).alias("score"))
     out = start
     if not links.isEmpty():
-        ways = links.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "n").union(
-            links.select(F.lit("distrust"), "dst", "src", "n")
-        )
-        totals = ways.groupBy("kind", "host").agg(F.sum("n").alias("total"))
-        ways = written(ways.join(totals, ["kind", "host"]).select("kind", "host", "to", (F.lit(damping) * F.col("n") / F.col("total")).alias("part")), "ways")
-        for i in range(iterations):
+        out = start = written(start, "start")
+        outward, inward = links.groupBy("src").agg(F.sum("n").alias("outward")), links.groupBy("dst").agg(F.sum("n").alias("inward"))
+        way = lambda kind, host, to, total: F.struct(F.lit(kind).alias("kind"), F.col(host).alias("host"), F.col(to).alias("to"), (F.lit(damping) * F.col("n") / F.col(total)).alias("part"))
+        each = F.array(way("trust", "src", "dst", "outward"), way("distrust", "dst", "src", "inward"), way("blame", "dst", "src", "outward"))
+        ways = written(links.join(outward, "src").join(inward, "dst").select(F.inline(each)), "ways")
+        done, i, old = iterations == 0, 0, start
+        while not done:
             moved = ways.join(out, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("part")).alias("score"))
             out = moved.union(start).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-            if i % 5 == 4:
+            i += 1
+            if i % 5 == 0:
                 out = written(out, "scores")
+                done = iterations is None and _settled(out, old, tolerance)
+                old = out
+            done = done or i == iterations
     pick = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
-    return out.groupBy("host").agg(pick("trust"), pick("distrust"))
+    return out.groupBy("host").agg(*[pick(kind) for kind, _ in kinds])
 
 
 def judge_urls(
     pages: DataFrame,
     rules=RULES,
     damping: float = DAMPING,
-    iterations: int = ITERATIONS,
+    iterations: int | None = None,
     threshold: float = THRESHOLD,
     id_col: str = "page_id",
     url_col: str = "url",
@@ -99,7 +118,7 @@ def judge_urls(
     links = written(host_links(pages, url_col, html_col), "links")
     scores = written(spread(seeds, links, damping, iterations), "scores")
     score = lambda c: F.round(F.coalesce(F.col(c), F.lit(0.0)), PRECISION)
-    bad = (score("distrust") > score("trust")) & (score("distrust") >= round(threshold * (1 - damping), PRECISION))
+    bad = (score("blame") > score("trust")) & (score("blame") >= round(threshold * (1 - damping), PRECISION))
     return judged.join(scores, "host", "left").select(
         "page_id", "host", "path", F.col("own.rule").alias("rule"),
         F.coalesce(F.col("own.verdict"), F.when(bad, "block").otherwise("allow")).alias("verdict"),

@@ -534,3 +534,21 @@ def test_op1_scores_equal_power_iteration(spark):
             score = {h: start[h] + 0.85 * sum(score[a] * n / out[a] for (a, b), n in move.items() if b == h) for h in hosts}
         for h in hosts:
             assert got.get(h, (0, 0))[k] == pytest.approx(score[h])
+
+
+def test_op1_distrust_does_not_shrink_with_in_degree(spark):
+    link = lambda *h: "".join(f'<a href="http://{x}/x">' for x in h)
+    pages = [(1, "http://bad.com/de/1", ""), (2, "http://bad.net/1", link("bad.com"))]
+    pages += [(10 + i, f"http://spam{i}.net/1", link("bad.com")) for i in range(6)]
+    pages += [(20 + i, f"http://news{i}.net/1", link("bad.com", "x.net", "y.net")) for i in range(3)]
+    got = {r["page_id"]: r["verdict"] for r in rows(url_trust.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")))}
+    assert got == {1: "block", 2: "block"} | {10 + i: "block" for i in range(6)} | {20 + i: "allow" for i in range(3)}
+
+
+def test_op1_spreads_until_nothing_changes(spark):
+    """Trust reaches hosts more than ten hops away, and a cycle takes up all its mass."""
+    seeds = spark.createDataFrame([("h0", 1.0, 0.0), ("c0", 1.0, 0.0)], "host string, trust double, distrust double")
+    edges = [(f"h{i}", f"h{i + 1}", 1) for i in range(14)] + [("c0", "c1", 1), ("c1", "c0", 1)]
+    got = {r["host"]: r["trust"] for r in rows(url_trust.spread(seeds, spark.createDataFrame(edges, "src string, dst string, n long")))}
+    assert got["h14"] == pytest.approx(0.15 * 0.85**14)
+    assert got["c0"] + got["c1"] == pytest.approx(1, abs=1e-5)

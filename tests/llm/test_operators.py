@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from parcelflow.llm import decontaminate, exact_progressive, jump_shard, langid_ecoc, packing, pii_crf, queries, secret_ownership, simhash_bk, substring_lsm, url_trust
 from parcelflow.llm.components import connected_components
@@ -78,6 +79,20 @@ def test_op3_random_overlaps_in_batches(spark, seed):
     assert got == dict(enumerate(brute_repeats(texts, 35)))
 
 
+def test_op3_tells_texts_of_one_id_apart(spark):
+    """Two texts under a null id whose 32-bit hashes are equal; only one has a repeated passage."""
+    shared = " ".join(f"s{i}" for i in range(40))
+    n = spark.range(1 << 18).select(F.col("id").cast("string").alias("n"))
+    one = n.select(F.concat(F.lit(shared + " "), "n").alias("one"))
+    two = n.select(F.concat(F.lit("t" + " t".join(map(str, range(45))) + " "), "n").alias("two"))
+    key = lambda c: F.hash(F.lit(None).cast("long"), c)
+    pair = one.join(two, key("one") == key("two")).first()
+    docs = spark.createDataFrame([(None, pair["one"]), (None, pair["two"]), (1, shared)], "doc_id long, text string")
+    index = substring_lsm.WindowIndex(spark)
+    index.append(docs)
+    assert sorted((r["n_words"], r["n_removed"]) for r in index.remove_repeats(docs).collect()) == [(40, 40), (41, 40), (46, 0)]
+
+
 # --- op8 ---------------------------------------------------------------------------------------------------------
 
 

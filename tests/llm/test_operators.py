@@ -494,6 +494,13 @@ def test_op10_ownership_separates_examples(spark):
     assert got[10]["spans"] == got[11]["spans"] == "random:4:24" and got[10]["n_live"] == 1
 
 
+def test_op10_long_random_tokens():
+    rng = random.Random(1)
+    long = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=3000))
+    assert [(a, b) for a, _, b, _ in secret_ownership.random_spans(f"body {long} end", [])] == [(5, 3005)]
+    assert secret_ownership.random_spans("a1B" * 200_000, []) == []
+
+
 # --- op1 ---------------------------------------------------------------------------------------------------------
 
 

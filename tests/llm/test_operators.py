@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -281,8 +282,12 @@ def test_word_memo_equals_the_tokenizer():
     encode = Tokenizer.from_file(path).encode
     odd = ["don't STOP, the ÉCOLE's 12,5% <|endoftext|> x<|startoftext|>y", "é café! İstanbul ΣΑΣ ﬁn ẞ K Å  a b\x1cc\x85d", "a​b  \n\n\t ½ ① 你好，世界 🙂🙂 ...!!! a.b,c #$%", "ªº µm naïve-naïve", "́ ̸= a", ""]
     rng = random.Random(2)
-    for text in odd + ["".join(rng.choice("abcÉß '’.,!0 \ń") for _ in range(60)) for _ in range(200)]:
-        assert np.frombuffer(packing.token_ids(text, path), "<u4").tolist() == encode(text, add_special_tokens=False).ids, text
+    texts = [*odd, None, *["".join(rng.choice("abcÉß '’.,!0 \ń") for _ in range(60)) for _ in range(200)]]
+    for memory in (packing.MEMORY, 2_000):  # the small one forgets between calls
+        for some in (texts, texts[::-1], texts[5:9], [None], []):
+            ids, first = packing.token_ids(pa.array(some, pa.string()), path, end=1, memory=memory)
+            for i, text in enumerate(some):
+                assert ids[first[i] : first[i + 1]].tolist() == [*encode(text or "", add_special_tokens=False).ids, 1], text
 
 
 def test_best_fit_takes_the_tightest_window():

@@ -42,7 +42,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, as sequences of at most 2048 tokens."""
     small_batches(spark)
-    return packed(docs, memory=(16 << 20, 32 << 20))  # the workers still hold what earlier stages left them
+    return packed(docs, memory=24 << 20)  # the workers still hold what earlier stages left them
 
 
 STAGES = [

@@ -1,9 +1,10 @@
 """Exact deduplication by progressive refinement: length, then a hash of the first characters, then a full hash.
 
 Texts are equal when they are identical after each ``[\\x20\\x09-\\x0D]+`` becomes one space. Only rows that share
-their normalised length with another row are prefix-hashed, only rows that share length and prefix hash are fully
-hashed (SHA-256, which stands for the content). Null counts as the empty text. All grouping is by aggregation with
-map-side combine over narrow rows, so a third of all rows in one group meets in no task.
+their normalised length with another row have their prefix hashes compared, only rows that share length and prefix hash are
+fully hashed (SHA-256, which stands for the content). Null counts as the empty text. All grouping is by aggregation
+with map-side combine over narrow rows, so a third of all rows in one group meets in no task. Texts are exchanged at
+most once, and only those of rows that may have to go.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import Marks, columns, written
 
 PREFIX = 256
 
@@ -25,47 +26,46 @@ def _first(column: Column) -> Column:
     return F.struct(column.isNull().alias("none"), column.alias("id"))
 
 
-def survivors(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """All rows as (id, size, prefix, text), lazily, and the table of (size, prefix) that occur more than once."""
-    one = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("text"))
-    sized = one.withColumn("size", F.length("text"))
-    often = written(sized.groupBy("size").count().where("count > 1").select("size"), "sizes")
-    prefixed = sized.withColumn("prefix", F.xxhash64(F.substring("text", 1, PREFIX)))
-    pairs = prefixed.select("size", "prefix").join(often, "size").groupBy("size", "prefix").count().where("count > 1")
-    return prefixed, written(pairs.select("size", "prefix"), "prefixes")
+def _heads(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, row_key, size, prefix, text) of all rows, lazily; row_key is a hash of the text as it is, text is normalised."""
+    one = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row_key"), normalised(F.col(text_col)).alias("text"))
+    return one.select("id", "row_key", F.length("text").alias("size"), F.xxhash64(F.substring("text", 1, PREFIX)).alias("prefix"), "text")
 
 
-def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(size, prefix, full, keep, n, same): the groups of two or more equal texts.
+def _repeated(heads: DataFrame) -> DataFrame:
+    """(size, prefix) that more than one of the written rows have; prefixes are compared where sizes repeat."""
+    often = heads.groupBy("size").count().where("count > 1").select("size")
+    pairs = heads.join(often, "size", "left_semi").groupBy("size", "prefix").count().where("count > 1")
+    return written(pairs.select("size", "prefix"), "prefixes")
+
+
+def _groups(full: DataFrame) -> DataFrame:
+    """Rows (id, full) -> (full, keep, n, same) of the texts that more than one row has.
 
     ``keep`` is the smallest id (null only if all are), ``n`` the group's rows, ``same`` how many of them have that id.
     """
-    prefixed, pairs = survivors(docs, id_col, text_col)
-    full = prefixed.join(pairs, ["size", "prefix"]).select("size", "prefix", F.sha2("text", 256).alias("full"), "id")
-    by_id = full.groupBy("size", "prefix", "full", "id").agg(F.count("*").alias("rows"))
-    groups = by_id.groupBy("size", "prefix", "full").agg(
-        F.sum("rows").alias("n"), F.min(F.struct(_first(F.col("id")).alias("first"), "rows")).alias("m")
-    )
-    return written(groups.where("n > 1").select("size", "prefix", "full", F.col("m.first.id").alias("keep"), "n", F.col("m.rows").alias("same")), "groups")
+    by_id = full.groupBy("full", "id").agg(F.count("*").alias("rows"))
+    groups = by_id.groupBy("full").agg(F.sum("rows").alias("n"), F.min(F.struct(_first(F.col("id")).alias("first"), "rows")).alias("m"))
+    return written(groups.where("n > 1").select("full", F.col("m.first.id").alias("keep"), "n", F.col("m.rows").alias("same")), "groups")
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per row of ``docs``.
 
-    Of rows that repeat both text and smallest id, exactly one is kept. Null ids come last. Other columns are ignored.
+    Of rows that repeat both text and smallest id, exactly one is kept. Null ids come last; null texts are equal to
+    empty ones. Other columns are ignored; an empty table gives an empty one. As every row's hash is asked for here, the texts
+    are read once for length, prefix and full hash together, and the refinement goes over these.
     """
-    groups = equal_groups(docs, id_col, text_col)
-    one = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("text"))
-    hashed = one.select("id", F.sha2("text", 256).alias("text_sha256"))
+    hashed = written(_heads(docs, id_col, text_col).select("id", "size", "prefix", F.sha2("text", 256).alias("full")), "hashed")
+    groups = _groups(hashed.join(_repeated(hashed), ["size", "prefix"], "left_semi").select("id", "full"))
     # rows that are the same in all respects are counted here and dealt out again below, the first of them as kept
-    rows = hashed.groupBy("id", "text_sha256").agg(F.count("*").alias("rows"))
-    known = groups.select(F.col("full").alias("text_sha256"), F.col("keep"), "n")
-    joined = rows.join(known, "text_sha256", "left").select(
+    rows = hashed.groupBy("id", "full").agg(F.count("*").alias("rows"))
+    joined = rows.join(groups.select("full", "keep", "n"), "full", "left").select(
         F.col("id").alias("doc_id"),
         F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).alias("group_size"),
         "rows",
-        "text_sha256",
+        F.col("full").alias("text_sha256"),
     )
     each = F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("copy")
     return joined.select("doc_id", "keep_id", "group_size", "text_sha256", each).select(
@@ -74,22 +74,31 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts (the one with the smallest id); same columns.
+    """``docs`` with one row of each group of equal texts (the one with the smallest id, null last); same columns.
 
-    Only rows whose length and prefix hash occur twice are fully hashed; all others pass straight through.
+    Of rows that repeat that id too, one stays. Null and empty texts are equal; an empty table stays empty.
+    A bit map of the repeated pairs of length and prefix hash tells which texts have to be hashed in full; another one, of
+    the rows that go, tells which rows have to meet the list of these.
     """
-    groups = equal_groups(docs, id_col, text_col)
-    text = normalised(F.col(text_col))
-    marked = docs.withColumn("__size", F.length(text)).withColumn("__prefix", F.xxhash64(F.substring(text, 1, PREFIX)))
-    pairs = groups.select(F.col("size").alias("__size"), F.col("prefix").alias("__prefix")).distinct()
-    alone = marked.join(pairs, ["__size", "__prefix"], "left_anti").select(*docs.columns)
-    known = groups.select(
-        F.col("size").alias("__size"), F.col("prefix").alias("__prefix"), F.col("full").alias("__full"), F.col("keep").alias("__keep"), F.col("same").alias("__same")
-    )
-    grouped = marked.join(pairs, ["__size", "__prefix"], "left_semi").withColumn("__full", F.sha2(text, 256))
-    judged = grouped.join(known, ["__size", "__prefix", "__full"], "left")
-    kept = judged.where(F.col("__keep").eqNullSafe(F.col(id_col)) | F.col("__same").isNull())
-    single = kept.where("__same is null or __same = 1").select(*docs.columns)
-    packed = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    repeated = kept.where("__same > 1").groupBy("__full", F.col(id_col).alias("__id")).agg(F.min(packed).alias("row"))
-    return alone.union(single).union(repeated.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)]))
+    heads = _heads(docs, id_col, text_col)
+    pairs = _repeated(written(heads.select("size", "prefix"), "heads"))
+    key = F.xxhash64("size", "prefix")
+    survivors, _ = Marks(written(pairs.select(key), "keys")).split(heads, key)
+    hashed = survivors.select("id", "row_key", "size", "prefix", F.sha2("text", 256).alias("full"))
+    hashed = written(hashed.join(pairs, ["size", "prefix"], "left_semi").select("id", "row_key", "full"), "hashed")
+    groups = _groups(hashed)
+    judged = hashed.distinct().join(groups.select("full", "keep", "same"), "full")
+    stays = F.col("id").eqNullSafe(F.col("keep"))
+    gone = written(judged.where(~stays | (F.col("same") > 1)).select(F.col("id").alias("gone_id"), "row_key", "full", stays.alias("one")), "gone")
+    maybe, kept = Marks(written(gone.select("row_key"), "gone_keys")).split(docs, F.xxhash64(text_col))
+    text = maybe[text_col]
+    same_row = maybe[id_col].eqNullSafe(gone["gone_id"]) & (F.xxhash64(text) == gone["row_key"]) & (F.sha2(normalised(text), 256) == gone["full"])
+    kept = kept.union(maybe.join(gone.hint("merge"), same_row, "left_anti"))
+    repeated = gone.where("one").select("gone_id", "row_key", "full")
+    if repeated.isEmpty():
+        return kept
+    found = maybe.join(repeated, maybe[id_col].eqNullSafe(repeated["gone_id"]) & (F.xxhash64(text) == repeated["row_key"]) & (F.sha2(normalised(text), 256) == repeated["full"]))
+    order = F.xxhash64(*[maybe[f"`{c}`"] for c, kind in maybe.dtypes if "map<" not in kind and "variant" not in kind])
+    row = F.struct(*[c.alias(f"c{i}") for i, c in enumerate([maybe[f"`{c}`"] for c in maybe.columns])])
+    one = found.groupBy(repeated["gone_id"], repeated["full"]).agg(F.min_by(row, order).alias("row"))
+    return kept.union(one.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)]))

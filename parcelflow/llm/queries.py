@@ -15,6 +15,7 @@ from .pii_crf import personal_data
 from .secret_ownership import secrets
 from .shared import table
 from .simhash_bk import near_duplicates
+from .stages import run
 from .substring_lsm import WindowIndex
 from .url_trust import judge_urls, judge_urls_sql
 
@@ -63,10 +64,8 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
     ops = (op1_url_trust, op2_langid_ecoc, op3_substring_lsm, op4_pii_skip_chain, op5_jump_shards, op6_decontaminate, op7_best_fit_packing, op8_simhash_bk, op9_exact_progressive, op10_secret_ownership)
-    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in ops} | {"pipeline": run}
 
 
 _OP3 = r"""

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _own: dict[str, str] = {}
@@ -35,6 +36,45 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, *tables: DataFrame) -> str:
+    """``name``, with as many underscores before it as it takes to be no column of ``tables``."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+class Marks:
+    """A bit map of 64-bit hashes, so that rows which surely have none of them need no exchange.
+
+    It has sixteen bits for each hash, but 2^23 at least and 2^27 at most: it is a table of at most 4,096 rows of 4 KB,
+    and only this is broadcast. Beyond some 10^8 hashes it tells few rows apart and more rows are exchanged; no result
+    depends on it, since it never misses a hash that is there.
+    """
+
+    def __init__(self, hashes: DataFrame):
+        """``hashes``: one column of hashes, already written."""
+        self.bits = min(1 << 27, max(1 << 23, 1 << (16 * hashes.count()).bit_length()))
+        at = F.pmod(F.col(hashes.columns[0]), F.lit(self.bits))
+        cut = hashes.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
+        self.table = written(cut.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")), "marks")
+
+    def split(self, df: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
+        """The rows of ``df`` whose ``key`` may be marked, and those whose key is not."""
+        bucket, bits = fresh("bucket", df), fresh("map", df)
+        at = F.pmod(key, F.lit(self.bits))
+        byte = F.substring(F.col(bits), (F.bitmap_bit_position(at) / 8).cast("int") + 1, F.lit(1))
+        bit = F.getbit(F.ascii(F.decode(byte, "ISO-8859-1")), (F.bitmap_bit_position(at) % 8).cast("int"))
+        maybe = F.coalesce(bit == 1, F.lit(False))
+        joined = df.join(F.broadcast(self.table.toDF(bucket, bits)), F.bitmap_bucket_number(at) == F.col(bucket), "left")
+        return joined.where(maybe).select(columns(df)), joined.where(~maybe).select(columns(df))
+
+
 def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Arrow batches of at most ``rows`` rows from here on: texts are long, and a batch is held several times on its way.
 

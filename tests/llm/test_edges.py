@@ -87,6 +87,24 @@ def test_exact_stage_keeps_one_of_repeated_rows(spark):
     assert kept == [1, 2, 4, 5, 6, 7]
 
 
+def test_exact_stage_by_id_and_text(spark):
+    """Repeated ids with different texts, texts that differ in white space, names that the operator might use itself."""
+    rows = [(1, "abc", 77, {"a": 1}), (1, "abc", 78, None), (2, " x  y", 1, None), (3, "x y", 2, None), (3, " x y", 2, None), (None, "abc", 3, None), (None, None, 3, None), (2, "", 4, None), (2, "z", 5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `__size` int, `full` map<string,int>")
+    kept = [(r["doc_id"], r["text"], r["__size"]) for r in exact_progressive.drop_exact_duplicates(docs).collect()]
+    assert len(kept) == 5 and {k for k in kept if k[0] != 1} == {(2, " x  y", 1), (3, "x y", 2), (2, "", 4), (2, "z", 5)}
+    assert [k[:2] for k in kept if k[0] == 1] == [(1, "abc")]
+
+
+def test_near_stage_by_id_and_text(spark):
+    words = [f"w{i}" for i in range(200)]
+    copy, other = [*words[:199], "end"], " ".join(f"v{i}" for i in range(50))
+    rows = [(1, " ".join(words), 5, "a"), (2, " ".join(copy), 6, "b"), (2, other, 7, "c"), (None, " ".join(copy), 8, "d"), (3, None, 9, "e"), (4, "", 9, "f"), (5, "short", 9, "g"), (5, "short", 9, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone_id int, gone_key string")
+    kept = sorted((r["gone_key"] for r in simhash_bk.drop_near_duplicates(docs).collect()))
+    assert kept == ["a", "c", "d", "e", "g", "g"]  # 3 and 4 are equal; a null id stays, and so do rows that repeat the id that stays
+
+
 @pytest.mark.parametrize("full", [True, False])
 def test_pages(spark, full):
     rows = [(1, None, None, 1), (1, None, None, 1), (None, "http://a.org/", "", 2), (2, "", "<a href=//b.net>", 3), (3, "://", "x" * 300_000, 4)]

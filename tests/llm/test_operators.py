@@ -191,7 +191,7 @@ def test_near_duplicates_equal_exact_jaccard(spark):
             name = [min(name[i], name[j]) if n in (name[i], name[j]) else n for n in name]
     assert 100 < sum(alike) < len(pairs) - 100
     frame = spark.createDataFrame([*enumerate(texts), (1, "another text under the id of a copy")], "doc_id long, text string")
-    for more in ({}, {"tree_size": 2, "block_shingles": 300}):
+    for more in ({}, {"tree_size": 2, "block_shingles": 300}, {"common": 1}):  # whole shards, blocks, shards cut by other MinHashes
         got = {(r["doc_id"], r["component_id"]) for r in rows(simhash_bk.similar_groups(frame, 5, 0.8, **more))}
         assert got == {*enumerate(name), (1, 1)}
     kept = sorted(r["doc_id"] for r in rows(simhash_bk.drop_near_duplicates(frame)))

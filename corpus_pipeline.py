@@ -1,64 +1,8 @@
 """A corpus pipeline: language ID, exact and near deduplication, benchmark decontamination, packing.
 
-Each stage takes (spark, docs, sf_dir) and gives the documents that it keeps with their columns; the last gives
-packed pieces. ``run`` writes every stage as Parquet in the shared folder and reads it again.
+The stages are in ``parcelflow.llm.stages``.
 """
 
-from __future__ import annotations
+from parcelflow.llm.stages import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-
-from parcelflow.llm.decontaminate import drop_contaminated
-from parcelflow.llm.exact_progressive import drop_exact_duplicates
-from parcelflow.llm.langid_ecoc import keep_identified
-from parcelflow.llm.packing import packed
-from parcelflow.llm.shared import small_batches, table, written
-from parcelflow.llm.simhash_bk import drop_near_duplicates
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told go."""
-    small_batches(spark)
-    return keep_identified(docs)
-
-
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, one stays."""
-    return drop_exact_duplicates(docs)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates (five-word shingles, similarity 0.8), one stays."""
-    small_batches(spark)
-    return drop_near_duplicates(docs)
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
-    small_batches(spark)
-    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, as sequences of at most 2048 tokens."""
-    small_batches(spark)
-    return packed(docs, memory=24 << 20)  # the workers still hold what earlier stages left them
-
-
-STAGES = [
-    ("language_id", language_id),
-    ("exact_dedup", exact_dedup),
-    ("near_dedup", near_dedup),
-    ("decontaminate", decontaminate),
-    ("packing", packing),
-]
-
-#: SQL can express neither the classifier nor the tokenizer; tests hold every stage against a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

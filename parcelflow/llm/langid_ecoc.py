@@ -8,7 +8,6 @@ training; a close second marks the text as ambiguous.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,29 +16,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import sampled
 from .words import slices
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
-#: Bounds of the fit: rows that it learns from (chosen by hash; whole texts), and languages (the most frequent).
-LEARN_ROWS, LEARN_LANGUAGES = 20_000, 256
+#: Bound of the fit: rows that it learns from (chosen by a hash of id and text; whole texts).
+LEARN_ROWS = 20_000
 #: Texts whose best language has less than this share are flagged.
 AMBIGUOUS = 0.6
 _SHARPNESS = 3.0
 _SLICE = 1 << 18  # bytes of text whose n-grams are looked at together; they take some 120 times as much
-_LETTER = re.compile(r"[^\W\d_]")
 _is_letter: list[np.ndarray] = []
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a character of Unicode's letter classes."""
+    return any(map(str.isalpha, text or ""))
+
+
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and text number of every character n-gram that has a letter; case is ignored, non-letters are gaps."""
     if not _is_letter:
-        _is_letter.append(np.array([chr(i).isalpha() and not 0xD800 <= i < 0xE000 for i in range(0x10000)]))
+        _is_letter.append(np.array([chr(i).isalpha() for i in range(0x110000)]))
     joined = "\0".join(t.replace("\0", " ") for t in texts).lower()
     code = np.frombuffer(joined.encode("utf-32-le", "replace"), dtype=np.uint32)
     text = np.cumsum(code == 0)
-    letter = np.where(code < 0x10000, _is_letter[0][np.minimum(code, 0xFFFF)], True)
-    c = np.where(letter, code, 0).astype(np.uint32)
+    c = np.where(_is_letter[0][code], code, 0).astype(np.uint32)
     gap = np.zeros(1, dtype=np.uint32)
     before = np.concatenate([gap, c[:-1]]) if len(c) else c
     ahead = np.concatenate([gap, before[:-1]]) if len(c) else c
@@ -88,22 +91,20 @@ class Model:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = LEARN_ROWS) -> Model:
-    """Learn from labelled ``docs``: about ``rows`` whole texts, chosen by a hash of the id.
+    """Learn from labelled ``docs``: about ``rows`` whole texts, chosen by a hash of id and text.
 
-    The n-grams are counted on the executors; the driver gets counts by language and bucket, whose number is bounded
-    by LEARN_LANGUAGES and BUCKETS. Rows with null text or language teach nothing.
+    The n-grams are counted on the executors; the driver gets the counts by language and bucket, whose number the rows and
+    BUCKETS bound. Rows with null text or language teach nothing; without labelled rows nothing is learned.
     """
-    labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    total = labelled.count()
-    chosen = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < min(1_000_000, 1_000_000 * rows // max(total, 1)))
-    frequent = [r["lang"] for r in chosen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LEARN_LANGUAGES).collect()]
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    chosen = labelled.where(sampled(F.xxhash64("id", "text"), rows, labelled.count())).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
             for part in slices(batch, limit=_SLICE):
                 langs = part.column("lang").to_pylist()
-                gram, owner = _grams([t or "" for t in part.column("text").to_pylist()])
+                gram, owner = _grams(part.column("text").to_pylist())
                 for lang in set(langs):
                     own = np.array([x == lang for x in langs])
                     counts[lang] = counts.get(lang, 0) + np.bincount(gram[own[owner]], minlength=BUCKETS)
@@ -111,36 +112,43 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], names=["lang", "bucket", "n"])
 
-    counted = chosen.where(F.col("lang").isin(frequent)).mapInArrow(count, "lang string, bucket int, n long") if frequent else None
-    table = {x: np.zeros(BUCKETS) for x in sorted(frequent)}
-    if counted is not None:
-        for r in counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
-            table[r["lang"]][r["bucket"]] = r["n"]
-    return _model(table)
+    counted = chosen.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    return _model(counted.column("lang").to_pylist(), counted.column("bucket").to_numpy(), counted.column("n").to_numpy())
 
 
-def _model(table: dict[str, np.ndarray]) -> Model:
-    languages = [x for x, n in table.items() if n.sum()]
+def _model(langs: list[str], bucket: np.ndarray, n: np.ndarray) -> Model:
+    """The model of n-gram counts, one entry for each language and bucket that occurs."""
+    languages = sorted(set(langs))
     if not languages:
         return Model([], np.zeros((0, 0)), np.zeros((BUCKETS, 0), np.float32), *[np.zeros(0)] * 3)
-    code = codewords(len(languages))
-    share = np.stack([(table[x] + 0.5) / (table[x].sum() + 0.5 * BUCKETS) for x in languages])  # languages count alike
-    weight, centre, scale = [], [], []
+    number = {x: i for i, x in enumerate(languages)}
+    lang = np.array([number[x] for x in langs])
+    order = np.lexsort((bucket, lang))
+    lang, bucket, n = lang[order], bucket[order], n[order]
+    size = len(languages)
+    all_of = np.bincount(lang, weights=n, minlength=size) + 0.5 * BUCKETS
+    base, part = 0.5 / all_of, n / all_of[lang]  # share of a bucket: base, and part where it occurs; languages count alike
+    code = codewords(size)
+
+    def mean(of: np.ndarray) -> np.ndarray:
+        of = of if of.any() else np.ones(size, dtype=bool)
+        return (base[of].sum() + np.bincount(bucket, weights=part * of[lang], minlength=BUCKETS)) / of.sum()
+
+    weight, centre, scale, trust = [], [], [], []
     for bit in code.T:
-        on, off = (share[bit == s].mean(axis=0) if (bit == s).any() else share.mean(axis=0) for s in (1, -1))
-        w = np.log(on / off)
-        means = share @ w  # the margin to expect of each language
+        w = np.log(mean(bit == 1) / mean(bit == -1))
+        means = base * w.sum() + np.bincount(lang, weights=part * w[bucket], minlength=size)  # the margin to expect of each language
         high, low = (means[bit == s].mean() if (bit == s).any() else 0.0 for s in (1, -1))
-        weight.append(w)
+        weight.append(w.astype(np.float32))
         centre.append((high + low) / 2)
         scale.append(max((high - low) / 2, 1e-9))
-    trust = np.array([min(1.0, (bit * ((share @ w) - c) / s).min() + 1e-3) if len(languages) > 1 else 1.0 for bit, w, c, s in zip(code.T, weight, centre, scale, strict=True)])
-    return Model(languages, code, np.stack(weight, axis=1).astype(np.float32), np.array(centre), np.array(scale), np.maximum(trust, 0.05))
+        trust.append(min(1.0, (bit * (means - centre[-1]) / scale[-1]).min() + 1e-3) if size > 1 else 1.0)
+    return Model(languages, code, np.stack(weight, axis=1), np.array(centre), np.array(scale), np.maximum(np.array(trust), 0.05))
 
 
 def decode(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and ambiguity of each text."""
-    has = [bool(t and _LETTER.search(t)) for t in texts]
+    has = [has_letter(t) for t in texts]
     if not model.languages or not any(has):
         return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
     gram, owner = _grams([t or "" for t in texts])
@@ -177,14 +185,21 @@ def held_out(id_col: str = "doc_id"):
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, ambiguous): learned from the rows that are not held out."""
+    """(doc_id, held_out, lang_pred, score, ambiguous), one row per row: learned from the rows that are not held out.
+
+    Null, empty and letterless texts are ``und`` with score 0, and so are all where no row is labelled. Repeated rows get the
+    same result; other columns are ignored; an empty table gives an empty one.
+    """
     model = fit(docs.where(~held_out(id_col)), id_col, text_col, lang_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return predict(rows, model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without those whose language cannot be told: no letters, or ambiguous; same columns."""
+    """``docs`` without those whose language cannot be told: null or letterless text, or ambiguous; same columns.
+
+    Where no row is labelled nothing can be told and nothing stays. Repeated rows are judged alike.
+    """
     model = fit(docs.where(~held_out(id_col)), id_col, text_col, lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sampled(hashed: Column, rows: int, total: int) -> Column:
+    """Whether a 64-bit hash is among the lowest ``rows`` of ``total``, about; exact to one part in 2^64 at any size."""
+    return hashed < F.lit(-(1 << 63) + (rows << 64) // total) if rows < total else F.lit(True)
+
+
 def fresh(name: str, *tables: DataFrame) -> str:
     """``name``, with as many underscores before it as it takes to be no column of ``tables``."""
     taken = {c.lower() for t in tables for c in t.columns}
@@ -57,13 +63,22 @@ class Marks:
     depends on it, since it never misses a hash that is there.
     """
 
-    def __init__(self, hashes: DataFrame):
-        """``hashes``: one column of hashes, already written."""
-        self.bits = min(1 << 27, max(1 << 23, 1 << (16 * hashes.count()).bit_length()))
-        at = F.pmod(F.col(hashes.columns[0]), F.lit(self.bits))
-        cut = hashes.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
+    def __init__(self, hashes: DataFrame, probes: int = 1):
+        """``hashes``: one column of hashes, already written. Of each hash, ``probes`` bits are marked."""
+        self.bits, self.probes = min(1 << 27, max(1 << 23, 1 << (16 * hashes.count()).bit_length())), probes
+        mask, h = F.lit(self.bits - 1), F.col(hashes.columns[0])
+        step = F.shiftrightunsigned(h, 32).bitwiseAND(mask).bitwiseOR(F.lit(1))
+        at = F.array(*[(h.bitwiseAND(mask) + step * i).bitwiseAND(mask) for i in range(probes)])
+        cut = hashes.select(F.explode(at).alias("at")).select(F.bitmap_bucket_number("at").alias("bucket"), F.bitmap_bit_position("at").alias("bit"))
         self.table = written(cut.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")), "marks")
 
+    def bytes(self) -> np.ndarray:
+        """The bit map on the driver (16 MB at most), for ``marked``."""
+        out = np.zeros((self.bits // 8 // 4096 + 1, 4096), dtype=np.uint8)
+        for r in self.table.toLocalIterator():
+            out[r["bucket"]] = np.frombuffer(r["map"], dtype=np.uint8)
+        return out.reshape(-1)
+
     def split(self, df: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
         """The rows of ``df`` whose ``key`` may be marked, and those whose key is not."""
         bucket, bits = fresh("bucket", df), fresh("map", df)
@@ -75,6 +90,18 @@ class Marks:
         return joined.where(maybe).select(columns(df)), joined.where(~maybe).select(columns(df))
 
 
+def marked(bits: np.ndarray, hashes: np.ndarray, probes: int) -> np.ndarray:
+    """Which hashes ``Marks.bytes`` may have."""
+    mask = np.uint64((len(bits) - 4096) * 8 - 1)
+    first, step = hashes & mask, ((hashes >> np.uint64(32)) & mask) | np.uint64(1)
+    here = np.arange(len(hashes))
+    for i in range(probes):
+        at = ((first[here] + step[here] * np.uint64(i)) & mask).astype(np.int64)
+        at = np.where(at > 0, at + 32767, 0)  # buckets of 32,768 bits begin at 0, 1, 32,769, ...
+        here = here[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+    return here
+
+
 def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Arrow batches of at most ``rows`` rows from here on: texts are long, and a batch is held several times on its way.
 

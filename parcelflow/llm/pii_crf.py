@@ -1,14 +1,17 @@
 """Personal data: pattern matches, and a skip-chain conditional random field that makes labels consistent.
 
 Emails, IP addresses, payment cards and phone numbers are found by patterns. What the patterns cannot see is that a
-number or name elsewhere in the document is the same one, written otherwise: a phone number without its plus sign, the
-part of an address before the @. All such mentions of a document are the nodes of a conditional random field over the
-labels none, email, ip, card and phone. Neighbouring mentions share a transition potential (the chain); consecutive
-mentions with the same digits or name share a potential that favours equal labels, however far apart (the skip edges,
-one fewer than the mentions of a key, never all pairs). Loopy sum-product message passing gives each mention's
-beliefs; mentions that no pattern matched are reported where a label other than none has more than half.
-
-Unary and transition potentials are learned from counts over a bounded sample of documents, labelled by the patterns.
+number or name elsewhere in the document is the same one, written otherwise: a phone number without its plus sign or its
+country code, a card with a digit mistyped, the part of an address before the @. All such mentions of a document are the
+nodes of a conditional random field over the labels none, email, ip, card and phone. Neighbouring mentions share a
+transition potential (the chain); mentions of one key share a skip potential, however far apart, and so, with a
+potential of their own, do mentions of similar keys (one edit apart, or the last seven or more digits of a phone number). Each
+mention has at most one skip edge of either kind to an earlier one, never all pairs. Loopy sum-product message passing gives
+each mention's beliefs; mentions that no pattern matched are reported where a label other than none has more than half.
+
+All potentials are trained, by pseudo-likelihood, on a bounded sample of documents that the patterns label. For each
+match the training also sees it written otherwise (without what made the pattern match), so that the skip potentials learn
+how much a twin says; numbers that no pattern matched and that have no twin teach what personal data is not.
 """
 
 from __future__ import annotations
@@ -24,11 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import sampled
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-#: Bounds of the fit: documents (chosen by a hash of the id; whole texts) and shapes (the most frequent).
-LEARN_ROWS, LEARN_SHAPES = 5_000, 2_000
-SKIP_WEIGHT, EVIDENCE, UNARY_LIMIT, CHAIN_LIMIT, CHAIN_GAP = 3.0, 6.0, 1.5, 0.5, 80
+#: Bound of the fit: documents (chosen by a hash of id and text; whole texts).
+LEARN_ROWS = 5_000
+CHAIN_GAP = 80  # characters between neighbours of the chain
+STEPS, PENALTY = 400, 0.02
 SWEEPS, TOLERANCE = 30, 1e-4
 
 # Fixed patterns. A run that is looked at from its start alone, and possessive repeats, keep them linear.
@@ -40,6 +46,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"[0-9](?:[\x20().-]{0,2}[0-9])++")
 _NAME = re.compile(r"[A-Za-z0-9._%+-]{5,}+")
 _DIGIT = re.compile(r"[0-9]")
+_GROUP = re.compile(r"[0-9]+")
+_JOINTS = re.compile(r"[._%+-]")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -95,68 +103,143 @@ class Mention:
     shape: str
 
 
-def _shape(text: str) -> str:
-    """Runs of digits and letters by their length (up to 9), other characters as they are; 16 items at most."""
-    return re.sub(r"[0-9]+|[A-Za-z]+", lambda m: ("9" if m[0][0].isdigit() else "a") + str(min(9, len(m[0]))), text[:64])[:32]
+def _shape(kind: str, text: str) -> str:
+    """What a mention looks like, without what makes a pattern match: digits, what parts them, check digit; or a name."""
+    if kind == "name":
+        return "name"
+    digits, parts = _digits(text), {c for c in text if not c.isdigit() and c != "+"}
+    return f"{min(len(digits), 20)}{'.' if '.' in parts else '-' if parts else ''}{'c' if 13 <= len(digits) <= 19 and luhn(digits) else ''}"
+
+
+def _name_key(name: str) -> str:
+    return _JOINTS.sub("", name).lower()
+
+
+def _told_apart(name: str) -> bool:
+    """Whether a name is hardly a common word: it has digits or joints, or ten letters."""
+    return len(name) >= 5 and (len(name) >= 10 or re.search(r"[0-9._%+-]", name) is not None)
+
+
+def _runs(text: str, m: re.Match, keys: set[str], ends: set[str]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, key) of the mentions in a run of numbers: stretches of whole groups that are a known key, an ip's
+    four groups, or a key's last digits, longest first; what lies between, if it has seven to nineteen digits."""
+    groups = [(g.start(), g.end()) for g in _GROUP.finditer(text, m.start(), m.end())]
+    i = free = 0
+
+    def rest(a: int, b: int) -> Iterator[tuple[int, int, str]]:
+        digits = "".join(text[x:y] for x, y in groups[a:b])
+        if 7 <= len(digits) <= 19:
+            yield groups[a][0], groups[b - 1][1], digits
+
+    while i < len(groups):
+        best, digits = None, ""
+        for j in range(i, len(groups)):
+            digits += text[slice(*groups[j])]
+            if len(digits) > 19:
+                break
+            four = ".".join(text[x:y] for x, y in groups[i : j + 1]) if j == i + 3 else ""
+            if four in keys or digits in keys or digits in ends:
+                best = j, four if four in keys else digits
+        if best is None:
+            i += 1
+            continue
+        yield from rest(free, i)
+        j, key = best
+        yield groups[i][0], groups[j][1], key
+        i = free = j + 1
+    yield from rest(free, len(groups))
 
 
 def mentions(text: str, base: list[tuple[str, int, int]]) -> list[Mention]:
-    """What patterns matched, and the numbers and names outside of that which may be the same; by position."""
-    out = []
-    names = set()
+    """What patterns matched, and the numbers and names outside of that; by position."""
+    out, names, keys, ends = [], set(), set(), set()
     for kind, a, b in base:
         own = text[a:b]
-        key = own.partition("@")[0].lower() if kind == "email" else own if kind == "ip" else _digits(own)
-        if kind == "email" and len(key) >= 5 and re.search(r"[0-9._+-]", key):
-            names.add(key)
-        out.append(Mention(a, b, LABELS.index(kind), key, _shape(own)))
+        key = _name_key(own.partition("@")[0]) if kind == "email" else own if kind == "ip" else _digits(own)
+        if kind == "email":
+            if _told_apart(own.partition("@")[0]):
+                names.add(key)
+        else:
+            keys.add(key)
+        if kind == "phone":
+            ends.update(key[i:] for i in range(1, len(key) - 6))
+        out.append(Mention(a, b, LABELS.index(kind), key, _shape("name" if kind == "email" else kind, own)))
     taken = np.zeros(len(text) + 1, dtype=bool)
     for _, a, b in base:
         taken[a:b] = True
     for m in _NUMBER.finditer(text):
-        if m.end() - m.start() >= 9 and not taken[m.start() : m.end()].any():
-            digits = _digits(m[0])
-            if 9 <= len(digits) <= 19:
-                out.append(Mention(m.start(), m.end(), 0, digits, _shape(m[0])))
-                taken[m.start() : m.end()] = True
+        if m.end() - m.start() >= 7:
+            for a, b, key in _runs(text, m, keys, ends):
+                if not taken[a:b].any():
+                    out.append(Mention(a, b, 0, key, _shape("number", text[a:b])))
+                    taken[a:b] = True
     if names:
+        near = {cut for name in names if len(name) >= 8 for cut in _cuts(name)}
         for m in _NAME.finditer(text):
             own = m[0].rstrip(".")
-            if own.lower() in names and not taken[m.start() : m.end()].any():
-                out.append(Mention(m.start(), m.start() + len(own), 0, own.lower(), _shape(own)))
+            key = _name_key(own)
+            if (key in names or len(key) >= 8 and _told_apart(own) and any(c in near for c in _cuts(key))) and not taken[m.start() : m.end()].any():
+                out.append(Mention(m.start(), m.start() + len(own), 0, key, "name"))
     return sorted(out, key=lambda x: (x.start, x.end, x.label))
 
 
+def _cuts(key: str) -> Iterator[str]:
+    """A key and the key without one character: keys that are one edit apart have one of these in common."""
+    yield key
+    if len(key) <= 40:
+        yield from (key[:i] + "*" + key[i + 1 :] for i in range(len(key)))
+        yield from (key[:i] + key[i + 1 :] for i in range(len(key)))
+
+
+def edges(nodes: list[Mention]) -> tuple[list[int], list[int], list[int]]:
+    """(from, to, kind) of each edge: 0 neighbours, 1 equal keys, 2 similar keys (of which one is a pattern's)."""
+    a, b, kind = [], [], []
+    last: dict[str, int] = {}
+    like: dict[str, int] = {}
+
+    def link(x: int, y: int, k: int) -> None:
+        a.append(min(x, y))
+        b.append(max(x, y))
+        kind.append(k)
+
+    matched = [i for i, m in enumerate(nodes) if m.label]
+    for i in matched:  # what a later mention can be similar to
+        for cut in _cuts(nodes[i].key) if len(nodes[i].key) >= 8 and nodes[i].label != 2 else ():
+            like.setdefault(cut, i)
+        if nodes[i].label == 4:
+            for j in range(1, len(nodes[i].key) - 6):
+                like.setdefault(nodes[i].key[j:], i)
+    same = {nodes[i].key for i in matched}
+    for i, m in enumerate(nodes):
+        if i and m.start - nodes[i - 1].end <= CHAIN_GAP:
+            link(i - 1, i, 0)
+        if m.key in last:
+            link(last[m.key], i, 1)
+        elif not m.label and m.key not in same:
+            found = next((like[c] for c in (_cuts(m.key) if len(m.key) >= 8 else [m.key]) if c in like), None)
+            if found is not None:
+                link(found, i, 2)
+        last[m.key] = i
+    return a, b, kind
+
+
 @dataclass
 class Potentials:
-    """Log-potentials: of each shape, of a shape not seen, and of neighbouring labels."""
+    """Log-potentials: of each shape (unseen ones: none), of what a pattern says, and of the labels at an edge by its kind."""
 
-    unary: dict[str, np.ndarray] = field(default_factory=dict)
-    other: np.ndarray = field(default_factory=lambda: np.array([UNARY_LIMIT, 0, 0, 0, 0]))
-    chain: np.ndarray = field(default_factory=lambda: np.zeros((5, 5)))
+    shape: dict[str, np.ndarray] = field(default_factory=dict)
+    evidence: np.ndarray = field(default_factory=lambda: np.zeros((5, 5)))
+    pair: np.ndarray = field(default_factory=lambda: np.zeros((3, 5, 5)))
 
 
 def beliefs(nodes: list[Mention], p: Potentials) -> np.ndarray:
     """Label probabilities of each mention, by damped loopy sum-product message passing."""
     n = len(nodes)
-    unary = np.array([p.unary.get(m.shape, p.other) for m in nodes])
-    for i, m in enumerate(nodes):
-        if m.label:
-            unary[i, m.label] += EVIDENCE
-    last: dict[str, int] = {}
-    a, b, kind = [], [], []
-    for i, m in enumerate(nodes):
-        if i and m.start - nodes[i - 1].end <= CHAIN_GAP:
-            a, b, kind = [*a, i - 1], [*b, i], [*kind, 0]
-        if m.key in last:
-            a.append(last[m.key])
-            b.append(i)
-            kind.append(1)
-        last[m.key] = i
+    unary = np.array([p.shape.get(m.shape, 0) + p.evidence[m.label] for m in nodes])
+    a, b, kind = edges(nodes)
     if not a:
         return _softmax(unary)
-    skip = SKIP_WEIGHT * np.eye(5)
-    ahead = np.array([skip if k else p.chain for k in kind])
+    ahead = p.pair[np.array(kind)]
     source, target = np.array(a + b), np.array(b + a)
     pair = np.concatenate([ahead, ahead.transpose(0, 2, 1)])
     back = np.roll(np.arange(2 * len(a)), len(a))
@@ -182,55 +265,107 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def added_spans(text: str, base: list[tuple[str, int, int]], p: Potentials) -> list[tuple[str, int, int]]:
-    """Mentions without a match of their own that message passing labels. Only a skip edge can outweigh their unary."""
-    if not base:
-        return []
+def inferred(text: str, base: list[tuple[str, int, int]], p: Potentials) -> tuple[list[tuple[str, int, int]], int]:
+    """Mentions without a match of their own that message passing labels, and how many such mentions it judged."""
     nodes = mentions(text, base)
-    matched = {m.key for m in nodes if m.label}
-    if not any(m.label == 0 and m.key in matched for m in nodes):
-        return []
-    found = beliefs(nodes, p)
+    open_ = [i for i, m in enumerate(nodes) if not m.label]
+    if not open_:
+        return [], 0
+    found = beliefs(nodes, p)[open_]
     best = found.argmax(axis=1)
-    return [(LABELS[k], m.start, m.end) for m, k, q in zip(nodes, best, found.max(axis=1), strict=True) if m.label == 0 and k and q > 0.5]
+    return [(LABELS[k], nodes[i].start, nodes[i].end) for i, k, q in zip(open_, best, found.max(axis=1), strict=True) if k and q > 0.5], len(open_)
+
+
+def _otherwise(m: Mention) -> Iterator[tuple[str, int]]:
+    """(shape, kind of edge) of a match written otherwise: without what made the pattern match, and not quite the same."""
+    yield m.shape, 1
+    plain = str(min(len(m.key), 20)) if m.label in (3, 4) else m.shape
+    yield plain + "c" * (m.shape.endswith("c") and plain != m.shape), 1
+    if m.label != 2 and len(m.key) >= 8:
+        yield plain, 2
+    if m.label == 4:
+        yield from ((str(n), 2) for n in range(7, len(m.key)))
+
+
+def examples(text: str) -> Iterator[tuple[str, int, int, int, int, int, int]]:
+    """(shape, match, label left, label right, label of the equal, of the similar, label) of each mention, -1 for no such
+    neighbour; and of each match written otherwise, as if it stood by itself elsewhere."""
+    nodes = mentions(text, base_spans(text))
+    around = np.full((len(nodes), 4), -1)
+    for a, b, kind in zip(*edges(nodes), strict=True):
+        if kind:
+            around[a, 1 + kind], around[b, 1 + kind] = nodes[b].label, nodes[a].label
+        else:
+            around[a, 1], around[b, 0] = nodes[b].label, nodes[a].label
+    matched = {m.key for m in nodes if m.label}
+    for m, near in zip(nodes, around.tolist(), strict=True):
+        if m.label or m.key not in matched and near[3] < 1:  # what a twin of a match is, the patterns do not tell
+            yield (m.shape, m.label, *near, m.label)
+        for shape, kind in _otherwise(m) if m.label else ():
+            yield (shape, 0, -1, -1, *((m.label, -1) if kind == 1 else (-1, m.label)), m.label)
+
+
+def train(counts: list[tuple[tuple[str, int, int, int, int, int, int], int]]) -> Potentials:
+    """Potentials that maximise the pseudo-likelihood of ``counts`` of examples, with a quadratic penalty."""
+    p = Potentials()
+    if not counts:
+        return p
+    names = sorted({c[0] for c, _ in counts})
+    shape = np.array([names.index(c[0]) for c, _ in counts])
+    match, left, right, equal, similar, label = np.array([c[1:] for c, _ in counts]).T
+    weight = np.sqrt([n for _, n in counts])[:, None]
+    weight /= weight.sum()
+    want = np.eye(5)[label]
+    one = lambda x: np.eye(6)[x][:, :5]  # noqa: E731  -1 is a row of zeros
+    sides = one(left), one(right), one(equal), one(similar)
+    by_shape, by_match = np.eye(len(names))[shape], np.eye(5)[match]
+    # what all labels share is a parameter of its own, so that rare kinds learn from frequent ones
+    own = {"shape": np.zeros((len(names), 5)), "match": np.zeros((5, 5)), "chain": np.zeros((5, 5)), "equal": np.zeros((5, 5)), "similar": np.zeros((5, 5)), "agree": np.zeros(3)}
+    personal = np.diag([0.0, 1, 1, 1, 1])
+    moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in own.items()}
+
+    def whole() -> tuple[np.ndarray, np.ndarray]:
+        two = [own[k] + own[k].T + own["agree"][1 + i] * personal for i, k in enumerate(("equal", "similar"))]
+        return own["match"] + own["agree"][0] * personal, np.stack([own["chain"], *two])
+
+    for step in range(1, STEPS + 1):
+        evidence, pair = whole()
+        score = by_shape @ own["shape"] + by_match @ evidence + sides[0] @ pair[0] + sides[1] @ pair[0].T + sides[2] @ pair[1] + sides[3] @ pair[2]
+        off = weight * (_softmax(score) - want)
+        g = {"shape": by_shape.T @ off, "match": by_match.T @ off, "chain": sides[0].T @ off + off.T @ sides[1], "equal": sides[2].T @ off, "similar": sides[3].T @ off}
+        g["agree"] = np.array([(g[k] * personal).sum() for k in ("match", "equal", "similar")])
+        for k in ("equal", "similar"):
+            g[k] = g[k] + g[k].T
+        for k, v in own.items():
+            first, second = moment[k]
+            slope = g[k] + PENALTY * 0.01 * v
+            first += 0.1 * (slope - first)
+            second += 0.01 * (slope**2 - second)
+            v -= 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
+    p.shape = dict(zip(names, own["shape"], strict=True))
+    p.evidence, p.pair = whole()
+    return p
+
+
+_EXAMPLE = ("shape", "match", "left", "right", "equal", "similar", "label")
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = LEARN_ROWS) -> Potentials:
-    """Count shapes and neighbours by label on about ``rows`` whole texts; the driver gets bounded tables."""
+    """Train on about ``rows`` whole texts; the driver gets how often each kind of example occurs, a bounded table."""
     one = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    total = one.count()
-    chosen = one.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < min(1_000_000, 1_000_000 * rows // max(total, 1)))
+    chosen = one.where(sampled(F.xxhash64("id", "text"), rows, one.count())).select("text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes: Counter = Counter()
+        found: Counter = Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                nodes = mentions(text, base_spans(text))
-                for i, m in enumerate(nodes):
-                    shapes[m.shape, m.label, -1] += 1
-                    if i and m.start - nodes[i - 1].end <= CHAIN_GAP:
-                        shapes["", nodes[i - 1].label, m.label] += 1
-        keys = list(shapes)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([shapes[k] for k in keys], pa.int64())],
-            names=["shape", "label", "next", "n"],
-        )
-
-    counts = chosen.select("text").mapInArrow(count, "shape string, label int, next int, n long").groupBy("shape", "label", "next").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "shape", "label", "next").limit(LEARN_SHAPES).collect()
-    p, seen = Potentials(), {}
-    pairs = np.ones((5, 5))
-    for r in top:
-        if r["next"] >= 0:
-            pairs[r["label"], r["next"]] += r["n"]
-        else:
-            seen.setdefault(r["shape"], np.ones(5))[r["label"]] += r["n"]
-    for shape, n in seen.items():
-        u = np.log(n / n.sum())
-        p.unary[shape] = np.clip(u - u[1:].max(), -UNARY_LIMIT, UNARY_LIMIT)
-        p.unary[shape][0] = UNARY_LIMIT  # without a match or a twin a mention is not personal data
-    p.chain = np.clip(np.log(pairs * pairs.sum() / np.outer(pairs.sum(axis=1), pairs.sum(axis=0))), -CHAIN_LIMIT, CHAIN_LIMIT)
-    return p
+                found.update(examples(text))
+        columns = list(zip(*found, strict=True)) or [()] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *[pa.array(c, pa.int32()) for c in columns[1:]], pa.array(found.values(), pa.int64())], names=[*_EXAMPLE, "n"])
+
+    schema = "shape string, " + ", ".join(f"`{c}` int" for c in _EXAMPLE[1:]) + ", n long"
+    counts = chosen.mapInArrow(count, schema).groupBy(*[f"`{c}`" for c in _EXAMPLE]).agg(F.sum("n").alias("n"))
+    return train(sorted(((tuple(r)[:7], r["n"]) for r in counts.collect())))
 
 
 def _text(spans: list[tuple[str, int, int]]) -> str:
@@ -238,10 +373,11 @@ def _text(spans: list[tuple[str, int, int]]) -> str:
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added), one row per row of ``docs``.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_judged), one row per row of ``docs``.
 
-    Counts and hash are those of the pattern matches; ``spans`` has the added ones too. Null counts as empty. Other
-    columns are ignored. Each text is read whole, on its own; no shuffle but that of the counts of the fit.
+    Counts and hash are those of the pattern matches; ``spans`` has the added ones too. ``n_judged`` is how many mentions
+    without a match message passing judged, ``n_added`` how many it labelled. Null counts as empty; an empty table gives
+    an empty one. Other columns are ignored. Each text is read whole, on its own; no shuffle but that of the fit's counts.
     """
     potentials = fit(docs, id_col, text_col)
 
@@ -250,15 +386,16 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             counts, hashes, spans, extra = [], [], [], []
             for text in batch.column("text").to_pylist():
                 base = base_spans(text or "")
-                more = added_spans(text or "", base, potentials)
+                more, judged = inferred(text or "", base, potentials)
                 kinds = Counter(k for k, _, _ in base)
                 counts.append([kinds[k] for k in KINDS])
                 hashes.append(hashlib.sha256(_text(base).encode()).hexdigest())
                 spans.append(_text(sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))))
-                extra.append(len(more))
+                extra.append((len(more), judged))
             numbers = [pa.array([c[i] for c in counts], pa.int64()) for i in range(4)]
-            columns = [batch.column("doc_id"), *numbers, pa.array(hashes, pa.string()), pa.array(spans, pa.string()), pa.array(extra, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+            last = [pa.array([e[i] for e in extra], pa.int64()) for i in range(2)]
+            columns = [batch.column("doc_id"), *numbers, pa.array(hashes, pa.string()), pa.array(spans, pa.string()), *last]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_judged"])
 
     one = docs.select(F.col(id_col).alias("doc_id").cast("long"), F.col(text_col).alias("text"))
-    return one.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return one.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_judged long")

@@ -1,31 +1,30 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.
 
 Short test items hide in long documents, so what counts is containment: the share of an item's word shingles that the
-document has. Items are partitioned by their number of shingles. Within a partition an item's sketch is its
+document has. Items are partitioned by their number of shingles, sizes up to a power of two. An item's sketch is its
 bottom-k MinHash: its k shingles that come first in a random order. k is one more than the shingles that a match
-at the threshold may lack in the partition's largest item, so a document that contains enough of an item has at least
-one shingle of its sketch, and no match is lost however long the document is. Documents that hit a sketch are
-candidates; these are verified on the shingles themselves.
+at the threshold may lack in an item of the partition's largest size, so a document that contains enough of an item has at least
+one shingle of its sketch, and no match is lost however long the document is.
 
-Documents are only mapped, never shuffled. The items go to the tasks in blocks of bounded size.
+Documents are read once. A bit map of the items' shingle hashes (16 MB at most, whatever the items) tells which few shingles of a
+document leave the map; these are joined with the sketches, and the pairs found are verified by joining the shingles
+themselves. Items never meet on the driver, and more items make no more passes.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import Marks, marked, written
 from .words import Words, mix, slices, windowed
 
-WORDS, CONTAINMENT = 5, 0.8
-#: Items (and bytes of their text) that go to the tasks at once; more items make more passes over the documents.
-BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32 << 20
+WORDS, CONTAINMENT, PROBES = 5, 0.8, 4
 #: ASCII letters in lower case, other ASCII but digits as blanks, other characters unchanged.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -34,144 +33,154 @@ def folded(text: str | None) -> bytes:
     return (text or "").lower().encode("utf-8", "replace").translate(_FOLD)
 
 
-def shingles(parts: list[bytes], words: int = WORDS) -> set[bytes]:
-    """The distinct shingles of a list of words; fewer words are one shingle, none have none."""
-    if not parts:
-        return set()
-    if len(parts) < words:
-        return {b" ".join(parts)}
-    return set(map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False)))
-
-
-def _shingle_hashes(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text number of every shingle."""
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
-    w = Words(np.frombuffer(b"".join(texts), dtype=np.uint8), offsets)
-    hashes, size = w.hashes(), np.diff(w.first)
-    owner = np.repeat(np.arange(len(texts)), size)
-    out = windowed(hashes, words)
-    inside = np.flatnonzero(owner[: len(out)] == owner[words - 1 :]) if len(out) else np.zeros(0, np.int64)
-    got, of = [out[inside]], [owner[inside]]
-    for i in np.flatnonzero((size > 0) & (size < words)):
-        got.append(windowed(hashes[w.first[i] : w.first[i + 1]], size[i]))
-        of.append(np.array([i]))
-    return np.concatenate(got), np.concatenate(of)
-
-
-class Sketches:
-    """The sketches of a block of items, and their shingles."""
-
-    def __init__(self, items: list[tuple[int, str | None]], words: int = WORDS, containment: float = CONTAINMENT):
-        self.words, self.containment = words, containment
-        self.ids = [i for i, _ in items]
-        texts = [folded(t) for _, t in items]
-        self.shingles = [shingles(t.split(), words) for t in texts]
-        hashes, owner = _shingle_hashes(texts, words)
-        by_item: dict[int, set[int]] = defaultdict(set)
-        for h, o in zip(hashes.tolist(), owner.tolist(), strict=True):
-            by_item[o].add(h)
-        longest: dict[int, int] = defaultdict(int)  # of each partition: sizes up to a power of two
-        for own in by_item.values():
-            longest[len(own).bit_length()] = max(longest[len(own).bit_length()], len(own))
-        firsts: dict[int, list[int]] = defaultdict(list)
-        for item, own in by_item.items():
-            k = longest[len(own).bit_length()]
-            k = k - math.ceil(containment * k - 1e-9) + 1
-            order = np.array(sorted(own), dtype=np.uint64)
-            for h in order[np.argsort(mix(order ^ np.uint64(0xA5A5A5A5A5A5A5A5)))[:k]].tolist():
-                firsts[h].append(item)
-        self.hashes = np.array(sorted(firsts), dtype=np.uint64)
-        self.items = [firsts[h] for h in self.hashes.tolist()]
-        self.low = np.zeros(1 << 16, dtype=bool)
-        self.low[(self.hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
-
-    def matches(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
-        """(text number, item number, shared shingles, the item's shingles) at or above the threshold."""
-        if not len(self.hashes) or not texts:
-            return []
-        bytes_of = [folded(t) for t in texts]
-        hashes, owner = _shingle_hashes(bytes_of, self.words)
-        maybe = np.flatnonzero(self.low[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), len(self.hashes) - 1)
-        hit = self.hashes[at] == hashes[maybe]
-        candidates: dict[int, set[int]] = defaultdict(set)
-        for text, sketch in zip(owner[maybe][hit].tolist(), at[hit].tolist(), strict=True):
-            candidates[text].update(self.items[sketch])
-        found = []
-        for text, items in sorted(candidates.items()):
-            have = shingles(bytes_of[text].split(), self.words)
-            for item in sorted(items):
-                want = self.shingles[item]
-                shared = len(want & have)
-                if shared >= self.containment * len(want) - 1e-9:
-                    found.append((text, item, shared, len(want)))
-        return found
-
-
-def blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", words: int = WORDS, containment: float = CONTAINMENT) -> Iterator[Sketches]:
-    """The sketches of all items, block by block; what is on the driver at once is bounded by the block's size.
-
-    Items with null or wordless text never match.
+class Shingles:
+    """The shingles of several texts: the windows of ``n`` words, for each n of ``lengths``."""
+
+    def __init__(self, texts: list[str | None], lengths: list[int]):
+        folds = [folded(t) for t in texts]
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in folds], dtype=np.int64)])
+        self.data = b"".join(folds)
+        self.words = Words(np.frombuffer(self.data, dtype=np.uint8), offsets)
+        hashes, self.size = self.words.hashes(), np.diff(self.words.first)
+        owner = np.repeat(np.arange(len(texts)), self.size)
+        none = np.zeros(0, dtype=np.int64)
+        first, of, many, found = [none], [none], [none], [none.astype(np.uint64)]
+        for n in lengths:
+            out = windowed(hashes, n)
+            inside = np.flatnonzero(owner[: len(out)] == owner[n - 1 :]) if len(out) else none
+            first.append(inside)
+            of.append(owner[inside])
+            many.append(np.full(len(inside), n))
+            found.append(out[inside])
+        self.first, self.owner, self.length, self.hash = (np.concatenate(x) for x in (first, of, many, found))
+
+    def bytes_of(self, at: np.ndarray) -> list[bytes]:
+        """The shingles themselves, words joined by one blank."""
+        data, start, end = self.data, self.words.start, self.words.end
+        spans = zip(start[self.first[at]].tolist(), end[self.first[at] + self.length[at] - 1].tolist(), strict=True)
+        return [b" ".join(data[a:b].split()) for a, b in spans]
+
+
+_ITEM = "item_id long, item_key long, item_shingles int, words int, hash long, shingle binary, sketch boolean"
+
+
+def item_shingles(items: DataFrame, words: int, containment: float, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """One row for each distinct shingle of each item: its hash, the shingle, and whether it is in the item's sketch.
+
+    An item of fewer words than ``words`` is one shingle. Rows that repeat id and text are one item; texts that share an
+    id are items of their own. Items with null or wordless text have no shingles and never match.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                texts = part.column("text").to_pylist()
+                count = Shingles(texts, []).size
+                for n in sorted(set(np.minimum(count, words).tolist()) - {0}):
+                    row = np.flatnonzero(np.minimum(count, words) == n)
+                    s = Shingles([texts[i] for i in row], [n])
+                    # distinct shingles of an item, in a random order of their hashes
+                    order = np.lexsort((mix(s.hash ^ np.uint64(0xA5A5A5A5A5A5A5A5)), s.owner))
+                    keep = order[np.concatenate([[True], (s.hash[order][1:] != s.hash[order][:-1]) | (s.owner[order][1:] != s.owner[order][:-1])])]
+                    owner = s.owner[keep]
+                    size = np.bincount(owner, minlength=len(row))
+                    largest = [(1 << int(x).bit_length()) - 1 for x in size]
+                    sketch = np.array([k - math.ceil(containment * k - 1e-9) + 1 for k in largest])
+                    rank = np.arange(len(keep)) - (np.cumsum(size) - size)[owner]
+                    ids = part.take(pa.array(row[owner]))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            ids.column("item_id"), ids.column("item_key"), pa.array(size[owner], pa.int32()), pa.array(np.full(len(keep), n), pa.int32()),
+                            pa.array(s.hash[keep].view(np.int64)), pa.array(s.bytes_of(keep), pa.binary()), pa.array(rank < sketch[owner]),
+                        ],
+                        names=["item_id", "item_key", "item_shingles", "words", "hash", "shingle", "sketch"],
+                    )
+
+    one = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("text is not null").distinct()
+    return one.withColumn("item_key", F.xxhash64("item_id", "text")).mapInArrow(run, _ITEM)
+
+
+def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, row_key, text) -> (doc_id, row_key, hash, shingle, rows): what documents may share with ``items``.
+
+    ``rows``: how many rows of ``docs`` repeat this id and text.
     """
-    one = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    total = one.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    count = max(1, math.ceil(total["n"] / BLOCK_ITEMS), math.ceil(total["bytes"] / BLOCK_BYTES))
-    for k in range(count):
-        block = one if count == 1 else one.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k)
-        yield Sketches([(r["id"], r["text"]) for r in block.orderBy("id", "text").collect()], words, containment)
+    marks = Marks(written(items.select("hash").distinct(), "item-hashes"), PROBES)
+    bits = docs.sparkSession.sparkContext.broadcast(marks.bytes())
+    lengths = sorted(r["words"] for r in items.select("words").distinct().collect())  # WORDS of them at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                s = Shingles(part.column("text").to_pylist(), lengths)
+                at = marked(bits.value, s.hash, PROBES)
+                at = at[np.lexsort((s.hash[at], s.owner[at]))]
+                at = at[np.append(True, (s.hash[at[1:]] != s.hash[at[:-1]]) | (s.owner[at[1:]] != s.owner[at[:-1]]))[: len(at)]]
+                ids = part.take(pa.array(s.owner[at]))
+                yield pa.RecordBatch.from_arrays([ids.column("doc_id"), ids.column("row_key"), pa.array(s.hash[at].view(np.int64)), pa.array(s.bytes_of(at), pa.binary())], names=["doc_id", "row_key", "hash", "shingle"])
+
+    found = docs.mapInArrow(run, "doc_id long, row_key long, hash long, shingle binary")
+    return found.groupBy("doc_id", "row_key", "hash", "shingle").agg(F.count("*").alias("rows"))
+
+
+def _matches(docs: DataFrame, items: DataFrame, words: int, containment: float) -> DataFrame:
+    """``docs`` (doc_id, row_key, text) -> (doc_id, row_key, item_id, item_key, shared, item_shingles, rows)."""
+    shingled = written(item_shingles(items, words, containment), "items")
+    hits = written(_hits(docs, shingled), "hits").withColumn("none", F.col("doc_id").isNull()).withColumn("id", F.coalesce("doc_id", F.lit(0)))
+    sketches = shingled.where("sketch").select("hash", "shingle", "item_key", "item_id")
+    pairs = hits.join(sketches, ["hash", "shingle"]).select("none", "id", "row_key", "item_key", "item_id").distinct()
+    wanted = pairs.join(shingled.select("item_key", F.col("item_id").alias("its_id"), "item_shingles", "hash", "shingle"), "item_key")
+    wanted = wanted.where(F.col("item_id").eqNullSafe(F.col("its_id")))
+    shared = wanted.join(hits.drop("doc_id"), ["none", "id", "row_key", "hash", "shingle"]).groupBy("none", "id", "row_key", "item_id", "item_key")
+    counted = shared.agg(F.count("*").cast("int").alias("shared"), F.max("item_shingles").alias("item_shingles"), F.max("rows").alias("rows"))
+    enough = counted.where(F.col("shared") >= containment * F.col("item_shingles") - 1e-9)
+    return enough.select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), "row_key", "item_id", "item_key", "shared", "item_shingles", "rows")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, item_id, shared, item_shingles, containment): one row per document row and item that it contains.
 
-    Null, empty and wordless documents contain nothing. Repeated rows are each reported. Texts compare in lower case
-    with ASCII punctuation as blanks; a text of fewer words than a shingle is one shingle.
+    Null, empty and wordless documents contain nothing, nor does an empty table; without items nothing is contained. Repeated
+    document rows are each reported; rows of ``items`` that repeat id and text are one item. Texts compare in lower case
+    with ASCII punctuation as blanks; an item of fewer words than a shingle is contained where its words stand in a row.
+    Other columns are ignored.
     """
-    one = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, item_id long, shared int, item_shingles int, containment double"
-    out = None
-    for sketches in blocks(items, words=words, containment=containment):
+    text = F.col(text_col)
+    one = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row_key"), text.alias("text"))
+    each = F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("copy")
+    found = _matches(one, items, words, containment).select("doc_id", "item_id", "shared", "item_shingles", each)
+    return found.select("doc_id", "item_id", "shared", "item_shingles", (F.col("shared") / F.col("item_shingles")).alias("containment"))
 
-        def run(batches: Iterator[pa.RecordBatch], sketches: Sketches = sketches) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch):
-                    rows = sketches.matches(part.column("text").to_pylist())
-                    ids = part.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
-                    shared, size = np.array([r[2] for r in rows], np.int32), np.array([r[3] for r in rows], np.int32)
-                    columns = [ids, pa.array([sketches.ids[r[1]] for r in rows], pa.int64()), pa.array(shared), pa.array(size), pa.array(shared / np.maximum(size, 1))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "shared", "item_shingles", "containment"])
 
-        found = one.mapInArrow(run, schema)
-        out = found if out is None else out.union(found)
-    return out
+def _text_keys(text: Column) -> tuple[Column, Column]:
+    """What tells texts apart: two 64-bit hashes."""
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", words: int = WORDS, containment: float = CONTAINMENT) -> DataFrame:
-    """``docs`` without the rows that contain an item; same columns."""
-    for sketches in blocks(items, words=words, containment=containment):
+    """``docs`` without the rows that contain an item; same columns.
 
-        def run(batches: Iterator[pa.RecordBatch], sketches: Sketches = sketches) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, text_col):
-                    keep = np.ones(len(part), dtype=bool)
-                    keep[[r[0] for r in sketches.matches(part.column(text_col).to_pylist())]] = False
-                    yield part.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    Null, empty and wordless texts stay; repeated rows go or stay together; without items all stay. Only rows whose
+    text hash is marked are exchanged.
+    """
+    first, second = _text_keys(F.col(text_col))
+    matches = _matches(docs.select(first.alias("doc_id"), second.alias("row_key"), F.col(text_col).alias("text")), items, words, containment)
+    gone = written(matches.select(F.col("doc_id").alias("gone_one"), F.col("row_key").alias("gone_two")).distinct(), "gone")
+    maybe, kept = Marks(gone.select("gone_one")).split(docs, first)
+    first, second = _text_keys(maybe[text_col])
+    return kept.union(maybe.join(gone.hint("merge"), (first == gone["gone_one"]) & (second == gone["gone_two"]), "left_anti"))
 
 
 def contaminated_sql(words: int = WORDS, containment: float = CONTAINMENT) -> str:
     """The same in DuckDB SQL, over ``documents`` and ``benchmark``."""
-
-    def sides(name: str, key: str) -> str:
-        return f"""
-{name}_words as (select {key}, list_filter(string_split_regex(regexp_replace(lower(text), '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+', ' ', 'g'), ' +'), lambda x: x <> '') as w
-  from {"documents" if key == "doc_id" else "benchmark"} where text is not null),
-{name} as (select distinct {key}, s from (select {key}, unnest(case when len(w) = 0 then [] when len(w) < {words} then [array_to_string(w, ' ')]
-  else list_transform(range(1, len(w) - {words} + 2), lambda i: array_to_string(list_slice(w, i, i + {words} - 1), ' ')) end) as s from {name}_words))"""
-
-    return f"""with {sides("d", "doc_id")}, {sides("b", "item_id")},
-size as (select item_id, count(*) as n from b group by 1)
-select d.doc_id, b.item_id, cast(count(*) as integer) as shared, cast(any_value(n) as integer) as item_shingles, count(*) / any_value(n) as containment
-from d join b using (s) join size on size.item_id = b.item_id group by d.doc_id, b.item_id having count(*) >= {containment} * any_value(n) - 1e-9"""
+    split = "list_filter(string_split_regex(regexp_replace(lower(text), '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+', ' ', 'g'), ' +'), lambda x: x <> '')"
+    window = "array_to_string(list_slice(w, i, i + {n} - 1), ' ')"
+    return f"""with items as (select distinct item_id, text from benchmark where text is not null),
+bw as (select row_number() over () as item, item_id, {split} as w from items),
+b as (select distinct item, item_id, s, least(len(w), {words}) as n from (select item, item_id, w, unnest(list_transform(range(1, len(w) - least(len(w), {words}) + 2), lambda i: {window.format(n=f"least(len(w), {words})")})) as s from bw where len(w) > 0)),
+size as (select item, count(*) as shingles from b group by 1),
+dw as (select row_number() over () as doc, doc_id, {split} as w from documents where text is not null),
+d as (select distinct doc, doc_id, n, s from (select doc, doc_id, lens.n, unnest(list_transform(range(1, len(w) - lens.n + 2), lambda i: {window.format(n="lens.n")})) as s
+  from dw join (select distinct n from b) lens on len(w) >= lens.n))
+select doc_id, item_id, cast(count(*) as integer) as shared, cast(any_value(shingles) as integer) as item_shingles, count(*) / any_value(shingles) as containment
+from d join b using (s, n) join size using (item) group by doc, doc_id, item, item_id having count(*) >= {containment} * any_value(shingles) - 1e-9"""

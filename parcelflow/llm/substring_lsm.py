@@ -2,18 +2,20 @@
 
 Every window of ``words`` consecutive words is represented in the index without storing it on its own. Inside a
 window the 8-word gram with the smallest hash (leftmost on ties) is its *anchor*; equal windows have equal anchors.
-Neighbouring windows that share one anchor form a *context*. About 2 of 29 positions are anchors. A run of the index
-is an immutable Parquet table sorted by gram: the hash of each anchor gram and how many contexts have it.
-
-* ``append`` turns a new batch into such a run, aggregated before and after the shuffle, so copies collapse.
-* ``compact`` merges the runs into one.
-* ``repeated_contexts`` merge-joins the batches' contexts with the grams that the index has more than once, and
-  verifies: a context whose whole word sequence occurs twice repeats as a whole. Where one gram has several contexts,
-  their windows are read again from the text and compared by their own hash; the 28 or fewer windows of a context fit
-  into one bit mask.
-* ``remove_repeats`` drops the covered words of a batch.
-
-No group is ever gathered: counts are aggregated map-side, joins may be split by adaptive execution.
+Neighbouring windows that share one anchor form a *context*; about 2 of 29 positions are anchors. A run of the index
+is an immutable Parquet table sorted by anchor: one entry for each distinct context, with the digest of its words,
+whether it occurs once or more often, and the place where it stands (the only one, while it occurs once).
+
+* ``append`` turns a new batch into such entries and merge-joins them with the runs, by anchor. A context that now occurs
+  twice repeats as a whole. Where an anchor has several contexts, the windows of those places are read from the texts and
+  compared by the digests of their words; the 29 or fewer windows of a context fit into one bit mask. What repeats is
+  logged by place, for the new batch and for earlier ones. Then the entries become a run.
+* Runs of one level are compacted into one of the next when there are ``fan_in`` of them.
+* ``remove_repeats`` drops the words that the log covers.
+
+Appending reads the runs, not the old texts, but for the texts of places that share an anchor with a new and different context:
+their keys go through a bit map, and only what is found moves. No group is ever gathered: counts are aggregated
+map-side, joins may be split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -24,38 +26,27 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_folder, written
-from .words import Words, mix, slices, utf8, windowed
+from .shared import Marks, new_folder, written
+from .words import Words, slices, windowed
 
-GRAM = 8
-_Q = 0x9E3779B97F4A7C15 | 1
-_powers: dict[int, np.ndarray] = {}
+GRAM, DIGEST, FAN_IN = 8, 16, 3
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    if base not in _powers or len(_powers[base]) < n:
-        steps = np.full(max(n, 1 << 20), base, dtype=np.uint64)
-        steps[0] = 1
-        _powers[base] = np.cumprod(steps)
-    return _powers[base][:n]
+def _words_of(column: pa.Array) -> tuple[Words, bytes]:
+    """The words of some texts, and their bytes with one blank between the words of a text."""
+    texts = [b" ".join((t or "").encode().split()) for t in column.to_pylist()]
+    data = b"".join(texts)
+    return Words(np.frombuffer(data, dtype=np.uint8), np.cumsum([0, *map(len, texts)])), data
 
 
-class _Ranges:
-    """Hashes of word ranges that do not depend on where the range stands."""
-
-    def __init__(self, hashes: np.ndarray):
-        n = len(hashes)
-        self.total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(hashes * _power(_Q, n), out=self.total[1:])
-        self.back = _power(pow(_Q, -1, 1 << 64), n)
-
-    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Hashes of words a to b, b exclusive; every a is the index of a word."""
-        return mix((self.total[b] - self.total[a]) * self.back[a] + (b - a).astype(np.uint64))
+def _digests(w: Words, data: bytes, first: np.ndarray, last: np.ndarray) -> pa.Array:
+    """BLAKE2b of words first to last, which stands for the words."""
+    spans = zip(w.start[first].tolist(), w.end[last].tolist(), strict=True)
+    return pa.array([hashlib.blake2b(data[a:b], digest_size=DIGEST).digest() for a, b in spans], pa.binary())
 
 
 def _first_smallest(values: np.ndarray, width: int) -> np.ndarray:
@@ -94,17 +85,15 @@ def _entries(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                w = Words(*utf8(part.column("text")))
-                hashes = w.hashes()
-                text, gram, first, last = _contexts(w, hashes, words)
+                w, data = _words_of(part.column("text"))
+                text, gram, first, last = _contexts(w, w.hashes(), words)
                 if len(text):
-                    context = _Ranges(hashes).of(first, last + words)
                     yield pa.RecordBatch.from_arrays(
                         [
                             part.column("doc_id").take(pa.array(text)),
                             part.column("row_key").take(pa.array(text)),
                             pa.array(gram.view(np.int64)),
-                            pa.array(context.view(np.int64)),
+                            _digests(w, data, first, last + words - 1),
                             pa.array((first - w.first[text]).astype(np.int32)),
                             pa.array((last - w.first[text]).astype(np.int32)),
                         ],
@@ -114,7 +103,10 @@ def _entries(words: int):
     return run
 
 
-_ENTRY = "doc_id long, row_key long, gram long, context long, first int, last int"
+_PLACE = "doc_id long, row_key long, first int, last int"
+_ENTRY = "doc_id long, row_key long, gram long, context binary, first int, last int"
+_RUN = f"gram long, context binary, n int, {_PLACE}"
+_LOG = f"{_PLACE}, mask long"
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -128,32 +120,29 @@ def _same():
     return F.col("row_key").eqNullSafe(F.col("its_key")) & F.col("doc_id").eqNullSafe(F.col("its_doc"))
 
 
-def _verify(words: int):
-    """The windows of the contexts listed in ``places``, as (gram, context, n, window, bit); n is 1 or 2 (or more)."""
+def _windows(words: int):
+    """The windows of the contexts in ``places``: rows (gram, n, window, bit, doc_id, row_key, first, last)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                w = Words(*utf8(part.column("text")))
-                ranges = _Ranges(w.hashes())
+                w, data = _words_of(part.column("text"))
                 listed = part.column("places")
                 flat = listed.flatten()
-                text = np.repeat(np.arange(len(part)), pa.compute.list_value_length(listed).to_numpy())
-                gram, context, n, first, last = (np.asarray(flat.field(k)) for k in ("gram", "context", "n", "first", "last"))
+                text = np.repeat(np.arange(len(part)), np.diff(np.asarray(listed.offsets)))
+                gram, n, first, last = (np.asarray(flat.field(k)) for k in ("gram", "n", "first", "last"))
                 size = last - first + 1
                 place = np.repeat(np.arange(len(size)), size)
                 bit = np.arange(len(place)) - np.repeat(np.cumsum(size) - size, size)
                 start = w.first[text[place]] + first[place] + bit
+                row = pa.array(text[place])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(gram[place]),
-                        pa.array(context[place]),
-                        pa.array(n[place]),
-                        pa.array(ranges.of(start, start + words).view(np.int64)),
-                        pa.array(bit.astype(np.int32)),
+                        pa.array(gram[place]), pa.array(n[place]), _digests(w, data, start, start + words - 1), pa.array(bit.astype(np.int32)),
+                        part.column("doc_id").take(row), part.column("row_key").take(row), pa.array(first[place]), pa.array(last[place]),
                     ],
-                    names=["gram", "context", "n", "window", "bit"],
-                )
+                    names=["gram", "n", "window", "bit", "doc_id", "row_key", "first", "last"],
+                )
 
     return run
 
@@ -189,67 +178,120 @@ def _remove(words: int, keep_text: bool):
 
 
 class WindowIndex:
-    """The index: a list of sorted immutable runs in the shared folder, each with the batch that it came from."""
+    """The index in a shared folder: runs by level, and the log of what repeats. It can be opened again from its folder.
 
-    def __init__(self, spark: SparkSession, words: int = 35, folder: str | None = None):
+    ``history``: the documents that were appended before, needed when an index is opened again.
+    """
+
+    def __init__(self, spark: SparkSession, words: int = 35, folder: str | None = None, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN):
         if not 16 <= words <= 70:
             raise ValueError("words must be from 16 to 70, so that a context's windows fit a 63-bit mask")
-        self.spark, self.words = spark, words
+        self.spark, self.words, self.fan_in = spark, words, fan_in
         self.folder = folder or new_folder(spark, "window-index")
-        self.runs: list[str] = []
-        self.batches: list[DataFrame] = []
-        self._made = 0
-
-    def _store(self, run: DataFrame) -> str:
-        path = f"{self.folder}/run-{self._made:06d}"
-        self._made += 1
-        run.sortWithinPartitions("gram").write.parquet(path)
+        self.batches: list[DataFrame] = [] if history is None else [_keyed(history, id_col, text_col)]
+        self.runs: list[tuple[int, str]] = []
+        self.logs: list[str] = []
+        self.version = 0
+        if folder is not None:
+            self._open()
+
+    def _open(self) -> None:
+        try:
+            listed = self.spark.read.parquet(f"{self.folder}/manifest").orderBy("version", "path").collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return
+        self.version = max(r["version"] for r in listed)
+        now = [r for r in listed if r["version"] == self.version]
+        self.runs = [(r["level"], f"{self.folder}/{r['path']}") for r in now if r["level"] >= 0]
+        self.logs = [f"{self.folder}/{r['path']}" for r in now if r["level"] < 0]
+
+    def _commit(self) -> None:
+        """The list of runs and logs, as a new version: what readers see changes at once."""
+        self.version += 1
+        name = lambda path: path.rpartition("/")[2]
+        rows = [(level, name(path)) for level, path in self.runs] + [(-1, name(path)) for path in self.logs]
+        self.spark.createDataFrame(rows, "level int, path string").coalesce(1).write.parquet(f"{self.folder}/manifest/version={self.version}")
+
+    def _store(self, df: DataFrame, kind: str) -> str:
+        path = f"{self.folder}/{kind}-{self.version:06d}-{len(self.runs):03d}"
+        df.write.mode("overwrite").parquet(path)  # an append that was cut short may have left a folder there
         return path
 
+    def _read(self, paths: list[str], schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
     def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Index a new batch. Null and short texts (fewer words than a window) have no windows."""
+        """Join a new batch with the runs, log what repeats, and add a run. Null and short texts have no windows."""
         batch = _keyed(docs, id_col, text_col)
+        new = written(batch.mapInArrow(_entries(self.words), _ENTRY), "entries")
+        place = F.struct("doc_id", "row_key", "first", "last")
+        distinct = new.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(place).alias("place"))
+        distinct = distinct.select("gram", "context", F.least("n", F.lit(2)).cast("int").alias("n"), "place.*")
+        run = self._store(distinct.sortWithinPartitions("gram"), "run")
+        distinct = self._read([run], _RUN)
+        log = self._store(self._repeats(batch, new, distinct), "log")
         self.batches.append(batch)
-        self.runs.append(self._store(self._contexts_of(batch).groupBy("gram").agg(F.count("*").alias("n"))))
-
-    def compact(self) -> None:
-        """Merge all runs into one; the same index, with one entry for each gram."""
-        if len(self.runs) > 1:
-            self.runs = [self._store(self.entries().groupBy("gram").agg(F.sum("n").alias("n")))]
+        self.runs.append((0, run))
+        self.logs.append(log)
+        self._compact()
+        self._commit()
+
+    def _repeats(self, batch: DataFrame, new: DataFrame, distinct: DataFrame) -> DataFrame:
+        """(doc_id, row_key, first, last, mask): what repeats now that the batch is there, by place in any batch."""
+        place = F.struct("doc_id", "row_key", "first", "last")
+        anchors = distinct.groupBy("gram").agg(F.sum("n").alias("n"))
+        old = self._read([path for _, path in self.runs], _RUN)
+        old = written(old.join(anchors.select("gram"), "gram", "left_semi"), "old") if self.runs else old
+        # an anchor that stands in one place only repeats nothing
+        often = anchors.where("n > 1").select("gram").union(old.select("gram")).distinct()
+        met = distinct.join(often, "gram").withColumn("fresh", F.lit(True)).union(old.withColumn("fresh", F.lit(False)))
+        was = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("int")
+        met = met.groupBy("gram", "context").agg(was(F.col("fresh")).alias("here"), was(~F.col("fresh")).alias("before"), F.min(F.when(~F.col("fresh"), place)).alias("earlier"), F.min(F.when(F.col("fresh"), place)).alias("now"))
+        met = written(met.withColumn("n", F.least(F.col("here") + F.col("before"), F.lit(2)).cast("int")), "met")
+        whole = met.where("n > 1")
+        marks = new.join(whole.where("here > 0").select("gram", "context"), ["gram", "context"]).select("doc_id", "row_key", "first", "last", F.lit(-1).cast("long").alias("mask"))
+        marks = marks.union(whole.where("here > 0 and before = 1").select("earlier.*", F.lit(-1).cast("long")))
+        # only an anchor with several contexts, one of them new and one of them single, leaves anything to tell
+        mixed = met.groupBy("gram").agg(F.count("*").alias("contexts"), F.min("n").alias("least"), F.min("before").alias("new")).where("contexts > 1 and least = 1 and new = 0")
+        listed = Marks(written(mixed.select("gram"), "mixed")).split(met, F.col("gram"))[0]
+        listed = listed.select("gram", "n", F.coalesce("earlier", "now").alias("p")).select("p.doc_id", "p.row_key", F.struct("gram", "n", "p.first", "p.last").alias("place"))
+        places = written(listed.groupBy("doc_id", "row_key").agg(F.collect_list("place").alias("places")), "places")
+        texts = reduce(DataFrame.union, [*self.batches, batch])
+        texts = Marks(places.select("row_key")).split(texts, F.col("row_key"))[0].distinct()
+        read = texts.withColumnsRenamed({"doc_id": "its_doc", "row_key": "its_key"}).join(places, _same()).select("doc_id", "row_key", "text", "places")
+        windows = written(read.mapInArrow(_windows(self.words), f"gram long, n int, window binary, bit int, {_PLACE}"), "windows")
+        twice = windows.groupBy("gram", "window").agg(F.sum("n").alias("total")).where("total > 1").select("gram", "window")
+        partly = windows.where("n = 1").join(twice, ["gram", "window"]).groupBy("doc_id", "row_key", "first", "last")
+        return marks.union(partly.agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")))
+
+    def _compact(self) -> None:
+        """Merge the runs of a level into one of the next as long as a level has ``fan_in`` of them."""
+        level = 0
+        while level <= max(n for n, _ in self.runs):
+            same = [path for n, path in self.runs if n == level]
+            if len(same) >= self.fan_in:
+                merged = self._read(same, _RUN).groupBy("gram", "context").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), F.min(F.struct("doc_id", "row_key", "first", "last")).alias("place"))
+                path = self._store(merged.select("gram", "context", "n", "place.*").sortWithinPartitions("gram"), f"run-level-{level + 1}")
+                self.runs = [x for x in self.runs if x[0] != level] + [(level + 1, path)]
+            level += 1
 
     def entries(self) -> DataFrame:
-        return self.spark.read.schema("gram long, n long").parquet(*self.runs)
-
-    def _contexts_of(self, batch: DataFrame) -> DataFrame:
-        return batch.mapInArrow(_entries(self.words), _ENTRY)
-
-    def repeated_contexts(self) -> DataFrame:
-        """(doc_id, row_key, first, last, mask): where contexts have windows that occur more than once in all batches."""
-        self.compact()
-        texts = reduce(DataFrame.union, self.batches)
-        often = self.entries().where("n > 1").select("gram")
-        found = written(self._contexts_of(texts).join(often, "gram"), "candidates")
-        rep = F.min(F.struct("doc_id", "row_key", "first", "last")).alias("rep")
-        contexts = found.groupBy("gram", "context").agg(F.count("*").alias("n"), rep)
-        contexts = written(contexts.select("gram", "context", F.least("n", F.lit(2)).cast("int").alias("n"), "rep.*"), "contexts")
-        whole = contexts.where("n > 1").select("gram", "context", F.lit(-1).cast("long").alias("mask"))
-        # only a gram with several contexts, one of them single, leaves anything to tell
-        mixed = contexts.groupBy("gram").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).where("contexts > 1 and least = 1")
-        places = contexts.join(mixed.select("gram"), "gram").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("gram", "context", "n", "first", "last")).alias("places"))
-        read = places.join(texts.withColumnsRenamed({"doc_id": "its_doc", "row_key": "its_key"}), _same()).select("text", "places")
-        windows = read.mapInArrow(_verify(self.words), "gram long, context long, n int, window long, bit int")
-        # a text that is there in several rows gives its windows several times; its contexts have n = 2 anyway
-        twice = windows.groupBy("gram", "window").agg(F.sum("n").alias("total")).where("total > 1").select("gram", "window")
-        single = windows.where("n = 1").select("gram", "context", "window", "bit")
-        partly = single.join(twice, ["gram", "window"]).groupBy("gram", "context").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
-        judged = written(whole.union(partly), "judged")
-        return found.join(judged, ["gram", "context"]).select("doc_id", "row_key", "first", "last", "mask")
+        return self._read([path for _, path in self.runs], _RUN)
 
     def remove_repeats(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-        """One row per row of ``docs`` (which must have been appended): what is left without repeated windows."""
+        """One row per row of ``docs`` (which must have been appended): what is left without repeated windows.
+
+        Null, empty and short texts lose nothing; rows that repeat id and text get the same result each; an empty table gives
+        an empty one. Windows are judged against all batches appended so far. Only rows with repeats are exchanged.
+        """
         batch = _keyed(docs, id_col, text_col)
-        marks = self.repeated_contexts().groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("first", "last", "mask")).alias("places"))
-        texts = batch.withColumnsRenamed({"doc_id": "its_doc", "row_key": "its_key"})
-        joined = texts.join(marks, _same(), "left").select(F.col("its_doc").alias("doc_id"), "text", "places")
+        marks = self._read(self.logs, _LOG).groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("first", "last", "mask")).alias("places"))
+        marks = written(marks, "places")
+        maybe, clean = Marks(marks.select("row_key")).split(batch, F.col("row_key"))
+        texts = maybe.withColumnsRenamed({"doc_id": "its_doc", "row_key": "its_key"})
+        joined = texts.join(marks.hint("merge"), _same(), "left").select(F.col("its_doc").alias("doc_id"), "text", "places")
+        both = joined.union(clean.select("doc_id", "text", F.lit(None).cast(marks.schema["places"].dataType)))
         schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-        return joined.mapInArrow(_remove(self.words, keep_text), schema)
+        return both.mapInArrow(_remove(self.words, keep_text), schema)

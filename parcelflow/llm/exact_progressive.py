@@ -34,11 +34,17 @@ def _heads(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _repeated(heads: DataFrame) -> DataFrame:
     """(size, prefix) that more than one of the written rows have; prefixes are compared where sizes repeat."""
-    often = heads.groupBy("size").count().where("count > 1").select("size")
-    pairs = heads.join(often, "size", "left_semi").groupBy("size", "prefix").count().where("count > 1")
+    often = written(heads.groupBy("size").count().where("count > 1").select(F.xxhash64("size")), "sizes")
+    pairs = Marks(often).split(heads, F.xxhash64("size"))[0].groupBy("size", "prefix").count().where("count > 1")
     return written(pairs.select("size", "prefix"), "prefixes")
 
 
+def _survivors(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``rows`` that have one of ``pairs``, and perhaps a few more, whose full hash will tell."""
+    key = F.xxhash64("size", "prefix")
+    return Marks(written(pairs.select(key), "pairs")).split(rows, key)[0]
+
+
 def _groups(full: DataFrame) -> DataFrame:
     """Rows (id, full) -> (full, keep, n, same) of the texts that more than one row has.
 
@@ -57,7 +63,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     are read once for length, prefix and full hash together, and the refinement goes over these.
     """
     hashed = written(_heads(docs, id_col, text_col).select("id", "size", "prefix", F.sha2("text", 256).alias("full")), "hashed")
-    groups = _groups(hashed.join(_repeated(hashed), ["size", "prefix"], "left_semi").select("id", "full"))
+    groups = _groups(_survivors(hashed, _repeated(hashed)).select("id", "full"))
     # rows that are the same in all respects are counted here and dealt out again below, the first of them as kept
     rows = hashed.groupBy("id", "full").agg(F.count("*").alias("rows"))
     joined = rows.join(groups.select("full", "keep", "n"), "full", "left").select(
@@ -82,10 +88,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     heads = _heads(docs, id_col, text_col)
     pairs = _repeated(written(heads.select("size", "prefix"), "heads"))
-    key = F.xxhash64("size", "prefix")
-    survivors, _ = Marks(written(pairs.select(key), "keys")).split(heads, key)
-    hashed = survivors.select("id", "row_key", "size", "prefix", F.sha2("text", 256).alias("full"))
-    hashed = written(hashed.join(pairs, ["size", "prefix"], "left_semi").select("id", "row_key", "full"), "hashed")
+    hashed = written(_survivors(heads, pairs).select("id", "row_key", F.sha2("text", 256).alias("full")), "hashed")
     groups = _groups(hashed)
     judged = hashed.distinct().join(groups.select("full", "keep", "same"), "full")
     stays = F.col("id").eqNullSafe(F.col("keep"))

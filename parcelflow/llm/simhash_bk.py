@@ -301,16 +301,22 @@ def _dealt(members: DataFrame, weight: Column | None = None, limit: int = BLOCK,
     The blocks of a shard grow with the square root of its members, in number as in size, up to ``block_size`` members or
     ``limit`` of ``weight``. So no task gets much more than others, and a member of n is sent some sqrt(n) / 16 times.
     """
-    shared = members.groupBy("key").agg(F.count("*").alias("n"), (weight if weight is not None else F.count("*")).alias("weight")).where("n > 1")
+    counts = members.groupBy("key").agg(F.count("*").alias("n"), (weight if weight is not None else F.count("*")).alias("weight")).where("n > 1")
     blocks = F.greatest(F.ceil(F.sqrt("n") / 16), F.ceil(F.col("n") / block_size), F.ceil(F.col("weight") / limit)).cast("int")
-    block = F.pmod(F.xxhash64("fp"), blocks.cast("long")).cast("int")
+    shards = written(counts.select("key", blocks.alias("blocks")), "shards")
+    large = written(shards.where("blocks > 1"), "large")
+    members = Marks(shards.select("key")).split(members.select("key", "fp"), F.col("key"))[0]
+    one = F.lit(0)
+    if large.isEmpty():
+        return members.select("key", "fp", one.alias("block"), one.alias("one"), one.alias("two"))
+    # a large shard's members meet their number of blocks in 64 places
+    maybe, whole = Marks(large.select("key")).split(members.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(64))), F.col("key"))
+    salted = large.select("key", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("salt"))
+    cut = maybe.join(salted, ["key", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "fp"), F.col("blocks").cast("long")).cast("int"))
     paired = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("one"), F.greatest("block", x).alias("two")))
-    return (
-        members.join(shared, "key")
-        .select("key", "fp", blocks.alias("blocks"), block.alias("block"))
-        .select("key", "fp", "block", F.explode(paired).alias("pair"))
-        .select("key", "fp", "block", "pair.one", "pair.two")
-    )
+    pairs = cut.select("key", "fp", "block", F.explode(paired).alias("pair")).select("key", "fp", "block", "pair.one", "pair.two")
+    return pairs.union(whole.select("key", "fp", one, one, one))
 
 
 def _sorted_shards(rows: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Strictly typed values from JSON payloads, as Column expressions over a VARIANT.
+"""Strictly typed values from JSON payloads, as SQL over a struct of VARIANTs.
 
 Absent and null give NULL. A value of the wrong JSON type or form gives an error, which makes the record poison: casts
 alone would not do, since they read numbers from strings and timestamps from bare dates.
@@ -14,87 +14,77 @@ from parcelflow.plans.registry import Col
 RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})$"
 DATE = r"^\d{4}-\d{2}-\d{2}$"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-_RANGE = {"int16": ("smallint", 1 << 15), "int32": ("int", 1 << 31), "int64": ("bigint", 1 << 63)}
+_WHOLE = {"int16": "smallint", "int32": "int", "int64": "bigint"}
 
 
-def _field(payload: Column, key: str) -> tuple[Column, Column]:
-    """A field's value and the name of its type (NULL if absent)."""
-    value = F.try_variant_get(payload, f"$['{key}']", "variant")
-    return value, F.schema_of_variant(value)
+def record(payload: Column, keys: list[str]) -> Column:
+    """The fields of a payload as a struct of VARIANTs, in one pass: f0, f1, ... in the order of ``keys``; ``bad`` is the text if
+    it is no JSON. Absent fields are NULL."""
+    # fields are found by their payload names, so the schema has these; the names differ in more than case
+    fields = ", ".join(f"`{k}` variant" for k in keys)
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "columnNameOfCorruptRecord": "_bad"}
+    return F.from_json(payload, f"{fields}, `_bad` string", strict)
 
 
-def _text(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "string")
+def no_object(payload: Column, fields: Column) -> Column:
+    """Whether a payload is no JSON object."""
+    return payload.isNull() | fields.isNull() | fields["_bad"].isNotNull() | ~F.ltrim(payload).startswith("{")
 
 
-def parsed(payload: Column, col: Col) -> tuple[Column, Column]:
-    """(value, error) of one typed column."""
-    value, kind = _field(payload, col.payload)
-    text = _text(value)
-    missing = kind.isNull() | (kind == "VOID")
-    is_text = kind == "STRING"
-    bad = lambda what: F.lit(f"{col.payload}: {what}")
+def parsed(col: Col, fields: str = "f") -> str:
+    """SQL of (value, error) of one typed column as a struct; NULL where the field is absent or null.
+
+    As text, since there are some hundred of these in a projection and each Column operator is a call to the JVM.
+    """
+    value = f"{fields}.`{col.payload}`"
+    kind, text = f"schema_of_variant({value})", f"try_variant_get({value}, '$', 'string')"
     if col.kind == "string":
-        good, out = is_text, F.nullif(text, F.lit(""))
-    elif col.kind == "timestamp":
-        out = F.when(text.rlike(RFC3339), F.try_to_timestamp(text))
-        good = is_text & ((text == "") | out.isNotNull())
-    elif col.kind == "date":
-        out = F.when(text.rlike(DATE), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")))
-        good = is_text & ((text == "") | out.isNotNull())
+        good, out = f"{kind} = 'STRING'", f"nullif({text}, '')"
+    elif col.kind in ("timestamp", "date"):
+        form, how = (RFC3339, "") if col.kind == "timestamp" else (DATE, ", 'yyyy-MM-dd'")
+        out = f"case when {text} rlike r'{form}' then try_to_timestamp({text}{how}) end"
+        good = f"{kind} = 'STRING' and ({text} = '' or {out} is not null)"
     elif col.kind.startswith("decimal"):
-        numeric = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-        out = F.when(text.rlike(NUMBER), text.try_cast(col.kind))
-        good = (is_text | numeric) & out.isNotNull()
+        out = f"case when {text} rlike r'{NUMBER}' then try_cast({text} as {col.kind}) end"
+        good = f"{kind} rlike '^(STRING|BIGINT|DECIMAL|DOUBLE|FLOAT)' and {out} is not null"
     elif col.kind == "bool":
-        good, out = kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean")
-    elif col.kind in _RANGE:
-        out = F.when(kind == "BIGINT", text.try_cast(_RANGE[col.kind][0]))
-        good = (kind == "BIGINT") & out.isNotNull()
+        good, out = f"{kind} = 'BOOLEAN'", f"try_variant_get({value}, '$', 'boolean')"
+    elif col.kind in _WHOLE:
+        out = f"case when {kind} = 'BIGINT' then try_cast({text} as {_WHOLE[col.kind]}) end"
+        good = f"{out} is not null"
     else:
-        items = F.try_variant_get(value, "$", "array<variant>")
-        fits = ~F.exists(items, lambda x: F.schema_of_variant(x) != "STRING")
-        good = kind.startswith("ARRAY") & F.coalesce(fits, F.lit(True))
-        out = F.when(F.size(items) > 0, F.transform(items, _text))
-    needed = F.lit(True) if not col.required else F.lit(False)
-    error = F.when(missing, F.when(~needed, bad("required")))
-    error = error.when(~F.coalesce(good, F.lit(False)), bad(f"not a {col.kind}"))
-    if col.required:
-        error = error.when(out.isNull(), bad("required"))
-    return F.when(~missing, out), error
-
-
-def string(payload: Column, key: str) -> tuple[Column, Column]:
-    return parsed(payload, Col(key, "string"))
-
-
-def required_timestamp(payload: Column, key: str = "ModificationTimestamp") -> tuple[Column, Column]:
-    """A timestamp with three distinct errors: absent, null or empty, malformed."""
-    value, kind = _field(payload, key)
-    text = _text(value)
-    out = F.when((kind == "STRING") & text.rlike(RFC3339), F.try_to_timestamp(text))
-    present = F.try_variant_get(payload, "$", "map<string,variant>")
-    absent = ~F.coalesce(F.map_contains_key(present, key), F.lit(False))
-    error = (
-        F.when(absent, F.lit(f"{key}: absent"))
-        .when(kind.isNull() | (kind == "VOID") | ((kind == "STRING") & (text == "")), F.lit(f"{key}: empty"))
-        .when(out.isNull(), F.lit(f"{key}: malformed"))
-    )
-    return out, error
-
-
-def metadata(payload: Column) -> dict[str, tuple[Column, Column]]:
-    """originating_system_name, mlg_can_view (true unless false) and mlg_can_use."""
-    view, error = parsed(payload, Col("MlgCanView", "bool"))
-    return {
-        "originating_system_name": string(payload, "OriginatingSystemName"),
-        "mlg_can_view": (F.coalesce(view, F.lit(True)), error),
-        "mlg_can_use": parsed(payload, Col("MlgCanUse", "strings")),
-    }
+        items = f"try_variant_get({value}, '$', 'array<variant>')"
+        good = f"{kind} like 'ARRAY%' and coalesce(not exists({items}, x -> schema_of_variant(x) <> 'STRING'), true)"
+        out = f"case when size({items}) > 0 then transform({items}, x -> try_variant_get(x, '$', 'string')) end"
+    error = f"case when not coalesce({good}, false) then '{col.payload}: not a {col.kind}' end"
+    return f"case when {value} is not null and {kind} <> 'VOID' then named_struct('value', {out}, 'error', {error}) end"
+
+
+def required(both: str, col: Col) -> str:
+    """SQL of the error of a required column, from its (value, error)."""
+    return f"coalesce({both}.error, case when {both}.value is null then '{col.payload}: required' end)"
+
+
+def required_timestamp(payload: str, fields: str = "f", key: str = "ModificationTimestamp") -> str:
+    """SQL of (value, error) of a timestamp with three distinct errors: absent, null or empty, malformed."""
+    value = f"{fields}.`{key}`"
+    kind, text = f"schema_of_variant({value})", f"try_variant_get({value}, '$', 'string')"
+    out = f"case when {kind} = 'STRING' and {text} rlike r'{RFC3339}' then try_to_timestamp({text}) end"
+    error = f"""case when {out} is not null then null when not coalesce(array_contains(json_object_keys({payload}), '{key}'), false) then '{key}: absent'
+      when {value} is null or {kind} = 'VOID' or {kind} = 'STRING' and {text} = '' then '{key}: empty' else '{key}: malformed' end"""
+    return f"case when {payload} is not null then named_struct('value', {out}, 'error', {error}) end"
+
+
+#: What every record has besides its typed columns.
+METADATA = (Col("OriginatingSystemName", "string"), Col("MlgCanView", "bool"), Col("MlgCanUse", "strings"))
 
 
 def extended(text: Column, known: list[str]) -> Column:
-    """The payload's other keys as a map of JSON texts; NULL if there are none."""
-    every = F.from_json(text, "map<string,string>")
-    left = F.map_filter(every, lambda k, _: ~k.isin(known))
-    return F.when(F.size(left) > 0, left)
+    """The payload's other keys, in order, as a map of JSON texts; NULL if there are none.
+
+    The texts keep JSON's types ("5" is not 5) and do not depend on the order of keys in nested objects.
+    """
+    every = F.from_json(text, "map<string,variant>")
+    left = F.array_sort(F.map_keys(F.map_filter(every, lambda k, _: ~k.isin(known))))
+    pairs = F.transform(left, lambda k: F.struct(k.alias("key"), F.coalesce(F.to_json(F.element_at(every, k)), F.lit("null")).alias("value")))
+    return F.when(F.size(left) > 0, F.map_from_entries(pairs))

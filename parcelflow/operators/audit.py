@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,12 +52,21 @@ def validate_raw(raw: DataFrame, resource: str) -> dict[str, DataFrame]:
     return out
 
 
-def validate_typed(entity: DataFrame, versions: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def shared_fields(entity: DataFrame, versions: DataFrame, key: str) -> list[str]:
+    """The data columns that an entity table has in common with its version table."""
+    skip = {key, "source_modified_at", "mlg_can_view", "current_version_id", "created_at", "modified_at"}
+    return [c for c in entity.columns if c in versions.columns and c not in skip]
+
+
+def validate_typed(entity: DataFrame, versions: DataFrame, key: str, columns: list[str] | None = None) -> DataFrame:
     """(key, field, entity_value, version_value): visible entities that differ from their open version.
 
+    By default all the columns are compared that both tables have.
+
     An entity without an open version is one row with the field ``(no open version)``. NULL and empty are the same;
     arrays compare in order.
     """
+    columns = columns or shared_fields(entity, versions, key)
     shown = entity.where("mlg_can_view").select(key, *columns)
     types = {f.name: f.dataType.simpleString() for f in shown.schema.fields}
     open_ = versions.where("valid_to is null").select(F.col(key).alias("__v"), *[F.col(c).alias(f"v_{c}") for c in columns])
@@ -83,7 +90,7 @@ def set_sample_rate(rate: float, current: float = 1.0) -> float:
 
 
 def describe_value(text: Column) -> Column:
-    """The shape of a JSON text without its content."""
+    """The shape of a JSON text without its content; what is no JSON counts as a string."""
     v = F.try_parse_json(text)
     kind = F.schema_of_variant(v)
     size = lambda t: F.size(F.try_variant_get(v, "$", t))
@@ -104,7 +111,8 @@ def field_drift(projected: DataFrame, allowed: list[str], rate: float = 1.0, mos
     The sample value is that of the first row that has the field, cut to ``most_bytes``. Rows are sampled by a hash.
     """
     rate = set_sample_rate(rate)
-    rows = projected.where(F.pmod(F.xxhash64("raw_seq"), F.lit(1_000_000)) < int(rate * 1_000_000))
+    # hashes are compared as they are: a rate is right to one part in 2^53, however small
+    rows = projected if rate == 1 else projected.where(F.xxhash64("raw_seq") < F.lit(-(1 << 63) + int(rate * (1 << 64))))
     pairs = rows.select("raw_seq", F.explode("extended_fields").alias("field", "value"))
     novel = pairs.where(~F.col("field").isin(*allowed)) if allowed else pairs
     first = novel.groupBy("field").agg(F.count("*").alias("n"), F.min("raw_seq").alias("first_seq"), F.min_by("value", "raw_seq").alias("value"))
@@ -114,12 +122,3 @@ def field_drift(projected: DataFrame, allowed: list[str], rate: float = 1.0, mos
 def drift_summary(drift: DataFrame) -> DataFrame:
     """One row: the novel fields of a resource in order."""
     return drift.agg(F.array_join(F.array_sort(F.collect_set("field")), ", ").alias("fields"))
-
-
-def shared_fields(entity: DataFrame, version: DataFrame, skip: tuple[str, ...] = ()) -> list[str]:
-    """Columns that an entity table has in common with its version table."""
-    return [c for c in entity.columns if c in version.columns and c not in skip]
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -64,11 +64,15 @@ def apply_results(jobs: DataFrame, results: DataFrame) -> DataFrame:
 
     Only jobs still in progress under the same claimant change: success -> succeeded with its attachment; failure ->
     one more attempt, retrying, or permanently_failed at the third or where the store is full. Other results are lost.
+    Of several results of one claim a success counts; the number of rows stays that of ``jobs``.
     """
-    r = results.select("attachment_job_id", F.col("claimed_by").alias("__by"), "ok", F.col("attachment_id").alias("__attachment"), "store_full")
-    joined = jobs.join(r, "attachment_job_id", "left")
-    has = F.col("ok").isNotNull()
-    live = has & (F.col("status") == "in_progress") & F.col("claimed_by").eqNullSafe(F.col("__by"))
+    one = results.groupBy(F.col("attachment_job_id").alias("__job"), F.col("claimed_by").alias("__by")).agg(F.max(F.struct("ok", "store_full", "attachment_id")).alias("r"))
+    one = one.select("__job", "__by", "r.ok", "r.store_full", F.col("r.attachment_id").alias("__attachment"))
+    any_ = results.select(F.col("attachment_job_id").alias("__any")).distinct()
+    joined = jobs.join(one, (F.col("attachment_job_id") == F.col("__job")) & F.col("claimed_by").eqNullSafe(F.col("__by")), "left")
+    joined = joined.join(any_, F.col("attachment_job_id") == F.col("__any"), "left")
+    has = F.col("__any").isNotNull()
+    live = F.col("ok").isNotNull() & (F.col("status") == "in_progress")
     failed = live & ~F.col("ok")
     attempts = F.col("attempt_count") + F.when(failed, 1).otherwise(0)
     final = F.when(F.col("store_full") | (attempts >= MAX_ATTEMPTS), "permanently_failed").otherwise("retrying")
@@ -84,8 +88,8 @@ def result_counts(applied: DataFrame) -> DataFrame:
 
 
 def link_media(media: DataFrame, applied: DataFrame) -> DataFrame:
-    """Media take the attachment of the jobs that just succeeded."""
-    done = applied.where("applied = 'succeeded'").select("media_key", F.col("attachment_id").alias("__new"))
+    """Media take the attachment of the newest of the jobs that just succeeded."""
+    done = applied.where("applied = 'succeeded'").groupBy("media_key").agg(F.max_by("attachment_id", F.struct("created_at", "attachment_job_id")).alias("__new"))
     return media.join(done, "media_key", "left").withColumn("attachment_id", F.coalesce("__new", "attachment_id")).drop("__new")
 
 

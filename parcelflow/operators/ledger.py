@@ -29,9 +29,10 @@ def stamp_outcome(events: DataFrame, results: DataFrame) -> DataFrame:
     """Running events closed by ``results`` (sync_event_id, ok, ended_at, record_count, hwm, queried_from, error).
 
     Success keeps the mark, or carries the cursor it asked from where nothing was written (a first import: its own
-    start). Failure has an error and no mark.
+    start). Failure has an error and no mark. Of several results of one run a success, then the last to end, counts.
     """
-    r = results.select("sync_event_id", "ok", F.col("ended_at").alias("__ended"), F.col("record_count").alias("__count"), "hwm", "queried_from", "error")
+    one = results.groupBy("sync_event_id").agg(F.max(F.struct("ok", "ended_at", "record_count", "hwm", "queried_from", "error")).alias("r"))
+    r = one.select("sync_event_id", "r.ok", F.col("r.ended_at").alias("__ended"), F.col("r.record_count").alias("__count"), "r.hwm", "r.queried_from", "r.error")
     joined = events.join(r, "sync_event_id", "left")
     hit = F.col("ok").isNotNull() & (F.col("status") == "running")
     mark = F.when(F.col("ok"), F.coalesce("hwm", "queried_from", "started_at"))
@@ -57,6 +58,33 @@ def sweep_stale_running(events: DataFrame, now, threshold: str = STALE) -> DataF
     return events.select(*[new.get(c, F.col(c)).alias(c) for c in events.columns])
 
 
+def start_runs(cursor: DataFrame, now, run_type: str = "sync") -> DataFrame:
+    """A running event for each row of ``cursor`` (resource, cursor), which it asks from."""
+    started = F.lit(now).cast("timestamp")
+    name = F.concat_ws("/", F.lit(run_type), "resource", started.cast("string"))
+    return cursor.select(
+        F.sha2(name, 256).alias("sync_event_id"), "resource", F.lit(run_type).alias("run_type"), F.lit("running").alias("status"), started.alias("started_at"),
+        F.lit(None).cast("timestamp").alias("ended_at"), F.lit(None).cast("long").alias("record_count"), F.lit(None).cast("timestamp").alias("high_water_mark"),
+        F.lit(None).cast("string").alias("error_summary"), F.col("cursor").cast("timestamp").alias("queried_from"),
+    )
+
+
+def delta_run(events: DataFrame, records: DataFrame, now, resources: tuple[str, ...] = FETCHED) -> tuple[DataFrame, DataFrame]:
+    """One turn of the delta loop: (the records since each resource's mark, the ledger after it).
+
+    ``records`` (resource, source_modified_at, ...). A run that finds nothing carries on the mark that it asked from.
+    """
+    runs = start_runs(next_cursor(events, now, resources), now)
+    found = records.join(runs.select("resource", "queried_from"), "resource").where("source_modified_at >= queried_from").drop("queried_from")
+    seen = found.groupBy("resource").agg(F.count("*").alias("record_count"), F.max("source_modified_at").cast("timestamp").alias("hwm"))
+    results = runs.select("sync_event_id", "resource", "queried_from").join(seen, "resource", "left").select(
+        "sync_event_id", F.lit(True).alias("ok"), F.lit(now).cast("timestamp").alias("ended_at"), F.coalesce("record_count", F.lit(0)).alias("record_count"), "hwm", "queried_from", F.lit(None).cast("string").alias("error")
+    )
+    new = stamp_outcome(runs.drop("queried_from"), results)
+    kinds = {f.name: f.dataType for f in events.schema.fields}
+    return found, events.union(new.select(*[F.col(c).cast(kinds[c]).alias(c) for c in events.columns]))
+
+
 def latest_event(events: DataFrame) -> DataFrame:
     """The newest run of each resource, by start."""
     rest = [c for c in events.columns if c != "resource"]
@@ -66,7 +94,7 @@ def latest_event(events: DataFrame) -> DataFrame:
 def backlog(raw: DataFrame, cursors: DataFrame) -> DataFrame:
     """(resource, pending): raw rows after each resource's cursor."""
     at = cursors.select("resource", F.col("last_raw_seq").alias("__last"))
-    return raw.join(F.broadcast(at), "resource", "left").where("__last is null or raw_seq > __last").groupBy("resource").agg(F.count("*").alias("pending"))
+    return raw.join(at, "resource", "left").where("__last is null or raw_seq > __last").groupBy("resource").agg(F.count("*").alias("pending"))
 
 
 DEFAULTS = {"staleness_minutes": 30, "backlog": 10_000, "failures": 100}

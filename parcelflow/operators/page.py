@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelflow.functions.geo import region
+from parcelflow.plans.registry import RESOURCES
+from parcelflow.sources.snapshot import work_folder
 
 from .where import where as where_rows
 
@@ -121,6 +123,28 @@ def list_query(
     return Page(over.withColumn("__place", place).withColumn("__key", F.col(key)), size, total, last is not None, after, before)
 
 
+#: The lists by name: resource and whether they show versions. Entities are listed where visible, versions always.
+LISTS = {
+    "lookups": ("lookup", False), "mediaSlice": ("media", False), "members": ("member", False), "offices": ("office", False),
+    "openHouses": ("open_house", False), "properties": ("property", False), "propertyRooms": ("property_rooms", False), "propertyUnitTypes": ("property_unit_types", False),
+    "mediaVersions": ("media", True), "memberVersions": ("member", True), "officeVersions": ("office", True), "openHouseVersions": ("open_house", True),
+    "propertyVersions": ("property", True), "propertyRoomVersions": ("property_rooms", True), "propertyUnitTypeVersions": ("property_unit_types", True),
+}
+
+
+def named_list(tables: dict[str, DataFrame], name: str, **query) -> Page:
+    """A page of one of the lists, or of ``sourceSystems``; ``query`` as of ``list_query``.
+
+    ``tables``: the entities by resource, their versions as ``<resource>_version``, and ``source_system``.
+    """
+    if name == "sourceSystems":
+        return list_query(tables["source_system"], "source_system_id", visible_only=False, **query)
+    resource, versions = LISTS[name]
+    if versions:
+        return list_query(tables[f"{resource}_version"], "version_id", visible_only=False, **query)
+    return list_query(tables[resource], RESOURCES[resource].key_column, **query)
+
+
 def union_nodes(tables: list[tuple[str, DataFrame, str, bool]]) -> DataFrame:
     """(priority, id, type, visible) of many tables (type, rows, key, has visibility)."""
     each = [
@@ -133,15 +157,29 @@ def union_nodes(tables: list[tuple[str, DataFrame, str, bool]]) -> DataFrame:
 def nodes(tables: list[tuple[str, DataFrame, str, bool]], ids: list[str], spark) -> DataFrame:
     """(pos, id, type) in the order asked; the first table that has the id wins, and a hidden hit there gives NULL."""
     asked = spark.createDataFrame(list(enumerate(ids)), "pos int, id string")
-    hits = union_nodes(tables).join(F.broadcast(asked.select("id").distinct()), "id", "left_semi")
+    hits = union_nodes(tables).join(asked.select("id").distinct(), "id", "left_semi")
     first = hits.groupBy("id").agg(F.min_by(F.struct("type", "visible"), "priority").alias("n"))
     return asked.join(first, "id", "left").select("pos", "id", F.when(F.col("n.visible"), F.col("n.type")).alias("type")).orderBy("pos")
 
 
 def page_numbers(df: DataFrame, order: list[str], size: int = 1000, by: str | None = None) -> DataFrame:
-    """Disjoint pages of ``size`` rows in a stated order (within ``by``)."""
-    w = Window.partitionBy(*([by] if by else [])).orderBy(*order)
-    return df.withColumn("page_no", F.floor((F.row_number().over(w) - 1) / size))
+    """Disjoint pages of ``size`` rows in a stated order (within ``by``), numbered from 0.
+
+    Rows are dealt out by ranges of the order and numbered within their range; the counts of the ranges before (one row for
+    each range and ``by``) give where a range begins. So no task sorts more than a range, however many rows ``by`` has.
+    """
+    spark = df.sparkSession
+    group = [by] if by else []
+    path = work_folder(spark, "ranges")
+    df.repartitionByRange(*group, *order).withColumn("__range", F.spark_partition_id()).write.parquet(path)
+    cut = spark.read.schema(df.schema.add("__range", "integer")).parquet(path)
+    counts = cut.groupBy("__range", *group).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(F.col("__range").alias("__r"), *[F.col(c).alias("__by") for c in group], F.coalesce(before, F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__range", *group).orderBy(*order)) - 1
+    here = F.col("__range") == F.col("__r")
+    numbered = cut.withColumn("__place", place).join(offsets, here & F.col(by).eqNullSafe(F.col("__by")) if by else here)
+    return numbered.select(*df.columns, F.floor((F.col("__before") + F.col("__place")) / size).alias("page_no"))
 
 
 def to_wire(df: DataFrame) -> DataFrame:

@@ -12,34 +12,37 @@ from parcelflow.plans.registry import MEDIA_OWNERS, RESOURCES, Col
 def project(raw: DataFrame, resource: str) -> DataFrame:
     """Rows of ``raw`` (raw_seq, source_modified_at, payload) as typed columns plus ``error``, NULL where all is well.
 
-    The payload is parsed once. A record with any wrong value is poison as a whole; its wrong columns are NULL. Media, rooms
-    and unit types take their time from the raw row, others from the payload.
+    The payload is parsed once, its fields are typed one by one, and the first error in the order of columns makes the record
+    poison as a whole; its wrong columns are NULL. Media, rooms and unit types take their time from the raw row, others
+    from the payload.
     """
     r = RESOURCES[resource]
-    rows = raw.select("raw_seq", F.col("source_modified_at").alias("raw_modified_at"), "payload").withColumn("v", F.expr("try_parse_json(payload)"))
-    v = F.col("v")
-    fields = {r.key_column: parse.parsed(v, Col(r.key, "string", required=True))}
+    key = Col(r.key, "string", required=True)
+    columns = [key, *parse.METADATA, *r.columns]
+    names = [*[c.payload for c in columns], "ModificationTimestamp"]
+    rows = raw.select("raw_seq", F.col("source_modified_at").alias("raw_modified_at"), "payload", parse.record(F.col("payload"), names).alias("f"))
+    # a value and its error are made together, once: projections that the optimizer does not fold into one
+    typed = {c.column: parse.parsed(c) for c in columns}
+    values, errors = {n: f"`_{n}`.value" for n in typed}, {n: f"`_{n}`.error" for n in typed}
+    errors |= {c.column: parse.required(f"`_{c.column}`", c) for c in columns if c.required}
     if r.own_timestamp:
-        fields["source_modified_at"] = parse.required_timestamp(v)
+        typed["source_modified_at"] = parse.required_timestamp("payload")
+        values["source_modified_at"], errors["source_modified_at"] = "_source_modified_at.value", "_source_modified_at.error"
     else:
-        fields["source_modified_at"] = (F.col("raw_modified_at"), F.when(F.col("raw_modified_at").isNull(), F.lit("source_modified_at: absent")))
-    fields |= parse.metadata(v)
-    for c in r.columns:
-        value, error = parse.parsed(v, c)
-        if c.column == "resource_type":
-            value = F.lower(value)
-            error = F.coalesce(error, F.when(~value.isin(*MEDIA_OWNERS), F.lit("ResourceName: not a known owner")))
-        fields[c.column] = (value, error)
-    not_object = F.when(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), F.lit("payload: not a JSON object"))
-    known = [r.key, "ModificationTimestamp", "OriginatingSystemName", "MlgCanView", "MlgCanUse", *[c.payload for c in r.columns]]
-    if resource == "property":
-        known += ["Media", "Rooms", "UnitTypes"]
-    out = [value.alias(n) for n, (value, _) in fields.items()]
-    if r.extended:
-        out.append(parse.extended(F.col("payload"), known).alias("extended_fields"))
-    out.append(F.coalesce(not_object, *[e for _, e in fields.values()]).alias("error"))
-    # generating the one struct of a row keeps the optimizer from copying the long error expression into every use
-    return rows.select("raw_seq", F.inline(F.array(F.struct(*out))))
+        values["source_modified_at"], errors["source_modified_at"] = "raw_modified_at", "case when raw_modified_at is null then 'source_modified_at: absent' end"
+    values["mlg_can_view"] = f"coalesce({values['mlg_can_view']}, true)"
+    if "resource_type" in values:
+        owner = values["resource_type"] = f"lower({values['resource_type']})"
+        errors["resource_type"] = f"coalesce({errors['resource_type']}, case when {owner} not in {MEDIA_OWNERS} then 'ResourceName: not a known owner' end)"
+    known = [*names, *(["Media", "Rooms", "UnitTypes"] if resource == "property" else [])]
+    left = [parse.extended(F.col("payload"), known).alias("extended_fields")] if r.extended else []
+    cut = rows.select("*", parse.no_object(F.col("payload"), F.col("f")).alias("no_object"), *left)
+    cut = cut.selectExpr("raw_seq", "raw_modified_at", "no_object", *["extended_fields"] * r.extended, *[f"{sql} as `_{n}`" for n, sql in typed.items()])
+    order = [r.key_column, "source_modified_at", *[c.column for c in parse.METADATA], *[c.column for c in r.columns]]
+    error = f"coalesce(case when no_object then 'payload: not a JSON object' end, {', '.join(errors[n] for n in order)})"
+    out = cut.selectExpr("raw_seq", *[f"{values[n]} as `{n}`" for n in order], *["extended_fields"] * r.extended, f"{error} as first_error")
+    # as a generated column the error is a value that filters use: they would else copy the making of all columns below it
+    return out.select("raw_seq", *order, *["extended_fields"] * r.extended, F.explode(F.array("first_error")).alias("error"))
 
 
 def poison_split(projected: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ledger import start_runs
+
 
 def latest_changes(versions: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """For each key of a batch: its newest version, and the data of its newest visible one."""
@@ -98,7 +100,17 @@ def cascade_cancel_jobs(jobs: DataFrame, media: DataFrame, tombstoned: DataFrame
     return hit.withColumns({"status": F.when(cancel, "canceled").otherwise(F.col("status")), **cleared}).drop("__hit")
 
 
-def reprocess(raw: DataFrame, from_seq: int | None = None, resource: str | None = None) -> DataFrame:
-    """The part of the ledger that a reprocessing run reads again: all, or from a row on."""
-    rows = raw if resource is None else raw.where(F.col("resource") == resource)
-    return rows if from_seq is None else rows.where(F.col("raw_seq") >= from_seq)
+def reprocess(raw: DataFrame, cursors: DataFrame, resource: str, now, from_seq: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(the raw rows that a reprocessing run reads again, the cursors after its start, its row of the run ledger).
+
+    The resource's cursor goes back to just before ``from_seq``, or to the beginning; one that is missing is made.
+    """
+    rows = raw.where(F.col("resource") == resource)
+    at = F.lit(None if from_seq is None else from_seq - 1).cast("double")
+    if from_seq is not None:
+        rows = rows.where(F.col("raw_seq") >= from_seq)
+    back = cursors.sparkSession.range(1).select(F.lit(resource).alias("resource"), at.alias("last_raw_seq"), F.lit(now).cast("timestamp").alias("modified_at"))
+    kinds = {f.name: f.dataType for f in cursors.schema.fields}
+    moved = cursors.where(F.col("resource") != resource).union(back.select(*[(F.col(c) if c in back.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in cursors.columns]))
+    run = start_runs(back.select("resource", F.lit(None).cast("timestamp").alias("cursor")), now, "reprocess").drop("queried_from")
+    return rows, moved, run

@@ -147,12 +147,6 @@ def advance_cursor(outcomes: DataFrame, resource: str) -> DataFrame:
     return outcomes.agg(F.max("raw_seq").alias("last_raw_seq")).select(F.lit(resource).alias("resource"), "last_raw_seq").where("last_raw_seq is not null")
 
 
-def count_pending(raw: DataFrame, cursors: DataFrame) -> DataFrame:
-    from parcelflow.sources.feed import pending_raw
-
-    return pending_raw(raw, cursors).groupBy("resource").agg(F.count("*").alias("pending"))
-
-
 def _as_text(c: Column, kind: str) -> Column:
     return F.to_json(c) if kind.startswith(("array", "map", "struct")) else c.cast("string")
 
@@ -213,15 +207,12 @@ def fold_state(entity: DataFrame, versions: DataFrame, key: str, columns: list[s
 
 
 def fold_step(batch: DataFrame, state: DataFrame | None, key: str, columns: list[str]) -> dict[str, DataFrame]:
-    """One micro-batch: the outcomes of its rows, and the state of all keys after it."""
+    """One micro-batch: the outcomes of its rows, and the state after it of the keys that it has written."""
     outcomes = fold_versions(batch, key, columns, state)
     data = batch.select("raw_seq", F.col("source_modified_at").cast("timestamp").alias("at"), data_text(columns).alias("text"))
     last = outcomes.where(F.col("outcome").isin(*WRITTEN)).join(data, "raw_seq").groupBy(key).agg(F.max_by(F.struct("outcome", "at", "text"), "raw_seq").alias("s"), F.max("raw_seq").alias("seq"))
     gone = F.col("s.outcome") == "delete"
     fresh = last.select(key, F.lit(True).alias("found"), gone.alias("tomb"), F.col("s.at").alias("at"), F.when(~gone, F.col("s.text")).alias("text"), "seq")
-    kept = [] if state is None else [state.join(fresh, key, "left_anti").select(*fresh.columns)]
-    for other in kept:
-        fresh = fresh.union(other)
     return {"outcomes": outcomes, "state": fresh}
 
 

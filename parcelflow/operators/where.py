@@ -34,9 +34,26 @@ def _fields(df: DataFrame) -> dict[str, str]:
     return {n: n for n in df.columns} | {camel(n): n for n in df.columns}
 
 
-def predicate(df: DataFrame, where: dict | None) -> Column:
-    """``{field: value, fieldOP: value, and: [...], or: [...], not: {...}}`` as a Column over ``df``."""
+#: Edge name -> (table, its column, own column[, edges of that table]).
+Edges = dict[str, tuple]
+
+
+def predicate(df: DataFrame, where: dict | None, edges: Edges | None = None) -> Column:
+    """``{field: value, fieldOP: value, and: [...], or: [...], not: {...}, hasEdge: bool, hasEdgeWith: {...}}`` as a Column.
+
+    An edge is an EXISTS subquery, which Catalyst makes a semi, anti or existence join, wherever it stands; filters with
+    edges go through ``where``.
+    """
     fields = _fields(df)
+    names = {f"has{e[0].upper()}{e[1:]}{w}": (e, w) for e in edges or {} for w in ("", "With")}
+
+    def related(name: str, value) -> Column:
+        edge, with_ = names[name]
+        table, theirs, own, *inner = edges[edge]
+        if with_:
+            table = where_(table, value, *inner)
+        found = table.select(F.col(theirs).alias("__edge")).where(F.col("__edge") == F.col(_outer(own)).outer()).exists()
+        return found if with_ or value else ~found
 
     def one(name: str, value) -> Column:
         if name == "and":
@@ -45,6 +62,8 @@ def predicate(df: DataFrame, where: dict | None) -> Column:
             return reduce(Column.__or__, (build(w) for w in value)) if value else F.lit(True)
         if name == "not":
             return ~build(value)
+        if name in names:
+            return related(name, value)
         if name in fields:
             return F.col(fields[name]) == value
         for op, f in _OPS.items():
@@ -58,40 +77,24 @@ def predicate(df: DataFrame, where: dict | None) -> Column:
     return build(where or {})
 
 
+def _outer(own: str) -> str:
+    """The name that a column goes by in subqueries, where the other table may have a column of the same name."""
+    return f"__own_{own}"
+
+
+def where_(df: DataFrame, spec: dict | None, edges: Edges | None = None) -> DataFrame:
+    own = {_outer(e[2]): F.col(e[2]) for e in (edges or {}).values()}
+    return df.withColumns(own).where(predicate(df, spec, edges)).drop(*own)
+
+
 def visible(df: DataFrame) -> DataFrame:
     return df.where("mlg_can_view")
 
 
-def where(df: DataFrame, spec: dict | None, edges: dict[str, tuple[DataFrame, str, str]] | None = None) -> DataFrame:
-    """Rows that match; ``edges`` name other tables: {edge: (table, its column, own column)}.
+def where(df: DataFrame, spec: dict | None, edges: Edges | None = None) -> DataFrame:
+    """Rows that match; ``edges`` name other tables: {edge: (table, its column, own column)}, a fourth item those tables' edges.
 
-    ``hasEdge: true`` keeps rows with a related one (left semi join), false those without (left anti);
-    ``hasEdgeWith: {...}`` those with a related row that matches. Edges stand at the top level of ``spec``, or under
-    a top-level ``not``.
+    ``hasEdge: true`` keeps rows with a related one, false those without; ``hasEdgeWith: {...}`` those with a related row
+    that matches. Edges may stand anywhere: under and, or, not, and in the filter of another edge.
     """
-    edges = edges or {}
-    names = {f"has{e[0].upper()}{e[1:]}{w}": (e, w) for e in edges for w in ("", "With")}
-
-    def split(s: dict) -> tuple[dict, dict]:
-        return {k: v for k, v in s.items() if k not in names}, {k: v for k, v in s.items() if k in names}
-
-    spec = dict(spec or {})
-    plain, related = split(spec)
-    negated: dict = {}
-    if isinstance(plain.get("not"), dict):
-        inner, negated = split(plain["not"])
-        if negated and inner:
-            raise ValueError("an edge under not stands alone")
-        if negated:
-            plain.pop("not")
-    out = df.where(predicate(df, plain))
-    for k, v, keep in [(k, v, True) for k, v in related.items()] + [(k, v, False) for k, v in negated.items()]:
-        edge, with_ = names[k]
-        table, theirs, own = edges[edge]
-        if with_:
-            table = table.where(predicate(table, v))
-        elif not v:
-            keep = not keep
-        keys = table.select(F.col(theirs).alias("__edge")).distinct()
-        out = out.join(keys, F.col(own) == F.col("__edge"), "left_semi" if keep else "left_anti")
-    return out
+    return where_(df, spec, edges)

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelflow.functions import trigram
+from parcelflow.functions.geo import geodesic, region
 from parcelflow.operators import audit, jobs, ledger, page, project, state, traverse, versions
+from parcelflow.operators.where import predicate
 from parcelflow.operators.where import where as where_rows
 from parcelflow.sources import feed as feed_source
 from parcelflow.sources.snapshot import work_folder
 from parcelflow.streaming import feed_stream
 
-from .demo import NOW, VIEWS, sql, view
+from . import registry
+from .demo import NOW, VIEWS, spread, sql, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -143,10 +148,43 @@ def version_chain(feed):
     return traverse.version_chain(_versions(feed), "source_key").fillna(-1)
 
 
-@query("feed", oracle="select source_key, '' as problem from feed where false")
+@query("feed", oracle=_FOLD + """, n as (select source_key, count(*) as n from versions group by 1)
+  select source_key, case when source_key % 7 = 0 and n > 1 then 'several open versions' else 'entity does not point at the open version' end as problem from n where source_key % 7 = 0 and n > 1 or source_key % 5 = 0""")
 def version_invariants(feed):
+    """With breaches planted: every seventh key has all its versions open, every fifth entity points nowhere."""
     v = _versions(feed)
-    return versions.version_invariants(v, state.merge_entities(None, v, "source_key", FEED_DATA, NOW), "source_key")
+    entity = state.merge_entities(None, v, "source_key", FEED_DATA, NOW)
+    spoiled = v.withColumn("valid_to", F.when(F.col("source_key") % 7 != 0, F.col("valid_to")))
+    lost = entity.withColumn("current_version_id", F.when(F.col("source_key") % 5 == 0, "nowhere").otherwise(F.col("current_version_id")))
+    return versions.version_invariants(spoiled, lost, "source_key")
+
+
+@query("feed", oracle=_FOLD + "select 'status' as resource, max(raw_seq) as last_raw_seq from outcomes")
+def advance_cursor(feed):
+    return versions.advance_cursor(_outcomes(feed), "status")
+
+
+@query("feed", oracle=_FOLD + f"select source_key, raw_seq, {_t('valid_from')} from versions where source_key in (select min(source_key) from feed)")
+def key_history(feed):
+    first = feed.agg(F.min("source_key")).first()[0]
+    return versions.history(_versions(feed), "source_key", first).select("source_key", "raw_seq", _time("valid_from"))
+
+
+@query("feed", oracle="""with n as (select source_key, min(raw_seq) as a, count(*) as n from feed group by 1)
+  select case source_key % 3 when 0 then 'insert,update' when 1 then 'insert,skip-no-diff' else 'insert,update' end as outcomes, case when source_key % 3 <> 1 then 'extended_fields' else '' end as changed, count(*) as n from n group by 1, 2""")
+def leftover_types(feed):
+    """Records whose leftover field changes from "5" to 5, whose fields only change places, and whose nested value changes."""
+    key = feed.groupBy("source_key").agg(F.min("raw_seq").alias("a")).withColumn("k", F.concat(F.lit("L"), F.col("source_key").cast("string")))
+    head = lambda t: F.concat(F.lit('{"ListingKey":"'), F.col("k"), F.lit(f'","ModificationTimestamp":"2024-01-0{t}T00:00:00Z",'))
+    first = F.when(F.col("source_key") % 3 == 0, '"X":"5"}').when(F.col("source_key") % 3 == 1, '"X":{"a":1,"b":[2]},"Y":true}').otherwise('"X":{"a":null}}')
+    then = F.when(F.col("source_key") % 3 == 0, '"X":5}').when(F.col("source_key") % 3 == 1, '"Y":true,"X":{"b":[2],"a":1}}').otherwise('"X":{"a":0}}')
+    rows = key.select(F.inline(F.array(*[F.struct((F.col("source_key") * 2 + i).alias("raw_seq"), F.expr("timestamp '2024-01-01'").alias("source_modified_at"), F.concat(head(i + 1), text).alias("payload")) for i, text in enumerate((first, then))])))
+    typed = project.poison_split(project.project(spread(rows), "property"))[0]
+    data = ["city", "list_price", "extended_fields"]
+    outcomes = versions.fold_versions(typed, "listing_key", data)
+    changes = versions.expand_changes(versions.build_versions(typed, outcomes, "listing_key", data), "listing_key").groupBy("listing_key").agg(F.array_join(F.array_sort(F.collect_set("field")), ",").alias("changed"))
+    per_key = outcomes.groupBy("listing_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("raw_seq", "outcome"))), lambda x: x["outcome"]), ",").alias("outcomes"))
+    return per_key.join(changes, "listing_key", "left").select("outcomes", F.coalesce("changed", F.lit("")).alias("changed")).groupBy("outcomes", "changed").agg(F.count("*").alias("n"))
 
 
 @query("feed", oracle="""with o as (select source_key, event_seq as raw_seq, mlg_can_view as v, concat(list_price, '/', status) as t, lag(mlg_can_view) over w as was, lag(concat(list_price, '/', status)) over w as bef
@@ -194,6 +232,37 @@ def cascade_cancel(job, media, listing):
     return state.cascade_cancel_jobs(job, media, listing.where("not mlg_can_view")).select("attachment_job_id", "status")
 
 
+@query("raw", "cursors", oracle=f"""select 'rows' as what, count(*) as n, cast(min(raw_seq) as double) as at from raw where resource = 'office' and raw_seq >= 100
+  union all select 'cursor', 1, 99.0 union all select 'others', count(*), cast(max(last_raw_seq) as double) from cursors where resource <> 'office'
+  union all select 'run', 1, cast(epoch(timestamp '{NOW}') as double)""")
+def reprocess(raw, cursors):
+    rows, moved, run = state.reprocess(raw, cursors, "office", NOW, from_seq=100)
+    out = rows.agg(F.lit("rows").alias("what"), F.count("*").alias("n"), F.min("raw_seq").cast("double").alias("at"))
+    out = out.union(moved.where("resource = 'office'").agg(F.lit("cursor"), F.count("*"), F.max("last_raw_seq").cast("double")))
+    out = out.union(moved.where("resource <> 'office'").agg(F.lit("others"), F.count("*"), F.max("last_raw_seq").cast("double")))
+    return out.union(run.where("run_type = 'reprocess' and status = 'running' and resource = 'office'").agg(F.lit("run"), F.count("*"), F.max(F.unix_timestamp("started_at")).cast("double")))
+
+
+@query("room", "listing", oracle="select room_key, coalesce(r.parent_listing_key, l.listing_key) as parent_listing_key from room r left join listing l on l.listing_key = r.listing_key and l.list_price > 100000")
+def promote_parent(room, listing):
+    resolved = state.resolve_parent(room.drop("parent_listing_key"), listing.where("list_price > 100000"))
+    return state.promote_parent(room, resolved, "room_key").select("room_key", "parent_listing_key")
+
+
+@query("feed", oracle=_FOLD + """, last as (select source_key, arg_max(mlg_can_view, raw_seq) as mlg_can_view, arg_max(status, raw_seq) filter (change_type <> 'delete' and raw_seq >= 5000000000) as fresh from versions group by 1)
+  select source_key, mlg_can_view, case when source_key % 2 = 0 then concat('note ', source_key) end as note from last where source_key in (select source_key from feed where raw_seq < 5000000000)""")
+def sticky_columns(feed):
+    """A column that the feed does not have survives the upserts of a second batch."""
+    half, rest = feed.where("raw_seq < 5000000000"), feed.where("raw_seq >= 5000000000")
+    v1 = _versions(half)
+    e1 = state.merge_entities(None, v1, "source_key", FEED_DATA, NOW, sticky=("note",))
+    e1 = e1.withColumn("note", F.when(F.col("source_key") % 2 == 0, F.concat(F.lit("note "), F.col("source_key").cast("string"))))
+    seed = versions.fold_state(e1, v1, "source_key", FEED_DATA, rest)
+    v2 = versions.build_versions(rest, versions.fold_versions(rest, "source_key", FEED_DATA, seed), "source_key", FEED_DATA, v1.where("valid_to is null"))
+    merged = state.merge_entities(e1, v2, "source_key", FEED_DATA, NOW, sticky=("note",))
+    return merged.join(e1.select("source_key"), "source_key", "left_semi").select("source_key", "mlg_can_view", "note")
+
+
 # --- lists, filters, pages -------------------------------------------------------------------------------------
 
 _ACTIVE = {"standardStatus": "Active", "listPriceGTE": 200000}
@@ -209,6 +278,63 @@ def page_info(listing):
     return page.list_query(listing, "listing_key", first=25).info()
 
 
+def _flags(where: str, behind: str, size: int, order: str, backward: bool = False, after: bool = False, before: bool = False) -> str:
+    """SQL of page_info: the rows behind the cursors are counted and the page's ends looked up."""
+    page_ = f"select listing_key, row_number() over (order by {order}) as n, count(*) over () as all_ from listing where {where} and {behind}"
+    ends = f"(select listing_key from p where n = {{}}) "
+    first, last = ("1", f"least({size}, all_)") if not backward else (f"least({size}, all_)", "1")
+    more = f"coalesce((select max(all_) from p), 0) > {size}"
+    total = f"(select count(*) from listing where {where})"
+    following = f"{total} > 0" if size == 0 else "true" if before else "false" if backward else more
+    previous = "true" if after else more if backward and size else "false"
+    if after and not backward and size:
+        previous = "true"
+    start, end = ("null", "null") if size == 0 else (ends.format(first), ends.format(last))
+    return f"(with p as ({page_}) select {following} as has_next_page, {previous} as has_previous_page, {start} as start_key, {end} as end_key, {total} as total_count)"
+
+
+_SHOWN = "mlg_can_view and city = 'NATION_3'"
+_PAGES = {
+    "first": (dict(first=10), _flags(_SHOWN, "true", 10, "listing_key")),
+    "first_after": (dict(first=10, after=(None, "L3")), _flags(_SHOWN, "listing_key > 'L3'", 10, "listing_key", after=True)),
+    "last": (dict(last=10), _flags(_SHOWN, "true", 10, "listing_key desc", backward=True)),
+    "last_before": (dict(last=10, before=(None, "L3")), _flags(_SHOWN, "listing_key < 'L3'", 10, "listing_key desc", backward=True, before=True)),
+    "first_both": (dict(first=500, after=(None, "L2"), before=(None, "L3")), _flags(_SHOWN, "listing_key > 'L2' and listing_key < 'L3'", 500, "listing_key", after=True, before=True)),
+    "first_0": (dict(first=0), _flags(_SHOWN, "true", 0, "listing_key")),
+}
+
+
+@query("listing", oracle=" union all ".join(f"select '{name}' as page, t.* from {text} t" for name, (_, text) in _PAGES.items()))
+def page_flags(listing):
+    """Forward, backward, behind and before cursors, between both, and a page of size 0."""
+    infos = [page.list_query(listing, "listing_key", {"city": "NATION_3"}, **args).info().select(F.lit(name).alias("page"), "*") for name, (args, _) in _PAGES.items()]
+    return reduce(DataFrame.union, infos)
+
+
+_LISTED = {"lookup": "lookup", "media": "media", "member": "agent", "office": "office", "open_house": "open_house", "property": "listing", "property_rooms": "room", "property_unit_types": "unit_type"}
+_KEYS = {name: registry.RESOURCES[name].key_column for name in _LISTED}
+
+
+def _list_sql(name: str, resource: str, versions_: bool) -> str:
+    key, table = _KEYS[resource], _LISTED[resource]
+    id_ = f"concat({key}, '@1')" if versions_ else key
+    return f"select '{name}' as list, id, row_number() over (order by id desc) as pos from (select {id_} as id from {table} {'' if versions_ else 'where mlg_can_view'} order by 1 desc limit 7)"
+
+
+@query(*_LISTED.values(), "source_system", oracle=" union all ".join([f"({_list_sql(n, r, v)})" for n, (r, v) in page.LISTS.items()] + ["select 'sourceSystems' as list, source_system_id as id, row_number() over (order by source_system_id desc) as pos from source_system"]))
+def all_lists(*tables):
+    """The last seven rows of each of the lists: entities, their versions, source systems."""
+    known = dict(zip([*_LISTED, "source_system"], tables, strict=True))
+    for name in _LISTED:
+        known[f"{name}_version"] = known[name].withColumn("version_id", F.concat(_KEYS[name], F.lit("@1")))
+    found = []
+    for name in [*page.LISTS, "sourceSystems"]:
+        own = "source_system_id" if name == "sourceSystems" else "version_id" if page.LISTS[name][1] else _KEYS[page.LISTS[name][0]]
+        rows = page.named_list(known, name, last=7).page()
+        found.append(rows.select(F.lit(name).alias("list"), F.col(own).alias("id"), F.row_number().over(Window.orderBy(F.desc(own))).alias("pos")))
+    return reduce(DataFrame.union, found)
+
+
 @query("listing", oracle="select listing_key, cast(list_price as double) as list_price from listing where mlg_can_view and (list_price < 300000 or list_price = 300000 and listing_key < 'L5') order by list_price desc, listing_key desc limit 40")
 def page_after(listing):
     return page.list_query(listing, "listing_key", order="list_price", descending=True, first=40, after=(300000, "L5")).page().select("listing_key", F.col("list_price").cast("double"))
@@ -246,6 +372,29 @@ def has_no_rooms(listing, room):
     return where_rows(listing, {"not": {"hasRooms": True}}, {"rooms": (room, "parent_listing_key", "listing_key")}).select("listing_key")
 
 
+@query("listing", "room", "media", oracle="""select listing_key from listing where city = 'NATION_5' or list_price > 100000 and (listing_key in (select parent_listing_key from room where room_level = 'Main' and room_key in
+  (select room_key from room where mlg_can_view)) or not exists (select 1 from media where resource_record_key = listing_key)) """)
+def edges_anywhere(listing, room, media):
+    """Edges under and, or and not, and inside the filter of another edge."""
+    rooms = (room, "parent_listing_key", "listing_key", {"self": (room, "room_key", "room_key")})
+    edges = {"rooms": rooms, "media": (media, "resource_record_key", "listing_key")}
+    spec = {"or": [{"city": "NATION_5"}, {"and": [{"listPriceGT": 100000}, {"or": [{"hasRoomsWith": {"roomLevel": "Main", "hasSelfWith": {"mlgCanView": True}}}, {"not": {"hasMedia": True}}]}]}]}
+    return where_rows(listing, spec, edges).select("listing_key")
+
+
+@query("feed", oracle=_FOLD + "select change_type, count(*) as n from versions where change_type in ('insert', 'update') and not change_type = 'update' or change_type <> 'insert' and list_price > 5 group by 1")
+def change_types(feed):
+    v = _versions(feed)
+    spec = {"or": [{"changeTypeIn": ["insert", "update"], "not": {"changeType": "update"}}, {"changeTypeNEQ": "insert", "listPriceGT": 5}]}
+    return v.where(predicate(v, spec)).groupBy("change_type").agg(F.count("*").alias("n"))
+
+
+@query("listing", oracle="select listing_key from listing where raw_seq % 5 = 0 or standard_status = 'Closed'")
+def array_filters(listing):
+    tagged = listing.withColumn("tags", F.when(F.col("raw_seq") % 5 == 0, F.array(F.lit("a"), F.lit("b"), "standard_status")).otherwise(F.array("standard_status")))
+    return where_rows(tagged, {"or": [{"tagsHasAll": ["a", "b"]}, {"tagsHasAny": ["Closed", "none"]}]}).select("listing_key")
+
+
 @query("listing", "agent", "office", oracle="""with asked as (select * from (values (0, 'L5'), (1, 'A3'), (2, 'nothing'), (3, 'F4'), (4, 'L10'), (5, 'L5')) t(pos, id))
   select pos, id, case when exists (select 1 from listing where listing_key = id and mlg_can_view) then 'property' when exists (select 1 from agent where member_key = id and mlg_can_view) then 'member'
   when exists (select 1 from office where office_key = id and mlg_can_view) then 'office' end as type from asked""")
@@ -254,11 +403,25 @@ def nodes_lookup(listing, agent, office):
     return page.nodes(tables, ["L5", "A3", "nothing", "F4", "L10", "L5"], listing.sparkSession)
 
 
+@query(*_LISTED.values(), oracle="""with asked as (select * from (values (0, 'M1-1'), (1, 'H2-3'), (2, 'U2-4'), (3, 'K3'), (4, 'K8'), (5, 'L5@1'), (6, 'A3@1'), (7, 'F2'), (8, 'nothing@1')) t(pos, id)),
+  known as (""" + " union all ".join([f"select {i} as p, {_KEYS[n]} as id, '{n}' as type, mlg_can_view as shown from {t}" for i, (n, t) in enumerate(_LISTED.items())] + [f"select {8 + i}, concat({_KEYS[n]}, '@1'), '{n}_version', true from {t}" for i, (n, t) in enumerate(_LISTED.items())]) + """)
+  select pos, asked.id, case when arg_min(shown, p) then arg_min(type, p) end as type from asked left join known using (id) group by 1, 2""")
+def nodes_of_all_tables(*tables):
+    entities = [(name, df, _KEYS[name], True) for name, df in zip(_LISTED, tables, strict=True)]
+    history = [(f"{name}_version", df.select(F.concat(_KEYS[name], F.lit("@1")).alias("version_id")), "version_id", False) for name, df in zip(_LISTED, tables, strict=True)]
+    return page.nodes(entities + history, ["M1-1", "H2-3", "U2-4", "K3", "K8", "L5@1", "A3@1", "F2", "nothing@1"], tables[0].sparkSession)
+
+
 @query("listing", oracle="select listing_key, cast(floor((row_number() over (partition by city order by source_modified_at, listing_key) - 1) / 50) as bigint) as page_no from listing")
 def page_numbers(listing):
     return page.page_numbers(listing, ["source_modified_at", "listing_key"], 50, by="city").select("listing_key", "page_no")
 
 
+@query("listing", oracle="select listing_key, cast(floor((row_number() over (order by list_price, listing_key) - 1) / 1000) as bigint) as page_no from listing")
+def page_numbers_of_all(listing):
+    return page.page_numbers(listing, ["list_price", "listing_key"]).select("listing_key", "page_no")
+
+
 @query("listing", oracle="select listing_key, cast(list_price as varchar) as list_price, strftime(source_modified_at, '%Y-%m-%dT%H:%M:%SZ') as source_modified_at from listing")
 def to_wire(listing):
     return page.to_wire(listing.select("listing_key", "list_price", "source_modified_at"))
@@ -272,6 +435,16 @@ def soft_keys(listing, agent, office):
     return traverse.with_roles(listing, agent, office).select("listing_key", "list_agent_key", "list_agent_name", "list_office_key", "list_office_name")
 
 
+_ROLES = list(traverse.ROLES)
+_ROLE_SQL = [f"{'m' if r.endswith('agent') else 'f'}_{r}.{'member_full_name' if r.endswith('agent') else 'office_name'} as {r}_name" for r in _ROLES]
+_ROLE_JOINS = [f"left join {'agent' if r.endswith('agent') else 'office'} {'m' if r.endswith('agent') else 'f'}_{r} on {'m' if r.endswith('agent') else 'f'}_{r}.{'member_key' if r.endswith('agent') else 'office_key'} = r.{r}_key and {'m' if r.endswith('agent') else 'f'}_{r}.mlg_can_view" for r in _ROLES]
+
+
+@query("roles", "agent", "office", oracle=f"select r.listing_key, {', '.join(_ROLE_SQL)} from roles r {' '.join(_ROLE_JOINS)}")
+def all_roles(roles, agent, office):
+    return traverse.with_roles(roles, agent, office).select("listing_key", *[f"{r}_name" for r in _ROLES])
+
+
 @query("agent", "office", oracle="select member_key, a.office_key, office_name from agent a left join office o on o.office_key = a.office_key and o.mlg_can_view")
 def member_office(agent, office):
     return traverse.member_office(agent, office).select("member_key", "office_key", "office_name")
@@ -301,6 +474,15 @@ def property_bundle(listing, media, room):
     return rooms.join(lists, "listing_key", "left").select("listing_key", "media", F.array_join("rooms", ",").alias("rooms"))
 
 
+@query("listing", "unit_type", "open_house", oracle="""select listing_key, coalesce((select string_agg(unit_type_key, ',' order by unit_type_key) from unit_type where parent_listing_key = l.listing_key), '') as units,
+  coalesce((select string_agg(open_house_key, ',' order by open_house_key) from open_house where parent_listing_key = l.listing_key and mlg_can_view), '') as houses from listing l""")
+def units_and_houses(listing, unit_type, open_house):
+    units = traverse.children_of(listing.select("listing_key"), unit_type, "unit_type_key", "units")
+    both = traverse.children_of(units, open_house, "open_house_key", "houses", include_hidden=False)
+    text = lambda c: F.coalesce(F.array_join(c, ","), F.lit("")).alias(c)
+    return both.select("listing_key", text("units"), text("houses"))
+
+
 @query("room", "listing", oracle="select room_key, city as parent_city from room r left join listing l on l.listing_key = r.parent_listing_key")
 def child_parent(room, listing):
     return traverse.child_parent(room, listing, ["city"]).select("room_key", "parent_city")
@@ -320,8 +502,6 @@ def geo_bounds(listing):
 
 
 def _region(listing: DataFrame, geo: dict) -> DataFrame:
-    from parcelflow.functions.geo import region
-
     return listing.where("mlg_can_view").where(region(F.col("latitude"), F.col("longitude"), geo)).select("listing_key")
 
 
@@ -334,19 +514,44 @@ def geo_polygons(listing):
 
 
 _CENTER = (30.5, -97.5)
-_HAVERSINE = "2 * 6371008.8 * asin(sqrt(pow(sin(radians(latitude - 30.5) / 2), 2) + cos(radians(latitude)) * cos(radians(30.5)) * pow(sin(radians(longitude + 97.5) / 2), 2)))"
 
 
-@query("listing", oracle=f"select listing_key, near from (select listing_key, case when {_HAVERSINE} < 9800 then 'in' when {_HAVERSINE} > 10200 then 'out' end as near from listing where mlg_can_view and latitude is not null) where near is not null")
+def _vincenty(turns: int = 8) -> str:
+    """DuckDB text: (listing_key, metres), Vincenty's inverse formula as a chain of tables, one for each turn."""
+    f, a = 1 / 298.257223563, 6378137.0
+    b, u1 = a * (1 - f), math.atan((1 - f) * math.tan(math.radians(_CENTER[0])))
+    su, cu = math.sin(u1), math.cos(u1)
+    terms = f"""t{{i}} as (select *, cs - case when c2 < 1e-12 then cs else 2 * {su} * s / c2 end as m from (select *, 1 - sa * sa as c2 from (select *, case when ss = 0 then 0 else {cu} * c * sin(lam) / ss end as sa
+      from (select *, sqrt(pow(c * sin(lam), 2) + pow({cu} * s - {su} * c * cos(lam), 2)) as ss, {su} * s + {cu} * c * cos(lam) as cs from l{{i}})))"""
+    turn = f"""l{{j}} as (select listing_key, s, c, l, l + (1 - k) * {f} * sa * (atan2(ss, cs) + k * ss * (m + k * cs * (2 * m * m - 1))) as lam
+      from (select *, {f} / 16 * c2 * (4 + {f} * (4 - 3 * c2)) as k from t{{i}}))"""
+    steps = [f"l0 as (select listing_key, sin(u) as s, cos(u) as c, l, l as lam from (select listing_key, atan({1 - f} * tan(radians(latitude))) as u, radians(longitude - {_CENTER[1]}) as l from listing where mlg_can_view and latitude is not null))"]
+    for i in range(turns):
+        steps += [terms.format(i=i) + ")", turn.format(i=i, j=i + 1)]
+    steps.append(terms.format(i=turns) + ")")
+    return f"""with {", ".join(steps)}, x as (select *, c2 * {(a * a - b * b) / (b * b)} as q from t{turns}),
+      y as (select *, 1 + q / 16384 * (4096 + q * (q * (320 - 175 * q) - 768)) as big, q / 1024 * (256 + q * (q * (74 - 47 * q) - 128)) as small from x),
+      v as (select listing_key, {b} * big * (atan2(ss, cs) - small * ss * (m + small / 4 * (cs * (2 * m * m - 1) - small / 6 * m * (4 * ss * ss - 3) * (4 * m * m - 3)))) as metres from y) """
+
+
+@query("listing", oracle=_vincenty() + "select listing_key, round(metres, 3) as metres from v where metres <= 10000")
 def geo_radius(listing):
-    """Off the edge by two percent the sphere's distance says the same as the spheroid's."""
-    from parcelflow.functions.geo import geodesic, region
-
+    """Every row up to the edge, by the spheroid's distance, and that distance to the millimetre."""
     metres = geodesic(F.col("latitude"), F.col("longitude"), _CENTER)
-    rows = listing.where("mlg_can_view and latitude is not null")
-    sphere = F.expr(_HAVERSINE.replace("pow(", "power("))
     inside = region(F.col("latitude"), F.col("longitude"), {"radius": {"center": _CENTER, "meters": 10000}})
-    return rows.where((sphere < 9800) | (sphere > 10200)).select("listing_key", F.when(inside & (metres <= 10000), "in").otherwise("out").alias("near"))
+    return spread(listing.where("mlg_can_view")).where(inside).select("listing_key", F.round(metres, 3).alias("metres"))
+
+
+@query("listing", oracle="select listing_key from listing where mlg_can_view and standard_status = 'Active' and list_price >= 200000 and latitude between 30.2 and 30.7 and longitude between -97.6 and -97.1 and postal_code like '0%'")
+def geo_where_address(listing):
+    """Region, filter and address together."""
+    return trigram.search_address(listing, "0", where=_ACTIVE, geo={"bounds": {"sw": (30.2, -97.6), "ne": (30.7, -97.1)}}).select("listing_key")
+
+
+@query("listing", oracle="select listing_key, cast(list_price as double) as list_price from listing where mlg_can_view and standard_status = 'Active' and list_price >= 200000 and latitude between 30.2 and 30.7 and longitude between -97.6 and -97.1 order by list_price, listing_key limit 30")
+def list_in_region(listing):
+    found = page.list_query(listing, "listing_key", _ACTIVE, geo={"bounds": {"sw": (30.2, -97.6), "ne": (30.7, -97.1)}}, order="list_price", first=30)
+    return found.page().select("listing_key", F.col("list_price").cast("double"))
 
 
 def _similar(query_text: str, text: str) -> str:
@@ -371,7 +576,7 @@ def address_fields(listing):
 @query("listing", oracle=f"""with a as (select listing_key, concat(street_number, ' ', street_name, ' ', city, ' ', state_or_province, ' ', postal_code) as addr from listing where mlg_can_view)
   select listing_key from (select listing_key, {_similar('123 blue bolt', 'addr')} as s from a) where s >= 0.6""")
 def address_search(listing):
-    return trigram.search_address(listing, " 123 blue bolt ", 0.6).select("listing_key")
+    return trigram.search_address(spread(listing), " 123 blue bolt ", 0.6).select("listing_key")
 
 
 @query("listing", oracle="select listing_key from listing where mlg_can_view and postal_code like '007%'")
@@ -457,7 +662,78 @@ def _payloads(listing: DataFrame) -> DataFrame:
     nth = lambda n: (F.col("raw_seq") % 150 == n) & (F.col("raw_seq") > 0)
     swap = lambda old, new: F.replace(text, F.lit(old), F.lit(new))
     bad = F.when(nth(50), swap('"BedroomsTotal":', '"BedroomsTotal":"x"+')).when(nth(100), swap('"ListPrice":"', '"ListPrice":"$')).when(nth(0), swap("T00:00:00Z", ""))
-    return listing.select("raw_seq", "source_modified_at", F.lit("property").alias("resource"), F.col("listing_key").alias("source_key"), F.coalesce(bad, text).alias("payload"))
+    return spread(listing).select("raw_seq", "source_modified_at", F.lit("property").alias("resource"), F.col("listing_key").alias("source_key"), F.coalesce(bad, text).alias("payload"))
+
+
+def _records(df: DataFrame, resource: str, key: str, **fields) -> DataFrame:
+    """Rows of ``df`` as raw rows of a resource: its key, a time, and the fields given."""
+    stamp = F.date_format(F.expr("timestamp '2024-01-05 06:07:08'"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    body = F.to_json(F.struct(F.col(key).alias(registry.RESOURCES[resource].key), stamp.alias("ModificationTimestamp"), F.col("mlg_can_view").alias("MlgCanView"), *[c.alias(n) for n, c in fields.items()]))
+    rows = df.select(F.xxhash64(key).alias("raw_seq"), F.lit(resource).alias("resource"), F.col(key).alias("source_key"), F.expr("timestamp '2024-01-05 06:07:08'").alias("source_modified_at"), body.alias("payload"))
+    return project.poison_split(project.project(rows, resource))[0]
+
+
+@query("agent", oracle="select member_key, member_full_name, office_key, mlg_can_view, '2024-01-05 06:07:08' as at from agent")
+def project_member(agent):
+    typed = _records(agent, "member", "member_key", MemberFullName=F.col("member_full_name"), OfficeKey=F.col("office_key"), MemberCity=F.lit(""))
+    return typed.select("member_key", "member_full_name", "office_key", "mlg_can_view", F.date_format("source_modified_at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query("office", oracle="select office_key, office_name, main_office_key, mlg_can_view, office_key like '%1' as idx_office_participation_yn from office")
+def project_office(office):
+    typed = _records(office, "office", "office_key", OfficeName=F.col("office_name"), MainOfficeKey=F.col("main_office_key"), IdxOfficeParticipationYN=F.col("office_key").endswith("1"))
+    return typed.select("office_key", "office_name", "main_office_key", "mlg_can_view", "idx_office_participation_yn")
+
+
+@query("open_house", oracle="select open_house_key, listing_key, strftime(open_house_date, '%Y-%m-%d') as held, open_house_status from open_house where listing_key not like '%7'")
+def project_open_house(open_house):
+    """A listing key is required: without one a record is poison."""
+    listed = F.when(~F.col("listing_key").endswith("7"), F.col("listing_key"))
+    typed = _records(open_house, "open_house", "open_house_key", ListingKey=listed, OpenHouseDate=F.date_format("open_house_date", "yyyy-MM-dd"), OpenHouseStatus=F.col("open_house_status"))
+    return typed.select("open_house_key", "listing_key", F.date_format("open_house_date", "yyyy-MM-dd").alias("held"), "open_house_status")
+
+
+@query("media", oracle="""select media_key, 'property' as resource_type, resource_record_key, "order", preferred_photo_yn, strftime(media_modification_timestamp, '%Y-%m-%d') as changed from media where resource_record_key not like '%9'""")
+def project_media(media):
+    """Owners are told in any case; an unknown one is poison."""
+    owner = F.when(F.col("resource_record_key").endswith("9"), "Planet").when(F.col("resource_record_key").endswith("3"), "PROPERTY").otherwise("Property")
+    changed = F.date_format("media_modification_timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    typed = _records(media, "media", "media_key", ResourceName=owner, ResourceRecordKey=F.col("resource_record_key"), Order=F.col("order"), PreferredPhotoYN=F.col("preferred_photo_yn"), MediaModificationTimestamp=changed)
+    return typed.select("media_key", "resource_type", "resource_record_key", "order", "preferred_photo_yn", F.date_format("media_modification_timestamp", "yyyy-MM-dd").alias("changed"))
+
+
+@query("room", oracle="select room_key, listing_key, room_level, concat(room_level, ';x') as features from room")
+def project_room(room):
+    typed = _records(room, "property_rooms", "room_key", ListingKey=F.col("listing_key"), RoomLevel=F.col("room_level"), RoomFeatures=F.array("room_level", F.lit("x")))
+    return typed.select("room_key", "listing_key", "room_level", F.array_join("room_features", ";").alias("features"))
+
+
+@query("unit_type", oracle="select unit_type_key, listing_key, unit_type_beds_total from unit_type")
+def project_unit_type(unit_type):
+    typed = _records(unit_type, "property_unit_types", "unit_type_key", ListingKey=F.col("listing_key"), UnitTypeBedsTotal=F.col("unit_type_beds_total"))
+    return typed.select("unit_type_key", "listing_key", "unit_type_beds_total")
+
+
+@query("lookup", oracle="select lookup_key, lookup_name, lookup_value, mlg_can_view from lookup")
+def project_lookup(lookup):
+    typed = _records(lookup, "lookup", "lookup_key", LookupName=F.col("lookup_name"), LookupValue=F.col("lookup_value"))
+    return typed.select("lookup_key", "lookup_name", "lookup_value", "mlg_can_view")
+
+
+_WIDE = {"strings": "array('a', 'b')", "string": "concat('s', raw_seq)", "timestamp": "'2024-01-02T03:04:05.5Z'", "date": "'2024-03-04'", "bool": "raw_seq % 2 = 0", "int16": "raw_seq % 30000", "int32": "raw_seq", "int64": "raw_seq * 1000000"}
+
+
+@query("listing", oracle="select listing_key, 120 as filled, 34 as arrays, 'a,b' as view, raw_seq % 30000 as year_built, cast(1.25 as double) as list_price, '2024-01-02 03:04:05.5' as changed from listing")
+def project_all_columns(listing):
+    """Records in which every one of the 120 columns has a value."""
+    columns = registry.RESOURCES["property"].columns
+    fields = [F.expr(_WIDE.get(c.kind, "'1.25'")).alias(c.payload) for c in columns]
+    record = F.struct(F.col("listing_key").alias("ListingKey"), F.lit("2024-01-05T06:07:08Z").alias("ModificationTimestamp"), *fields)
+    rows = spread(listing).select("raw_seq", F.col("source_modified_at"), F.to_json(record).alias("payload"))
+    typed = project.poison_split(project.project(rows, "property"))[0]
+    filled = reduce(lambda a, b: a + b, [F.col(c.column).isNotNull().cast("int") for c in columns])
+    arrays = reduce(lambda a, b: a + b, [(F.size(F.col(c.column)) == 2).cast("int") for c in columns if c.kind == "strings"])
+    return typed.select("listing_key", filled.alias("filled"), arrays.alias("arrays"), F.array_join("view", ",").alias("view"), "year_built", F.col("list_price").cast("double"), F.date_format("photos_change_timestamp", "yyyy-MM-dd HH:mm:ss.S").alias("changed"))
 
 
 _GOOD = "(raw_seq = 0 or raw_seq % 50 <> 0)"
@@ -484,11 +760,34 @@ def unconsumed_keys(listing):
     return audit.validate_raw(_payloads(listing), "property")["unconsumed"]
 
 
-@query("listing", oracle=f"select 'XStreet' as field, count(*) as n, min(raw_seq) as first_seq, arg_min(street_name, raw_seq) as sample, concat('string, len ', length(arg_min(street_name, raw_seq))) as shape from listing where {_GOOD} and raw_seq % 3 = 0")
+@query("listing", oracle=f"select 'XStreet' as field, count(*) as n, min(raw_seq) as first_seq, concat(chr(34), arg_min(street_name, raw_seq), chr(34)) as sample, concat('string, len ', length(arg_min(street_name, raw_seq))) as shape from listing where {_GOOD} and raw_seq % 3 = 0")
 def field_drift(listing):
     return audit.field_drift(project.project(_payloads(listing), "property").where("error is null"), ["XList"])
 
 
+@query("listing", oracle="select count(*) as rows, count(*) filter (raw_seq % 50 = 0 and raw_seq > 0) as errors from listing")
+def validate_totals(listing):
+    return audit.validate_raw(_payloads(listing), "property")["totals"]
+
+
+@query("listing", oracle=f"select case when count(*) filter (raw_seq % 5 = 0) > 0 then 'XList, ' else '' end || 'XStreet' as fields from listing where {_GOOD}")
+def drift_summary(listing):
+    return audit.drift_summary(audit.field_drift(project.project(_payloads(listing), "property").where("error is null"), []))
+
+
+@query("sync_event", "raw", oracle=f"""with c as (select resource, coalesce(m, timestamp '{NOW}' - interval 1 month) as cursor from (values ('lookup'), ('office'), ('member'), ('property'), ('open_house')) r(resource)
+  left join (select resource, max(high_water_mark) as m from sync_event where status = 'success' and resource <> 'office' and started_at < timestamp '2024-01-15' group by 1) using (resource)),
+  f as (select c.resource, count(raw_seq) as n, max(source_modified_at) as hwm, any_value(cursor) as cursor from c left join raw on raw.resource = c.resource and source_modified_at >= cursor and raw.resource <> 'lookup' group by 1)
+  select resource, n, strftime(coalesce(hwm, cursor), '%Y-%m-%d %H:%M:%S.%f') as high_water_mark from f""")
+def delta_loop(sync_event, raw):
+    """One turn of the loop from the marks of mid-month, without any of one resource and no new rows of another."""
+    before = sync_event.where("resource <> 'office' and started_at < timestamp '2024-01-15'").withColumn("sync_event_id", F.col("sync_event_id").cast("string"))
+    found, after = ledger.delta_run(before, raw.where("resource <> 'lookup'"), NOW)
+    runs = after.join(before.select("sync_event_id"), "sync_event_id", "left_anti").where("status = 'success' and run_type = 'sync'")
+    counts = found.groupBy("resource").agg(F.count("*").alias("n"))
+    return runs.join(counts, "resource", "left").select("resource", F.coalesce("n", F.lit(0)).alias("n"), _time("high_water_mark"))
+
+
 @query("listing", oracle="select unnest(['parcel_number', 'country']) as \"column\"")
 def always_null(listing):
     found = audit.always_null(project.project(_payloads(listing), "property").where("error is null"), ["parcel_number", "list_price", "country", "city"])
@@ -527,7 +826,7 @@ def _nested(listing: DataFrame, lineitem: DataFrame) -> DataFrame:
     lists = child.groupBy("k").agg(F.collect_list("m").alias("Media"), F.collect_list("r").alias("Rooms"))
     joined = listing.join(lists, F.col("listing_key") == F.col("k"))
     record = F.struct(F.col("listing_key").alias("ListingKey"), "list_price", "Media", "Rooms", F.lit("none").alias("UnitTypes"))
-    return joined.select("raw_seq", F.col("listing_key").alias("source_key"), "source_modified_at", F.to_json(record).alias("payload"))
+    return spread(joined).select("raw_seq", F.col("listing_key").alias("source_key"), "source_modified_at", F.to_json(record).alias("payload"))
 
 
 @query("listing", oracle="select distinct city as originating_system_name from listing where list_price > 100000")
@@ -626,7 +925,7 @@ def stream_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = work_folder(spark, "stream")
     events = spark.readStream.schema(view(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
     feed = spark.sql(VIEWS["feed"], events=events)
-    stream = feed_stream.fold_batches(feed, f"{root}/snapshots", f"{root}/checkpoint", lambda batch, before: versions.fold_step(batch, before, "source_key", FEED_DATA))
+    stream = feed_stream.fold_batches(feed, f"{root}/snapshots", f"{root}/checkpoint", "source_key", FEED_DATA)
     stream.awaitTermination()
     found = spark.read.parquet(f"{root}/snapshots/data/commit=*/outcomes")
     return versions.outcome_counts(found)

@@ -31,6 +31,17 @@ VIEWS = {
   concat('L', cast(case when l_partkey % 19 = 0 then l_orderkey + 100000000 else l_orderkey end as string)) as listing_key,
   case when l_partkey % 3 <> 0 and l_partkey % 19 <> 0 then concat('L', cast(l_orderkey as string)) end as parent_listing_key,
   case when l_partkey % 2 = 0 then 'Main' else 'Upper' end as room_level, l_partkey % 8 <> 0 as mlg_can_view from {lineitem}""",
+    "open_house": """select concat('H', cast(l_orderkey as string), '-', cast(l_linenumber as string)) as open_house_key, concat('L', cast(l_orderkey as string)) as listing_key,
+  case when l_linenumber % 5 <> 0 then concat('L', cast(l_orderkey as string)) end as parent_listing_key, max(l_shipdate) as open_house_date, case when l_linenumber % 2 = 0 then 'Active' else 'Canceled' end as open_house_status,
+  (l_orderkey + l_linenumber) % 9 <> 0 as mlg_can_view from {lineitem} where l_linenumber % 3 = 0 group by l_orderkey, l_linenumber""",
+    "unit_type": """select concat('U', cast(l_orderkey as string), '-', cast(l_linenumber as string)) as unit_type_key, concat('L', cast(l_orderkey as string)) as listing_key,
+  concat('L', cast(l_orderkey as string)) as parent_listing_key, cast(l_orderkey % 6 as int) as unit_type_beds_total, (l_orderkey + l_linenumber) % 4 <> 0 as mlg_can_view
+  from {lineitem} where l_linenumber % 4 = 0 group by l_orderkey, l_linenumber""",
+    "lookup": """select concat('K', cast(p_partkey as string)) as lookup_key, p_brand as lookup_name, p_name as lookup_value, p_partkey % 8 <> 0 as mlg_can_view from {part}""",
+    "source_system": """select concat('S', cast(r_regionkey as string)) as source_system_id, r_name as name from {region}""",
+    "roles": """select listing_key, list_agent_key, concat('A', cast(raw_seq % 700 as string)) as co_list_agent_key, concat('A', cast(raw_seq % 1100 as string)) as buyer_agent_key,
+  case when raw_seq % 3 = 0 then concat('A', cast(raw_seq % 900 as string)) end as co_buyer_agent_key, list_office_key, concat('F', cast(raw_seq % 50 as string)) as co_list_office_key,
+  concat('F', cast(raw_seq % 70 as string)) as buyer_office_key, case when raw_seq % 4 = 0 then concat('F', cast(raw_seq % 90 as string)) end as co_buyer_office_key from {listing}""",
     "job": """select concat('J', cast(l_orderkey as string), '-', cast(l_linenumber as string)) as attachment_job_id, concat('M', cast(l_orderkey as string), '-', cast(l_linenumber as string)) as media_key,
   case (l_orderkey + l_linenumber) % 7 when 0 then 'pending' when 1 then 'retrying' when 2 then 'in_progress' when 3 then 'succeeded' when 4 then 'permanently_failed' when 5 then 'canceled' else 'pending' end as status,
   case when l_orderkey % 5 <> 0 then max(l_shipdate) end as media_modified_at, min(l_shipdate) as created_at, max(l_shipdate) as claimed_at,
@@ -47,6 +58,11 @@ VIEWS = {
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores. The driver's tables have one row group each, which would be one task of a long computation."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view, or one of the tables, as a DataFrame."""
     if name in TABLES:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,15 +28,16 @@ def json_timestamp(payload: Column, key: str = "ModificationTimestamp") -> Colum
     return F.when(text.rlike(RFC3339), F.try_to_timestamp(text))
 
 
-def record_timestamp(payload: Column, now: Column) -> Column:
-    """The record's own stamp, or the time of ingest."""
-    return F.coalesce(json_timestamp(payload), now)
+def record_timestamp(payload: Column, otherwise: Column) -> Column:
+    """The record's own stamp, or another time: that of ingest, for a child its parent's."""
+    return F.coalesce(json_timestamp(payload), otherwise)
 
 
-def child_timestamp(child: Column, parent_time: Column) -> tuple[Column, Column]:
-    """A child's own stamp or its parent's, and whether it is the parent's."""
-    own = json_timestamp(child)
-    return F.coalesce(own, parent_time), own.isNull()
+def raw_records(pages: DataFrame, resource: str, now) -> DataFrame:
+    """Records of feed pages (page, ord, record) as raw rows without a number: key, time and payload."""
+    key = F.nullif(F.get_json_object("record", f"$.{RESOURCES[resource].key}"), F.lit(""))
+    time = record_timestamp(F.col("record"), F.lit(now).cast("timestamp"))
+    return pages.select("page", "ord", F.lit(resource).alias("resource"), key.alias("source_key"), time.alias("source_modified_at"), F.col("record").alias("payload"))
 
 
 def split_children(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -48,24 +47,45 @@ def split_children(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``ResourceName`` and rooms and unit types ``ListingKey``. A child without a key or that is no object is an error.
     Children come in the parent's place of arrival (``ord`` breaks ties).
     """
-    # values of a map of strings lose the quotes around strings, so records are cut as maps of VARIANT
-    bare = F.map_filter(F.expr("cast(try_parse_json(payload) as map<string,variant>)"), lambda k, _: ~k.isin(*CHILDREN))
-    parents = records.select("raw_seq", F.lit(-1).alias("ord"), F.lit("property").alias("resource"), "source_key", "source_modified_at", F.to_json(bare).alias("payload"))
-    parts, errors = [parents], []
-    for number, (name, (resource, link, value)) in enumerate(CHILDREN.items()):
-        key = RESOURCES[resource].key
-        items = F.from_json(F.when(F.get_json_object("payload", f"$.{name}").startswith("["), F.get_json_object("payload", f"$.{name}")), "array<string>")
-        child = records.select("raw_seq", "source_key", "source_modified_at", F.posexplode(items).alias("pos", "child"))
-        child = child.withColumn("child_key", F.nullif(F.get_json_object("child", f"$.{key}"), F.lit("")))
-        wrong = F.when(~F.coalesce(F.col("child").startswith("{"), F.lit(False)), F.lit(f"{name}: not an object")).when(F.col("child_key").isNull(), F.lit(f"{name}: no {key}"))
-        child = child.withColumn("error", wrong)
-        time, _ = child_timestamp(F.col("child"), F.col("source_modified_at"))
-        injected = F.lit(value) if value else F.col("source_key")
-        own = F.expr(f"map_filter(cast(try_parse_json(child) as map<string,variant>), (k, v) -> k <> '{link}')")
-        body = F.map_concat(own, F.create_map(F.lit(link), injected.cast("variant")))
-        parts.append(child.where("error is null").select("raw_seq", (F.col("pos") + number * 1_000_000).alias("ord"), F.lit(resource).alias("resource"), F.col("child_key").alias("source_key"), time.alias("source_modified_at"), F.to_json(body).alias("payload")))
-        errors.append(child.where("error is not null").select("raw_seq", F.lit(resource).alias("resource"), "pos", "error"))
-    return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, errors)
+    # the three arrays are read in one pass over a record, and their items go on as JSON texts
+    arrays = F.from_json("payload", ", ".join(f"{name} variant" for name in CHILDREN))
+    cut = records.withColumn("a", arrays)
+    # values of a map of strings would lose the quotes around strings, so a parent is cut as a map of VARIANT
+    rest = F.to_json(F.map_filter(F.from_json("payload", "map<string,variant>"), lambda k, _: ~k.isin(*CHILDREN)))
+    parent = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(-1).alias("pos"), rest.alias("text")))
+    numbered = lambda n: lambda x, i: F.struct(F.lit(n).alias("kind"), i.alias("pos"), x.alias("text"))
+    items = [F.transform(F.try_variant_get(F.col(f"a.{name}"), "$", "array<string>"), numbered(n)) for n, name in enumerate(CHILDREN)]
+    none = F.expr("cast(array() as array<struct<kind:int,pos:int,text:string>>)")
+    one = cut.select("raw_seq", F.col("source_key").alias("parent_key"), F.col("source_modified_at").cast("timestamp").alias("parent_time"), F.explode(F.concat(parent, *[F.coalesce(i, none) for i in items])).alias("p"))
+    one = one.select("raw_seq", "parent_key", "parent_time", "p.*")
+
+    def of_kind(pick) -> Column:
+        first, *others = enumerate(CHILDREN.items())
+        out = F.when(F.col("kind") == first[0], pick(*first[1]))
+        for number, (name, how) in others:
+            out = out.when(F.col("kind") == number, pick(name, how))
+        return out
+
+    child = F.col("kind") >= 0
+    named = one.select(
+        "*", F.when(child, of_kind(lambda _, how: F.nullif(F.get_json_object("text", f"$.{RESOURCES[how[0]].key}"), F.lit("")))).otherwise(F.col("parent_key")).alias("source_key"),
+        F.coalesce(of_kind(lambda _, how: F.lit(how[0])), F.lit("property")).alias("resource"),
+    )
+    wrong = F.when(~F.coalesce(F.col("text").startswith("{"), F.lit(False)), of_kind(lambda name, _: F.lit(f"{name}: not an object")))
+    wrong = wrong.when(F.col("source_key").isNull(), of_kind(lambda name, how: F.lit(f"{name}: no {RESOURCES[how[0]].key}")))
+    time = F.coalesce(F.when(child, json_timestamp(F.col("text"))), F.col("parent_time"))
+
+    def linked(_: str, how: tuple) -> Column:
+        """The child's text with its link in front; a child that has one already is cut as a map."""
+        link, value = how[1], F.lit(how[2]) if how[2] else F.col("parent_key")
+        head = F.to_json(F.struct(value.alias(link)))
+        own = F.map_filter(F.from_json("text", "map<string,variant>"), lambda k, _: k != link)
+        slow = F.to_json(F.map_concat(own, F.create_map(F.lit(link), value.cast("variant"))))
+        return F.when(F.col("text").contains(f'"{link}"'), slow).when(F.col("text") == "{}", head).otherwise(F.concat(F.rtrim(head, F.lit("}")), F.lit(","), F.substring("text", 2, 1 << 30)))
+
+    found = named.select("raw_seq", "kind", "pos", "resource", "source_key", time.alias("source_modified_at"), F.when(child, of_kind(linked)).otherwise(F.col("text")).alias("payload"), F.when(child, wrong).alias("error"))
+    good = found.where("error is null").select("raw_seq", F.greatest(F.lit(-1), F.col("pos") + F.col("kind") * 1_000_000).alias("ord"), "resource", "source_key", "source_modified_at", "payload")
+    return good, found.where("error is not null").select("raw_seq", "resource", "pos", "error")
 
 
 def land_raw(ledger: DataFrame | None, incoming: DataFrame, arrival: list[str] | None = None) -> DataFrame:
@@ -99,7 +119,7 @@ def distinct_systems(records: DataFrame, payload: str = "payload") -> DataFrame:
 def pending_raw(raw: DataFrame, cursors: DataFrame) -> DataFrame:
     """Rows after their resource's cursor (all where there is none)."""
     at = cursors.select("resource", F.col("last_raw_seq").alias("__last"))
-    return raw.join(F.broadcast(at), "resource", "left").where("__last is null or raw_seq > __last").drop("__last")
+    return raw.join(at, "resource", "left").where("__last is null or raw_seq > __last").drop("__last")
 
 
 def latest_media_url(raw: DataFrame) -> DataFrame:

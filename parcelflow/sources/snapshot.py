@@ -12,8 +12,12 @@ _own: dict[str, str] = {}
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that the cluster names in ``spark.checkpoint.dir``; a local one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    """A new folder in the one that the cluster names in ``spark.checkpoint.dir``; a local one only on a single machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not found:
+        found = _own.get(spark.sparkContext.applicationId) or _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return f"{found}/{name}-{uuid.uuid4().hex}"
 
 

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from parcelflow.operators.versions import WRITTEN, data_text
+from parcelflow.operators.versions import WRITTEN, data_text, fold_step
 from parcelflow.sources.feed import explode_pages, land_raw
-from parcelflow.sources.snapshot import read_snapshot, write_snapshot
+from parcelflow.sources.snapshot import write_snapshot
 
 
 #: What is there is processed and the query ends; ``POLL`` keeps looking for new pages.
@@ -28,15 +28,20 @@ def page_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) ->
 def land_stream(rows: DataFrame, root: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Exact, unbounded dedup: each micro-batch is anti-joined with the ledger, and committed under its batch id.
 
-    A batch that is retried finds its own commit left out of what it is compared with, so it lands the same rows.
+    The ledger is kept by batch and day of the rows' own time. A repeated row has the time of the first one, so a batch meets
+    only the days that it has itself. A batch that is retried finds its own commit left out of what it is compared with,
+    so it lands the same rows.
     """
 
     def land(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch = batch.withColumn("day", F.coalesce(F.to_date("source_modified_at").cast("string"), F.lit("none")))
         before = None
         if batch_id and _exists(spark, f"{root}/ledger"):
-            before = spark.read.option("basePath", f"{root}/ledger").parquet(f"{root}/ledger/batch=*").where(F.col("batch") < batch_id).drop("batch")
-        land_raw(before, batch).write.mode("overwrite").parquet(f"{root}/ledger/batch={batch_id}")
+            days = [r["day"] for r in batch.select("day").distinct().collect()]
+            kept = spark.read.schema(batch.schema.add("batch", "long")).parquet(f"{root}/ledger")
+            before = kept.where((F.col("batch") < batch_id) & F.col("day").isin(days)).drop("batch", "day")
+        land_raw(before, batch).write.mode("overwrite").partitionBy("day").parquet(f"{root}/ledger/batch={batch_id}")
 
     return rows.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(**(trigger or DRAIN)).start()
 
@@ -84,16 +89,36 @@ def version_stream(typed: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return rows.groupBy("key").transformWithStateInPandas(VersionFold(), f"key {kind}, raw_seq long, outcome string, prior_seq long", "append", "none")
 
 
-def fold_batches(typed: DataFrame, root: str, checkpoint: str, fold: Callable[[DataFrame, DataFrame | None], dict[str, DataFrame]], trigger: dict | None = None) -> StreamingQuery:
-    """The recommended form: each micro-batch folds against the snapshot before it and commits one snapshot.
+#: States are kept in so many buckets of keys; every so many commits, one holds the states of all keys again.
+BUCKETS, FULL = 64, 16
 
-    ``fold`` (batch, previous state) gives the frames of the commit, the one named ``state`` among them. The commit's
-    number is the batch's, so that a retried batch replaces its own snapshot: tables and cursor move together.
+
+def fold_batches(typed: DataFrame, root: str, checkpoint: str, key: str, columns: list[str], trigger: dict | None = None) -> StreamingQuery:
+    """The recommended form: each micro-batch folds against the states before it and commits its outcomes and states.
+
+    A commit has the states of the keys that its batch has written, by buckets of keys; a batch reads the commits since the last
+    full one, and of them the buckets of its own keys. The commit's number is the batch's, so that a retried batch replaces its
+    own commit: outcomes, states and cursor move together.
     """
+    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(BUCKETS)).cast("int")
+    state_schema = f"{key} {typed.schema[key].dataType.simpleString()}, found boolean, tomb boolean, at timestamp, text string, seq long, commit long, bucket int"
+
+    def latest(spark: SparkSession, before: int, buckets: list[int] | None) -> DataFrame:
+        kept = spark.read.schema(state_schema).parquet(f"{root}/state").where(F.col("commit").between((before - 1) // FULL * FULL, before - 1))
+        kept = kept if buckets is None else kept.where(F.col("bucket").isin(buckets))
+        return kept.groupBy(key).agg(F.max_by(F.struct("found", "tomb", "at", "text", "seq"), "commit").alias("s")).select(key, "s.*")
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        state = read_snapshot(batch.sparkSession, root, "state") if batch_id else None
-        write_snapshot(fold(batch, state), root, batch_id)
+        spark = batch.sparkSession
+        state = None
+        if batch_id:
+            state = latest(spark, batch_id, [r["bucket"] for r in batch.select(bucket.alias("bucket")).distinct().collect()])
+        out = fold_step(batch, state, key, columns)
+        fresh = out["state"]
+        if batch_id and batch_id % FULL == 0:
+            fresh = latest(spark, batch_id, None).join(fresh, key, "left_anti").select(*fresh.columns).union(fresh)
+        fresh.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/state/commit={batch_id}")
+        write_snapshot({"outcomes": out["outcomes"]}, root, batch_id)
 
     return typed.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or DRAIN)).start()
 

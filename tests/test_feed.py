@@ -378,7 +378,7 @@ def test_stream_folds_like_the_batch(spark, tmp_path):
     for i in range(3):
         spark.createDataFrame(rows[100 * i : 100 * i + 100], FEED).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(FEED).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    query = feed_stream.fold_batches(stream, f"{tmp_path}/out", f"{tmp_path}/check", lambda batch, before: versions.fold_step(batch, before, "key", ["price"]))
+    query = feed_stream.fold_batches(stream, f"{tmp_path}/out", f"{tmp_path}/check", "key", ["price"])
     done = []
     feed_stream.finish(query, lambda: done.append(1))
     got = {r.raw_seq: (r.key, r.outcome, r.prior_seq) for r in spark.read.parquet(f"{tmp_path}/out/data/commit=*/outcomes").collect()}

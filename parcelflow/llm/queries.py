@@ -22,50 +22,60 @@ from .url_trust import judge_urls, judge_urls_sql
 
 
 #: Parts of the table that op3 appends one after the other; all are looked at, and the result is that of the whole table.
-OP3_BATCHES = 4
+OP3_BATCHES = 3
 
 
 def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by rules and link graph; null urls have an empty host and are allowed, an empty table gives none."""
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
 def op2_langid_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; null and letterless texts are ``und``, repeated rows get the same."""
     return identify(table(spark, sf_dir, "documents"))
 
 
 def op3_substring_lsm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated windows, from an index that gets the table in batches; null texts have no words."""
     docs = table(spark, sf_dir, "documents")
-    index = WindowIndex(spark, words=35)
+    index = WindowIndex(spark, words=35, fan_in=2)  # the third batch meets a compacted run
     for batch in range(OP3_BATCHES):
         index.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(OP3_BATCHES)) == batch))
     return index.remove_repeats(docs)
 
 
 def op4_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document; null counts as empty, repeated rows are each reported."""
     return personal_data(table(spark, sf_dir, "documents"))
 
 
 def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of eight shards by its id; a null id is the key 0, repeated rows have slots of their own."""
     return jump_shards(table(spark, sf_dir, "documents"), 8)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the benchmark items that they contain; null and wordless texts contain none and are contained nowhere."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens in sequences of 2048; a null text is its end token alone, repeated rows are packed each."""
     return packed(table(spark, sf_dir, "documents"))
 
 
 def op8_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component; null and wordless texts have fingerprint zero and link like any other."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op9_exact_progressive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the row that stands for its text; null equals empty, of repeated rows one is kept."""
     return decisions(table(spark, sf_dir, "documents"))
 
 
 def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document; null counts as empty, repeated rows get the same result each."""
     return secrets(table(spark, sf_dir, "documents"))
 
 

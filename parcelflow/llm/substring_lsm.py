@@ -27,7 +27,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Marks, new_folder, written
@@ -177,6 +177,11 @@ def _remove(words: int, keep_text: bool):
     return run
 
 
+def _place() -> list[Column]:
+    """The place of any one row of a group: ``first`` takes all columns from the same row."""
+    return [F.first(c).alias(c) for c in ("doc_id", "row_key", "first", "last")]
+
+
 class WindowIndex:
     """The index in a shared folder: runs by level, and the log of what repeats. It can be opened again from its folder.
 
@@ -226,9 +231,7 @@ class WindowIndex:
         """Join a new batch with the runs, log what repeats, and add a run. Null and short texts have no windows."""
         batch = _keyed(docs, id_col, text_col)
         new = written(batch.mapInArrow(_entries(self.words), _ENTRY), "entries")
-        place = F.struct("doc_id", "row_key", "first", "last")
-        distinct = new.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(place).alias("place"))
-        distinct = distinct.select("gram", "context", F.least("n", F.lit(2)).cast("int").alias("n"), "place.*")
+        distinct = new.groupBy("gram", "context").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("n"), *_place())
         run = self._store(distinct.sortWithinPartitions("gram"), "run")
         distinct = self._read([run], _RUN)
         log = self._store(self._repeats(batch, new, distinct), "log")
@@ -272,8 +275,8 @@ class WindowIndex:
         while level <= max(n for n, _ in self.runs):
             same = [path for n, path in self.runs if n == level]
             if len(same) >= self.fan_in:
-                merged = self._read(same, _RUN).groupBy("gram", "context").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), F.min(F.struct("doc_id", "row_key", "first", "last")).alias("place"))
-                path = self._store(merged.select("gram", "context", "n", "place.*").sortWithinPartitions("gram"), f"run-level-{level + 1}")
+                merged = self._read(same, _RUN).groupBy("gram", "context").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), *_place())
+                path = self._store(merged.sortWithinPartitions("gram"), f"run-level-{level + 1}")
                 self.runs = [x for x in self.runs if x[0] != level] + [(level + 1, path)]
             level += 1
 

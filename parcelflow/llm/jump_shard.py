@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import columns, fresh
+
 #: Fixed values of the published generator.
 MULTIPLIER, INCREMENT = 2862933555777941757, 1
 
@@ -53,36 +55,34 @@ def jump_hash(key: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(shards + 1)), start, turn, lambda s: s["shard"].cast("int"))
 
 
-def numbered(df: DataFrame, shard: str, order: list[str], buckets: int = 1024) -> DataFrame:
-    """Adds ``slot``: rows of a shard are numbered from 0 without gaps.
+#: Rows that are numbered in one task, about.
+BUCKET_ROWS = 50_000
 
-    A shard is cut into ``buckets`` by a hash of the ordering columns; only the counts of the buckets (shards times
-    buckets rows) are summed up by shard, so no task sorts a whole shard.
-    """
-    cut = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = cut.groupBy(shard, "__bucket").agg(F.count("*").alias("__n"))
-    all_of = F.collect_list(F.struct("__bucket", "__n"))
-    earlier = counts.groupBy(shard).agg(F.array_sort(all_of).alias("__all"))
-    offsets = earlier.select(
-        shard,
-        F.inline(
-            F.aggregate(
-                "__all",
-                F.struct(F.lit(0).cast("long").alias("sum"), F.expr("cast(array() as array<struct<__bucket:int,__offset:bigint>>)").alias("out")),
-                lambda s, x: F.struct((s["sum"] + x["__n"]).alias("sum"), F.concat(s["out"], F.array(F.struct(x["__bucket"].alias("__bucket"), s["sum"].alias("__offset")))).alias("out")),
-                lambda s: s["out"],
-            )
-        ),
-    )
-    place = F.row_number().over(Window.partitionBy(shard, "__bucket").orderBy(*order)) - 1
-    return cut.withColumn("__place", place).join(offsets, [shard, "__bucket"]).withColumn("slot", F.col("__place") + F.col("__offset")).drop("__bucket", "__place", "__offset")
 
+def numbered(df: DataFrame, shard: str, rows: int) -> DataFrame:
+    """Adds ``slot``: the ``rows`` rows are numbered within their shard from 0, without gaps.
 
-def jump_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1024) -> DataFrame:
+    Rows that are the same in all columns are counted, map-side first, and dealt out again at the end. A shard is cut into
+    buckets by a hash; a bucket's rows are numbered by themselves, and begin after those of the shard's buckets before it, of
+    which there is one row each. So no task has much more than BUCKET_ROWS rows, whatever repeats.
+    """
+    copies, bucket, before, here = (fresh(n, df) for n in ("copies", "bucket", "before", "here"))
+    each = df.groupBy(*columns(df)).agg(F.count("*").alias(copies))
+    buckets = max(1, -(-rows // BUCKET_ROWS))
+    cut = each.withColumn(bucket, F.pmod(F.xxhash64(*columns(df)), F.lit(buckets)))
+    earlier = lambda w: F.coalesce(F.sum(copies).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = cut.groupBy(shard, bucket).agg(F.sum(copies).alias(copies))
+    offsets = sizes.select(shard, bucket, earlier(Window.partitionBy(shard).orderBy(bucket)).alias(before))
+    placed = cut.withColumn(here, earlier(Window.partitionBy(shard, bucket).orderBy(*columns(df)))).join(offsets, [shard, bucket])
+    first = F.col(before) + F.col(here)
+    return placed.select(*columns(df), F.explode(F.sequence(first, first + F.col(copies) - 1)).alias("slot"))
+
+
+def jump_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row.
 
     Null text has no bytes (size 1, CRC of nothing); a null id is the key 0. Repeated rows share a shard and have
-    slots of their own. Other columns are ignored.
+    slots of their own. Other columns are ignored; an empty table gives an empty one.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
@@ -93,5 +93,5 @@ def jump_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_c
         jump_hash(F.col(id_col), shards).alias("shard"),
         jump_hash(F.col(id_col), shards + 1).alias("grown_shard"),
     )
-    out = numbered(rows, "shard", ["doc_id", "size", "text_crc32"], buckets)
+    out = numbered(rows, "shard", docs.count())
     return out.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long"), "grown_shard")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,10 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (tests on one machine) is a local folder made.
+    Where the setting is missing, a local folder is made on a single machine (tests); on a cluster that is an error.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    found, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if found:
+        return found
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _own.get(context.applicationId) or _own.setdefault(context.applicationId, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -102,11 +108,24 @@ def marked(bits: np.ndarray, hashes: np.ndarray, probes: int) -> np.ndarray:
     return here
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Arrow batches of at most ``rows`` rows from here on: texts are long, and a batch is held several times on its way.
 
-    Workers live on through the stages of a pipeline, and so does what they have once asked the system for.
+    Workers live on through the stages of a pipeline, and so does what they have once asked the system for. A stage is
+    evaluated after its function has returned, so the setting stays; ``kept_batches`` puts it back.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+    if not 0 < int(spark.conf.get(BATCH_ROWS)) <= rows:
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
+@contextmanager
+def kept_batches(spark: SparkSession) -> Iterator[None]:
+    """The session's batch size is afterwards what it was before."""
+    before = spark.conf.get(BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)

@@ -8,11 +8,12 @@ else leads there. A host is blocked when its blame outweighs its trust and a set
 the edge table is aggregated to one row per pair of hosts before the first iteration, and an iteration is one join and
 one aggregation with map-side combine. Iterations end when no score changes by more than a tolerance.
 
-The SQL has ten iterations and goes by distrust; without links between hosts both give the same.
+The SQL iterates so often that scores cannot change any more by the tolerance.
 """
 
 from __future__ import annotations
 
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from .shared import written
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path prefix)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-DAMPING, ITERATIONS, PRECISION = 0.85, 10, 9  # ITERATIONS are those of the SQL
+DAMPING, PRECISION = 0.85, 9
 #: Largest change of a score in five iterations that counts as none.
 TOLERANCE = 1e-7
 #: Part of a wholly blocked seed's own distrust that a host needs to be blocked.
@@ -126,19 +127,18 @@ def judge_urls(
     )
 
 
-def judge_urls_sql(rules=RULES, damping: float = DAMPING, iterations: int = ITERATIONS, threshold: float = THRESHOLD) -> str:
-    """The same in DuckDB SQL, over ``pages``: page_id, host, path, rule, verdict, trust, distrust."""
+def judge_urls_sql(rules=RULES, damping: float = DAMPING, iterations: int | None = None, threshold: float = THRESHOLD) -> str:
+    """The same in DuckDB SQL, over ``pages``: page_id, host, path, rule, verdict, trust, distrust.
+
+    After n turns a score lacks at most damping to the power of n + 1; by default that is less than the tolerance.
+    """
+    iterations = iterations or math.ceil(math.log(TOLERANCE / 10) / math.log(damping))
     ordered = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     case = lambda pick: " ".join(f"when (host = '{h}' or host like '%.{h}') and starts_with(path, '{p}') then '{pick((v, h, p))}'" for v, h, p in ordered)
-    steps = []
-    for i in range(iterations):
-        steps.append(
-            f"s{i + 1} as (select kind, host, sum(score) score from (select w.kind, w.\"to\" host, s.score * w.part score "
-            f"from ways w join s{i} s on w.kind = s.kind and w.host = s.host union all select * from s0) group by 1, 2)"
-        )
     link = LINK.replace("'", "''")
+    score = lambda kind: f"round(coalesce(sum(score) filter (kind = '{kind}'), 0), {PRECISION}) as {kind}"
     return f"""
-with judged as (
+with recursive judged as (
   select *, case {case(lambda r: r[1] + r[2])} end as rule, case {case(lambda r: r[0])} end as own from (
     select page_id, html, translate(regexp_extract(coalesce(url, ''), '{_PARTS}', 1), '{_UPPER}', '{_LOWER}') as host,
            regexp_extract(coalesce(url, ''), '{_PARTS}', 2) as path from pages)),
@@ -146,13 +146,14 @@ seeds as (select host, avg(case when own = 'allow' then 1.0 else 0.0 end) trust,
   from judged where host <> '' group by 1),
 links as (select src, dst, count(*) n from (select host as src, translate(unnest(regexp_extract_all(html, '{link}', 1)), '{_UPPER}', '{_LOWER}') as dst from judged)
   where src <> '' and dst <> '' and src <> dst group by 1, 2),
-both_ways as (select 'trust' kind, src host, dst "to", n from links union all select 'distrust', dst, src, n from links),
-ways as (select kind, host, "to", {damping} * n / sum(n) over (partition by kind, host) part from both_ways),
-s0 as (select kind, host, score * {1 - damping} score from (select 'trust' kind, host, trust score from seeds union all select 'distrust', host, distrust from seeds) where score > 0),
-{", ".join(steps)},
-scores as (select host, round(coalesce(sum(score) filter (kind = 'trust'), 0), {PRECISION}) trust, round(coalesce(sum(score) filter (kind = 'distrust'), 0), {PRECISION}) distrust
-  from s{iterations} group by 1)
-select page_id, j.host as host, path, rule, coalesce(own, case when coalesce(distrust, 0) > coalesce(trust, 0)
-  and coalesce(distrust, 0) >= {round(threshold * (1 - damping), PRECISION)} then 'block' else 'allow' end) as verdict,
+shares as (select *, {damping} * n / sum(n) over (partition by src) as outward, {damping} * n / sum(n) over (partition by dst) as inward from links),
+ways as (select 'trust' kind, src host, dst "to", outward part from shares union all select 'distrust', dst, src, inward from shares union all select 'blame', dst, src, outward from shares),
+s0 as (select kind, host, score * {1 - damping} score from (select 'trust' kind, host, trust score from seeds union all select 'distrust', host, distrust from seeds union all select 'blame', host, distrust from seeds) where score > 0),
+s as (select 0 as i, kind, host, score from s0 union all
+  select i, kind, host, sum(score) from (select s.i + 1 as i, w.kind, w."to" as host, s.score * w.part as score from s join ways w on w.kind = s.kind and w.host = s.host where s.i < {iterations}
+    union all select t.i + 1, s0.kind, s0.host, s0.score from s0 join (select distinct i from s where i < {iterations}) t on true) group by i, kind, host),
+scores as (select host, {score("trust")}, {score("distrust")}, {score("blame")} from s where i = {iterations} group by 1)
+select page_id, j.host as host, path, rule, coalesce(own, case when coalesce(blame, 0) > coalesce(trust, 0)
+  and coalesce(blame, 0) >= {round(threshold * (1 - damping), PRECISION)} then 'block' else 'allow' end) as verdict,
   coalesce(trust, 0.0) as trust, coalesce(distrust, 0.0) as distrust
 from judged j left join scores s on j.host = s.host"""

@@ -7,12 +7,14 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from parcelflow.llm import decontaminate, exact_progressive, jump_shard, langid_ecoc, packing, pii_crf, queries, secret_ownership, simhash_bk, substring_lsm, url_trust
 from parcelflow.llm.components import connected_components
 from parcelflow.llm.shared import sampled
@@ -723,3 +725,104 @@ def test_op1_spreads_until_nothing_changes(spark):
     got = {r["host"]: r["trust"] for r in rows(url_trust.spread(seeds, spark.createDataFrame(edges, "src string, dst string, n long")))}
     assert got["h14"] == pytest.approx(0.15 * 0.85**14)
     assert got["c0"] + got["c1"] == pytest.approx(1, abs=1e-5)
+
+
+def test_op1_sql_on_a_linked_table(spark, tmp_path):
+    """Spark until it settles and the SQL's fixed number of turns agree where hosts are linked."""
+    rng = random.Random(21)
+    hosts = ["example.org", "a.org", "b.com", "c.net", "d.net", "e.net", "f.net", "g.net"]
+    paths = ["/es/x", "/fr/y", "/de/z", "/plain"]
+    pages = []
+    for i in range(60):
+        links = "".join(f'<a href="https://{rng.choice(hosts)}/x">' for _ in range(rng.randrange(4)))
+        pages.append((i, f"https://{rng.choice(hosts)}{rng.choice(paths)}", links))
+    pages += [(60, "https://bad.com/de/1", ""), (61, "https://only.net/", '<a href="//bad.com/">'), (62, "https://far.net/", '<a href="//only.net/">')]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in rows(url_trust.judge_urls(frame))}
+    duck = duckdb.connect()
+    table = pa.Table.from_pylist([dict(zip(("page_id", "url", "html"), p)) for p in pages])
+    duck.register("pages", table)
+    want = [dict(zip(("page_id", "host", "path", "rule", "verdict", "trust", "distrust"), r)) for r in duck.sql("select page_id, host, path, rule, verdict, trust, distrust from (" + url_trust.judge_urls_sql() + ")").fetchall()]
+    assert len(want) == 63 and any(w["verdict"] == "block" and w["rule"] is None for w in want)
+    for w in want:
+        r = got[w["page_id"]]
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (w["host"], w["path"], w["rule"], w["verdict"])
+        assert r["trust"] == pytest.approx(w["trust"], abs=1e-5) and r["distrust"] == pytest.approx(w["distrust"], abs=1e-5)
+
+
+def test_op5_repeated_rows_and_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(jump_shard, "BUCKET_ROWS", 50)
+    rows_ = [(None, "")] * 700 + [(i % 40, "t") for i in range(500)] + [(i, None) for i in range(300)]
+    got = rows(jump_shard.jump_shards(spark.createDataFrame(rows_, "doc_id long, text string")))
+    assert len(got) == len(rows_)
+    for shard in range(8):
+        slots = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+
+
+def test_op10_equals_plain_ownership(spark, docs, tiny):
+    """Owners counted by plain loops, with random tokens planted that one, two and four owners hold."""
+    rng = random.Random(31)
+    token = lambda: "".join(rng.choice("abcdefghijkABCDEFGHIJK0123456789") for _ in range(30)) + "aA1"
+    tokens = [token() for _ in range(6)]
+    rows_ = []
+    for k, d in enumerate(docs):
+        more = [t for i, t in enumerate(tokens) if k % 7 == 0 and (k // 7) % (1, 2, 4, 5, 6, 3)[i] == 0]
+        rows_.append((d["doc_id"], " ".join([d["text"] or "", *more]), f"s{k // 7 % 5}" if k % 11 else None))
+    frame = spark.createDataFrame(rows_, "doc_id long, text string, source string")
+    spans = {}
+    owners = defaultdict(set)
+    for d, text, source in rows_:
+        base = secret_ownership.base_spans(text)
+        spans[d] = base + secret_ownership.random_spans(text, base)
+        for *_, value in spans[d]:
+            owners[value].add(source or "")
+    names = (*secret_ownership.KINDS, secret_ownership.ADDED)
+    live = {v: len(o) < secret_ownership.EXAMPLE_OWNERS for v, o in owners.items()}
+    got = {r["doc_id"]: r for r in rows(secret_ownership.secrets(frame))}
+    for d, _, _ in rows_:
+        shown = [s for s in spans[d] if s[1] < 3 or live[s[3]]]
+        assert got[d]["spans"] == ",".join(f"{names[k]}:{a}:{b}" for a, k, b, _ in sorted(shown))
+        assert got[d]["n_live"] == sum(live[s[3]] for s in spans[d]) and got[d]["n_example"] == sum(not live[s[3]] for s in spans[d])
+    assert {live[t] for t in tokens if t in live} == {True, False}
+
+
+def test_pipeline_equals_brute_force(spark, tiny, docs):
+    """Each stage against plain loops over what the stage before it has kept."""
+    frame = spark.read.parquet(f"{tiny}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    model = langid_ecoc.fit(frame.where(~langid_ecoc.held_out()))
+    lang, _, unsure = langid_ecoc.decode(model, [d["text"] for d in docs])
+    want = [d for d, x, u in zip(docs, lang, unsure) if x != "und" and not u]
+    left = stages["language_id"](spark, frame, tiny)
+    assert sorted(r["doc_id"] for r in rows(left)) == sorted(d["doc_id"] for d in want)
+    seen, unique = set(), []
+    for d in sorted(want, key=lambda d: d["doc_id"]):
+        text = re.sub("[\x20\x09-\x0d]+", " ", d["text"] or "")
+        if text not in seen:
+            seen.add(text)
+            unique.append(d)
+    left = stages["exact_dedup"](spark, frame.where(F.col("doc_id").isin([d["doc_id"] for d in want])), tiny)
+    assert sorted(r["doc_id"] for r in rows(left)) == [d["doc_id"] for d in unique]
+    sets = {}
+    for d in unique:
+        w = (d["text"] or "").translate({i: i + 32 for i in range(65, 91)}).encode().split()
+        sets[d["doc_id"]] = {b" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or ({b" ".join(w)} if w else set())
+    name = {i: i for i in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9 and name[a] != name[b]:
+            low, high = sorted((name[a], name[b]))
+            name = {i: low if n == high else n for i, n in name.items()}
+    single = [d for d in unique if name[d["doc_id"]] == d["doc_id"]]
+    left = stages["near_dedup"](spark, frame.where(F.col("doc_id").isin([d["doc_id"] for d in unique])), tiny)
+    assert sorted(r["doc_id"] for r in rows(left)) == [d["doc_id"] for d in single]
+    fold = lambda t: re.findall("[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
+    shingled = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    items = [shingled(fold(r["text"])) for r in rows(spark.read.parquet(f"{tiny}/benchmark.parquet"))]
+    clean = [d["doc_id"] for d in single if not any(q and len(q & shingled(fold(d["text"]))) >= 0.8 * len(q) for q in items)]
+    left = stages["decontaminate"](spark, frame.where(F.col("doc_id").isin([d["doc_id"] for d in single])), tiny)
+    assert sorted(r["doc_id"] for r in rows(left)) == clean and len(clean) < len(single)
+    packed = rows(stages["packing"](spark, left, tiny))
+    assert {r["doc_id"] for r in packed} == set(clean)
+    whole = rows(queries.run(spark, tiny))
+    assert {r["doc_id"] for r in whole} == set(clean)

@@ -407,3 +407,74 @@ def test_stateful_stream_folds_like_the_batch(spark, tmp_path):
     query.awaitTermination()
     got = {r.raw_seq: (r.key, r.outcome, r.prior_seq) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == plain_fold(rows)
+
+
+# --- repeated results, JSON types, exact shortcuts -----------------------------------------------------------------
+
+
+def test_leftovers_keep_json_types(spark):
+    base = {"ListingKey": "L1", "ModificationTimestamp": "2024-01-02T03:04:05Z"}
+    got = _project(spark, [base | {"B": "5", "A": {"y": 1, "x": [None, "a"]}}, base | {"A": {"x": [None, "a"], "y": 1}, "B": "5"}, base | {"B": 5}, base | {"B": None}, base | {"B": True}, base])
+    assert [r["extended_fields"] for r in got] == [{"A": '{"x":[null,"a"],"y":1}', "B": '"5"'}, {"A": '{"x":[null,"a"],"y":1}', "B": '"5"'}, {"B": "5"}, {"B": "null"}, {"B": "true"}, None]
+    assert list(got[0]["extended_fields"]) == list(got[1]["extended_fields"]) == ["A", "B"]
+    texts = spark.createDataFrame([('"5"',), ("5",), ('"true"',), ("true",), ("[1,2]",), ('{"a":1}',), ("null",)], "t string")
+    shapes = [r[0] for r in texts.select(audit.describe_value(F.col("t"))).collect()]
+    assert shapes == ["string, len 1", "number", "string, len 4", "bool", "array, 2 items", "object, 1 keys", "null"]
+
+
+def test_repeated_results_do_not_repeat_rows(spark):
+    job = "attachment_job_id string, media_key string, status string, created_at timestamp, claimed_at timestamp, claimed_by string, attempt_count int, attachment_id string"
+    waiting = spark.createDataFrame([("j1", "m1", "in_progress", hours(1), hours(2), "w", 0, None), ("j2", "m1", "in_progress", hours(3), hours(4), "w", 2, None), ("j3", "m2", "in_progress", hours(1), hours(1), "w", 2, None), ("j4", "m3", "pending", hours(1), None, None, 0, None)], job)
+    results = spark.createDataFrame([("j1", "w", True, "x1", False), ("j1", "w", True, "x1", False), ("j1", "other", True, "y", False), ("j2", "w", True, "x2", False), ("j3", "w", False, None, False), ("j3", "w", False, None, False), ("j4", "w", True, "z", False)], "attachment_job_id string, claimed_by string, ok boolean, attachment_id string, store_full boolean")
+    applied = jobs.apply_results(waiting, results)
+    got = {r.attachment_job_id: (r.status, r.attempt_count, r.attachment_id, r.applied) for r in applied.collect()}
+    assert applied.count() == 4
+    assert got == {"j1": ("succeeded", 0, "x1", "succeeded"), "j2": ("succeeded", 2, "x2", "succeeded"), "j3": ("permanently_failed", 3, None, "permanently_failed"), "j4": ("pending", 0, None, "lost")}
+    media = spark.createDataFrame([("m1", None), ("m2", "old")], "media_key string, attachment_id string")
+    assert sorted(map(tuple, jobs.link_media(media, applied).select("media_key", "attachment_id").collect())) == [("m1", "x2"), ("m2", "old")]
+    run = "sync_event_id string, status string, started_at timestamp, ended_at timestamp, record_count long, high_water_mark timestamp, error_summary string"
+    events = spark.createDataFrame([("e", "running", hours(0), None, None, None, None)], run)
+    ends = spark.createDataFrame([("e", False, hours(1), 0, None, None, "no"), ("e", True, hours(2), 5, hours(1), None, None), ("e", True, hours(2), 5, hours(1), None, None)], "sync_event_id string, ok boolean, ended_at timestamp, record_count long, hwm timestamp, queried_from timestamp, error string")
+    (one,) = ledger.stamp_outcome(events, ends).collect()
+    assert (one.status, one.record_count, one.high_water_mark) == ("success", 5, hours(1))
+
+
+def test_shortcuts_of_regions_and_trigrams_change_nothing(spark):
+    rng = random.Random(5)
+    places = [(30.5 + rng.uniform(-0.12, 0.12), -97.5 + rng.uniform(-0.14, 0.14)) for _ in range(400)] + [(None, 1.0), (30.5, None), (30.5, -97.5)]
+    frame = spark.createDataFrame(places, "lat double, lng double")
+    whole = frame.select(geo.within_radius(F.col("lat"), F.col("lng"), (30.5, -97.5), 10_000.0).alias("a"), (geo.geodesic(F.col("lat"), F.col("lng"), (30.5, -97.5)) <= 10_000).alias("b"))
+    assert all(bool(r.a) == bool(r.b) for r in whole.collect())
+    words = ["main", "street", "maine", "austin", "st", "stone", "78704", "blue"]
+    texts = spark.createDataFrame([(" ".join(rng.choice(words) for _ in range(rng.randint(0, 6))),) for _ in range(300)] + [(None,)], "t string")
+    for query, threshold in (("main stret", 0.5), ("blue stone", 0.7), ("zzz", 0.1), ("main", 1.0), ("", 0.2), ("blue", 0.0)):
+        both = texts.select(trigram.fuzzy(F.col("t"), query, threshold).alias("a"), (trigram.word_similarity(query, F.col("t")) >= threshold).alias("b")).collect()
+        assert all(r.a == r.b for r in both), query
+
+
+def test_children_with_links_of_their_own_and_odd_items(spark):
+    record = {"ListingKey": "L1", "City": "5", "Media": [{"MediaKey": "m1", "ResourceName": "Planet", "Order": 1, "ModificationTimestamp": "2024-01-02T03:04:05Z"}, {"MediaKey": ""}, 7, None], "Rooms": [{"RoomKey": "r}1"}, {"RoomKey": "r2", "Note": '"ListingKey"'}], "UnitTypes": "none"}
+    rows, errors = feed.split_children(spark.createDataFrame([(1, "L1", T0, json.dumps(record))], "raw_seq long, source_key string, source_modified_at timestamp, payload string"))
+    got = {r.source_key: (r.resource, r.ord, r.source_modified_at, json.loads(r.payload)) for r in rows.collect()}
+    assert got["L1"] == ("property", -1, T0, {"ListingKey": "L1", "City": "5"})
+    assert got["m1"][0] == "media" and got["m1"][3] == {"MediaKey": "m1", "ResourceName": "Property", "Order": 1, "ModificationTimestamp": "2024-01-02T03:04:05Z"} and got["m1"][2] != T0
+    assert got["r}1"] == ("property_rooms", 1_000_000, T0, {"RoomKey": "r}1", "ListingKey": "L1"}) and got["r2"][3] == {"RoomKey": "r2", "Note": '"ListingKey"', "ListingKey": "L1"}
+    assert sorted((r.resource, r.pos, r.error) for r in errors.collect()) == [("media", 1, "Media: no MediaKey"), ("media", 2, "Media: not an object"), ("media", 3, "Media: not an object")]
+
+
+def test_raw_records_have_a_time(spark):
+    pages = spark.createDataFrame([("p", 0, '{"OfficeKey":"o1","ModificationTimestamp":"2024-01-02T03:04:05Z"}'), ("p", 1, '{"OfficeKey":"o2"}')], "page string, ord int, record string")
+    got = {r.source_key: r.source_modified_at for r in feed.raw_records(pages, "office", "2024-02-03 00:00:00").collect()}
+    assert got == {"o1": dt.datetime(2024, 1, 2, 3, 4, 5), "o2": dt.datetime(2024, 2, 3)}
+
+
+def test_stream_states_over_full_commits(spark, tmp_path, monkeypatch):
+    """Ten batches with a full state at every third: states are found again whichever commit has them."""
+    monkeypatch.setattr(feed_stream, "FULL", 3)
+    rows = _random_feed(13)
+    for i in range(10):
+        spark.createDataFrame(rows[30 * i : 30 * i + 30], FEED).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(FEED).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    feed_stream.fold_batches(stream, f"{tmp_path}/out", f"{tmp_path}/check", "key", ["price"]).awaitTermination()
+    got = {r.raw_seq: (r.key, r.outcome, r.prior_seq) for r in spark.read.parquet(f"{tmp_path}/out/data/commit=*/outcomes").collect()}
+    assert got == plain_fold(rows)

@@ -39,10 +39,32 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, and outlives any executor."""
     path = new_folder(df.sparkSession, name)
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_scratch: list[list[str]] = []
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this session has made in the shared one."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What ``written`` makes meanwhile is deleted at the end; results have to be written elsewhere before that."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            removed(spark, path)
+
+
 def sampled(hashed: Column, rows: int, total: int) -> Column:
     """Whether a 64-bit hash is among the lowest ``rows`` of ``total``, about; exact to one part in 2^64 at any size."""
     return hashed < F.lit(-(1 << 63) + (rows << 64) // total) if rows < total else F.lit(True)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from parcelflow.llm import decontaminate, exact_progressive, jump_shard, langid_ecoc, packing, pii_crf, queries, secret_ownership, simhash_bk, substring_lsm, url_trust
 from parcelflow.llm.components import connected_components
-from parcelflow.llm.shared import sampled
+from parcelflow.llm.shared import Marks, marked, sampled, written
 
 SPLIT = re.compile("[^\x20\x09-\x0d]+")
 
@@ -826,3 +826,21 @@ def test_pipeline_equals_brute_force(spark, tiny, docs):
     assert {r["doc_id"] for r in packed} == set(clean)
     whole = rows(queries.run(spark, tiny))
     assert {r["doc_id"] for r in whole} == set(clean)
+
+
+def test_marks_never_miss(spark):
+    """On the JVM and in numpy: every hash that is marked is found, and few others are; columns with the table's names stay."""
+    own = written(spark.range(3000).select(F.xxhash64("id").alias("h")), "hashes")
+    asked = spark.range(40_000).select("id", F.xxhash64("id").alias("h"), F.lit("x").alias("bucket"), F.lit(None).cast("int").alias("map"))
+    for probes in (1, 4):
+        marks = Marks(own, probes)
+        maybe, rest = marks.split(asked, F.col("h"))
+        assert maybe.columns == rest.columns == asked.columns
+        ids = {r["id"] for r in maybe.collect()}
+        assert set(range(3000)) <= ids and len(ids) < 4000 and len(ids) + rest.count() == 40_000
+        hashes = np.array([r["h"] for r in asked.orderBy("id").collect()], dtype=np.int64).view(np.uint64)
+        found = set(marked(marks.bytes(), hashes, probes).tolist())
+        assert set(range(3000)) <= found <= (ids if probes > 1 else found) and len(found) < (3050 if probes > 1 else 4000)
+    assert marks.split(asked.withColumn("h", F.lit(None).cast("long")), F.col("h"))[1].count() == 40_000
+    empty = Marks(written(own.where("false"), "none"))
+    assert empty.split(asked, F.col("h"))[0].isEmpty() and not len(marked(empty.bytes(), hashes, 1))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 OUTCOMES = ("insert", "update", "delete", "skip-stale", "skip-no-diff", "skip-tombstoned")
 WRITTEN = ("insert", "update", "delete")
 #: Keys with more rows than this are folded from sorted rows, one at a time, instead of a collected array.
-LONG_HISTORY = 2_000
+LONG_HISTORY = 500
 
 
 def data_text(columns: list[str]) -> Column:

@@ -11,7 +11,7 @@ each mention's beliefs; mentions that no pattern matched are reported where a la
 
 All potentials are trained, by pseudo-likelihood, on a bounded sample of documents that the patterns label. For each
 match the training also sees it written otherwise (without what made the pattern match), so that the skip potentials learn
-how much a twin says; numbers that no pattern matched and that have no twin teach what personal data is not.
+how much a twin says; the same without a twin, and numbers that no pattern matched, teach what personal data is not.
 """
 
 from __future__ import annotations
@@ -289,7 +289,7 @@ def _otherwise(m: Mention) -> Iterator[tuple[str, int]]:
 
 def examples(text: str) -> Iterator[tuple[str, int, int, int, int, int, int]]:
     """(shape, match, label left, label right, label of the equal, of the similar, label) of each mention, -1 for no such
-    neighbour; and of each match written otherwise, as if it stood by itself elsewhere."""
+    neighbour; and of each match written otherwise, as if it stood elsewhere, with and without its twin."""
     nodes = mentions(text, base_spans(text))
     around = np.full((len(nodes), 4), -1)
     for a, b, kind in zip(*edges(nodes), strict=True):
@@ -303,6 +303,8 @@ def examples(text: str) -> Iterator[tuple[str, int, int, int, int, int, int]]:
             yield (m.shape, m.label, *near, m.label)
         for shape, kind in _otherwise(m) if m.label else ():
             yield (shape, 0, -1, -1, *((m.label, -1) if kind == 1 else (-1, m.label)), m.label)
+            # the same without a twin, by itself or next to a match, is nothing, and so is a twin of nothing
+            yield from ((shape, 0, left, right, twin, -1, 0) for left, right, twin in ((-1, -1, -1), (m.label, -1, -1), (-1, m.label, -1), (-1, -1, 0)))
 
 
 def train(counts: list[tuple[tuple[str, int, int, int, int, int, int], int]]) -> Potentials:
@@ -321,11 +323,11 @@ def train(counts: list[tuple[tuple[str, int, int, int, int, int, int], int]]) ->
     by_shape, by_match = np.eye(len(names))[shape], np.eye(5)[match]
     # what all labels share is a parameter of its own, so that rare kinds learn from frequent ones
     own = {"shape": np.zeros((len(names), 5)), "match": np.zeros((5, 5)), "chain": np.zeros((5, 5)), "equal": np.zeros((5, 5)), "similar": np.zeros((5, 5)), "agree": np.zeros(3)}
-    personal = np.diag([0.0, 1, 1, 1, 1])
+    personal, same = np.diag([0.0, 1, 1, 1, 1]), np.eye(5)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in own.items()}
 
     def whole() -> tuple[np.ndarray, np.ndarray]:
-        two = [own[k] + own[k].T + own["agree"][1 + i] * personal for i, k in enumerate(("equal", "similar"))]
+        two = [own[k] + own[k].T + own["agree"][1 + i] * same for i, k in enumerate(("equal", "similar"))]
         return own["match"] + own["agree"][0] * personal, np.stack([own["chain"], *two])
 
     for step in range(1, STEPS + 1):
@@ -333,7 +335,7 @@ def train(counts: list[tuple[tuple[str, int, int, int, int, int, int], int]]) ->
         score = by_shape @ own["shape"] + by_match @ evidence + sides[0] @ pair[0] + sides[1] @ pair[0].T + sides[2] @ pair[1] + sides[3] @ pair[2]
         off = weight * (_softmax(score) - want)
         g = {"shape": by_shape.T @ off, "match": by_match.T @ off, "chain": sides[0].T @ off + off.T @ sides[1], "equal": sides[2].T @ off, "similar": sides[3].T @ off}
-        g["agree"] = np.array([(g[k] * personal).sum() for k in ("match", "equal", "similar")])
+        g["agree"] = np.array([(g["match"] * personal).sum(), (g["equal"] * same).sum(), (g["similar"] * same).sum()])
         for k in ("equal", "similar"):
             g[k] = g[k] + g[k].T
         for k, v in own.items():

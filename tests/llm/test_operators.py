@@ -527,7 +527,7 @@ def potentials(spark):
     for i in range(300):
         card = next(c for c in iter(lambda: "4" + d(15), None) if pii_crf.luhn(c))
         decoy = next(c for c in iter(lambda: d(16), None) if not pii_crf.luhn(c))
-        texts.append((i, rng.choice([f"call +1 ({d(3)}) 555-{d(4)} now", f"from {rng.randrange(256)}.4.{rng.randrange(256)}.9 came", f"paid by {card} then", f"write to name{d(2)}@mail.com or", f"number {decoy} is", f"order {d(9)} is", f"on {d(4)}-{d(2)}-{d(2)} at"])))
+        texts.append((i, rng.choice([f"call +1 ({d(3)}) 555-{d(4)} now", f"from {rng.randrange(256)}.4.{rng.randrange(256)}.9 came", f"paid by {card} then", f"write to sender{d(2)}@mail.com or", f"number {decoy} is", f"order {d(9)} is", f"on {d(4)}-{d(2)}-{d(2)} at"])))
     return pii_crf.fit(spark.createDataFrame(texts, "doc_id long, text string"))
 
 
@@ -542,6 +542,8 @@ TWINS = [
     ("card 4111 1111 1111 1111 {gap} and order 5927243074273351, 998877665, 2024-05-12", []),
     ("numbers 998877665544 and 998877665544 again, 5927243074273351 and 5927243074273351", []),
     ("info@example.com {gap} for info and contact", []),
+    ("5927243074273351 {gap} 5927243074273351, 5927243074273351 {gap} 5927243074273351 and 5927243074273351", []),
+    ("card 4111111111111111 {gap} then 5927243074273351 4111111111111111 in one run", [("card", "4111111111111111")]),
     ("+1 (535) 555-5412 {gap} 5555413", []),
 ]
 

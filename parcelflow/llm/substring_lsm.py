@@ -30,7 +30,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Marks, new_folder, written
+from .shared import Marks, new_folder, removed, scratch, written
 from .words import Words, slices, windowed
 
 GRAM, DIGEST, FAN_IN = 8, 16, 3
@@ -230,31 +230,39 @@ class WindowIndex:
     def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Join a new batch with the runs, log what repeats, and add a run. Null and short texts have no windows."""
         batch = _keyed(docs, id_col, text_col)
-        new = written(batch.mapInArrow(_entries(self.words), _ENTRY), "entries")
-        distinct = new.groupBy("gram", "context").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("n"), *_place())
-        run = self._store(distinct.sortWithinPartitions("gram"), "run")
-        distinct = self._read([run], _RUN)
-        log = self._store(self._repeats(batch, new, distinct), "log")
+        with scratch(self.spark):
+            new = written(batch.mapInArrow(_entries(self.words), _ENTRY), "entries")
+            distinct = new.groupBy("gram", "context").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("n"), *_place())
+            run = self._store(distinct.sortWithinPartitions("gram"), "run")
+            log = self._store(self._repeats(batch, new, self._read([run], _RUN)), "log")
         self.batches.append(batch)
         self.runs.append((0, run))
         self.logs.append(log)
-        self._compact()
+        merged = self._compact()
         self._commit()
+        for path in merged:
+            removed(self.spark, path)
 
     def _repeats(self, batch: DataFrame, new: DataFrame, distinct: DataFrame) -> DataFrame:
-        """(doc_id, row_key, first, last, mask): what repeats now that the batch is there, by place in any batch."""
+        """(doc_id, row_key, first, last, mask): what repeats now that the batch is there, by place in any batch.
+
+        Anchors are compared through bit maps, so that runs and entries are not exchanged; what these let through too
+        much stands in one place only, or has nothing new, and repeats nothing.
+        """
         place = F.struct("doc_id", "row_key", "first", "last")
-        anchors = distinct.groupBy("gram").agg(F.sum("n").alias("n"))
-        old = self._read([path for _, path in self.runs], _RUN)
-        old = written(old.join(anchors.select("gram"), "gram", "left_semi"), "old") if self.runs else old
-        # an anchor that stands in one place only repeats nothing
-        often = anchors.where("n > 1").select("gram").union(old.select("gram")).distinct()
-        met = distinct.join(often, "gram").withColumn("fresh", F.lit(True)).union(old.withColumn("fresh", F.lit(False)))
+        anchors = written(distinct.groupBy("gram").agg(F.sum("n").alias("n")), "anchors")
+        old = self.entries()
+        if self.runs:
+            old = written(Marks(anchors.select("gram")).split(old, F.col("gram"))[0], "old")
+        often = written(anchors.where("n > 1").select("gram").union(old.select("gram")).distinct(), "often")
+        met = Marks(often).split(distinct, F.col("gram"))[0].withColumn("fresh", F.lit(True)).union(old.withColumn("fresh", F.lit(False)))
         was = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("int")
         met = met.groupBy("gram", "context").agg(was(F.col("fresh")).alias("here"), was(~F.col("fresh")).alias("before"), F.min(F.when(~F.col("fresh"), place)).alias("earlier"), F.min(F.when(F.col("fresh"), place)).alias("now"))
         met = written(met.withColumn("n", F.least(F.col("here") + F.col("before"), F.lit(2)).cast("int")), "met")
         whole = met.where("n > 1")
-        marks = new.join(whole.where("here > 0").select("gram", "context"), ["gram", "context"]).select("doc_id", "row_key", "first", "last", F.lit(-1).cast("long").alias("mask"))
+        again, key = whole.where("here > 0").select("gram", "context"), F.xxhash64("gram", "context")
+        maybe = Marks(written(again.select(key), "again")).split(new, key)[0]
+        marks = maybe.join(again, ["gram", "context"]).select("doc_id", "row_key", "first", "last", F.lit(-1).cast("long").alias("mask"))
         marks = marks.union(whole.where("here > 0 and before = 1").select("earlier.*", F.lit(-1).cast("long")))
         # only an anchor with several contexts, one of them new and one of them single, leaves anything to tell
         mixed = met.groupBy("gram").agg(F.count("*").alias("contexts"), F.min("n").alias("least"), F.min("before").alias("new")).where("contexts > 1 and least = 1 and new = 0")
@@ -269,16 +277,18 @@ class WindowIndex:
         partly = windows.where("n = 1").join(twice, ["gram", "window"]).groupBy("doc_id", "row_key", "first", "last")
         return marks.union(partly.agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")))
 
-    def _compact(self) -> None:
-        """Merge the runs of a level into one of the next as long as a level has ``fan_in`` of them."""
-        level = 0
+    def _compact(self) -> list[str]:
+        """Merge the runs of a level into one of the next as long as a level has ``fan_in`` of them; what was merged."""
+        level, gone = 0, []
         while level <= max(n for n, _ in self.runs):
             same = [path for n, path in self.runs if n == level]
             if len(same) >= self.fan_in:
                 merged = self._read(same, _RUN).groupBy("gram", "context").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), *_place())
                 path = self._store(merged.sortWithinPartitions("gram"), f"run-level-{level + 1}")
                 self.runs = [x for x in self.runs if x[0] != level] + [(level + 1, path)]
+                gone += same
             level += 1
+        return gone
 
     def entries(self) -> DataFrame:
         return self._read([path for _, path in self.runs], _RUN)

@@ -225,7 +225,10 @@ class BestFit:
 
 
 def pack(cut: DataFrame, window: int = WINDOW, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """``cut`` (a written table of pieces) with sequence_id and offset."""
+    """``cut`` (a written table of pieces) with sequence_id and offset; of an empty table, an empty one.
+
+    Pieces that are the same in all respects are dealt to one group, and there are packed each.
+    """
     groups = max(1, -(-cut.count() // group_pieces))
 
     def run(group: pa.Table) -> pa.Table:
@@ -242,6 +245,7 @@ def pack(cut: DataFrame, window: int = WINDOW, group_pieces: int = GROUP_PIECES)
 def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", memory: int = MEMORY) -> DataFrame:
     """One row per piece of every row of ``docs``: the columns of ``pieces``, sequence_id and offset.
 
-    Repeated rows are packed each; a null id is a document like any other. Other columns are ignored.
+    Repeated rows are packed each; a null id is a document like any other; a null or empty text is its end token. Other columns
+    are ignored; an empty table gives an empty one.
     """
     return pack(written(pieces(docs, path, window, id_col=id_col, text_col=text_col, memory=memory), "pieces"), window)

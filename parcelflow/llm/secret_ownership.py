@@ -96,7 +96,8 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example), one row per row of ``docs``.
 
     Counts and hash are those of the pattern matches; ``spans`` has the added ones too. Null text counts as empty.
-    Rows that repeat id and secrets get the same result each. Other columns are ignored.
+    Rows that repeat id and secrets get the same result each. A missing owner or repository is one of its own. Other columns
+    are ignored; an empty table gives an empty one.
     """
     one = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(owner_col).cast("string").alias("owner"), F.col(repository_col).cast("string").alias("repository")

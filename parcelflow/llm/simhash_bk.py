@@ -467,6 +467,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     Texts link where the Jaccard similarity of their ``words``-word shingles is at least ``similarity``, by exact sets.
     What is not looked at: two such texts miss all eight MinHash keys once in 390,000 at 0.8, and fingerprints
     are hardly ever further apart than the radius. Rows with a null id are never dropped, nor rows that repeat the id that stays.
+    Null, empty and wordless texts are near-duplicates of one another; an empty table stays empty.
     """
     groups = similar_groups(docs, words, similarity, id_col, text_col)
     gone = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.col("row_key").alias("gone_key")).distinct(), "gone")

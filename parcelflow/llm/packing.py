@@ -227,7 +227,8 @@ class BestFit:
 def pack(cut: DataFrame, window: int = WINDOW, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """``cut`` (a written table of pieces) with sequence_id and offset; of an empty table, an empty one.
 
-    Pieces that are the same in all respects are dealt to one group, and there are packed each.
+    The place of a row in the written table takes part in the deal, so that pieces which repeat in all respects spread over the
+    groups; a task that is run again meets the same places.
     """
     groups = max(1, -(-cut.count() // group_pieces))
 
@@ -238,7 +239,7 @@ def pack(cut: DataFrame, window: int = WINDOW, group_pieces: int = GROUP_PIECES)
         sequence = (np.asarray(group.column("part")) << 32) + places[:, 0]
         return group.drop_columns(["part"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(places[:, 1]))
 
-    dealt = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    dealt = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("part").applyInArrow(run, ", ".join(f"{c} long" for c in [*cut.columns, "sequence_id", "offset"]))
 
 

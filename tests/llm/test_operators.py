@@ -310,6 +310,15 @@ def test_word_memo_equals_the_tokenizer():
                 assert ids[first[i] : first[i + 1]].tolist() == [*encode(text or "", add_special_tokens=False).ids, 1], text
 
 
+def test_repeated_pieces_spread_over_groups(spark):
+    """A third of all rows may repeat one piece: no group gets them all, and each is packed."""
+    cut = written(spark.createDataFrame([(None, 0, 1, 7, 1)] * 3000, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
+    got = rows(packing.pack(cut, group_pieces=300))
+    groups = Counter(r["sequence_id"] >> 32 for r in got)
+    assert len(got) == 3000 and len(groups) == 10 and max(groups.values()) < 600
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == 3000
+
+
 def test_best_fit_takes_the_tightest_window():
     rng = random.Random(4)
     fit, open_ = packing.BestFit(64), []

@@ -84,7 +84,7 @@ def extended(text: Column, known: list[str]) -> Column:
 
     The texts keep JSON's types ("5" is not 5) and do not depend on the order of keys in nested objects.
     """
-    every = F.from_json(text, "map<string,variant>")
-    left = F.array_sort(F.map_keys(F.map_filter(every, lambda k, _: ~k.isin(known))))
-    pairs = F.transform(left, lambda k: F.struct(k.alias("key"), F.coalesce(F.to_json(F.element_at(every, k)), F.lit("null")).alias("value")))
-    return F.when(F.size(left) > 0, F.map_from_entries(pairs))
+    left = F.map_entries(F.map_filter(F.from_json(text, "map<string,variant>"), lambda k, _: ~k.isin(known)))
+    pairs = F.array_sort(F.transform(left, lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("value"))))
+    # the array of one is a LET: the payload is read once
+    return F.transform(F.array(pairs), lambda p: F.when(F.size(p) > 0, F.map_from_entries(p)))[0]

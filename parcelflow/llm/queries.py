@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .conversation_repair import repaired
 from .decontaminate import contaminated, contaminated_sql
 from .exact_progressive import decisions
 from .jump_shard import jump_shards
@@ -79,8 +80,13 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged and repaired; nulls count as one space, an empty table gives none."""
+    return repaired(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_url_trust, op2_langid_ecoc, op3_substring_lsm, op4_pii_skip_chain, op5_jump_shards, op6_decontaminate, op7_best_fit_packing, op8_simhash_bk, op9_exact_progressive, op10_secret_ownership)
+    ops = (op1_url_trust, op2_langid_ecoc, op3_substring_lsm, op4_pii_skip_chain, op5_jump_shards, op6_decontaminate, op7_best_fit_packing, op8_simhash_bk, op9_exact_progressive, op10_secret_ownership, op13_conversation_repair)
     return {f.__name__: f for f in ops} | {"pipeline": run}
 
 

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collision_search import nearest
 from .conversation_repair import repaired
 from .decontaminate import contaminated, contaminated_sql
 from .exact_progressive import decisions
+from .hard_negatives import mined, mined_sql
 from .jump_shard import jump_shards
 from .langid_ecoc import identify
 from .packing import packed
@@ -80,13 +82,23 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_gnat_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth id, against all rows; rows without label or with a broken vector take no part."""
+    return mined(table(spark, sf_dir, "embeddings"))
+
+
+def op12_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth id, against all rows; null, zero and broken vectors take no part."""
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, damaged and repaired; nulls count as one space, an empty table gives none."""
     return repaired(table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_url_trust, op2_langid_ecoc, op3_substring_lsm, op4_pii_skip_chain, op5_jump_shards, op6_decontaminate, op7_best_fit_packing, op8_simhash_bk, op9_exact_progressive, op10_secret_ownership, op13_conversation_repair)
+    ops = (op1_url_trust, op2_langid_ecoc, op3_substring_lsm, op4_pii_skip_chain, op5_jump_shards, op6_decontaminate, op7_best_fit_packing, op8_simhash_bk, op9_exact_progressive, op10_secret_ownership, op11_gnat_negatives, op12_collision_search, op13_conversation_repair)
     return {f.__name__: f for f in ops} | {"pipeline": run}
 
 
@@ -110,5 +122,5 @@ select doc_id, min(doc_id) over (partition by text_sha256) as keep_id, count(*)
 
 
 def oracle_sql() -> dict[str, str]:
-    """Not in SQL: trained classifiers (2, 4), CRC-32 (5), tokenizers (7), XXH64 (8), spans of patterns (10), pipeline."""
-    return {"op1_url_trust": judge_urls_sql(), "op3_substring_lsm": _OP3, "op6_decontaminate": contaminated_sql(), "op9_exact_progressive": _OP9}
+    """Not in SQL: trained classifiers (2, 4), CRC-32 (5, 13), tokenizers (7), XXH64 (8), spans of patterns (10), approximate search (12), pipeline."""
+    return {"op1_url_trust": judge_urls_sql(), "op3_substring_lsm": _OP3, "op6_decontaminate": contaminated_sql(), "op9_exact_progressive": _OP9, "op11_gnat_negatives": mined_sql()}

@@ -53,9 +53,10 @@ def parsed(col: Col, fields: str = "f") -> str:
         out = f"case when {kind} = 'BIGINT' then try_cast({text} as {_WHOLE[col.kind]}) end"
         good = f"{out} is not null"
     else:
+        # a null element of a list of strings is an empty string
         items = f"try_variant_get({value}, '$', 'array<variant>')"
-        good = f"{kind} like 'ARRAY%' and coalesce(not exists({items}, x -> schema_of_variant(x) <> 'STRING'), true)"
-        out = f"case when size({items}) > 0 then transform({items}, x -> try_variant_get(x, '$', 'string')) end"
+        good = f"{kind} like 'ARRAY%' and coalesce(not exists({items}, x -> schema_of_variant(x) not in ('STRING', 'VOID')), true)"
+        out = f"case when size({items}) > 0 then transform({items}, x -> coalesce(try_variant_get(x, '$', 'string'), '')) end"
     error = f"case when not coalesce({good}, false) then '{col.payload}: not a {col.kind}' end"
     return f"case when {value} is not null and {kind} <> 'VOID' then named_struct('value', {out}, 'error', {error}) end"
 

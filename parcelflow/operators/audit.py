@@ -90,21 +90,44 @@ def set_sample_rate(rate: float, current: float = 1.0) -> float:
 
 
 def describe_value(text: Column) -> Column:
-    """The shape of a JSON text without its content; what is no JSON counts as a string."""
+    """The shape of a JSON text without its content; what is no JSON counts as a string. Lengths are bytes of UTF-8."""
     v = F.try_parse_json(text)
     kind = F.schema_of_variant(v)
     size = lambda t: F.size(F.try_variant_get(v, "$", t))
     return (
-        F.when(v.isNull(), F.concat(F.lit("string, len "), F.length(text).cast("string")))
+        F.when(v.isNull(), F.concat(F.lit("string, len "), F.octet_length(text).cast("string")))
         .when(kind == "VOID", "null")
         .when(kind == "BOOLEAN", "bool")
-        .when(kind == "STRING", F.concat(F.lit("string, len "), F.length(F.try_variant_get(v, "$", "string")).cast("string")))
+        .when(kind == "STRING", F.concat(F.lit("string, len "), F.octet_length(F.try_variant_get(v, "$", "string")).cast("string")))
         .when(kind.startswith("ARRAY"), F.concat(F.lit("array, "), size("array<variant>").cast("string"), F.lit(" items")))
         .when(kind.startswith("OBJECT"), F.concat(F.lit("object, "), size("map<string,variant>").cast("string"), F.lit(" keys")))
         .otherwise("number")
     )
 
 
+def cut_bytes(text: Column, most: int) -> Column:
+    """A text of at most ``most`` bytes of UTF-8 as it is; a longer one is cut there and marked. A character cut in half is a replacement mark."""
+    cut = F.make_valid_utf8(F.substring(text.cast("binary"), 1, most).cast("string"))
+    return F.when(F.octet_length(text) > most, F.concat(cut, F.lit("…(truncated)"))).otherwise(text)
+
+
+#: Payload keys known to have no typed column. A property has some hundreds, which the caller brings.
+KNOWN = {
+    "lookup": [],
+    "media": [],
+    "office": ["@odata.id", "FranchiseAffiliation", "IDXOfficeParticipationYN", "OriginalEntryTimestamp", "OfficeEmail"],
+    "member": ["@odata.id", "FHR_MainOfficeMlsId", "FHR_OfficeType", "FHR_Status", "MemberType", "OfficeName", "OriginalEntryTimestamp", "MemberEmail", "MemberNationalAssociationId", "MemberOfficePhone", "FHR_MemberDirectPhoneExt"],
+    "open_house": ["@odata.id", "FHR_OH_StartTime", "OpenHouseRemarks"],
+    "property_rooms": ["RoomDimensions", "RoomDescription"],
+    "property_unit_types": ["UnitTypeType", "UnitTypeBathsTotal", "FHR_Vacant", "UnitTypeActualRent", "UnitTypeDescription", "FHR_LeaseExpires", "FHR_SecurityDeposit"],
+}
+
+
+def resource_drift(projected: DataFrame, resource: str, known: tuple[str, ...] = (), rate: float = 1.0) -> DataFrame:
+    """``field_drift`` of a resource against its own allowlist: that of ``KNOWN``, and ``known``. Without either all leftover fields are novel."""
+    return field_drift(projected, [*KNOWN.get(resource, []), *known], rate)
+
+
 def field_drift(projected: DataFrame, allowed: list[str], rate: float = 1.0, most_bytes: int = 200) -> DataFrame:
     """(field, n, first_seq, sample, shape): extended fields that are not on the allowlist, on a sample of rows.
 
@@ -116,7 +139,7 @@ def field_drift(projected: DataFrame, allowed: list[str], rate: float = 1.0, mos
     pairs = rows.select("raw_seq", F.explode("extended_fields").alias("field", "value"))
     novel = pairs.where(~F.col("field").isin(*allowed)) if allowed else pairs
     first = novel.groupBy("field").agg(F.count("*").alias("n"), F.min("raw_seq").alias("first_seq"), F.min_by("value", "raw_seq").alias("value"))
-    return first.select("field", "n", "first_seq", F.left("value", F.lit(most_bytes)).alias("sample"), describe_value(F.col("value")).alias("shape"))
+    return first.select("field", "n", "first_seq", cut_bytes(F.col("value"), most_bytes).alias("sample"), describe_value(F.col("value")).alias("shape"))
 
 
 def drift_summary(drift: DataFrame) -> DataFrame:

@@ -31,11 +31,14 @@ def enqueue_jobs(media: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def warm_plan(listings: DataFrame, media: DataFrame, jobs: DataFrame, statuses: tuple[str, ...] = WARM, limit: int | None = None) -> DataFrame:
-    """Media keys of active listings without an attachment that no job speaks for, in order of key."""
-    active = listings.where("mlg_can_view").where(F.col("standard_status").isin(*statuses)).select("listing_key")
-    bare = media.where("resource_type = 'property' and mlg_can_view and attachment_id is null")
+    """Media keys of listings in some states without an attachment that no job speaks for, in order of key.
+
+    Hidden listings and media count, and so do jobs that have succeeded: their attachment is there, only not linked yet.
+    """
+    active = listings.where(F.col("standard_status").isin(*statuses)).select("listing_key")
+    bare = media.where("resource_type = 'property' and attachment_id is null")
     todo = bare.join(active, F.col("resource_record_key") == F.col("listing_key"), "left_semi")
-    todo = todo.join(jobs.where(F.col("status").isin("pending", "retrying", "in_progress")).select("media_key").distinct(), "media_key", "left_anti").select("media_key").distinct()
+    todo = todo.join(jobs.where(F.col("status").isin(*BLOCKING)).select("media_key").distinct(), "media_key", "left_anti").select("media_key").distinct()
     return todo if limit is None else todo.orderBy("media_key").limit(limit)
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelflow.plans.registry import FETCHED
+from parcelflow.plans.registry import FETCHED, PASS_ORDER
 
 STALE = "2 hours"
 
@@ -100,10 +100,19 @@ def backlog(raw: DataFrame, cursors: DataFrame) -> DataFrame:
 DEFAULTS = {"staleness_minutes": 30, "backlog": 10_000, "failures": 100}
 
 
+def _listed(order: tuple[str, ...], name: Column, after: Column | str = "") -> Column:
+    """The names that are not NULL, each with what comes after it, in a stated order."""
+    place = F.array_position(F.array(*map(F.lit, order)), name)
+    said = F.concat(name, F.lit(after) if isinstance(after, str) else after)
+    found = F.array_sort(F.collect_list(F.when(name.isNotNull(), F.struct(place.alias("at"), said.alias("said")))))
+    return F.array_join(F.transform(found, lambda x: x["said"]), ", ")
+
+
 def sync_health(events: DataFrame, cursors: DataFrame, raw: DataFrame, jobs: DataFrame, now, thresholds: dict | None = None, resources: tuple[str, ...] = FETCHED) -> DataFrame:
     """(name, status, message); status is pass, warn, fail or skipped. Healthy is a report without fail.
 
-    Before each resource has had a successful first import, all other checks are skipped.
+    Before each resource has had a successful first import, all other checks are skipped. The backlog is that of all resources that are processed, and names
+    those with rows but without a cursor; the state of resources is one check that names those whose newest run failed or is stuck.
     """
     t = DEFAULTS | (thresholds or {})
     if t["staleness_minutes"] <= 0 or t["backlog"] < 0 or t["failures"] < 0:
@@ -111,25 +120,29 @@ def sync_health(events: DataFrame, cursors: DataFrame, raw: DataFrame, jobs: Dat
     spark, at = events.sparkSession, F.lit(now).cast("timestamp")
     every = spark.createDataFrame([(r,) for r in resources], "resource string")
     imported = events.where("run_type = 'backfill' and status = 'success'").select("resource").distinct()
-    missing = every.join(imported, "resource", "left_anti").agg(F.array_join(F.array_sort(F.collect_set("resource")), ", ").alias("names"))
+    missing = every.join(imported, "resource", "left_anti").agg(_listed(resources, F.col("resource")).alias("names"))
 
     def check(df: DataFrame, name: Column | str, status: Column, message: Column) -> DataFrame:
         return df.select((F.lit(name) if isinstance(name, str) else name).alias("name"), status.alias("status"), message.alias("message"))
 
-    first = check(missing, "initial_import", F.when(F.col("names") == "", "pass").otherwise("fail"), F.when(F.col("names") == "", "all imported").otherwise(F.concat(F.lit("missing: "), "names")))
+    first = check(missing, "initial_import", F.when(F.col("names") == "", "pass").otherwise("fail"), F.when(F.col("names") == "", "initial import complete for all required resources").otherwise(F.concat(F.lit("initial import not complete for: "), "names")))
     fetched = events.where("status = 'success' and ended_at is not null").groupBy("resource").agg(F.max("ended_at").alias("last"))
     fresh = F.col("last") >= at - F.expr(f"interval {t['staleness_minutes']} minutes")
     freshness = check(every.join(fetched, "resource", "left"), F.concat("resource", F.lit("_fetch_freshness")), F.when(fresh, "pass").otherwise("fail"), F.when(F.col("last").isNull(), "never fetched").when(fresh, "fresh").otherwise("stale"))
-    waiting = backlog(raw, cursors).agg(F.coalesce(F.sum("pending"), F.lit(0)).alias("n"))
-    behind = check(waiting, "raw_backlog", F.when(F.col("n") > t["backlog"], "fail").otherwise("pass"), F.concat(F.col("n").cast("string"), F.lit(" rows")))
+    waiting = backlog(raw.where(F.col("resource").isin(*PASS_ORDER)), cursors).join(cursors.select("resource", F.lit(True).alias("has")).distinct(), "resource", "left")
+    waiting = waiting.agg(F.coalesce(F.sum("pending"), F.lit(0)).alias("n"), _listed(PASS_ORDER, F.when(F.col("has").isNull(), F.col("resource"))).alias("bare"))
+    note = F.when(F.col("bare") != "", F.concat(F.lit(" (no processor cursor yet for: "), "bare", F.lit(")"))).otherwise("")
+    over, pending = F.col("n") > t["backlog"], F.col("n").cast("string")
+    said = F.when(over, F.concat(F.lit("raw backlog "), pending, F.lit(f" exceeds threshold {t['backlog']}"), note)).otherwise(F.concat(pending, F.lit(f" raw records pending (threshold {t['backlog']})"), note))
+    behind = check(waiting, "raw_backlog", F.when(over, "fail").otherwise("pass"), said)
     moved = cursors.agg(F.max("modified_at").alias("last"))
     processing = check(moved, "processing_freshness", F.when(fresh, "pass").otherwise("warn"), F.when(F.col("last").isNull(), "never processed").when(fresh, "fresh").otherwise("stale"))
     dead = jobs.where("status = 'permanently_failed'").agg(F.count("*").alias("n"))
     failures = check(dead, "attachment_failures", F.when(F.col("n") > t["failures"], "fail").otherwise("pass"), F.concat(F.col("n").cast("string"), F.lit(" failed")))
     newest = latest_event(events).join(every, "resource", "left_semi")
     stuck = (F.col("status") == "running") & (F.col("started_at") < at - F.expr(f"interval {STALE}"))
-    state = F.when((F.col("status") == "failed") | stuck, "fail").otherwise("pass")
-    resource_state = check(newest, F.concat("resource", F.lit("_state")), state, F.when(stuck, "running too long").otherwise(F.col("status")))
+    bad = newest.agg(_listed(resources, F.when(stuck | (F.col("status") == "failed"), F.col("resource")), F.when(stuck, " (stuck running)").otherwise(" (failed)")).alias("bad"))
+    resource_state = check(bad, "resource_state", F.when(F.col("bad") != "", "fail").otherwise("pass"), F.when(F.col("bad") != "", F.concat(F.lit("resource(s) in a bad state: "), "bad")).otherwise("no required resource stuck in a failed state"))
     rest = reduce(DataFrame.union, [freshness, behind, processing, failures, resource_state])
     ready = missing.select((F.col("names") == "").alias("ready"))
     rest = rest.join(F.broadcast(ready)).select("name", F.when(F.col("ready"), F.col("status")).otherwise("skipped").alias("status"), F.when(F.col("ready"), F.col("message")).otherwise("before the first import").alias("message"))

@@ -145,6 +145,21 @@ def named_list(tables: dict[str, DataFrame], name: str, **query) -> Page:
     return list_query(tables[resource], RESOURCES[resource].key_column, **query)
 
 
+#: The tables in which an id is looked up, in this order, and their keys.
+NODE_TABLES = {
+    "lookup": "lookup_key", "media": "media_key", "media_version": "version_id", "member": "member_key", "member_version": "version_id", "office": "office_key", "office_version": "version_id",
+    "open_house": "open_house_key", "open_house_version": "version_id", "property": "listing_key", "property_room": "room_key", "property_room_version": "version_id",
+    "property_unit_type": "unit_type_key", "property_unit_type_version": "version_id", "property_version": "version_id", "source_system": "source_system_id",
+}
+
+
+def node_tables(tables: dict[str, DataFrame]) -> list[tuple[str, DataFrame, str, bool]]:
+    """What ``nodes`` takes, in the order of lookup; entities may be hidden, versions and source systems may not."""
+    if unknown := set(tables) - set(NODE_TABLES):
+        raise ValueError(f"not tables of nodes: {sorted(unknown)}")
+    return [(name, tables[name], key, key not in ("version_id", "source_system_id")) for name, key in NODE_TABLES.items() if name in tables]
+
+
 def union_nodes(tables: list[tuple[str, DataFrame, str, bool]]) -> DataFrame:
     """(priority, id, type, visible) of many tables (type, rows, key, has visibility)."""
     each = [

@@ -403,13 +403,26 @@ def nodes_lookup(listing, agent, office):
     return page.nodes(tables, ["L5", "A3", "nothing", "F4", "L10", "L5"], listing.sparkSession)
 
 
-@query(*_LISTED.values(), oracle="""with asked as (select * from (values (0, 'M1-1'), (1, 'H2-3'), (2, 'U2-4'), (3, 'K3'), (4, 'K8'), (5, 'L5@1'), (6, 'A3@1'), (7, 'F2'), (8, 'nothing@1')) t(pos, id)),
-  known as (""" + " union all ".join([f"select {i} as p, {_KEYS[n]} as id, '{n}' as type, mlg_can_view as shown from {t}" for i, (n, t) in enumerate(_LISTED.items())] + [f"select {8 + i}, concat({_KEYS[n]}, '@1'), '{n}_version', true from {t}" for i, (n, t) in enumerate(_LISTED.items())]) + """)
+_NODES = {"lookup": "lookup", "media": "media", "member": "agent", "office": "office", "open_house": "open_house", "property": "listing", "property_room": "room", "property_unit_type": "unit_type"}
+_NODE_SQL = [
+    f"select {i} as p, {_NODES[n]}.{key} as id, '{n}' as type, mlg_can_view as shown from {_NODES[n]}" if n in _NODES
+    else f"select {i}, {key}, '{n}', true from source_system" if n == "source_system"
+    else f"select {i}, concat({page.NODE_TABLES[n.removesuffix('_version')]}, '@1'), '{n}', true from {_NODES[n.removesuffix('_version')]}"
+    for i, (n, key) in enumerate(page.NODE_TABLES.items())
+]
+
+
+@query(*_NODES.values(), "source_system", oracle="""with asked as (select * from (values (0, 'M1-1'), (1, 'H2-3'), (2, 'U2-4'), (3, 'K3'), (4, 'K8'), (5, 'L5@1'), (6, 'A3@1'), (7, 'F2'), (8, 'nothing@1'), (9, 'S1'), (10, 'L5'), (11, 'K3@1'), (12, 'F3'), (13, 'L7')) t(pos, id)),
+  known as (""" + " union all ".join(_NODE_SQL) + """ union all select 3, unnest(['L5', 'K8', 'F3']), 'member', true union all select 5, 'L7', 'office', false)
   select pos, asked.id, case when arg_min(shown, p) then arg_min(type, p) end as type from asked left join known using (id) group by 1, 2""")
 def nodes_of_all_tables(*tables):
-    entities = [(name, df, _KEYS[name], True) for name, df in zip(_LISTED, tables, strict=True)]
-    history = [(f"{name}_version", df.select(F.concat(_KEYS[name], F.lit("@1")).alias("version_id")), "version_id", False) for name, df in zip(_LISTED, tables, strict=True)]
-    return page.nodes(entities + history, ["M1-1", "H2-3", "U2-4", "K3", "K8", "L5@1", "A3@1", "F2", "nothing@1"], tables[0].sparkSession)
+    """Planted: members with the ids of a listing, a hidden lookup and an office; a hidden office with the id of a listing. A lookup has no versions."""
+    entities = dict(zip(_NODES, tables, strict=False))
+    history = {f"{n}_version": df.select(F.concat(page.NODE_TABLES[n], F.lit("@1")).alias("version_id")) for n, df in entities.items() if n != "lookup"}
+    planted = lambda n, ids, shown: entities[n].select(page.NODE_TABLES[n], "mlg_can_view").union(entities[n].sparkSession.createDataFrame([(i, shown) for i in ids], "id string, shown boolean"))
+    entities |= {"member": planted("member", ["L5", "K8", "F3"], True), "office": planted("office", ["L7"], False), "source_system": tables[-1]}
+    asked = ["M1-1", "H2-3", "U2-4", "K3", "K8", "L5@1", "A3@1", "F2", "nothing@1", "S1", "L5", "K3@1", "F3", "L7"]
+    return page.nodes(page.node_tables(entities | history), asked, tables[0].sparkSession)
 
 
 @query("listing", oracle="select listing_key, cast(floor((row_number() over (partition by city order by source_modified_at, listing_key) - 1) / 50) as bigint) as page_no from listing")
@@ -634,17 +647,45 @@ def latest_event(sync_event):
     return ledger.latest_event(sync_event).select("resource", "sync_event_id", "status")
 
 
-@query("sync_event", "cursors", "raw", "job", oracle=f"""with names as (select unnest(['lookup', 'office', 'member', 'property', 'open_house']) as resource),
-  f as (select resource, max(ended_at) as last_at from sync_event where status = 'success' and ended_at is not null group by 1),
-  n as (select * from (select *, row_number() over (partition by resource order by started_at desc, sync_event_id desc) as k from sync_event) where k = 1),
-  b as (select count(*) as n from raw left join cursors using (resource) where last_raw_seq is null or raw_seq > last_raw_seq)
-  select 'initial_import' as name, 'pass' as status union all select concat(resource, '_fetch_freshness'), case when last_at >= timestamp '{NOW}' - interval 60 minutes then 'pass' else 'fail' end from names left join f using (resource)
-  union all select 'raw_backlog', case when n > 500 then 'fail' else 'pass' end from b
-  union all select 'processing_freshness', case when max(modified_at) >= timestamp '{NOW}' - interval 60 minutes then 'pass' else 'warn' end from cursors
-  union all select 'attachment_failures', case when count(*) > 100 then 'fail' else 'pass' end from job where status = 'permanently_failed'
-  union all select concat(resource, '_state'), case when status = 'failed' or status = 'running' and started_at < timestamp '{NOW}' - interval 2 hours then 'fail' else 'pass' end from n""")
+_FETCHED = "(values (0, 'lookup'), (1, 'office'), (2, 'member'), (3, 'property'), (4, 'open_house')) t(i, resource)"
+_HEALTH = f"""with names as (select * from {_FETCHED}),
+  missing as (select coalesce(string_agg(resource, ', ' order by i), '') as who from names where resource not in (select resource from event where run_type = 'backfill' and status = 'success')),
+  f as (select resource, max(ended_at) as last_at from event where status = 'success' and ended_at is not null group by 1),
+  n as (select * from (select *, row_number() over (partition by resource order by started_at desc, sync_event_id desc) as k from event) where k = 1),
+  b as (select count(*) as n, string_agg(distinct resource, ', ') filter (c.resource_ is null) as bare from raw left join (select resource as resource_, last_raw_seq from cursors) c on c.resource_ = raw.resource
+    where (last_raw_seq is null or raw_seq > last_raw_seq) and resource <> 'nothing'),
+  s as (select string_agg(concat(resource, case when status = 'failed' then ' (failed)' else ' (stuck running)' end), ', ' order by i) as bad from n join names using (resource)
+    where status = 'failed' or status = 'running' and started_at < timestamp '{NOW}' - interval 2 hours),
+  r as (select concat(resource, '_fetch_freshness') as name, case when last_at >= timestamp '{NOW}' - interval 60 minutes then 'pass' else 'fail' end as status, case when last_at is null then 'never fetched' when last_at >= timestamp '{NOW}' - interval 60 minutes then 'fresh' else 'stale' end as message from names left join f using (resource)
+  union all select 'raw_backlog', case when n > 500 then 'fail' else 'pass' end, concat(case when n > 500 then concat('raw backlog ', n, ' exceeds threshold 500') else concat(n, ' raw records pending (threshold 500)') end, ' (no processor cursor yet for: ' || bare || ')') from b
+  union all select 'processing_freshness', case when max(modified_at) >= timestamp '{NOW}' - interval 60 minutes then 'pass' else 'warn' end, case when max(modified_at) >= timestamp '{NOW}' - interval 60 minutes then 'fresh' else 'stale' end from cursors
+  union all select 'attachment_failures', case when count(*) > 100 then 'fail' else 'pass' end, concat(count(*), ' failed') from job where status = 'permanently_failed'
+  union all select 'resource_state', case when bad is null then 'pass' else 'fail' end, coalesce('resource(s) in a bad state: ' || bad, 'no required resource stuck in a failed state') from s)
+  select 'initial_import' as name, case when who = '' then 'pass' else 'fail' end as status, case when who = '' then 'initial import complete for all required resources' else 'initial import not complete for: ' || who end as message from missing
+  union all select name, case when who = '' then status else 'skipped' end, case when who = '' then message else 'before the first import' end from r, missing"""
+_LIMITS = {"staleness_minutes": 60, "backlog": 500}
+
+
+@query("sync_event", "cursors", "raw", "job", oracle=_HEALTH.replace("with names", "with event as (from sync_event), names"))
 def health(sync_event, cursors, raw, job):
-    return ledger.sync_health(sync_event, cursors, raw, job, NOW, {"staleness_minutes": 60, "backlog": 500}).select("name", "status")
+    return ledger.sync_health(sync_event, cursors, raw, job, NOW, _LIMITS)
+
+
+@query("sync_event", "cursors", "raw", "job", oracle=_HEALTH.replace("with names", "with event as (from sync_event where not (resource = 'member' and run_type = 'backfill') and resource <> 'lookup'), names"))
+def health_before_import(sync_event, cursors, raw, job):
+    """Two resources without a first import: all else is skipped."""
+    return ledger.sync_health(sync_event.where("not (resource = 'member' and run_type = 'backfill') and resource <> 'lookup'"), cursors, raw, job, NOW, _LIMITS)
+
+
+@query("sync_event", "cursors", "raw", "job", oracle=_HEALTH.replace("with names", """with event as (select * replace (case when resource in ('office', 'property') then 'running' when resource = 'member' then 'success' else status end as status)
+    from (select *, row_number() over (partition by resource order by started_at desc, sync_event_id desc) as newest from sync_event) where newest = 1 union all select *, 2 from sync_event where run_type = 'backfill' and status = 'success'), names""").replace("from raw left", "from (from raw where raw_seq % 50 = 0 union all select raw_seq, 'nothing', source_key, source_modified_at, change_type, payload from raw) raw left"))
+def health_of_stuck_runs(sync_event, cursors, raw, job):
+    """The newest runs of two resources are stuck; most raw rows are of a resource that is not processed."""
+    newest = ledger.latest_event(sync_event).select(sync_event.columns)
+    status = F.when(F.col("resource").isin("office", "property"), "running").when(F.col("resource") == "member", "success").otherwise(F.col("status"))
+    events = newest.withColumn("status", status).union(sync_event.where("run_type = 'backfill' and status = 'success'"))
+    rows = raw.where("raw_seq % 50 = 0").union(raw.withColumn("resource", F.lit("nothing")).select(raw.columns))
+    return ledger.sync_health(events, cursors, rows, job, NOW, _LIMITS)
 
 
 # --- projection and audits -------------------------------------------------------------------------------------
@@ -655,7 +696,7 @@ def _payloads(listing: DataFrame) -> DataFrame:
     record = F.struct(
         F.col("listing_key").alias("ListingKey"), F.date_format("source_modified_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ModificationTimestamp"), F.col("mlg_can_view").alias("MlgCanView"),
         F.col("list_price").cast("string").alias("ListPrice"), F.col("city").alias("City"), F.col("latitude").alias("Latitude"), (F.col("raw_seq") % 7).alias("BedroomsTotal"),
-        F.when(F.col("raw_seq") % 4 != 0, F.date_format("source_modified_at", "yyyy-MM-dd")).alias("ListingContractDate"), F.array("state_or_province", "standard_status").alias("View"),
+        F.when(F.col("raw_seq") % 4 != 0, F.date_format("source_modified_at", "yyyy-MM-dd")).alias("ListingContractDate"), F.array("state_or_province", F.when(F.col("raw_seq") % 13 != 0, F.col("standard_status"))).alias("View"),
         F.when(F.col("raw_seq") % 3 == 0, F.col("street_name")).alias("XStreet"), F.when(F.col("raw_seq") % 5 == 0, F.array(F.lit(1), F.lit(2))).alias("XList"), F.lit("").alias("Country"),
     )
     text = F.to_json(record)
@@ -739,7 +780,7 @@ def project_all_columns(listing):
 _GOOD = "(raw_seq = 0 or raw_seq % 50 <> 0)"
 
 
-@query("listing", oracle=f"select listing_key, cast(list_price as double) as list_price, city, latitude, cast(raw_seq % 7 as smallint) as bedrooms_total, mlg_can_view, strftime(case when raw_seq % 4 <> 0 then source_modified_at end, '%Y-%m-%d') as contract, concat(state_or_province, '+', standard_status) as view, cast(null as varchar) as country from listing where {_GOOD}")
+@query("listing", oracle=f"select listing_key, cast(list_price as double) as list_price, city, latitude, cast(raw_seq % 7 as smallint) as bedrooms_total, mlg_can_view, strftime(case when raw_seq % 4 <> 0 then source_modified_at end, '%Y-%m-%d') as contract, concat(state_or_province, '+', case when raw_seq % 13 <> 0 then standard_status else '' end) as view, cast(null as varchar) as country from listing where {_GOOD}")
 def project_property(listing):
     good, _ = project.poison_split(project.project(_payloads(listing), "property"))
     return good.select("listing_key", F.col("list_price").cast("double"), "city", F.col("latitude").cast("double"), "bedrooms_total", "mlg_can_view", F.date_format("listing_contract_date", "yyyy-MM-dd").alias("contract"), F.array_join("view", "+").alias("view"), "country")
@@ -760,9 +801,19 @@ def unconsumed_keys(listing):
     return audit.validate_raw(_payloads(listing), "property")["unconsumed"]
 
 
-@query("listing", oracle=f"select 'XStreet' as field, count(*) as n, min(raw_seq) as first_seq, concat(chr(34), arg_min(street_name, raw_seq), chr(34)) as sample, concat('string, len ', length(arg_min(street_name, raw_seq))) as shape from listing where {_GOOD} and raw_seq % 3 = 0")
+@query("listing", oracle=f"""with g as (select raw_seq, 'XStreet' as field, concat(chr(34), street_name, chr(34)) as v, concat('string, len ', strlen(street_name)) as shape from listing where {_GOOD} and raw_seq % 3 = 0
+  union all select raw_seq, 'XNote', concat('["', repeat('é', 90 + raw_seq % 30), '"]'), 'array, 1 items' from listing where {_GOOD} and raw_seq % 11 = 0
+  union all select raw_seq, 'XName', concat('"', repeat('ü', 1 + raw_seq % 30), '"'), concat('string, len ', 2 + 2 * (raw_seq % 30)) from listing where {_GOOD} and raw_seq % 7 = 0)
+  select field, count(*) as n, min(raw_seq) as first_seq, case when strlen(arg_min(v, raw_seq)) > 200 then concat(left(arg_min(v, raw_seq), 101), '…(truncated)') else arg_min(v, raw_seq) end as sample, arg_min(shape, raw_seq) as shape from g group by 1""")
 def field_drift(listing):
-    return audit.field_drift(project.project(_payloads(listing), "property").where("error is null"), ["XList"])
+    """Planted: letters of two bytes each, in lists some of which are over the most bytes, and in strings."""
+    rows = project.project(_payloads(listing), "property").where("error is null")
+    letters = lambda letter, n: F.repeat(F.lit(letter), n.cast("int"))
+    seq = F.col("raw_seq")
+    note = F.when(seq % 11 == 0, F.create_map(F.lit("XNote"), F.concat(F.lit('["'), letters("é", 90 + seq % 30), F.lit('"]'))))
+    name = F.when(seq % 7 == 0, F.create_map(F.lit("XName"), F.concat(F.lit('"'), letters("ü", 1 + seq % 30), F.lit('"'))))
+    all_ = F.map_concat(*[F.coalesce(c, F.expr("map()").cast("map<string,string>")) for c in (F.col("extended_fields"), note, name)])
+    return audit.resource_drift(rows.withColumn("extended_fields", all_), "property", ("XList",))
 
 
 @query("listing", oracle="select count(*) as rows, count(*) filter (raw_seq % 50 = 0 and raw_seq > 0) as errors from listing")
@@ -852,8 +903,8 @@ def enqueue(media, job):
     return jobs.enqueue_jobs(media, job).select("media_key", _time("revision"))
 
 
-_WARM = """select media_key from media where mlg_can_view and attachment_id is null and resource_record_key in (select listing_key from listing where mlg_can_view and standard_status in ('Active', 'ActiveUnderContract'))
-  and media_key not in (select media_key from job where status in ('pending', 'retrying', 'in_progress'))"""
+_WARM = """select media_key from media where attachment_id is null and resource_record_key in (select listing_key from listing where standard_status in ('Active', 'ActiveUnderContract'))
+  and media_key not in (select media_key from job where status in ('pending', 'retrying', 'in_progress', 'succeeded'))"""
 
 
 @query("listing", "media", "job", oracle=_WARM)

@@ -364,6 +364,60 @@ def test_health_before_and_after_import(spark):
         ledger.sync_health(events, cursors, raw, none, "2024-01-01", {"staleness_minutes": 0})
 
 
+def test_health_names_bad_resources_and_missing_cursors(spark):
+    event = "sync_event_id long, resource string, run_type string, status string, started_at timestamp, ended_at timestamp, high_water_mark timestamp"
+    done = [(i, r, "backfill", "success", hours(0), hours(1), None) for i, r in enumerate(ledger.FETCHED)]
+    cursors = spark.createDataFrame([("property", 5, hours(1))], "resource string, last_raw_seq long, modified_at timestamp")
+    raw = spark.createDataFrame([(r, i) for r in ("media", "property", "lookup", "elsewhere") for i in range(10)], "resource string, raw_seq long")
+    none = spark.createDataFrame([], "status string")
+
+    def report(events, **limits):
+        return {r.name: (r.status, r.message) for r in ledger.sync_health(spark.createDataFrame(events, event), cursors, raw, none, "2024-01-01 05:00:00", limits).collect()}
+
+    well = report(done)
+    assert len(well) == 10 and well["resource_state"] == ("pass", "no required resource stuck in a failed state")
+    assert well["raw_backlog"] == ("pass", "24 raw records pending (threshold 10000) (no processor cursor yet for: lookup, media)")
+    assert report(done, backlog=23)["raw_backlog"] == ("fail", "raw backlog 24 exceeds threshold 23 (no processor cursor yet for: lookup, media)")
+    ill = report([*done, (9, "property", "sync", "failed", hours(3), hours(3), None), (8, "office", "sync", "running", hours(2), None, None), (7, "member", "sync", "running", hours(4), None, None), (6, "media", "sync", "failed", hours(4), None, None)])
+    assert ill["resource_state"] == ("fail", "resource(s) in a bad state: office (stuck running), property (failed)")
+    early = report([d for d in done if d[1] not in ("open_house", "lookup")])
+    assert early.pop("initial_import") == ("fail", "initial import not complete for: lookup, open_house") and {s for s, _ in early.values()} == {"skipped"}
+
+
+def test_warming_counts_hidden_rows_and_spoken_for_media(spark):
+    listings = spark.createDataFrame([("a", "Active", False), ("b", "Closed", True), ("c", "ActiveUnderContract", True)], "listing_key string, standard_status string, mlg_can_view boolean")
+    media = spark.createDataFrame([(f"{k}{i}", "property", k, False, None) for k in "abc" for i in range(6)] + [("c9", "property", "c", True, "there"), ("c8", "member", "c", True, None)], "media_key string, resource_type string, resource_record_key string, mlg_can_view boolean, attachment_id string")
+    work = spark.createDataFrame([(f"a{i}", s) for i, s in enumerate(["pending", "retrying", "in_progress", "succeeded", "canceled", "permanently_failed"])], "media_key string, status string")
+    assert sorted(r.media_key for r in jobs.warm_plan(listings, media, work).collect()) == ["a4", "a5", *(f"c{i}" for i in range(6))]
+    assert [r.media_key for r in jobs.warm_plan(listings, media, work, limit=3).collect()] == ["a4", "a5", "c0"]
+
+
+def test_node_order_decides(spark):
+    keyed = lambda key, rows: spark.createDataFrame(rows, f"{key} string, mlg_can_view boolean")
+    tables = page.node_tables({"source_system": spark.createDataFrame([("1",), ("2",), ("4",)], "source_system_id string"), "property": keyed("listing_key", [("1", True), ("3", True)]), "media_version": spark.createDataFrame([("3",), ("2",)], "version_id string"), "lookup": keyed("lookup_key", [("2", False)])})
+    assert [t[0] for t in tables] == ["lookup", "media_version", "property", "source_system"] and len(page.NODE_TABLES) == 16
+    assert [r.type for r in page.nodes(tables, ["1", "2", "3", "4", "5"], spark).collect()] == ["property", None, "media_version", "source_system", None]
+    with pytest.raises(ValueError):
+        page.node_tables({"lookup_version": None})
+
+
+def test_null_elements_of_string_lists_are_empty(spark):
+    rows = [(1, '["a", null]'), (2, "[null]"), (3, '["a", 1]'), (4, "[]"), (5, "null"), (6, '"a"')]
+    stamp = '"ListingKey": "L", "ModificationTimestamp": "2024-01-02T03:04:05Z", "MlgCanView": true'
+    raw = spark.createDataFrame([(i, f'{{{stamp}, "Appliances": {v}}}', "property", "L", hours(1)) for i, v in rows], "raw_seq long, payload string, resource string, source_key string, source_modified_at timestamp")
+    got = {r.raw_seq: (r.appliances, r.error) for r in project.project(raw, "property").select("raw_seq", "appliances", "error").collect()}
+    assert got == {1: (["a", ""], None), 2: ([""], None), 3: (got[3][0], "Appliances: not a strings"), 4: (None, None), 5: (None, None), 6: (got[6][0], "Appliances: not a strings")}
+
+
+def test_samples_are_cut_by_bytes(spark):
+    texts = ["é" * 100, "é" * 101, "x" + "é" * 100, "x" * 200, "x" * 201, None]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(audit.cut_bytes(F.col("t"), 200)).collect()]
+    assert got == ["é" * 100, "é" * 100 + "…(truncated)", "x" + "é" * 99 + "\ufffd…(truncated)", "x" * 200, "x" * 200 + "…(truncated)", None]
+    rows = spark.createDataFrame([(1, {"OfficeEmail": '"é"', "New": '"éé"'}), (2, {"New": "1"})], "raw_seq long, extended_fields map<string,string>")
+    assert [tuple(r) for r in audit.resource_drift(rows, "office").collect()] == [("New", 2, 1, '"éé"', "string, len 4")]
+    assert {r.field for r in audit.resource_drift(rows, "property", ("New",)).collect()} == {"OfficeEmail"}
+
+
 def test_describe_value(spark):
     texts = {"null": "null", "true": "bool", '"abc"': "string, len 3", "1.5": "number", "[1,2]": "array, 2 items", '{"a":1}': "object, 1 keys", "abc": "string, len 3"}
     got = {r.t: r.d for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", audit.describe_value(F.col("t")).alias("d")).collect()}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 A, FLATTENING = 6378137.0, 1 / 298.257223563
 B = A * (1 - FLATTENING)
 MAX_POLYGONS, MAX_VERTICES = 64, 4096
-Point = tuple[float, float]  # latitude, longitude
+Point = tuple[float, float]  # latitude, longitude; as a centre, a row may also bring its own as Columns
 
 
 def point(lat: Column, lng: Column) -> tuple[Column, Column]:
@@ -57,16 +57,18 @@ def within_bounds(lat: Column, lng: Column, sw: Point, ne: Point) -> Column:
     return lat.between(sw[0], ne[0]) & lng.between(sw[1], ne[1])
 
 
+def _column(x: Column | float) -> Column:
+    return x if isinstance(x, Column) else F.lit(float(x))
+
+
 def geodesic(lat: Column, lng: Column, center: Point, turns: int = 12) -> Column:
     """Metres on the WGS84 spheroid by Vincenty's inverse formula; NULL where it does not settle (near antipodes)."""
-    u1 = math.atan((1 - FLATTENING) * math.tan(math.radians(center[0])))
-    su1, cu1 = math.sin(u1), math.cos(u1)
-    u2 = F.atan((1 - FLATTENING) * F.tan(F.radians(lat)))
-    span = F.radians(lng - center[1])
-    place = F.struct(F.sin(u2).alias("s"), F.cos(u2).alias("c"), span.alias("l"))
+    u1, u2 = (F.atan((1 - FLATTENING) * F.tan(F.radians(x))) for x in (_column(center[0]), lat))
+    span = F.radians(lng - _column(center[1]))
+    place = F.struct(F.sin(u2).alias("s"), F.cos(u2).alias("c"), span.alias("l"), F.sin(u1).alias("s1"), F.cos(u1).alias("c1"))
 
     def terms(p: Column, lam: Column) -> dict[str, Column]:
-        s2, c2 = p["s"], p["c"]
+        s2, c2, su1, cu1 = p["s"], p["c"], p["s1"], p["c1"]
         sin_sigma = F.sqrt(F.pow(c2 * F.sin(lam), 2) + F.pow(cu1 * s2 - su1 * c2 * F.cos(lam), 2))
         cos_sigma = su1 * s2 + cu1 * c2 * F.cos(lam)
         sin_alpha = F.when(sin_sigma == 0, 0.0).otherwise(cu1 * c2 * F.sin(lam) / sin_sigma)
@@ -110,7 +112,8 @@ def geodesic(lat: Column, lng: Column, center: Point, turns: int = 12) -> Column
 
 def sphere(lat: Column, lng: Column, center: Point) -> Column:
     """Metres on the sphere of the mean radius, by the haversine formula."""
-    a = F.pow(F.sin(F.radians(lat - center[0]) / 2), 2) + F.cos(F.radians(lat)) * math.cos(math.radians(center[0])) * F.pow(F.sin(F.radians(lng - center[1]) / 2), 2)
+    clat, clng = map(_column, center)
+    a = F.pow(F.sin(F.radians(lat - clat) / 2), 2) + F.cos(F.radians(lat)) * F.cos(F.radians(clat)) * F.pow(F.sin(F.radians(lng - clng) / 2), 2)
     return 2 * (2 * A + B) / 3 * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
@@ -122,10 +125,15 @@ def within_radius(lat: Column, lng: Column, center: Point, meters: float) -> Col
     if widest < 89 and reach / math.cos(math.radians(widest)) < 180 - abs(center[1]):
         side = reach / math.cos(math.radians(widest))
         box = box & lng.between(center[1] - side, center[1] + side)
+    return box & reached(lat, lng, center, F.lit(float(meters)))
+
+
+def reached(lat: Column, lng: Column, center: tuple, meters: Column) -> Column:
+    """Geodesic distance of at most ``meters``, without a box; centre and metres may be a row's own."""
     # the spheroid's distance is that of a sphere to within 0.6 percent, so the long formula is for a narrow ring only
     far = sphere(lat, lng, center)
     ring = F.when(far <= meters * 0.993, True).when(far >= meters * 1.007, False).otherwise(F.coalesce(geodesic(lat, lng, center) <= meters, F.lit(False)))
-    return box & F.coalesce(ring, F.lit(False))
+    return F.coalesce(ring, F.lit(False))
 
 
 def _closed(ring: list[Point]) -> list[Point]:
@@ -137,6 +145,11 @@ def within_polygon(lat: Column, lng: Column, ring: list[Point]) -> Column:
     ring = _closed([(float(a), float(b)) for a, b in ring])
     box = within_bounds(lat, lng, (min(p[0] for p in ring), min(p[1] for p in ring)), (max(p[0] for p in ring), max(p[1] for p in ring)))
     edges = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("y1", "x1", "y2", "x2"), (*a, *b), strict=True)]) for a, b in zip(ring, ring[1:], strict=False)])
+    return box & enclosed(lat, lng, edges)
+
+
+def enclosed(lat: Column, lng: Column, edges: Column) -> Column:
+    """Inside or on one of ``edges``, an array of (y1, x1, y2, x2). Only edges that reach the point's latitude count, so these are enough."""
 
     def on_edge(e: Column) -> Column:
         cross = (e["x2"] - e["x1"]) * (lat - e["y1"]) - (e["y2"] - e["y1"]) * (lng - e["x1"])
@@ -147,7 +160,7 @@ def within_polygon(lat: Column, lng: Column, ring: list[Point]) -> Column:
         return spans & (lng < (e["x2"] - e["x1"]) * (lat - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"])
 
     odd = F.size(F.filter(edges, lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
-    return box & (odd | F.exists(edges, on_edge))
+    return odd | F.exists(edges, on_edge)
 
 
 def within_polygons(lat: Column, lng: Column, rings: list[list[Point]]) -> Column:

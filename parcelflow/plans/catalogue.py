@@ -984,3 +984,6 @@ def stream_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["stream_versions"] = stream_versions
 ORACLES["stream_versions"] = ORACLES["outcomes"]
+
+
+from . import stores  # noqa: E402, F401  registers more queries

@@ -39,6 +39,11 @@ VIEWS = {
   from {lineitem} where l_linenumber % 4 = 0 group by l_orderkey, l_linenumber""",
     "lookup": """select concat('K', cast(p_partkey as string)) as lookup_key, p_brand as lookup_name, p_name as lookup_value, p_partkey % 8 <> 0 as mlg_can_view from {part}""",
     "source_system": """select concat('S', cast(r_regionkey as string)) as source_system_id, r_name as name from {region}""",
+    "territory": " union all ".join(
+        f"select concat('F', cast(s_suppkey as string)) as region_id, {ring} as ring, {seq} as seq, 30 + cast(s_suppkey * {ring + 37} % 700 + {up} as double) / 1000 as latitude, -98 + cast(s_suppkey * {53 - ring} % 400 + {right} as double) / 500 as longitude from {{supplier}}"
+        for ring, corners in enumerate([[(0, 0), (100, 0), (100, 60), (50, 90), (0, 60)], [(20, 10), (220, 10), (20, 110), (120, 60)]])
+        for seq, (up, right) in enumerate(corners)
+    ),
     "roles": """select listing_key, list_agent_key, concat('A', cast(raw_seq % 700 as string)) as co_list_agent_key, concat('A', cast(raw_seq % 1100 as string)) as buyer_agent_key,
   case when raw_seq % 3 = 0 then concat('A', cast(raw_seq % 900 as string)) end as co_buyer_agent_key, list_office_key, concat('F', cast(raw_seq % 50 as string)) as co_list_office_key,
   concat('F', cast(raw_seq % 70 as string)) as buyer_office_key, case when raw_seq % 4 = 0 then concat('F', cast(raw_seq % 90 as string)) end as co_buyer_office_key from {listing}""",

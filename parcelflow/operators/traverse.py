@@ -51,6 +51,22 @@ def office_tree(offices: DataFrame) -> DataFrame:
     return joined.select("office_key", "main_name", F.coalesce("branches", F.lit(0)).alias("branches"))
 
 
+def office_ancestors(offices: DataFrame, most: int = 64) -> DataFrame:
+    """(office_key, ancestor_key, depth): all main offices above each office, the nearest at depth 1; hidden ones too.
+
+    An office is its own ancestor nowhere: where main offices go round in a circle, each sees the others once. A key without a row of its own ends a chain, and so does depth ``most``.
+    """
+    return offices.sparkSession.sql(
+        f"""with recursive up (office_key, ancestor_key, depth, seen) max recursion level {most + 1} as (
+          select office_key, main_office_key, 1, array(office_key, main_office_key) from {{edges}}
+          union all
+          select up.office_key, e.main_office_key, up.depth + 1, array_append(up.seen, e.main_office_key) from up join {{edges}} e on e.office_key = up.ancestor_key
+            where up.depth < {most} and not array_contains(up.seen, e.main_office_key))
+        select office_key, ancestor_key, depth from up limit all""",
+        edges=offices.where("main_office_key is not null and main_office_key <> office_key").select("office_key", "main_office_key"),
+    )
+
+
 def children_of(listings: DataFrame, children: DataFrame, key: str, name: str, include_hidden: bool = True) -> DataFrame:
     """``listings`` with the sorted keys of their children under ``name``; tombstoned children count by default."""
     rows = children if include_hidden else children.where("mlg_can_view")

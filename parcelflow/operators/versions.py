@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelflow.sources.snapshot import work_folder
+
 OUTCOMES = ("insert", "update", "delete", "skip-stale", "skip-no-diff", "skip-tombstoned")
 WRITTEN = ("insert", "update", "delete")
 #: Keys with more rows than this are folded from sorted rows, one at a time, instead of a collected array.
@@ -34,7 +36,9 @@ _STATE = "struct<found:boolean,tomb:boolean,at:timestamp,text:string,seq:bigint,
 
 
 def _fold_native(rows: DataFrame, key: str) -> DataFrame:
-    gathered = rows.groupBy(key).agg(
+    # by number: a fold is much work on few bytes, which adaptive execution would put into one task
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gathered = rows.repartition(parts, key).groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("raw_seq", F.col("source_modified_at").alias("at"), F.col("mlg_can_view").alias("visible"), "text"))).alias("rows"),
         *[F.first(f"state_{c}").alias(f"state_{c}") for c in ("found", "tomb", "at", "text", "seq")],
     )
@@ -102,17 +106,32 @@ def fold_versions(typed: DataFrame, key: str, columns: list[str], state: DataFra
 
     A skipped row does not move what later rows are compared with. ``typed`` has raw_seq, source_modified_at,
     mlg_can_view and the data ``columns``; ``state`` (key, found, tomb, at, text, seq) seeds keys with their stored
-    entity and open version. Only seq, time, visibility and canonical text are shuffled.
+    entity and open version. Only seq, time, visibility and canonical text are shuffled. They are written first, so that ``typed``
+    (in real use the projection of payloads) is evaluated once. Rows without a key are one history, however long, and are folded in order.
     """
-    rows = typed.select(key, "raw_seq", "source_modified_at", "mlg_can_view", data_text(columns).alias("text"))
+    narrow = typed.select(key, "raw_seq", "source_modified_at", "mlg_can_view", data_text(columns).alias("text"))
+    return _fold(written_once(narrow, "narrow"), key, state, long_history)
+
+
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the work folder: what is expensive and read by several branches is evaluated once."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _fold(rows: DataFrame, key: str, state: DataFrame | None, long_history: int) -> DataFrame:
+    """``fold_versions`` of rows (key, raw_seq, source_modified_at, mlg_can_view, text)."""
+    kind = rows.schema[key].dataType.simpleString()
+    sizes = rows.groupBy(key).count()
     if state is not None:
         rows = rows.join(state.select(key, *[F.col(c).alias(f"state_{c}") for c in ("found", "tomb", "at", "text", "seq")]), key, "left")
     else:
         rows = rows.select("*", F.lit(None).cast("boolean").alias("state_found"), F.lit(None).cast("boolean").alias("state_tomb"), F.lit(None).cast("timestamp").alias("state_at"), F.lit(None).cast("string").alias("state_text"), F.lit(None).cast("long").alias("state_seq"))
     rows = rows.withColumn("source_modified_at", F.col("source_modified_at").cast("timestamp"))
-    long = typed.groupBy(key).count().where(F.col("count") > long_history).select(key)
-    short = _fold_native(rows.join(long, key, "left_anti"), key)
-    return short.union(_fold_sorted(rows.join(long, key, "left_semi"), key, typed.schema[key].dataType.simpleString()))
+    long = sizes.where((F.col("count") > long_history) | F.col(key).isNull()).select(F.col(key).alias("__long"))
+    of_long = F.col(key).eqNullSafe(F.col("__long"))
+    return _fold_native(rows.join(long, of_long, "left_anti"), key).union(_fold_sorted(rows.join(long, of_long, "left_semi"), key, kind))
 
 
 def fold_monotone(typed: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -172,21 +191,31 @@ def build_versions(typed: DataFrame, outcomes: DataFrame, key: str, columns: lis
     types = {f.name: f.dataType.simpleString() for f in typed.schema.fields}
     full = [c for c in ("mlg_can_view", *columns) if c in types]
     written = outcomes.where(F.col("outcome").isin(*WRITTEN))
-    current = written.join(typed.select("raw_seq", "source_modified_at", *full), "raw_seq")
-    source = typed.select(F.col("raw_seq").alias("prior_seq"), F.col("mlg_can_view").alias("__shown"), *[F.col(c).alias(f"old_{c}") for c in full])
+    joined = written.join(typed.select("raw_seq", "source_modified_at", *full), "raw_seq")
+    w = Window.partitionBy(key).orderBy("raw_seq")
+    # what a version is compared with is the version before it: of this batch, or for a key's first one the stored open version
+    before = F.lag(F.struct(*full)).over(w)
     if open_versions is not None:
-        source = source.union(open_versions.select(F.col("raw_seq"), F.col("mlg_can_view"), *full))
-    joined = current.join(source, "prior_seq", "left")
-    old = {c: F.col(f"old_{c}") if c == "mlg_can_view" else F.when(F.col("__shown"), F.col(f"old_{c}")) for c in full}
+        stored = open_versions.select(F.col("raw_seq").alias("prior_seq"), F.struct(*[F.col(c).cast(types[c]).alias(c) for c in full]).alias("__stored"))
+        joined, before = joined.join(stored, "prior_seq", "left"), F.coalesce(before, F.col("__stored"))
+    joined = joined.withColumn("__old", before).withColumn("__until", F.lead("source_modified_at").over(w))
+    old = {c: F.col(f"__old.{c}") if c == "mlg_can_view" else F.when(F.col("__old.mlg_can_view"), F.col(f"__old.{c}")) for c in full}
     changed = F.when(F.col("outcome") == "update", diff_fields(old, {c: F.col(c) for c in full}, types))
-    w = Window.partitionBy(key).orderBy("raw_seq")
     sparse = [F.when(F.col("outcome") != "delete", F.col(c)).alias(c) for c in columns]
     return joined.select(
         F.sha2(F.concat_ws("/", F.col(key).cast("string"), F.col("raw_seq").cast("string")), 256).alias("version_id"), key, "raw_seq", F.col("source_modified_at").alias("valid_from"),
-        F.lead("source_modified_at").over(w).alias("valid_to"), F.col("outcome").alias("change_type"), changed.alias("changed_fields"), "mlg_can_view", *sparse,
+        F.col("__until").alias("valid_to"), F.col("outcome").alias("change_type"), changed.alias("changed_fields"), "mlg_can_view", *sparse,
     )
 
 
+def version_batch(typed: DataFrame, key: str, columns: list[str], state: DataFrame | None = None, open_versions: DataFrame | None = None, long_history: int = LONG_HISTORY) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, version rows) of a batch. Its typed rows are written once and read from there, by column: payloads are parsed once."""
+    rows = written_once(typed.withColumn("__text", data_text(columns)), "typed")
+    narrow = rows.select(key, "raw_seq", "source_modified_at", "mlg_can_view", F.col("__text").alias("text"))
+    outcomes = written_once(_fold(narrow, key, state, long_history), "outcomes")
+    return outcomes, build_versions(rows.drop("__text"), outcomes, key, columns, open_versions)
+
+
 def close_prior(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     """Stored versions with the open one of each key closed at the time of the key's first new version."""
     first = fresh.groupBy(key).agg(F.min_by("valid_from", "raw_seq").alias("__closed"))
@@ -222,6 +251,30 @@ def as_of(versions: DataFrame, at) -> DataFrame:
     return versions.where((F.col("valid_from") <= t) & (F.col("valid_to").isNull() | (F.col("valid_to") > t)))
 
 
+def as_of_each(versions: DataFrame, probes: DataFrame, key: str, at: str, columns: list[str]) -> DataFrame:
+    """``probes`` with ``columns`` of the version that was valid at each one's own time ``at``; NULL where there was none.
+
+    Probes and versions are sorted together by key and time, and the last version is carried forward. They are dealt out by ranges of (key, time), so that one very long
+    history is many tasks; of each range and key only the last version goes on to the ranges after it. No pair of probe and version is made but the one that counts.
+    """
+    kind = dict(versions.select(F.col(key).alias("k"), F.col("valid_from").cast("timestamp").alias("t")).dtypes)
+    mine = [F.col(c) for c in probes.columns]
+    rows = versions.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col("valid_from").cast("timestamp").alias("__t"), F.lit(0).alias("__probe"), F.struct("raw_seq", *columns).alias("__version"))
+    asked = probes.select(F.col(key).cast(kind["k"]).alias("__key"), F.col(at).cast("timestamp").alias("__t"), F.lit(1).alias("__probe"), F.struct(*mine).alias("__row"))
+    both = rows.unionByName(asked, allowMissingColumns=True)
+    order = ["__t", "__probe", F.col("__version.raw_seq")]
+    cut = written_once(both.repartitionByRange("__key", "__t", "__probe").withColumn("__range", F.spark_partition_id()), "probes")
+    here = cut.withColumn("__here", F.last("__version", ignorenulls=True).over(Window.partitionBy("__range", "__key").orderBy(*order)))
+    ends = cut.where("__probe = 0").groupBy("__key", "__range").agg(F.max_by("__version", F.struct("__t", "__version.raw_seq")).alias("__last"))
+    spans = cut.select("__key", "__range").distinct().join(ends, ["__key", "__range"], "left")
+    carried = spans.withColumn("__carried", F.last("__last", ignorenulls=True).over(Window.partitionBy("__key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)))
+    carried = carried.where("__carried is not null").select(F.col("__key").alias("__k"), F.col("__range").alias("__r"), "__carried")
+    found = here.where("__probe = 1").join(carried, (F.col("__key") == F.col("__k")) & (F.col("__range") == F.col("__r")), "left")
+    there = F.col("__t").isNotNull() & F.col("__key").isNotNull()
+    version = F.when(there, F.coalesce("__here", "__carried")).alias("__v")
+    return found.select("__row.*", version).select(*mine, *[F.col(f"__v.{c}").alias(c) for c in ("raw_seq", *columns)])
+
+
 def history(versions: DataFrame, key: str, value) -> DataFrame:
     return versions.where(F.col(key) == value).orderBy("valid_from", "raw_seq")
 

@@ -77,7 +77,7 @@ def _outcomes(feed: DataFrame) -> DataFrame:
 
 
 def _versions(feed: DataFrame) -> DataFrame:
-    return versions.build_versions(feed, _outcomes(feed), "source_key", FEED_DATA)
+    return versions.version_batch(feed, "source_key", FEED_DATA)[1]
 
 
 @query("feed", oracle=_FOLD + "select outcome, count(*) as n from outcomes group by 1")

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parcelflow.operators.address_index import AddressIndex
+from parcelflow.operators import traverse, versions
 from parcelflow.operators.regions import RegionGrid
+from parcelflow.operators.version_store import VersionStore
+from parcelflow.sources.snapshot import work_folder
 
-from .catalogue import _similar, query
+from .catalogue import _FOLD, FEED_DATA, _similar, _t, _time, _versions, query
 
 # --- address search --------------------------------------------------------------------------------------------
 
@@ -52,3 +55,66 @@ def address_matches(listing):
 def listings_per_region(listing, territory):
     """All listings against all offices' territories of two polygons each; corners and edges have listings on them."""
     return RegionGrid(territory).match(listing).groupBy("region_id").agg(F.count("*").alias("n"))
+
+
+# --- version stores --------------------------------------------------------------------------------------------
+
+_HISTORY = f"select source_key, raw_seq, {_t('valid_from')}, {_t('valid_to')}, change_type, mlg_can_view, coalesce(list_price, -1) as list_price, status from versions"
+_REMAPPED = "recursive remapped as (select * replace (case when raw_seq >= 5000000000 and raw_seq % 4 = 0 then list_price * 10 else list_price end as list_price) from feed), "
+
+
+def _stored(feed):
+    """The feed applied to a store in four batches of arrival, compacted after the second, and opened again before the last."""
+    spark = feed.sparkSession
+    folder = work_folder(spark, "version-store")
+    store = VersionStore(spark, folder, "source_key", FEED_DATA, buckets=8)
+    for i in range(4):
+        if i == 2:
+            store.compact()
+        if i == 3:
+            store = VersionStore(spark, folder, "source_key", FEED_DATA, buckets=8)
+        store.apply(feed.where((F.col("raw_seq") >= i * 2500000000) & (F.col("raw_seq") < (i + 1) * 2500000000 if i < 3 else F.lit(True))))
+    return store
+
+
+def _shown(history):
+    return history.select("source_key", "raw_seq", _time("valid_from"), _time("valid_to"), "change_type", "mlg_can_view", *FEED_DATA).fillna(-1, ["list_price"])
+
+
+@query("feed", oracle=_FOLD + _HISTORY)
+def version_store(feed):
+    """The history in a bucketed store after four batches is that of one fold."""
+    return _shown(_stored(feed).history())
+
+
+@query("feed", oracle=_REMAPPED + _FOLD.removeprefix("recursive ").replace("from feed", "from remapped").replace("join feed", "join remapped") + _HISTORY)
+def reprocessed_history(feed):
+    """A replay of the later half of the ledger under a changed mapping; one under the mapping that was used changes nothing."""
+    store = _stored(feed)
+    if store.reprocess(feed, from_seq=5000000000):
+        raise AssertionError("an unchanged mapping has changed versions")
+    price = F.when((F.col("raw_seq") >= 5000000000) & (F.col("raw_seq") % 4 == 0), F.col("list_price") * 10).otherwise(F.col("list_price"))
+    store.reprocess(feed.withColumn("list_price", price.cast("long")), from_seq=5000000000)
+    return _shown(store.history())
+
+
+@query("feed", oracle=_FOLD + """, p as (select raw_seq as probe_seq, source_key, source_modified_at - interval 1 day as at from feed)
+  select probe_seq, p.source_key, coalesce(v.raw_seq, -1) as raw_seq, v.change_type from p asof left join versions v on v.source_key = p.source_key and p.at >= v.valid_from""")
+def as_of_each(feed):
+    """What every row's key was like a day before it."""
+    probes = feed.select(F.col("raw_seq").alias("probe_seq"), "source_key", F.expr("source_modified_at - interval 1 day").alias("at"))
+    found = versions.as_of_each(_versions(feed), probes, "source_key", "at", ["change_type"])
+    return found.select("probe_seq", "source_key", "raw_seq", "change_type").fillna(-1, ["raw_seq"])
+
+
+# --- trees -----------------------------------------------------------------------------------------------------
+
+
+@query("office", oracle="""recursive e as (select office_key, main_office_key from office where main_office_key is not null union all select * from (values ('C1', 'C2'), ('C2', 'C3'), ('C3', 'C1'), ('C0', 'C1')) t(a, b)),
+  up as (select office_key, main_office_key as ancestor_key, 1 as depth, [office_key, main_office_key] as seen from e
+    union all select up.office_key, e.main_office_key, depth + 1, list_append(seen, e.main_office_key) from up join e on e.office_key = up.ancestor_key where not list_contains(seen, e.main_office_key))
+  select office_key, ancestor_key, depth from up""")
+def office_ancestors(office):
+    """All main offices above each office; planted are a circle of three, an office below it, and one that is its own main office."""
+    planted = office.sparkSession.createDataFrame([("C1", "C2"), ("C2", "C3"), ("C3", "C1"), ("C0", "C1"), ("C9", "C9")], "office_key string, main_office_key string")
+    return traverse.office_ancestors(office.select("office_key", "main_office_key").union(planted))

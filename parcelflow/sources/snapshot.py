@@ -35,11 +35,19 @@ def write_snapshot(frames: dict[str, DataFrame], root: str, commit: int, partiti
     return folder
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def current_folder(spark: SparkSession, root: str) -> str | None:
     """The folder of the newest finished commit."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/pointer")
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
+    if not path_exists(spark, f"{root}/pointer"):
         return None
     newest = spark.read.parquet(f"{root}/pointer/*").agg(F.max_by("folder", "commit_id").alias("folder")).first()
     return newest["folder"] if newest else None

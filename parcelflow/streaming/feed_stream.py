@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from parcelflow.operators.versions import WRITTEN, data_text, fold_step
 from parcelflow.sources.feed import explode_pages, land_raw
-from parcelflow.sources.snapshot import write_snapshot
+from parcelflow.sources.snapshot import path_exists, write_snapshot
 
 
 #: What is there is processed and the query ends; ``POLL`` keeps looking for new pages.
@@ -37,7 +37,7 @@ def land_stream(rows: DataFrame, root: str, checkpoint: str, trigger: dict | Non
         spark = batch.sparkSession
         batch = batch.withColumn("day", F.coalesce(F.to_date("source_modified_at").cast("string"), F.lit("none")))
         before = None
-        if batch_id and _exists(spark, f"{root}/ledger"):
+        if batch_id and path_exists(spark, f"{root}/ledger"):
             days = [r["day"] for r in batch.select("day").distinct().collect()]
             kept = spark.read.schema(batch.schema.add("batch", "long")).parquet(f"{root}/ledger")
             before = kept.where((F.col("batch") < batch_id) & F.col("day").isin(days)).drop("batch", "day")
@@ -46,11 +46,6 @@ def land_stream(rows: DataFrame, root: str, checkpoint: str, trigger: dict | Non
     return rows.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(**(trigger or DRAIN)).start()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 class VersionFold(StatefulProcessor):
     """Per key: the time, text and visibility of the last written version. Late rows are stale rows; no watermark."""
 

@@ -1,13 +1,16 @@
 """Indexes, grids and stores against plain scans."""
 
+import datetime as dt
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from parcelflow.functions import geo, trigram
+from parcelflow.operators import traverse, versions
 from parcelflow.operators.address_index import AddressIndex
 from parcelflow.operators.regions import RegionGrid, clustered
+from parcelflow.operators.version_store import VersionStore
 
 
 def plan_of(df):
@@ -117,3 +120,149 @@ def test_points_written_by_place(spark, tmp_path):
     assert sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
     near = out.where("latitude between 1 and 4 and longitude between 1 and 9").select(F.input_file_name().alias("f")).distinct().count()
     assert 1 <= near < out.select(F.input_file_name().alias("f")).distinct().count()
+
+
+# --- version store ---------------------------------------------------------------------------------------------
+
+FEED = "key string, raw_seq long, source_modified_at timestamp, mlg_can_view boolean, price long, tags array<string>"
+
+
+def feed_rows(seed, n=400, keys=25):
+    r = random.Random(seed)
+    return [(f"k{r.randrange(keys)}", i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i // 3 + r.randrange(-4, 5)), r.random() < 0.85, r.randrange(3), r.choice([[], ["a"], None])) for i in range(n)]
+
+
+def flat(versions):
+    return sorted((r.key, r.raw_seq, r.valid_from, r.valid_to, r.change_type, r.price, str(r.changed_fields)) for r in versions.collect())
+
+
+def whole(spark, rows):
+    return flat(versions.version_batch(spark.createDataFrame(rows, FEED), "key", ["price", "tags"])[1])
+
+
+def test_store_in_batches_equals_one_fold(spark, tmp_path):
+    rows = feed_rows(1)
+    store = VersionStore(spark, f"{tmp_path}/s", "key", ["price", "tags"], buckets=4)
+    for i in range(0, 400, 100):
+        store.apply(spark.createDataFrame(rows[i : i + 100], FEED))
+        if i == 100:
+            store.compact()
+        if i == 200:  # as another session would
+            store = VersionStore(spark, f"{tmp_path}/s", "key", ["price", "tags"], buckets=4)
+    assert flat(store.history()) == whole(spark, rows)
+    before = store.commit
+    again = {r.outcome for r in store.apply(spark.createDataFrame(rows[300:], FEED)).select("outcome").distinct().collect()}
+    assert again <= {"skip-stale", "skip-no-diff", "skip-tombstoned"} and flat(store.history()) == whole(spark, rows) and store.commit == before + 1
+    store.compact()
+    store.vacuum()
+    assert flat(store.history()) == flat(VersionStore(spark, f"{tmp_path}/s", "key", ["price", "tags"], buckets=4).history()) == whole(spark, rows)
+    ids = {r.key: r.version_id for r in store.open_versions().collect()}
+    assert {r.key: r.version_id for r in store.entities().collect()} == ids
+
+
+def test_commit_cut_short_is_replaced(spark, tmp_path, monkeypatch):
+    rows = feed_rows(2)
+    store = VersionStore(spark, f"{tmp_path}/s", "key", ["price", "tags"], buckets=4)
+    store.apply(spark.createDataFrame(rows[:200], FEED))
+    seen = flat(store.history())
+    monkeypatch.setattr(store, "_point", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        store.apply(spark.createDataFrame(rows[200:], FEED))
+    assert flat(store.history()) == seen
+    store = VersionStore(spark, f"{tmp_path}/s", "key", ["price", "tags"], buckets=4)
+    assert flat(store.history()) == seen
+    store.apply(spark.createDataFrame(rows[200:], FEED))
+    assert flat(store.history()) == whole(spark, rows)
+
+
+def test_small_batch_reads_its_buckets_without_exchange(spark, tmp_path):
+    store = VersionStore(spark, f"{tmp_path}/s", "key", ["price", "tags"], buckets=16)
+    store.apply(spark.createDataFrame(feed_rows(3), FEED))
+    plan = plan_of(store.open_versions(["k1"]))
+    assert "SelectedBucketsCount: 1 out of 16" in plan and "Exchange" not in plan
+    assert "Exchange" not in plan_of(store.open_versions())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        batch = spark.createDataFrame([("k1", 5)], "key string, n int")
+        assert plan_of(batch.join(store.open_versions(), "key", "left")).count("\nExchange") + plan_of(batch.join(store.open_versions(), "key", "left")).count(") Exchange") <= 2
+        joined = batch.join(store.open_versions(), "key", "left")._jdf.queryExecution().executedPlan().toString()
+        assert joined.count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("from_seq", [None, 150, 9999])
+def test_reprocess(spark, tmp_path, from_seq):
+    """Under a new mapping the history is that of a fold from scratch of old rows as they were and new ones as they are now."""
+    rows = feed_rows(4)
+    mapped = [(k, s, at, shown, price * 10 if s % 4 == 0 else price, tags) for k, s, at, shown, price, tags in rows]
+    store = VersionStore(spark, f"{tmp_path}/s", "key", ["price", "tags"], buckets=4)
+    store.apply(spark.createDataFrame(rows[:300], FEED))
+    store.apply(spark.createDataFrame(rows[300:], FEED))
+    commit = store.commit
+    assert store.reprocess(spark.createDataFrame(rows, FEED), from_seq) == 0 and store.commit == commit
+    changed = store.reprocess(spark.createDataFrame(mapped, FEED), from_seq)
+    cut = 0 if from_seq is None else from_seq
+    assert flat(store.history()) == whole(spark, rows[:cut] + mapped[cut:])
+    assert (changed > 0) == (store.commit > commit) and (changed > 0) == (from_seq in (None, 150))
+    assert version_invariants_hold(store)
+
+
+def version_invariants_hold(store):
+    entity = store.entities().withColumnRenamed("version_id", "current_version_id")
+    return versions.version_invariants(store.history(), entity, "key").count() == 0
+
+
+# --- many times at once, trees, rows without a key -------------------------------------------------------------
+
+
+def test_as_of_each_over_many_ranges(spark, monkeypatch):
+    """One key has nearly all versions and probes, and is cut into many ranges; probes at the very time of a version see it."""
+    r = random.Random(6)
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    kept = {k: sorted(r.sample(range(3000), n)) for k, n in (("hot", 600), ("a", 3), ("b", 1))}
+    history = [(k, i * 7 + len(k), at(m), f"v{m}") for k, ms in kept.items() for i, m in enumerate(ms)] + [(None, 9, at(1), "none")]
+    probes = [(i, r.choice(["hot"] * 9 + ["a", "b", "c"]), at(r.randrange(3100))) for i in range(800)] + [(900 + i, "hot", at(m)) for i, m in enumerate(kept["hot"][:5])] + [(-1, None, at(5)), (-2, "a", None), (-3, "hot", None)]
+    v = spark.createDataFrame(history, "key string, raw_seq long, valid_from timestamp, name string")
+    p = spark.createDataFrame(probes, "probe int, key string, at timestamp")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = {x.probe: x.name for x in versions.as_of_each(v, p, "key", "at", ["name"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(probes)
+    for i, k, t in probes:
+        valid = [m for m in kept.get(k, []) if t is not None and at(m) <= t]
+        assert got[i] == (f"v{valid[-1]}" if valid else None)
+
+
+def test_office_ancestors_of_chains_and_circles(spark):
+    up = {"a": "b", "b": "c", "c": None, "d": "e", "e": "f", "f": "e", "g": "g", "h": "gone", "i": "a"}
+    got = {}
+    for x in traverse.office_ancestors(spark.createDataFrame(list(up.items()), "office_key string, main_office_key string")).collect():
+        got.setdefault(x.office_key, {})[x.ancestor_key] = x.depth
+    assert got == {"a": {"b": 1, "c": 2}, "b": {"c": 1}, "d": {"e": 1, "f": 2}, "e": {"f": 1}, "f": {"e": 1}, "h": {"gone": 1}, "i": {"a": 1, "b": 2, "c": 3}}
+
+
+def test_rows_without_a_key_are_one_history(spark):
+    rows = [(None, i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), i % 5 != 4, i // 3, None) for i in range(40)]
+    out = versions.fold_versions(spark.createDataFrame(rows, FEED), "key", ["price", "tags"]).orderBy("raw_seq").collect()
+    named = versions.fold_versions(spark.createDataFrame([("k", *r[1:]) for r in rows], FEED), "key", ["price", "tags"]).orderBy("raw_seq").collect()
+    assert [(r.raw_seq, r.outcome, r.prior_seq) for r in out] == [(r.raw_seq, r.outcome, r.prior_seq) for r in named] and {r.key for r in out} == {None}
+
+
+def test_payloads_are_parsed_once(spark):
+    """The typed rows of a batch are written, and nothing after that reads what they were made from."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    typed = spark.createDataFrame(feed_rows(7, 200), FEED).mapInArrow(count, FEED)
+    outcomes, fresh = versions.version_batch(typed, "key", ["price", "tags"])
+    assert fresh.count() > 0 and outcomes.count() == 200 and seen.value == 200

@@ -183,19 +183,39 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> list[Mention]:
     return sorted(out, key=lambda x: (x.start, x.end, x.label))
 
 
-def _cuts(key: str) -> Iterator[str]:
-    """A key and the key without one character: keys that are one edit apart have one of these in common."""
-    yield key
-    if len(key) <= 40:
-        yield from (key[:i] + "*" + key[i + 1 :] for i in range(len(key)))
-        yield from (key[:i] + key[i + 1 :] for i in range(len(key)))
+_PRIME, _BASE, _ANY = (1 << 61) - 1, 0x1F3D5B79A2C4E6F, 0x110001
+
+
+def _hash(key: str) -> int:
+    """A polynomial of the characters' numbers modulo 2^61 - 1."""
+    h = 0
+    for c in key:
+        h = (h * _BASE + ord(c) + 1) % _PRIME
+    return h
+
+
+def _cuts(key: str) -> Iterator[int]:
+    """Hashes of a key, of the key with any one character open, and without any one: keys that are one edit apart have one of these in common.
+
+    They come from the hashes of what is before and after the character, so that a key of any length takes time in proportion to it.
+    """
+    before, power = [0], [1]
+    for c in key:
+        before.append((before[-1] * _BASE + ord(c) + 1) % _PRIME)
+        power.append(power[-1] * _BASE % _PRIME)
+    n = len(key)
+    yield before[n]
+    for i in range(n):
+        after = (before[n] - before[i + 1] * power[n - i - 1]) % _PRIME
+        yield ((before[i] * _BASE + _ANY) * power[n - i - 1] + after) % _PRIME
+        yield (before[i] * power[n - i - 1] + after) % _PRIME
 
 
 def edges(nodes: list[Mention]) -> tuple[list[int], list[int], list[int]]:
     """(from, to, kind) of each edge: 0 neighbours, 1 equal keys, 2 similar keys (of which one is a pattern's)."""
     a, b, kind = [], [], []
     last: dict[str, int] = {}
-    like: dict[str, int] = {}
+    like: dict[int, int] = {}
 
     def link(x: int, y: int, k: int) -> None:
         a.append(min(x, y))
@@ -208,7 +228,7 @@ def edges(nodes: list[Mention]) -> tuple[list[int], list[int], list[int]]:
             like.setdefault(cut, i)
         if nodes[i].label == 4:
             for j in range(1, len(nodes[i].key) - 6):
-                like.setdefault(nodes[i].key[j:], i)
+                like.setdefault(_hash(nodes[i].key[j:]), i)
     same = {nodes[i].key for i in matched}
     for i, m in enumerate(nodes):
         if i and m.start - nodes[i - 1].end <= CHAIN_GAP:
@@ -216,7 +236,7 @@ def edges(nodes: list[Mention]) -> tuple[list[int], list[int], list[int]]:
         if m.key in last:
             link(last[m.key], i, 1)
         elif not m.label and m.key not in same:
-            found = next((like[c] for c in (_cuts(m.key) if len(m.key) >= 8 else [m.key]) if c in like), None)
+            found = next((like[c] for c in (_cuts(m.key) if len(m.key) >= 8 else [_hash(m.key)]) if c in like), None)
             if found is not None:
                 link(found, i, 2)
         last[m.key] = i

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -855,3 +856,31 @@ def test_marks_never_miss(spark):
     assert marks.split(asked.withColumn("h", F.lit(None).cast("long")), F.col("h"))[1].count() == 40_000
     empty = Marks(written(own.where("false"), "none"))
     assert empty.split(asked, F.col("h"))[0].isEmpty() and not len(marked(empty.bytes(), hashes, 1))
+
+
+@pytest.mark.parametrize("length", [8, 39, 40, 41, 60, 300])
+def test_keys_one_edit_apart_meet_at_any_length(length):
+    r = random.Random(length)
+    key = "".join(r.choice("abcdefghij.äß") for _ in range(length))
+    meets = lambda a, b: bool(set(pii_crf._cuts(a)) & set(pii_crf._cuts(b)))
+    for i in (0, length // 2, length - 1):
+        assert meets(key, key[:i] + "z" + key[i + 1 :]) and meets(key, key[:i] + key[i + 1 :]) and meets(key, key[:i] + "z" + key[i:])
+    assert meets(key, key) and not meets(key, "zz" + key[2:]) and not meets(key, "q" + key[1:-1] + "y") and not meets(key, key[2:])
+    assert pii_crf._hash(key) in set(pii_crf._cuts(key))
+
+
+def test_cuts_take_time_in_proportion():
+    def took(n):
+        began = time.perf_counter()
+        assert sum(1 for _ in pii_crf._cuts("ab" * n)) == 4 * n + 1
+        return time.perf_counter() - began
+
+    took(1_000)
+    assert min(took(40_000) for _ in range(3)) < 40 * min(took(4_000) for _ in range(3))
+
+
+def test_long_names_one_edit_apart_share_an_edge(spark):
+    """An e-mail name of over 40 characters and its copy with one letter changed are similar mentions."""
+    name = "maximilian.alexander.von.und.zu.hohenstein.123456"
+    text = f"Write to {name}@example.org today. Later {name.replace('stein', 'stain')} answered."
+    assert 2 in pii_crf.edges(pii_crf.mentions(text, pii_crf.base_spans(text)))[2]

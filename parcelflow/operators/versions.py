@@ -130,6 +130,8 @@ def _fold(rows: DataFrame, key: str, state: DataFrame | None, long_history: int)
         rows = rows.select("*", F.lit(None).cast("boolean").alias("state_found"), F.lit(None).cast("boolean").alias("state_tomb"), F.lit(None).cast("timestamp").alias("state_at"), F.lit(None).cast("string").alias("state_text"), F.lit(None).cast("long").alias("state_seq"))
     rows = rows.withColumn("source_modified_at", F.col("source_modified_at").cast("timestamp"))
     long = sizes.where((F.col("count") > long_history) | F.col(key).isNull()).select(F.col(key).alias("__long"))
+    if long.isEmpty():
+        return _fold_native(rows, key)
     of_long = F.col(key).eqNullSafe(F.col("__long"))
     return _fold_native(rows.join(long, of_long, "left_anti"), key).union(_fold_sorted(rows.join(long, of_long, "left_semi"), key, kind))
 
@@ -237,7 +239,7 @@ def fold_state(entity: DataFrame, versions: DataFrame, key: str, columns: list[s
 
 def fold_step(batch: DataFrame, state: DataFrame | None, key: str, columns: list[str]) -> dict[str, DataFrame]:
     """One micro-batch: the outcomes of its rows, and the state after it of the keys that it has written."""
-    outcomes = fold_versions(batch, key, columns, state)
+    outcomes = written_once(fold_versions(batch, key, columns, state), "outcomes")
     data = batch.select("raw_seq", F.col("source_modified_at").cast("timestamp").alias("at"), data_text(columns).alias("text"))
     last = outcomes.where(F.col("outcome").isin(*WRITTEN)).join(data, "raw_seq").groupBy(key).agg(F.max_by(F.struct("outcome", "at", "text"), "raw_seq").alias("s"), F.max("raw_seq").alias("seq"))
     gone = F.col("s.outcome") == "delete"

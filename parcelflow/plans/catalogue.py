@@ -978,8 +978,7 @@ def stream_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = spark.sql(VIEWS["feed"], events=events)
     stream = feed_stream.fold_batches(feed, f"{root}/snapshots", f"{root}/checkpoint", "source_key", FEED_DATA)
     stream.awaitTermination()
-    found = spark.read.parquet(f"{root}/snapshots/data/commit=*/outcomes")
-    return versions.outcome_counts(found)
+    return versions.outcome_counts(feed_stream.committed_outcomes(spark, f"{root}/snapshots"))
 
 
 QUERIES["stream_versions"] = stream_versions

@@ -9,7 +9,9 @@ from parcelflow.operators import traverse, versions
 from parcelflow.operators.regions import RegionGrid
 from parcelflow.operators.version_store import VersionStore
 from parcelflow.sources.snapshot import work_folder
+from parcelflow.streaming import feed_stream
 
+from .demo import NOW
 from .catalogue import _FOLD, FEED_DATA, _similar, _t, _time, _versions, query
 
 # --- address search --------------------------------------------------------------------------------------------
@@ -118,3 +120,42 @@ def office_ancestors(office):
     """All main offices above each office; planted are a circle of three, an office below it, and one that is its own main office."""
     planted = office.sparkSession.createDataFrame([("C1", "C2"), ("C2", "C3"), ("C3", "C1"), ("C0", "C1"), ("C9", "C9")], "office_key string, main_office_key string")
     return traverse.office_ancestors(office.select("office_key", "main_office_key").union(planted))
+
+
+# --- streams ---------------------------------------------------------------------------------------------------
+
+#: Pages of the demo have so many records, about; there are at least 18 of them, in 17 batches or more.
+_PAGE, _LEAST, _SEQS = 1_000, 18, 10_010_000_000
+
+
+def _write_pages(feed, folder: str, pages: int, first: int, last: int) -> None:
+    """The feed as pages of open houses, in order of arrival; every tenth record comes again on the next page. One task writes them one after the other, as a feed does."""
+    stamp = F.date_format("source_modified_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    listing = F.concat(F.lit("L"), (F.col("source_key") * 3).cast("string"))
+    fields = {"OpenHouseKey": F.col("source_key").cast("string"), "ModificationTimestamp": stamp, "MlgCanView": F.col("mlg_can_view"), "ListingKey": listing, "OpenHouseType": F.col("list_price").cast("string"), "OpenHouseStatus": F.col("status")}
+    page = F.floor(F.col("raw_seq") * pages / _SEQS).cast("int")
+    rows = feed.select(page.alias("page"), "raw_seq", F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])).alias("text"))
+    rows = rows.union(rows.where("raw_seq % 10 = 0").select(F.col("page") + 1, "raw_seq", "text")).where(F.col("page").between(first, last))
+    each = rows.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("raw_seq", "text"))).alias("r"))
+    envelope = F.concat(F.lit('{"value":['), F.array_join("r.text", ","), F.lit("]}"))
+    each.select(F.lpad(F.col("page").cast("string"), 6, "0").alias("page"), envelope.alias("value")).coalesce(1).sortWithinPartitions("page").write.mode("append").partitionBy("page").text(folder)
+
+
+@query("feed", "listing", oracle=_FOLD + """select 'version' as what, cast(o.source_key as varchar) as key, strftime(f.source_modified_at, '%Y-%m-%d %H:%M:%S.%f') as at, outcome as value from outcomes o join feed f using (raw_seq)
+  union all select 'link', cast(source_key as varchar), null, listing_key from (select distinct source_key from feed) left join listing on listing_key = concat('L', source_key * 3)""")
+def stream_chain(feed, listing):
+    """Pages land, fold and link over 17 or more micro-batches, the stream being stopped after half of the pages; equal to the fold of the whole."""
+    spark = feed.sparkSession
+    root = work_folder(spark, "chain")
+    kept = versions.written_once(feed, "feed")
+    pages = max(_LEAST, -(-kept.count() // _PAGE))
+    stream = lambda: feed_stream.ingest_stream(feed_stream.page_stream(spark, f"{root}/in/*", pages // 17), f"{root}/out", f"{root}/checkpoint", NOW, "open_house", span="yyyy-MM")
+    _write_pages(kept, f"{root}/in", pages, 0, pages // 2)
+    feed_stream.finish(stream(), lambda: None)
+    _write_pages(kept, f"{root}/in", pages, pages // 2 + 1, pages)
+    links = []
+    feed_stream.finish(stream(), lambda: links.append(feed_stream.link_landed(spark, f"{root}/out", "open_house", listing)))
+    times = feed_stream.read_ledger(spark, f"{root}/out", feed_stream.LANDED).select("raw_seq", F.date_format("source_modified_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
+    found = feed_stream.committed_outcomes(spark, f"{root}/out").join(times, "raw_seq")
+    found = found.select(F.lit("version").alias("what"), F.col("open_house_key").alias("key"), "at", F.col("outcome").alias("value"))
+    return found.union(links[0].select(F.lit("link"), "open_house_key", F.lit(None).cast("string"), "parent_listing_key"))

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from parcelflow.operators.versions import WRITTEN, data_text, fold_step
-from parcelflow.sources.feed import explode_pages, land_raw
-from parcelflow.sources.snapshot import path_exists, write_snapshot
+from parcelflow.operators.project import poison_split, project, project_resource
+from parcelflow.operators.state import resolve_parent
+from parcelflow.operators.versions import WRITTEN, data_text, fold_step, written_once
+from parcelflow.plans.registry import RESOURCES
+from parcelflow.sources.feed import RAW_KEY, explode_pages, land_raw, raw_records, split_children
+from parcelflow.sources.snapshot import folders, remove_path, write_snapshot
 
 
 #: What is there is processed and the query ends; ``POLL`` keeps looking for new pages.
@@ -25,27 +29,68 @@ def page_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) ->
     return explode_pages(pages.select(F.col("_metadata.file_path").alias("page"), "value"))
 
 
-def land_stream(rows: DataFrame, root: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Exact, unbounded dedup: each micro-batch is anti-joined with the ledger, and committed under its batch id.
+#: States are kept in so many buckets of keys. Every so many commits, one has the states of all keys again; a day of the ledger with so many batches becomes one folder.
+BUCKETS, FULL = 64, 16
+
+
+def ledger_paths(spark: SparkSession, root: str, days: list[str], before: int | None = None) -> list[str]:
+    """The folders that have the ledger's rows of some days, of batches before one. Only the folders of these days are listed.
+
+    ``upto=n`` has what batches to n have landed; what it was made from may still be there, and is left out.
+    """
+    paths = []
+    for day in days:
+        parts = [n.split("=") for n in folders(spark, f"{root}/ledger/day={day}") if "=" in n]
+        done = max((int(n) for kind, n in parts if kind == "upto"), default=-1)
+        paths += [f"{root}/ledger/day={day}/upto={done}"] if done >= 0 else []
+        paths += [f"{root}/ledger/day={day}/batch={n}" for kind, n in parts if kind == "batch" and int(n) > done and (before is None or int(n) < before)]
+    return paths
+
+
+def read_ledger(spark: SparkSession, root: str, schema, days: list[str] | None = None) -> DataFrame:
+    """All rows that were landed (on some days)."""
+    days = [n.partition("=")[2] for n in folders(spark, f"{root}/ledger") if n.startswith("day=")] if days is None else days
+    paths = ledger_paths(spark, root, days)
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def land_batch(batch: DataFrame, batch_id: int, root: str, span: str = "yyyy-MM-dd") -> DataFrame:
+    """Land a batch's rows that the ledger has not yet; what it has landed.
 
-    The ledger is kept by batch and day of the rows' own time. A repeated row has the time of the first one, so a batch meets
-    only the days that it has itself. A batch that is retried finds its own commit left out of what it is compared with,
-    so it lands the same rows.
+    The ledger is kept by day of the rows' own time (or by another ``span``, a date pattern, for feeds that go over many days at once), and by batch. A repeated row has the time of the first one, so a batch meets only the days that it has itself. A batch that is
+    tried again is not compared with what it has left, so it lands the same rows. Days with many batches are merged, without the batch itself.
     """
+    spark, schema = batch.sparkSession, batch.schema.add("change_type", "string")
+    day = F.coalesce(F.date_format("source_modified_at", span), F.lit("none"))
+    days = sorted(r["day"] for r in batch.select(day.alias("day")).distinct().collect())
+    paths = ledger_paths(spark, root, days, batch_id)
+    fresh = land_raw(spark.read.schema(schema).parquet(*paths) if paths else None, batch)
+    out = fresh.withColumns({"day": day, "batch": F.lit(batch_id)})
+    out.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(f"{root}/ledger")
+    for d in days:
+        old = ledger_paths(spark, root, [d], batch_id)
+        if len(old) > FULL:
+            spark.read.schema(schema).parquet(*old).write.mode("overwrite").parquet(f"{root}/ledger/day={d}/upto={batch_id - 1}")
+            for path in old:
+                remove_path(spark, path)
+    mine = [f"{root}/ledger/day={d}/batch={batch_id}" for d in days if f"batch={batch_id}" in folders(spark, f"{root}/ledger/day={d}")]
+    return spark.read.schema(schema).parquet(*mine) if mine else spark.createDataFrame([], schema)
 
-    def land(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.withColumn("day", F.coalesce(F.to_date("source_modified_at").cast("string"), F.lit("none")))
-        before = None
-        if batch_id and path_exists(spark, f"{root}/ledger"):
-            days = [r["day"] for r in batch.select("day").distinct().collect()]
-            kept = spark.read.schema(batch.schema.add("batch", "long")).parquet(f"{root}/ledger")
-            before = kept.where((F.col("batch") < batch_id) & F.col("day").isin(days)).drop("batch", "day")
-        land_raw(before, batch).write.mode("overwrite").partitionBy("day").parquet(f"{root}/ledger/batch={batch_id}")
 
+def land_stream(rows: DataFrame, root: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Exact, unbounded dedup: each micro-batch is anti-joined with the ledger, and landed under its batch id."""
+    land = lambda batch, batch_id: land_batch(batch, batch_id, root)
     return rows.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(**(trigger or DRAIN)).start()
 
 
+def dedup_within(rows: DataFrame, bound: str = "2 days") -> DataFrame:
+    """Bounded dedup by Spark's own state: a row whose key was seen within ``bound`` of its time is dropped, and keys are forgotten after that.
+
+    For feeds that repeat rows only for a while; what comes again later is landed again, where ``land_stream`` would know it.
+    """
+    return rows.withWatermark("source_modified_at", bound).dropDuplicatesWithinWatermark(RAW_KEY)
+
+
 class VersionFold(StatefulProcessor):
     """Per key: the time, text and visibility of the last written version. Late rows are stale rows; no watermark."""
 
@@ -84,38 +129,95 @@ def version_stream(typed: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return rows.groupBy("key").transformWithStateInPandas(VersionFold(), f"key {kind}, raw_seq long, outcome string, prior_seq long", "append", "none")
 
 
-#: States are kept in so many buckets of keys; every so many commits, one holds the states of all keys again.
-BUCKETS, FULL = 64, 16
+def fold_batch(batch: DataFrame, batch_id: int, root: str, key: str, columns: list[str]) -> None:
+    """Fold a batch against the states before it and commit its outcomes and states.
+
+    A commit has the states of the keys that its batch has written, by buckets of keys; a batch reads the commits since the last full one, and of them the buckets of its own keys, by
+    their paths. States of before the last but one full commit are deleted. The commit's number is the batch's, so that a retried batch replaces its own commit: outcomes, states
+    and cursor move together.
+    """
+    spark = batch.sparkSession
+    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(BUCKETS)).cast("int")
+    schema = f"{key} {batch.schema[key].dataType.simpleString()}, found boolean, tomb boolean, at timestamp, text string, seq long, commit long, bucket int"
+
+    def latest(buckets: list[int] | None) -> DataFrame | None:
+        wanted = None if buckets is None else {f"bucket={b}" for b in buckets}
+        commits = [f"{root}/state/commit={n}" for n in range((batch_id - 1) // FULL * FULL, batch_id)]
+        paths = [f"{c}/{b}" for c in commits for b in folders(spark, c) if b.startswith("bucket=") and (wanted is None or b in wanted)]
+        if not paths:
+            return None
+        kept = spark.read.schema(schema).option("basePath", f"{root}/state").parquet(*paths)
+        return kept.groupBy(key).agg(F.max_by(F.struct("found", "tomb", "at", "text", "seq"), "commit").alias("s")).select(key, "s.*")
+
+    state = latest([r["bucket"] for r in batch.select(bucket.alias("bucket")).distinct().collect()]) if batch_id else None
+    out = fold_step(batch, state, key, columns)
+    fresh = out["state"]
+    full = batch_id and batch_id % FULL == 0
+    if full and (before := latest(None)) is not None:
+        fresh = before.join(fresh, key, "left_anti").select(*fresh.columns).union(fresh)
+    fresh.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/state/commit={batch_id}")
+    write_snapshot({"outcomes": out["outcomes"]}, root, batch_id)
+    if full:
+        for name in folders(spark, f"{root}/state"):
+            if name.startswith("commit=") and int(name[7:]) < batch_id - FULL:
+                remove_path(spark, f"{root}/state/{name}")
 
 
 def fold_batches(typed: DataFrame, root: str, checkpoint: str, key: str, columns: list[str], trigger: dict | None = None) -> StreamingQuery:
-    """The recommended form: each micro-batch folds against the states before it and commits its outcomes and states.
+    """The recommended form of the fold on a stream: ``fold_batch`` for each micro-batch."""
+    one = lambda batch, batch_id: fold_batch(batch, batch_id, root, key, columns)
+    return typed.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or DRAIN)).start()
 
-    A commit has the states of the keys that its batch has written, by buckets of keys; a batch reads the commits since the last
-    full one, and of them the buckets of its own keys. The commit's number is the batch's, so that a retried batch replaces its
-    own commit: outcomes, states and cursor move together.
-    """
-    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(BUCKETS)).cast("int")
-    state_schema = f"{key} {typed.schema[key].dataType.simpleString()}, found boolean, tomb boolean, at timestamp, text string, seq long, commit long, bucket int"
 
-    def latest(spark: SparkSession, before: int, buckets: list[int] | None) -> DataFrame:
-        kept = spark.read.schema(state_schema).parquet(f"{root}/state").where(F.col("commit").between((before - 1) // FULL * FULL, before - 1))
-        kept = kept if buckets is None else kept.where(F.col("bucket").isin(buckets))
-        return kept.groupBy(key).agg(F.max_by(F.struct("found", "tomb", "at", "text", "seq"), "commit").alias("s")).select(key, "s.*")
+def committed_outcomes(spark: SparkSession, root: str) -> DataFrame:
+    """The outcomes of all commits that have a pointer: one that was cut short is not read."""
+    return spark.read.parquet(*(r["folder"] + "/outcomes" for r in spark.read.parquet(f"{root}/pointer/*").select("folder").collect()))
+
+
+LANDED = "raw_seq long, resource string, source_key string, source_modified_at timestamp, payload string"
+
+
+def numbered_records(pages: DataFrame, resource: str, now) -> DataFrame:
+    """Records of pages in folders ``page=<n>`` as raw rows, numbered by page and place in it: the order of arrival, whatever batch has them."""
+    page = F.regexp_extract("page", r"page=(\d+)", 1).cast("long")
+    return raw_records(pages, resource, now).select((F.shiftleft(page, 32) + F.col("ord")).alias("raw_seq"), "resource", "source_key", F.col("source_modified_at").cast("timestamp").alias("source_modified_at"), "payload")
+
+
+def ingest_stream(pages: DataFrame, root: str, checkpoint: str, now, resource: str = "property", trigger: dict | None = None, span: str = "yyyy-MM-dd") -> StreamingQuery:
+    """Pages of a resource all the way: land records once, split off a property's children, fold versions, keep the children's rows.
+
+    One batch is one step: whatever is cut short is done again as a whole and replaces what it has left. Poison and broken children are set aside.
+    """
+    kind = RESOURCES[resource]
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        state = None
-        if batch_id:
-            state = latest(spark, batch_id, [r["bucket"] for r in batch.select(bucket.alias("bucket")).distinct().collect()])
-        out = fold_step(batch, state, key, columns)
-        fresh = out["state"]
-        if batch_id and batch_id % FULL == 0:
-            fresh = latest(spark, batch_id, None).join(fresh, key, "left_anti").select(*fresh.columns).union(fresh)
-        fresh.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/state/commit={batch_id}")
-        write_snapshot({"outcomes": out["outcomes"]}, root, batch_id)
+        landed = land_batch(numbered_records(batch, resource, now), batch_id, root, span)
+        aside = []
+        if resource == "property":
+            split, errors = split_children(landed)
+            landed = written_once(split, "split")
+            landed.where("resource <> 'property'").write.mode("overwrite").parquet(f"{root}/children/batch={batch_id}")
+            aside.append(errors.select("raw_seq", "resource", "error"))
+        good, poison = poison_split(written_once(project_resource(landed, resource), "typed"))
+        aside.append(poison.select("raw_seq", F.lit(resource).alias("resource"), "error"))
+        reduce(DataFrame.union, aside).write.mode("overwrite").parquet(f"{root}/aside/batch={batch_id}")
+        fold_batch(good, batch_id, root, kind.key_column, kind.data_columns)
 
-    return typed.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or DRAIN)).start()
+    return pages.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or DRAIN)).start()
+
+
+def link_landed(spark: SparkSession, root: str, child: str, parents: DataFrame) -> DataFrame:
+    """The finalizing step: the newest row of each record of a kind that hangs on listings, with its parent where ``parents`` (listing_key) has it.
+
+    Embedded children are where ``ingest_stream`` keeps them, open houses are in the ledger itself. Written to ``links``, replacing what was there.
+    """
+    names = folders(spark, f"{root}/children")
+    raw = spark.read.parquet(*[f"{root}/children/{n}" for n in names]) if names else read_ledger(spark, root, LANDED)
+    key = RESOURCES[child].key_column
+    newest = raw.where(F.col("resource") == child).groupBy("source_key").agg(F.max_by(F.struct("raw_seq", "source_modified_at", "payload"), "raw_seq").alias("r")).select("r.*")
+    rows, _ = poison_split(project(newest, child))
+    resolve_parent(rows, parents).select(key, "listing_key", "parent_listing_key").write.mode("overwrite").parquet(f"{root}/links/{child}")
+    return spark.read.parquet(f"{root}/links/{child}")
 
 
 def finish(query: StreamingQuery, finalize: Callable[[], None]) -> None:

@@ -1,6 +1,7 @@
 """Indexes, grids and stores against plain scans."""
 
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -11,6 +12,7 @@ from parcelflow.operators import traverse, versions
 from parcelflow.operators.address_index import AddressIndex
 from parcelflow.operators.regions import RegionGrid, clustered
 from parcelflow.operators.version_store import VersionStore
+from parcelflow.streaming import feed_stream
 
 
 def plan_of(df):
@@ -266,3 +268,49 @@ def test_payloads_are_parsed_once(spark):
     typed = spark.createDataFrame(feed_rows(7, 200), FEED).mapInArrow(count, FEED)
     outcomes, fresh = versions.version_batch(typed, "key", ["price", "tags"])
     assert fresh.count() > 0 and outcomes.count() == 200 and seen.value == 200
+
+
+# --- streams ---------------------------------------------------------------------------------------------------
+
+
+def test_chain_survives_a_batch_cut_short(spark, tmp_path, monkeypatch):
+    """A batch fails after it has landed and folded, before its pointer; the stream resumes, does it again as a whole, and is equal to the fold of all pages."""
+    monkeypatch.setattr(feed_stream, "FULL", 2)
+    page = lambda n, records: ((tmp_path / "in" / f"page={n:06d}").mkdir(parents=True), (tmp_path / "in" / f"page={n:06d}" / "p.json").write_text(json.dumps({"value": records})))
+    stamp = lambda h: (dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)).strftime("%Y-%m-%dT%H:%M:%SZ")
+    r = random.Random(9)
+    records = [[{"ListingKey": f"L{r.randrange(4)}", "ModificationTimestamp": stamp(10 * n + i), "ListPrice": r.randrange(3), "MlgCanView": r.random() < 0.8, "Rooms": [{"RoomKey": f"R{n}"}] if i == 0 else [3]} for i in range(6)] for n in range(6)]
+    for n in range(6):
+        page(n, records[n] + (records[n - 1][:2] if n else []) + ([{"ListingKey": "bad", "ModificationTimestamp": "2024-01-01"}] if n == 3 else []))
+    start = lambda: feed_stream.ingest_stream(feed_stream.page_stream(spark, f"{tmp_path}/in/*", 1), f"{tmp_path}/out", f"{tmp_path}/check", "2024-02-01")
+    write = feed_stream.write_snapshot
+    monkeypatch.setattr(feed_stream, "write_snapshot", lambda frames, root, commit: 1 / 0 if commit == 3 else write(frames, root, commit))
+    done = []
+    with pytest.raises(Exception):  # noqa: B017
+        feed_stream.finish(start(), lambda: done.append("too early"))
+    monkeypatch.setattr(feed_stream, "write_snapshot", write)
+    feed_stream.finish(start(), lambda: done.append(feed_stream.link_landed(spark, f"{tmp_path}/out", "property_rooms", spark.createDataFrame([("L0",), ("L1",), ("L2",)], "listing_key string"))))
+    assert len(done) == 1
+    ledger = feed_stream.read_ledger(spark, f"{tmp_path}/out", "raw_seq long, source_key string, source_modified_at timestamp, payload string").collect()
+    assert len(ledger) == 37 and sorted(x.raw_seq for x in ledger) == sorted([(n << 32) + i for n in range(6) for i in range(6)] + [(3 << 32) + 8])
+    out = {x.raw_seq: x.outcome for x in feed_stream.committed_outcomes(spark, f"{tmp_path}/out").collect()}
+    typed = [(x["ListingKey"], (n << 32) + i, dt.datetime.strptime(x["ModificationTimestamp"], "%Y-%m-%dT%H:%M:%SZ"), x["MlgCanView"], x["ListPrice"], None) for n in range(6) for i, x in enumerate(records[n])]
+    assert out == {x.raw_seq: x.outcome for x in versions.fold_versions(spark.createDataFrame(typed, FEED), "key", ["price"]).collect()}
+    assert sorted((x.room_key, x.parent_listing_key) for x in done[0].collect()) == [(f"R{n}", key if (key := records[n][0]["ListingKey"]) != "L3" else None) for n in range(6)]
+    aside = spark.read.parquet(f"{tmp_path}/out/aside/*").collect()
+    assert {x.resource for x in aside} == {"property", "property_rooms"} and sum(x.resource == "property" for x in aside) == 1
+    for day in feed_stream.folders(spark, f"{tmp_path}/out/ledger"):
+        assert day.startswith("_") or len(feed_stream.ledger_paths(spark, f"{tmp_path}/out", [day.partition("=")[2]])) <= 3
+    assert len(feed_stream.folders(spark, f"{tmp_path}/out/state")) <= 4
+
+
+def test_bounded_dedup_forgets(spark, tmp_path):
+    """A repeat within the bound is dropped, one far beyond it is landed again."""
+    at = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
+    batches = [[("property", "a", at(0)), ("property", "b", at(0))], [("property", "a", at(0))], [("property", "c", at(30))], [("property", "d", at(31))], [("property", "c", at(30)), ("property", "a", at(0))]]
+    schema = "resource string, source_key string, source_modified_at timestamp"
+    for b in batches:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    feed_stream.dedup_within(stream, "2 days").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(x.source_key for x in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b", "c", "d"]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .project import project
+from .versions import written_once
 
 
 def unconsumed_keys(extended: DataFrame, column: str = "extended_fields") -> DataFrame:
@@ -52,6 +53,32 @@ def validate_raw(raw: DataFrame, resource: str) -> dict[str, DataFrame]:
     return out
 
 
+def audit_once(raw: DataFrame, resource: str) -> dict[str, DataFrame]:
+    """``validate_raw``, and the fill of every typed column, from one evaluation of the payloads.
+
+    Counts are observed while the rows go by; of the rows only what is reported on is written: errors, and the names of leftover keys.
+    """
+    spark = raw.sparkSession
+    typed = project(raw, resource)
+    good = F.col("error").isNull()
+    data = [c for c in typed.columns if c not in ("raw_seq", "error", "extended_fields", "mlg_can_view", "source_modified_at")]
+    seen = Observation(f"audit of {resource}")
+    metrics = [F.count("*").alias("rows"), F.count("error").alias("errors"), *[F.count(F.when(good, F.col(c))).alias(f"filled {c}") for c in data]]
+    left = F.map_keys("extended_fields") if "extended_fields" in typed.columns else F.lit(None).cast("array<string>")
+    rows = typed.observe(seen, *metrics).select("raw_seq", "error", F.when(good, left).alias("left")).where(~good | F.col("left").isNotNull())
+    rows = written_once(rows, "audit")
+    found = seen.get
+    n = found["rows"] - found["errors"]
+    fill = spark.createDataFrame([(c, found[f"filled {c}"], n) for c in data], "column string, filled long, total long")
+    return {
+        "totals": spark.createDataFrame([(found["rows"], found["errors"])], "rows long, errors long"),
+        "errors": rows.where("error is not null").select("raw_seq", "error"),
+        "fill_rate": fill,
+        "always_null": fill.where("filled = 0").select("column").orderBy("column"),
+        "unconsumed": rows.select(F.explode("left").alias("key")).groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key"),
+    }
+
+
 def shared_fields(entity: DataFrame, versions: DataFrame, key: str) -> list[str]:
     """The data columns that an entity table has in common with its version table."""
     skip = {key, "source_modified_at", "mlg_can_view", "current_version_id", "created_at", "modified_at"}

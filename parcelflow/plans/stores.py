@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parcelflow.operators.address_index import AddressIndex
-from parcelflow.operators import traverse, versions
+from parcelflow.operators import audit, page, traverse, versions
+from parcelflow.operators.node_directory import NodeDirectory
 from parcelflow.operators.regions import RegionGrid
 from parcelflow.operators.version_store import VersionStore
 from parcelflow.sources.snapshot import work_folder
 from parcelflow.streaming import feed_stream
 
+from . import registry
 from .demo import NOW
-from .catalogue import _FOLD, FEED_DATA, _similar, _t, _time, _versions, query
+from .catalogue import _FOLD, _GOOD, _NODE_SQL, _NODES, FEED_DATA, _payloads, _similar, _t, _time, _versions, query
 
 # --- address search --------------------------------------------------------------------------------------------
 
@@ -159,3 +161,45 @@ def stream_chain(feed, listing):
     found = feed_stream.committed_outcomes(spark, f"{root}/out").join(times, "raw_seq")
     found = found.select(F.lit("version").alias("what"), F.col("open_house_key").alias("key"), "at", F.col("outcome").alias("value"))
     return found.union(links[0].select(F.lit("link"), "open_house_key", F.lit(None).cast("string"), "parent_listing_key"))
+
+
+# --- node directory and audits ---------------------------------------------------------------------------------
+
+
+@query(*_NODES.values(), "source_system", oracle="with known as (" + " union all ".join(_NODE_SQL) + """ union all select 3, unnest(['L5', 'K8', 'F3']), 'member', true union all select 5, 'L7', 'office', false),
+  asked as (select listing_key as id from listing union select lookup_key from lookup union select concat(office_key, '@1') from office union select 'nothing' union select source_system_id from source_system union select member_key from agent)
+  select id, case when arg_min(shown, p) then arg_min(type, p) end as type from asked left join known using (id) group by 1""")
+def nodes_by_directory(*tables):
+    """Very many ids through the directory, kept by three commits: the last corrects what an earlier one has said of offices and lookups."""
+    spark = tables[0].sparkSession
+    entities = dict(zip(_NODES, tables, strict=False)) | {"source_system": tables[-1]}
+    directory = NodeDirectory(spark, work_folder(spark, "nodes"))
+    wrong = entities["office"].withColumn("mlg_can_view", ~F.col("mlg_can_view"))
+    stray = spark.createDataFrame([("L5", True), ("nothing", True)], "lookup_key string, mlg_can_view boolean")
+    keys = page.NODE_TABLES
+    directory.commit(entities | {"office": wrong, "lookup": entities["lookup"].select("lookup_key", "mlg_can_view").union(stray)})
+    directory.commit({f"{n}_version": df.select(F.concat(keys[n], F.lit("@1")).alias("version_id")) for n, df in entities.items() if n not in ("lookup", "source_system")})
+    directory.compact()
+    planted = lambda n, ids, shown: entities[n].select(keys[n], "mlg_can_view").union(spark.createDataFrame([(i, shown) for i in ids], "id string, shown boolean"))
+    directory.commit({"member": planted("member", ["L5", "K8", "F3"], True), "office": planted("office", ["L7"], False)}, removed={"lookup": stray})
+    asked = entities["property"].select(F.col("listing_key").alias("id")).union(entities["lookup"].select("lookup_key")).union(entities["office"].select(F.concat("office_key", F.lit("@1"))))
+    asked = asked.union(tables[-1].select("source_system_id")).union(entities["member"].select("member_key")).union(spark.createDataFrame([("nothing",)], "id string"))
+    return directory.match(asked.distinct())
+
+
+_FILLED = {"listing_key", "list_price", "city", "latitude", "bedrooms_total", "listing_contract_date", "view"}
+_EMPTY = [c for c in [*registry.RESOURCES["property"].data_columns, "originating_system_name", "mlg_can_use"] if c not in _FILLED]
+
+
+@query("listing", oracle=f"""select 'rows' as what, '' as name, count(*) as n from listing union all select 'errors', '', count(*) from listing where raw_seq % 50 = 0 and raw_seq > 0
+  union all select 'unconsumed', 'XStreet', count(*) from listing where {_GOOD} and raw_seq % 3 = 0 union all select 'unconsumed', 'XList', count(*) from listing where {_GOOD} and raw_seq % 5 = 0
+  union all select 'filled', 'latitude', count(latitude) from listing where {_GOOD} union all select 'filled', 'listing_contract_date', count(*) from listing where {_GOOD} and raw_seq % 4 <> 0
+  union all select 'filled', unnest({sorted(_FILLED - {"latitude", "listing_contract_date"})}), (select count(*) from listing where {_GOOD}) union all select 'filled', unnest({sorted(_EMPTY)}), 0
+  union all select 'always null', unnest({sorted(_EMPTY)}), 0""")
+def audit_once(listing):
+    """Totals, the fill of all columns, those that are always NULL and leftover keys, while the payloads are parsed once."""
+    found = audit.audit_once(_payloads(listing), "property")
+    zero = F.lit(0).cast("long")
+    out = found["totals"].select(F.inline(F.array(*[F.struct(F.lit(c).alias("what"), F.lit("").alias("name"), F.col(c).alias("n")) for c in ("rows", "errors")])))
+    out = out.union(found["unconsumed"].select(F.lit("unconsumed"), "key", "n")).union(found["fill_rate"].select(F.lit("filled"), "column", "filled"))
+    return out.union(found["always_null"].select(F.lit("always null"), "column", zero))

@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelflow.functions import geo, trigram
-from parcelflow.operators import traverse, versions
+from parcelflow.operators import audit, traverse, versions
 from parcelflow.operators.address_index import AddressIndex
+from parcelflow.operators.node_directory import NodeDirectory
 from parcelflow.operators.regions import RegionGrid, clustered
 from parcelflow.operators.version_store import VersionStore
 from parcelflow.streaming import feed_stream
@@ -314,3 +315,48 @@ def test_bounded_dedup_forgets(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     feed_stream.dedup_within(stream, "2 days").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
     assert sorted(x.source_key for x in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b", "c", "d"]
+
+
+# --- node directory and audits ---------------------------------------------------------------------------------
+
+
+def test_directory_of_nodes_by_commits(spark, tmp_path):
+    keyed = lambda key, rows: spark.createDataFrame(rows, f"{key} string, mlg_can_view boolean")
+    directory = NodeDirectory(spark, f"{tmp_path}/nodes")
+    assert [r.type for r in directory.nodes(["1"]).collect()] == [None]
+    directory.commit({"property": keyed("listing_key", [("1", True), ("2", False), (None, True)]), "lookup": keyed("lookup_key", [("1", False), ("3", True)]), "source_system": spark.createDataFrame([("2",), ("9",)], "source_system_id string")})
+    asked = ["1", "2", "3", "9", "8", "1"]
+    assert [r.type for r in directory.nodes(asked).collect()] == [None, None, "lookup", "source_system", None, None]
+    directory.commit({"property": keyed("listing_key", [("2", True), ("8", None)])}, removed={"lookup": keyed("lookup_key", [("1", False)])})
+    want = ["property", "property", "lookup", "source_system", None, "property"]
+    assert [r.type for r in directory.nodes(asked).collect()] == want
+    directory.compact()
+    assert [r.type for r in directory.nodes(asked).collect()] == want
+    got = {(r.id, r.type) for r in directory.match(spark.createDataFrame([(i,) for i in asked], "id string")).collect()}
+    assert got == set(zip(asked, want, strict=True))
+    assert "PushedFilters: [In(id, [" in plan_of(directory.nodes(asked))
+    with pytest.raises(ValueError):
+        directory.commit({"lookup_version": keyed("x", [])})
+
+
+def test_audit_reads_payloads_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    schema = "raw_seq long, source_modified_at timestamp, payload string"
+    stamp = '"OfficeKey": "F", "ModificationTimestamp": "2024-01-02T03:04:05Z"'
+    rows = [(1, None, f'{{{stamp}, "OfficeName": "a", "New": 1}}'), (2, None, f'{{{stamp}, "OfficeName": ""}}'), (3, None, f'{{{stamp}, "OfficeName": 5, "New": 2}}'), (4, None, "no"), (5, None, f'{{{stamp}, "OfficeName": "b", "New": 1, "Other": []}}')]
+    raw = spark.createDataFrame(rows, schema)
+    found = audit.audit_once(raw.mapInArrow(count, schema), "office")
+    got = {name: [tuple(r) for r in df.collect()] for name, df in found.items()}
+    assert seen.value == 5
+    plain = {name: [tuple(r) for r in df.collect()] for name, df in audit.validate_raw(raw, "office").items()}
+    for name in plain:
+        assert sorted(got[name]) == sorted(plain[name])
+    assert got["totals"] == [(5, 2)] and ("office_name", 2, 3) in got["fill_rate"] and got["unconsumed"] == [("New", 2), ("Other", 1)]
+    empty = {name: df.count() for name, df in audit.audit_once(raw.where("false"), "lookup").items()}
+    assert empty["totals"] == 1 and empty["errors"] == empty["unconsumed"] == 0

@@ -677,13 +677,15 @@ def health_before_import(sync_event, cursors, raw, job):
     return ledger.sync_health(sync_event.where("not (resource = 'member' and run_type = 'backfill') and resource <> 'lookup'"), cursors, raw, job, NOW, _LIMITS)
 
 
-@query("sync_event", "cursors", "raw", "job", oracle=_HEALTH.replace("with names", """with event as (select * replace (case when resource in ('office', 'property') then 'running' when resource = 'member' then 'success' else status end as status)
-    from (select *, row_number() over (partition by resource order by started_at desc, sync_event_id desc) as newest from sync_event) where newest = 1 union all select *, 2 from sync_event where run_type = 'backfill' and status = 'success'), names""").replace("from raw left", "from (from raw where raw_seq % 50 = 0 union all select raw_seq, 'nothing', source_key, source_modified_at, change_type, payload from raw) raw left"))
+@query("sync_event", "cursors", "raw", "job", oracle=_HEALTH.replace("with names", """with ranked as (select *, row_number() over (partition by resource order by started_at desc, sync_event_id desc) as newest from sync_event),
+  event as (select * replace (case when resource in ('office', 'property') then 'running' when resource = 'member' then 'success' else status end as status)
+    from ranked where newest = 1 union all from ranked where newest > 1 and run_type = 'backfill' and status = 'success'), names""").replace("from raw left", "from (from raw where raw_seq % 50 = 0 union all select raw_seq, 'nothing', source_key, source_modified_at, change_type, payload from raw) raw left"))
 def health_of_stuck_runs(sync_event, cursors, raw, job):
     """The newest runs of two resources are stuck; most raw rows are of a resource that is not processed."""
     newest = ledger.latest_event(sync_event).select(sync_event.columns)
     status = F.when(F.col("resource").isin("office", "property"), "running").when(F.col("resource") == "member", "success").otherwise(F.col("status"))
-    events = newest.withColumn("status", status).union(sync_event.where("run_type = 'backfill' and status = 'success'"))
+    older = sync_event.where("run_type = 'backfill' and status = 'success'").join(newest.select("sync_event_id"), "sync_event_id", "left_anti").select(sync_event.columns)
+    events = newest.withColumn("status", status).union(older)
     rows = raw.where("raw_seq % 50 = 0").union(raw.withColumn("resource", F.lit("nothing")).select(raw.columns))
     return ledger.sync_health(events, cursors, rows, job, NOW, _LIMITS)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parcelflow.functions.json_text import page_items, record_cutter
 from parcelflow.functions.parse import RFC3339
 from parcelflow.plans.registry import CHILDREN, RESOURCES
 
@@ -13,14 +14,14 @@ RAW_SCHEMA = "raw_seq long, sync_event_id string, resource string, source_key st
 
 
 def read_feed_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(page, ord, record, odata_count) from page envelopes, one JSON object per file; a record stays JSON text."""
+    """(page, ord, record, odata_count) from page envelopes, one JSON object per file; a record stays the text that it is."""
     pages = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("page"), "value")
     return explode_pages(pages)
 
 
 def explode_pages(pages: DataFrame) -> DataFrame:
-    envelope = F.from_json("value", "`@odata.count` bigint, value array<string>")
-    return pages.select("page", envelope.alias("e")).select("page", F.posexplode("e.value").alias("ord", "record"), F.col("e.`@odata.count`").alias("odata_count"))
+    count = F.from_json("value", "`@odata.count` bigint")["@odata.count"]
+    return pages.select("page", page_items("value").alias("items"), count.alias("odata_count")).select("page", F.posexplode("items").alias("ord", "record"), "odata_count")
 
 
 def json_timestamp(payload: Column, key: str = "ModificationTimestamp") -> Column:
@@ -44,17 +45,13 @@ def split_children(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Property records (raw_seq, source_key, source_modified_at, payload) -> raw rows of parents and children, errors.
 
     The three embedded arrays leave the parent; what is not an array is dropped with them. Media get
-    ``ResourceName`` and rooms and unit types ``ListingKey``. A child without a key or that is no object is an error.
+    ``ResourceName`` and rooms and unit types ``ListingKey``. A child without a key or that is no object is an error. All that stays keeps its text.
     Children come in the parent's place of arrival (``ord`` breaks ties).
     """
-    # the three arrays are read in one pass over a record, and their items go on as JSON texts
-    arrays = F.from_json("payload", ", ".join(f"{name} variant" for name in CHILDREN))
-    cut = records.withColumn("a", arrays)
-    # values of a map of strings would lose the quotes around strings, so a parent is cut as a map of VARIANT
-    rest = F.to_json(F.map_filter(F.from_json("payload", "map<string,variant>"), lambda k, _: ~k.isin(*CHILDREN)))
-    parent = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(-1).alias("pos"), rest.alias("text")))
+    cut = records.withColumn("a", record_cutter({name: how[1] for name, how in CHILDREN.items()})("payload"))
+    parent = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(-1).alias("pos"), F.col("a.rest").alias("text")))
     numbered = lambda n: lambda x, i: F.struct(F.lit(n).alias("kind"), i.alias("pos"), x.alias("text"))
-    items = [F.transform(F.try_variant_get(F.col(f"a.{name}"), "$", "array<string>"), numbered(n)) for n, name in enumerate(CHILDREN)]
+    items = [F.transform(F.col(f"a.{name}"), numbered(n)) for n, name in enumerate(CHILDREN)]
     none = F.expr("cast(array() as array<struct<kind:int,pos:int,text:string>>)")
     one = cut.select("raw_seq", F.col("source_key").alias("parent_key"), F.col("source_modified_at").cast("timestamp").alias("parent_time"), F.explode(F.concat(parent, *[F.coalesce(i, none) for i in items])).alias("p"))
     one = one.select("raw_seq", "parent_key", "parent_time", "p.*")
@@ -76,12 +73,10 @@ def split_children(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     time = F.coalesce(F.when(child, json_timestamp(F.col("text"))), F.col("parent_time"))
 
     def linked(_: str, how: tuple) -> Column:
-        """The child's text with its link in front; a child that has one already is cut as a map."""
+        """The child's text with its link in front; one of its own was cut out."""
         link, value = how[1], F.lit(how[2]) if how[2] else F.col("parent_key")
         head = F.to_json(F.struct(value.alias(link)))
-        own = F.map_filter(F.from_json("text", "map<string,variant>"), lambda k, _: k != link)
-        slow = F.to_json(F.map_concat(own, F.create_map(F.lit(link), value.cast("variant"))))
-        return F.when(F.col("text").contains(f'"{link}"'), slow).when(F.col("text") == "{}", head).otherwise(F.concat(F.rtrim(head, F.lit("}")), F.lit(","), F.substring("text", 2, 1 << 30)))
+        return F.when(F.col("text").rlike(r"^\{\s*\}$"), head).otherwise(F.concat(F.rtrim(head, F.lit("}")), F.lit(","), F.substring("text", 2, 1 << 30)))
 
     found = named.select("raw_seq", "kind", "pos", "resource", "source_key", time.alias("source_modified_at"), F.when(child, of_kind(linked)).otherwise(F.col("text")).alias("payload"), F.when(child, wrong).alias("error"))
     good = found.where("error is null").select("raw_seq", F.greatest(F.lit(-1), F.col("pos") + F.col("kind") * 1_000_000).alias("ord"), "resource", "source_key", "source_modified_at", "payload")

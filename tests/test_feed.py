@@ -516,6 +516,28 @@ def test_children_with_links_of_their_own_and_odd_items(spark):
     assert sorted((r.resource, r.pos, r.error) for r in errors.collect()) == [("media", 1, "Media: no MediaKey"), ("media", 2, "Media: not an object"), ("media", 3, "Media: not an object")]
 
 
+def test_payloads_keep_their_text(spark, tmp_path):
+    """What the feed has written stays as it is: numbers, escapes, blanks and the order of members."""
+    child = '{ "MediaKey" : "m1", "Price": 1.50, "Note": "\\u00e9 }, {" ,"ResourceName":"Planet", "Big": 1234567890123456789012345678901234567890123}'
+    record = '{"ListingKey":"L1", "ListPrice":250000.00,"Media":[' + child + ', {"MediaKey":"m2"}],"X": {"y":[1.0 , 2e3],"z":null} ,"Rooms":[{"RoomKey":"r", "RoomLevel":"\\"ListingKey\\""}], "City":"a\\/b"}'
+    (tmp_path / "p.json").write_text('{"@odata.count": 7, "value" : [' + record + " ,  " + '{"ListingKey":"L2"}' + "]}")
+    (tmp_path / "bad.json").write_text('{"value": [{"ListingKey": ')
+    pages = feed.read_feed_pages(spark, str(tmp_path)).orderBy("ord").collect()
+    assert [(r.record, r.odata_count) for r in pages] == [(record, 7), ('{"ListingKey":"L2"}', 7)]
+    rows, errors = feed.split_children(spark.createDataFrame([(1, "L1", T0, record), (2, "L2", T0, '{"ListingKey":"L2"}'), (3, "L3", T0, "no"), (4, "L4", T0, '{"Media":[] }')], "raw_seq long, source_key string, source_modified_at timestamp, payload string"))
+    got = {r.source_key: r.payload for r in rows.collect()}
+    assert got == {
+        "L1": '{"ListingKey":"L1","ListPrice":250000.00,"X": {"y":[1.0 , 2e3],"z":null},"City":"a\\/b"}',
+        "L2": '{"ListingKey":"L2"}',
+        "L3": None,
+        "L4": "{}",
+        "m1": '{"ResourceName":"Property","MediaKey" : "m1","Price": 1.50,"Note": "\\u00e9 }, {","Big": 1234567890123456789012345678901234567890123}',
+        "m2": '{"ResourceName":"Property","MediaKey":"m2"}',
+        "r": '{"ListingKey":"L1","RoomKey":"r", "RoomLevel":"\\"ListingKey\\""}',
+    }
+    assert errors.count() == 0
+
+
 def test_raw_records_have_a_time(spark):
     pages = spark.createDataFrame([("p", 0, '{"OfficeKey":"o1","ModificationTimestamp":"2024-01-02T03:04:05Z"}'), ("p", 1, '{"OfficeKey":"o2"}')], "page string, ord int, record string")
     got = {r.source_key: r.source_modified_at for r in feed.raw_records(pages, "office", "2024-02-03 00:00:00").collect()}

@@ -2,9 +2,10 @@
 
 Short test items hide in long documents, so what counts is containment: the share of an item's word shingles that the
 document has. Items are partitioned by their number of shingles, sizes up to a power of two. An item's sketch is its
-bottom-k MinHash: its k shingles that come first in a random order. k is one more than the shingles that a match
-at the threshold may lack in an item of the partition's largest size, so a document that contains enough of an item has at least
-one shingle of its sketch, and no match is lost however long the document is.
+bottom-k MinHash: its k shingles that come first in a random order. k is EXTRA + 1 more than the shingles that a match
+at the threshold may lack in an item of the partition's largest size (fewer where the item has fewer), so a document that contains enough
+of an item has at least EXTRA + 1 shingles of its sketch, and no match is lost however long the document is. Pairs that meet in
+fewer, such as by one very common shingle, end there, before any is verified.
 
 Documents are read once. A bit map of the items' shingle hashes (16 MB at most, whatever the items) tells which few shingles of a
 document leave the map; these are joined with the sketches, and the pairs found are verified by joining the shingles
@@ -21,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Marks, marked, written
+from .shared import Marks, dealt, marked, written
 from .words import Words, mix, slices, windowed
 
 WORDS, CONTAINMENT, PROBES = 5, 0.8, 4
+#: Shingles of a sketch beyond those that a match may lack and one.
+EXTRA = 4
 #: ASCII letters in lower case, other ASCII but digits as blanks, other characters unchanged.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -61,11 +64,12 @@ class Shingles:
         return [b" ".join(data[a:b].split()) for a, b in spans]
 
 
-_ITEM = "item_id long, item_key long, item_shingles int, words int, hash long, shingle binary, sketch boolean"
+_ITEM = "item_id long, item_key long, item_shingles int, words int, hash long, shingle binary, sketch boolean, least int"
 
 
 def item_shingles(items: DataFrame, words: int, containment: float, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """One row for each distinct shingle of each item: its hash, the shingle, and whether it is in the item's sketch.
+    """One row for each distinct shingle of each item: its hash, the shingle, whether it is in the item's sketch, and how many of
+    the sketch a match has at least.
 
     An item of fewer words than ``words`` is one shingle. Rows that repeat id and text are one item; texts that share an
     id are items of their own. Items with null or wordless text have no shingles and never match.
@@ -85,15 +89,17 @@ def item_shingles(items: DataFrame, words: int, containment: float, id_col: str
                     owner = s.owner[keep]
                     size = np.bincount(owner, minlength=len(row))
                     largest = [(1 << int(x).bit_length()) - 1 for x in size]
-                    sketch = np.array([k - math.ceil(containment * k - 1e-9) + 1 for k in largest])
+                    lack = np.array([k - math.ceil(containment * k - 1e-9) for k in largest])
+                    sketch = np.minimum(size, lack + 1 + EXTRA)
+                    least = np.maximum(sketch - lack, 1)
                     rank = np.arange(len(keep)) - (np.cumsum(size) - size)[owner]
                     ids = part.take(pa.array(row[owner]))
                     yield pa.RecordBatch.from_arrays(
                         [
                             ids.column("item_id"), ids.column("item_key"), pa.array(size[owner], pa.int32()), pa.array(np.full(len(keep), n), pa.int32()),
-                            pa.array(s.hash[keep].view(np.int64)), pa.array(s.bytes_of(keep), pa.binary()), pa.array(rank < sketch[owner]),
+                            pa.array(s.hash[keep].view(np.int64)), pa.array(s.bytes_of(keep), pa.binary()), pa.array(rank < sketch[owner]), pa.array(least[owner], pa.int32()),
                         ],
-                        names=["item_id", "item_key", "item_shingles", "words", "hash", "shingle", "sketch"],
+                        names=["item_id", "item_key", "item_shingles", "words", "hash", "shingle", "sketch", "least"],
                     )
 
     one = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("text is not null").distinct()
@@ -123,13 +129,18 @@ def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "row_key", "hash", "shingle").agg(F.count("*").alias("rows"))
 
 
+def _pairs(hits: DataFrame, items: DataFrame) -> DataFrame:
+    """(none, id, row_key, item_key, item_id): the documents and items that meet in enough of the item's sketch."""
+    sketches = items.where("sketch").select("hash", "shingle", "item_key", "item_id", "least")
+    met = hits.join(sketches, ["hash", "shingle"]).groupBy("none", "id", "row_key", "item_key", "item_id").agg(F.count("*").alias("met"), F.first("least").alias("least"))
+    return met.where("met >= least").drop("met", "least")
+
+
 def _matches(docs: DataFrame, items: DataFrame, words: int, containment: float) -> DataFrame:
     """``docs`` (doc_id, row_key, text) -> (doc_id, row_key, item_id, item_key, shared, item_shingles, rows)."""
     shingled = written(item_shingles(items, words, containment), "items")
     hits = written(_hits(docs, shingled), "hits").withColumn("none", F.col("doc_id").isNull()).withColumn("id", F.coalesce("doc_id", F.lit(0)))
-    sketches = shingled.where("sketch").select("hash", "shingle", "item_key", "item_id")
-    pairs = hits.join(sketches, ["hash", "shingle"]).select("none", "id", "row_key", "item_key", "item_id").distinct()
-    wanted = pairs.join(shingled.select("item_key", F.col("item_id").alias("its_id"), "item_shingles", "hash", "shingle"), "item_key")
+    wanted = _pairs(hits, shingled).join(shingled.select("item_key", F.col("item_id").alias("its_id"), "item_shingles", "hash", "shingle"), "item_key")
     wanted = wanted.where(F.col("item_id").eqNullSafe(F.col("its_id")))
     shared = wanted.join(hits.drop("doc_id"), ["none", "id", "row_key", "hash", "shingle"]).groupBy("none", "id", "row_key", "item_id", "item_key")
     counted = shared.agg(F.count("*").cast("int").alias("shared"), F.max("item_shingles").alias("item_shingles"), F.max("rows").alias("rows"))
@@ -147,8 +158,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """
     text = F.col(text_col)
     one = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row_key"), text.alias("text"))
-    each = F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("copy")
-    found = _matches(one, items, words, containment).select("doc_id", "item_id", "shared", "item_shingles", each)
+    found = dealt(written(_matches(one, items, words, containment).select("doc_id", "item_id", "shared", "item_shingles", "rows"), "found"), "rows")
     return found.select("doc_id", "item_id", "shared", "item_shingles", (F.col("shared") / F.col("item_shingles")).alias("containment"))
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Marks, columns, written
+from .shared import Marks, columns, dealt, written
 
 PREFIX = 256
 
@@ -73,9 +73,8 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         "rows",
         F.col("full").alias("text_sha256"),
     )
-    each = F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("copy")
-    return joined.select("doc_id", "keep_id", "group_size", "text_sha256", each).select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256"
+    return dealt(joined, "rows").select(
+        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 0)).alias("kept"), "text_sha256"
     )
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import columns, fresh
+from .shared import columns, cut_copies, fresh
 
 #: Fixed values of the published generator.
 MULTIPLIER, INCREMENT = 2862933555777941757, 1
@@ -62,18 +62,18 @@ BUCKET_ROWS = 50_000
 def numbered(df: DataFrame, shard: str, rows: int) -> DataFrame:
     """Adds ``slot``: the ``rows`` rows are numbered within their shard from 0, without gaps.
 
-    Rows that are the same in all columns are counted, map-side first, and dealt out again at the end. A shard is cut into
-    buckets by a hash; a bucket's rows are numbered by themselves, and begin after those of the shard's buckets before it, of
-    which there is one row each. So no task has much more than BUCKET_ROWS rows, whatever repeats.
+    Rows that are the same in all columns are counted, map-side first, and dealt out again at the end, very many of them from several
+    buckets. A shard is cut into buckets by a hash; a bucket's rows are numbered by themselves, and begin after those of the shard's
+    buckets before it, of which there is one row each. So no task has much more than BUCKET_ROWS rows, whatever repeats.
     """
-    copies, bucket, before, here = (fresh(n, df) for n in ("copies", "bucket", "before", "here"))
-    each = df.groupBy(*columns(df)).agg(F.count("*").alias(copies))
+    copies, chunk, bucket, before, here = (fresh(n, df) for n in ("copies", "chunk", "bucket", "before", "here"))
+    each = cut_copies(df.groupBy(*columns(df)).agg(F.count("*").alias(copies)), copies, chunk)
     buckets = max(1, -(-rows // BUCKET_ROWS))
-    cut = each.withColumn(bucket, F.pmod(F.xxhash64(*columns(df)), F.lit(buckets)))
+    cut = each.withColumn(bucket, F.pmod(F.xxhash64(*columns(df), chunk), F.lit(buckets)))
     earlier = lambda w: F.coalesce(F.sum(copies).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = cut.groupBy(shard, bucket).agg(F.sum(copies).alias(copies))
     offsets = sizes.select(shard, bucket, earlier(Window.partitionBy(shard).orderBy(bucket)).alias(before))
-    placed = cut.withColumn(here, earlier(Window.partitionBy(shard, bucket).orderBy(*columns(df)))).join(offsets, [shard, bucket])
+    placed = cut.withColumn(here, earlier(Window.partitionBy(shard, bucket).orderBy(*columns(df), chunk))).join(offsets, [shard, bucket])
     first = F.col(before) + F.col(here)
     return placed.select(*columns(df), F.explode(F.sequence(first, first + F.col(copies) - 1)).alias("slot"))
 

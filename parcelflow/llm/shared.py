@@ -83,6 +83,31 @@ def columns(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
+#: Copies of one row that are dealt out by one task.
+COPIES = 50_000
+
+
+def cut_copies(df: DataFrame, copies: str, chunk: str) -> DataFrame:
+    """Rows that stand for ``copies`` rows each, cut into rows that stand for COPIES at most; ``chunk`` numbers them from 0."""
+    at, left = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(copies) - 1) / COPIES))), fresh("left", df)
+    cut = df.withColumn(chunk, at).withColumn(left, F.least(F.lit(COPIES).cast("long"), F.col(copies) - F.col(chunk) * COPIES))
+    return cut.drop(copies).withColumnRenamed(left, copies)
+
+
+def dealt(df: DataFrame, copies: str) -> DataFrame:
+    """Every row as often as its ``copies`` says, without that column, with a number ``copy`` from 0.
+
+    Rows of very many copies are cut first and the cuts spread over all tasks; other rows are not exchanged.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few, many = df.where(F.col(copies) <= COPIES), df.where(F.col(copies) > COPIES)
+    chunk = fresh("chunk", df)
+    spread = cut_copies(many, copies, chunk)
+    whole = few.withColumn(chunk, F.lit(0).cast("long")).unionByName(spread.repartition(parts, *columns(spread)))
+    first = F.col(chunk) * COPIES
+    return whole.withColumn("copy", F.explode(F.sequence(first, first + F.col(copies) - 1))).drop(chunk, copies)
+
+
 class Marks:
     """A bit map of 64-bit hashes, so that rows which surely have none of them need no exchange.
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parcelflow.llm import decontaminate, exact_progressive, jump_shard, langid_ecoc, packing, pii_crf, queries, secret_ownership, simhash_bk, substring_lsm, url_trust
+from parcelflow.llm import decontaminate, exact_progressive, jump_shard, langid_ecoc, packing, pii_crf, queries, secret_ownership, shared, simhash_bk, substring_lsm, url_trust
 from parcelflow.llm.components import connected_components
 from parcelflow.llm.shared import Marks, marked, sampled, written
 
@@ -479,6 +479,23 @@ def test_op6_long_documents_and_short_items(spark):
     assert sorted(r["doc_id"] for r in left if r["doc_id"] is not None) == clean and sum(r["doc_id"] is None for r in left) == 1
 
 
+def test_op6_common_shingle_makes_no_pairs_to_verify(spark):
+    """Three shingles that all documents and all items have: their pairs end at the sketches, and what is contained is found."""
+    rng = random.Random(12)
+    notice = "all rights reserved by us and others"
+    own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, f"{notice} {own[i] if i < 20 else 'other text ' + str(i)}") for i in range(200)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"{notice} {t}") for i, t in enumerate(own)], "item_id long, text string")
+    shingled = decontaminate.item_shingles(items, 5, 0.8).cache()
+    assert shingled.where("sketch and least > 1").select("item_id").distinct().count() == 60
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    hits = decontaminate._hits(keyed, shingled).withColumn("none", F.lit(False)).withColumnRenamed("doc_id", "id")
+    met = hits.join(shingled.where("sketch"), ["hash", "shingle"]).select("id", "item_id").distinct().count()
+    pairs = {(r["id"], r["item_id"]) for r in decontaminate._pairs(hits, shingled).collect()}
+    assert met > 1_000 and pairs == {(i, i) for i in range(20)}
+    assert {(r["doc_id"], r["item_id"]) for r in rows(decontaminate.contaminated(docs, items))} == pairs
+
+
 # --- op4 ---------------------------------------------------------------------------------------------------------
 
 PLAIN = {
@@ -762,8 +779,10 @@ def test_op1_sql_on_a_linked_table(spark, tmp_path):
         assert r["trust"] == pytest.approx(w["trust"], abs=1e-5) and r["distrust"] == pytest.approx(w["distrust"], abs=1e-5)
 
 
-def test_op5_repeated_rows_and_many_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("copies", [1, 7, 50_000])
+def test_op5_repeated_rows_and_many_buckets(spark, monkeypatch, copies):
     monkeypatch.setattr(jump_shard, "BUCKET_ROWS", 50)
+    monkeypatch.setattr(shared, "COPIES", copies)
     rows_ = [(None, "")] * 700 + [(i % 40, "t") for i in range(500)] + [(i, None) for i in range(300)]
     got = rows(jump_shard.jump_shards(spark.createDataFrame(rows_, "doc_id long, text string")))
     assert len(got) == len(rows_)
@@ -772,6 +791,23 @@ def test_op5_repeated_rows_and_many_buckets(spark, monkeypatch):
         assert slots == list(range(len(slots)))
 
 
+@pytest.mark.parametrize("copies", [1, 7])
+def test_repeated_rows_are_dealt_out_by_many_tasks(spark, monkeypatch, copies):
+    monkeypatch.setattr(shared, "COPIES", copies)
+    counted = spark.createDataFrame([(1, "a", 1), (None, None, 500), (2, "b", 8), (3, "c", 7)], "id long, chunk string, n long")
+    got = shared.dealt(counted, "n").withColumn("task", F.spark_partition_id())
+    tasks = {r["id"]: r["n"] for r in got.groupBy("id").agg(F.count_distinct("task").alias("n")).collect()}
+    assert tasks[None] > 1
+    by_id = {i: sorted(r["copy"] for r in got.collect() if r["id"] == i) for i in (1, 2, 3, None)}
+    assert by_id == {1: [0], 2: list(range(8)), 3: list(range(7)), None: list(range(500))}
+    text = "one two three four five six seven"
+    frame = spark.createDataFrame([(None, None)] * 100 + [(4, text)] * 50 + [(3, text)] * 30 + [(9, "x")], "doc_id long, text string")
+    decided = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in rows(exact_progressive.decisions(frame)))
+    assert decided == {(None, None, 100, True): 1, (None, None, 100, False): 99, (4, 3, 80, False): 50, (3, 3, 80, True): 1, (3, 3, 80, False): 29, (9, 9, 1, True): 1}
+    item = spark.createDataFrame([(1, text)], "item_id long, text string")
+    assert Counter(r["doc_id"] for r in rows(decontaminate.contaminated(frame, item))) == {4: 50, 3: 30}
+
+
 def test_op10_equals_plain_ownership(spark, docs, tiny):
     """Owners counted by plain loops, with random tokens planted that one, two and four owners hold."""
     rng = random.Random(31)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from parcelflow.functions import sql
 from parcelflow.operators.address_index import AddressIndex
 from parcelflow.operators import audit, page, traverse, versions
 from parcelflow.operators.node_directory import NodeDirectory
@@ -13,8 +14,8 @@ from parcelflow.sources.snapshot import work_folder
 from parcelflow.streaming import feed_stream
 
 from . import registry
-from .demo import NOW
-from .catalogue import _FOLD, _GOOD, _NODE_SQL, _NODES, FEED_DATA, _payloads, _similar, _t, _time, _versions, query
+from .demo import NOW, spread
+from .catalogue import _FOLD, _GOOD, _NODE_SQL, _NODES, FEED_DATA, _payloads, _CENTER, _similar, _t, _time, _versions, _vincenty, query
 
 # --- address search --------------------------------------------------------------------------------------------
 
@@ -28,6 +29,25 @@ def address_search_by_index(listing):
     return AddressIndex.build(listing).search_address(listing, " 123 blue bolt ", 0.6).select("listing_key")
 
 
+@query("listing", oracle=f"""with a as (select listing_key, {_ADDRESS} as addr from listing where mlg_can_view)
+  select listing_key, s as similarity from (select listing_key, {_similar('123 blue bolt', 'addr')} as s from a) where s >= 0.6""")
+def address_search_in_sql(listing):
+    """Fuzzy addresses in ``spark.sql``."""
+    sql.register(listing.sparkSession)
+    return listing.sparkSession.sql("""
+        with a as (select listing_key, concat_ws(' ', street_number, street_name, city, state_or_province, postal_code) as address from {listing} where mlg_can_view)
+        select listing_key, word_similarity('123 blue bolt', address) as similarity from a where fuzzy_match('123 blue bolt', address, 0.6D)""", listing=spread(listing))
+
+
+@query("listing", oracle=_vincenty() + ", m as (select standard_status, v.metres from v join listing using (listing_key) where v.metres <= 10000) select standard_status, count(*) as n, round(max(metres), 3) as farthest from m group by 1")
+def geo_radius_in_sql(listing):
+    """Listings within ten kilometres by status, in ``spark.sql``, and how far the farthest is."""
+    sql.register(listing.sparkSession)
+    return listing.sparkSession.sql(f"""
+        select standard_status, count(*) as n, round(max(geodesic_metres(latitude, longitude, {_CENTER[0]}D, {_CENTER[1]}D)), 3) as farthest
+        from {{listing}} where mlg_can_view and within_radius(latitude, longitude, {_CENTER[0]}D, {_CENTER[1]}D, 10000D) group by standard_status""", listing=spread(listing.select("standard_status", "mlg_can_view", "latitude", "longitude")))
+
+
 _GRAMS = "flatten(list_transform(list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr(concat('  ', w, ' '), i, 3))))"
 
 

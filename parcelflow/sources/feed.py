@@ -53,8 +53,9 @@ def split_children(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     numbered = lambda n: lambda x, i: F.struct(F.lit(n).alias("kind"), i.alias("pos"), x.alias("text"))
     items = [F.transform(F.col(f"a.{name}"), numbered(n)) for n, name in enumerate(CHILDREN)]
     none = F.expr("cast(array() as array<struct<kind:int,pos:int,text:string>>)")
-    one = cut.select("raw_seq", F.col("source_key").alias("parent_key"), F.col("source_modified_at").cast("timestamp").alias("parent_time"), F.explode(F.concat(parent, *[F.coalesce(i, none) for i in items])).alias("p"))
-    one = one.select("raw_seq", "parent_key", "parent_time", "p.*")
+    step = F.greatest(F.lit(1_000_000), *[F.size(f"a.{name}") for name in CHILDREN]).cast("long")  # kinds never overlap
+    one = cut.select("raw_seq", step.alias("step"), F.col("source_key").alias("parent_key"), F.col("source_modified_at").cast("timestamp").alias("parent_time"), F.explode(F.concat(parent, *[F.coalesce(i, none) for i in items])).alias("p"))
+    one = one.select("raw_seq", "step", "parent_key", "parent_time", "p.*")
 
     def of_kind(pick) -> Column:
         first, *others = enumerate(CHILDREN.items())
@@ -78,8 +79,8 @@ def split_children(records: DataFrame) -> tuple[DataFrame, DataFrame]:
         head = F.to_json(F.struct(value.alias(link)))
         return F.when(F.col("text").rlike(r"^\{\s*\}$"), head).otherwise(F.concat(F.rtrim(head, F.lit("}")), F.lit(","), F.substring("text", 2, 1 << 30)))
 
-    found = named.select("raw_seq", "kind", "pos", "resource", "source_key", time.alias("source_modified_at"), F.when(child, of_kind(linked)).otherwise(F.col("text")).alias("payload"), F.when(child, wrong).alias("error"))
-    good = found.where("error is null").select("raw_seq", F.greatest(F.lit(-1), F.col("pos") + F.col("kind") * 1_000_000).alias("ord"), "resource", "source_key", "source_modified_at", "payload")
+    found = named.select("raw_seq", "step", "kind", "pos", "resource", "source_key", time.alias("source_modified_at"), F.when(child, of_kind(linked)).otherwise(F.col("text")).alias("payload"), F.when(child, wrong).alias("error"))
+    good = found.where("error is null").select("raw_seq", F.greatest(F.lit(-1).cast("long"), F.col("pos") + F.col("kind") * F.col("step")).alias("ord"), "resource", "source_key", "source_modified_at", "payload")
     return good, found.where("error is not null").select("raw_seq", "resource", "pos", "error")
 
 

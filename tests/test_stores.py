@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from parcelflow.functions import geo, trigram
+from parcelflow.functions import geo, sql, trigram
 from parcelflow.operators import audit, traverse, versions
 from parcelflow.operators.address_index import AddressIndex
 from parcelflow.operators.node_directory import NodeDirectory
@@ -360,3 +360,21 @@ def test_audit_reads_payloads_once(spark):
     assert got["totals"] == [(5, 2)] and ("office_name", 2, 3) in got["fill_rate"] and got["unconsumed"] == [("New", 2), ("Other", 1)]
     empty = {name: df.count() for name, df in audit.audit_once(raw.where("false"), "lookup").items()}
     assert empty["totals"] == 1 and empty["errors"] == empty["unconsumed"] == 0
+
+
+def test_sql_functions_equal_columns(spark):
+    rng = random.Random(5)
+    words = ["blue", "bolt", "bolts", "Größe", "straße", "12", "123", "way", ""]
+    places = [(30.5, -97.5), (30.5, -97.4), (90.0, 0.0), (0.0, 0.0), (-30.0, 82.4), (1.0, None), (None, None)]
+    rows = [(" ".join(rng.choices(words, k=rng.randrange(6))), *rng.choice(places)) for _ in range(60)] + [(None, 30.5, -97.45), ("?!", 30.58, -97.4)]
+    rows += [("bolt", 30.5 + rng.uniform(-0.1, 0.1), -97.4 + rng.uniform(-0.11, 0.11)) for _ in range(200)]
+    frame = spark.createDataFrame(rows, "t string, lat double, lng double")
+    for _ in range(2):  # again, as a session may
+        sql.register(spark)
+    for q in ("123 Blue bolt", "?!", "größe"):
+        text = "word_similarity(:q, t), fuzzy_match(:q, t, 0.5D), geodesic_metres(lat, lng, 30.5D, -97.4D), within_radius(lat, lng, 30.5D, -97.4D, 9600D)"
+        got = spark.sql(f"select {text} from {{frame}}", args={"q": q}, frame=frame).collect()
+        lat, lng, place = F.col("lat"), F.col("lng"), (30.5, -97.4)
+        want = frame.select(trigram.word_similarity(q, F.col("t")), trigram.fuzzy(F.col("t"), q, 0.5), geo.geodesic(lat, lng, place), geo.reached(lat, lng, place, F.lit(9600.0))).collect()
+        assert [tuple(r) for r in got] == [tuple(r) for r in want]
+    assert {r[3] for r in got} == {True, False}

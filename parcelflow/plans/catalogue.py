@@ -515,7 +515,7 @@ def geo_bounds(listing):
 
 
 def _region(listing: DataFrame, geo: dict) -> DataFrame:
-    return listing.where("mlg_can_view").where(region(F.col("latitude"), F.col("longitude"), geo)).select("listing_key")
+    return listing.where("mlg_can_view").where(region(F.col("latitude"), F.col("longitude"), geo, decimal=True)).select("listing_key")
 
 
 @query("listing", oracle="""select listing_key from listing where mlg_can_view and (latitude between 30.1 and 30.3 and longitude between -97.4 and -97.2

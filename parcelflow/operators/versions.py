@@ -139,10 +139,10 @@ def _fold(rows: DataFrame, key: str, state: DataFrame | None, long_history: int)
 def fold_monotone(typed: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """``fold_versions`` where times rise strictly with raw_seq per key (no row can be stale), by window functions.
 
-    Runs of equal rows are one version; of a run of hidden rows the first one counts.
+    Runs of equal rows are one version; of a run of hidden rows the first one counts. Rows with one number go by time, then by what they say.
     """
-    w = Window.partitionBy(key).orderBy("raw_seq")
-    rows = typed.select(key, "raw_seq", F.col("mlg_can_view").alias("visible"), data_text(columns).alias("text"))
+    w = Window.partitionBy(key).orderBy("raw_seq", "at", "visible", "text")
+    rows = typed.select(key, "raw_seq", F.col("source_modified_at").alias("at"), F.col("mlg_can_view").alias("visible"), data_text(columns).alias("text"))
     rows = rows.select("*", F.lag("visible").over(w).alias("was"), F.lag("text").over(w).alias("before"))
     outcome = (
         F.when(~F.col("visible"), F.when(F.col("was").isNotNull() & ~F.col("was"), "skip-tombstoned").otherwise("delete"))

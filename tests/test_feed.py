@@ -317,6 +317,14 @@ def test_slanted_edge_in_decimals(spark):
     assert df.where(triangle != plain).count() == 0 and df.where((F.col("lat") == 30 + 802 / 1000) & triangle).count() == 2
 
 
+def test_monotone_fold_breaks_ties_by_time(spark):
+    """Rows with one number go by their time, in whatever order they are read."""
+    rows = [(1, 5, "2024-01-03", True, 1), (1, 5, "2024-01-02", False, 1), (1, 5, "2024-01-01", True, 1), (1, 6, "2024-01-04", False, 1)]
+    frame = lambda r: spark.createDataFrame(r, "k int, raw_seq long, source_modified_at string, mlg_can_view boolean, price int").coalesce(1)
+    found = [sorted(r.outcome for r in versions.fold_monotone(frame(r), "k", ["price"]).collect()) for r in (rows, rows[::-1], [rows[1], rows[0], rows[2], rows[3]])]
+    assert found == [["delete", "delete", "insert", "update"]] * 3
+
+
 def plain_word_similarity(query, text):
     q, t = set(trigram.trigrams_of(query)), trigram.trigrams_of(text)
     return max((len(q & set(t[a:b])) / len(q | set(t[a:b])) for a in range(len(t)) for b in range(a + 1, len(t) + 1)), default=0.0)

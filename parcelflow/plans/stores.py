@@ -147,15 +147,15 @@ def office_ancestors(office):
 # --- streams ---------------------------------------------------------------------------------------------------
 
 #: Pages of the demo have so many records, about; there are at least 18 of them, in 17 batches or more.
-_PAGE, _LEAST, _SEQS = 1_000, 18, 10_010_000_000
+_PAGE, _LEAST = 1_000, 18
 
 
-def _write_pages(feed, folder: str, pages: int, first: int, last: int) -> None:
-    """The feed as pages of open houses, in order of arrival; every tenth record comes again on the next page. One task writes them one after the other, as a feed does."""
+def _write_pages(feed, folder: str, pages: int, seqs: int, first: int, last: int) -> None:
+    """The feed, numbered below ``seqs``, as pages of open houses, in order of arrival; every tenth record comes again on the next page. One task writes them one after the other, as a feed does."""
     stamp = F.date_format("source_modified_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     listing = F.concat(F.lit("L"), (F.col("source_key") * 3).cast("string"))
     fields = {"OpenHouseKey": F.col("source_key").cast("string"), "ModificationTimestamp": stamp, "MlgCanView": F.col("mlg_can_view"), "ListingKey": listing, "OpenHouseType": F.col("list_price").cast("string"), "OpenHouseStatus": F.col("status")}
-    page = F.floor(F.col("raw_seq") * pages / _SEQS).cast("int")
+    page = F.floor(F.col("raw_seq") * pages / seqs).cast("int")
     rows = feed.select(page.alias("page"), "raw_seq", F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])).alias("text"))
     rows = rows.union(rows.where("raw_seq % 10 = 0").select(F.col("page") + 1, "raw_seq", "text")).where(F.col("page").between(first, last))
     each = rows.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("raw_seq", "text"))).alias("r"))
@@ -170,11 +170,12 @@ def stream_chain(feed, listing):
     spark = feed.sparkSession
     root = work_folder(spark, "chain")
     kept = versions.written_once(feed, "feed")
-    pages = max(_LEAST, -(-kept.count() // _PAGE))
+    rows, newest = kept.agg(F.count("*"), F.max("raw_seq")).first()
+    pages, seqs = max(_LEAST, -(-rows // _PAGE)), (newest or 0) + 1
     stream = lambda: feed_stream.ingest_stream(feed_stream.page_stream(spark, f"{root}/in/*", pages // 17), f"{root}/out", f"{root}/checkpoint", NOW, "open_house", span="yyyy-MM")
-    _write_pages(kept, f"{root}/in", pages, 0, pages // 2)
+    _write_pages(kept, f"{root}/in", pages, seqs, 0, pages // 2)
     feed_stream.finish(stream(), lambda: None)
-    _write_pages(kept, f"{root}/in", pages, pages // 2 + 1, pages)
+    _write_pages(kept, f"{root}/in", pages, seqs, pages // 2 + 1, pages)
     links = []
     feed_stream.finish(stream(), lambda: links.append(feed_stream.link_landed(spark, f"{root}/out", "open_house", listing)))
     times = feed_stream.read_ledger(spark, f"{root}/out", feed_stream.LANDED).select("raw_seq", F.date_format("source_modified_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))

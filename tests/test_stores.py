@@ -378,3 +378,13 @@ def test_sql_functions_equal_columns(spark):
         want = frame.select(trigram.word_similarity(q, F.col("t")), trigram.fuzzy(F.col("t"), q, 0.5), geo.geodesic(lat, lng, place), geo.reached(lat, lng, place, F.lit(9600.0))).collect()
         assert [tuple(r) for r in got] == [tuple(r) for r in want]
     assert {r[3] for r in got} == {True, False}
+
+
+def test_stream_chain_of_large_numbers(spark):
+    """Events beyond the numbers of the smallest tables are on pages, too."""
+    from parcelflow.plans.stores import stream_chain
+
+    rows = [(k, 10_000_000_000 + k * 100_000_000, f"2024-01-{k:02d} 00:00:00", True, k, "view") for k in range(1, 13)]
+    feed = spark.createDataFrame(rows, "source_key long, raw_seq long, t string, mlg_can_view boolean, list_price long, status string").withColumn("source_modified_at", F.col("t").cast("timestamp_ntz")).drop("t")
+    found = stream_chain(feed, spark.createDataFrame([("L3",)], "listing_key string")).collect()
+    assert sorted(int(r.key) for r in found if r.what == "version") == sorted(int(r.key) for r in found if r.what == "link") == list(range(1, 13))

@@ -78,7 +78,7 @@ def address_matches(listing):
   select region_id, count(distinct listing_key) as n from h where inside group by 1""")
 def listings_per_region(listing, territory):
     """All listings against all offices' territories of two polygons each; corners and edges have listings on them."""
-    return RegionGrid(territory).match(listing).groupBy("region_id").agg(F.count("*").alias("n"))
+    return RegionGrid(territory).count(listing.select("latitude", "longitude"))
 
 
 # --- version stores --------------------------------------------------------------------------------------------

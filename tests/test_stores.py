@@ -388,3 +388,18 @@ def test_stream_chain_of_large_numbers(spark):
     feed = spark.createDataFrame(rows, "source_key long, raw_seq long, t string, mlg_can_view boolean, list_price long, status string").withColumn("source_modified_at", F.col("t").cast("timestamp_ntz")).drop("t")
     found = stream_chain(feed, spark.createDataFrame([("L3",)], "listing_key string")).collect()
     assert sorted(int(r.key) for r in found if r.what == "version") == sorted(int(r.key) for r in found if r.what == "link") == list(range(1, 13))
+
+
+def test_grid_counts_without_pairs(spark):
+    """Counts are those of the matches: overlapping rings of one region, two regions of the same rings, places that repeat; pairs are not made one by one."""
+    r = random.Random(3)
+    rings = {n: [[(r.uniform(0, 4) + y, r.uniform(0, 4) + x) for y, x in ((0, 0), (3, 0), (3, 3), (0, 3))], [(1.0, 1.0), (1.0, 2.0), (2.0, 1.0)]] for n in "abc"}
+    rings["d"] = rings["a"]
+    rows = [(n, i, k, y, x) for n, region in rings.items() for i, ring in enumerate(region) for k, (y, x) in enumerate(ring)]
+    grid = RegionGrid(spark.createDataFrame(rows, "region_id string, ring int, seq int, latitude double, longitude double"))
+    places = [(r.uniform(0, 8), r.uniform(0, 8)) for _ in range(400)] + [(1.0, 1.5), (1.5, 1.5), (2.0, 1.0)]
+    df = spark.createDataFrame([(f"p{i}", y, x) for i, (y, x) in enumerate(places * 3)] + [("none", None, 1.0)], "listing_key string, latitude double, longitude double")
+    counts = {m.region_id: m.n for m in grid.count(df).collect()}
+    tests = [geo.region(F.col("latitude"), F.col("longitude"), {"polygons": v}).alias(n) for n, v in rings.items()]
+    flags = df.select(*tests).collect()
+    assert counts == {n: sum(f[n] for f in flags) for n in rings} and counts["a"] == counts["d"] > 0

@@ -23,10 +23,19 @@ def primary_photo(listings: DataFrame, media: DataFrame) -> DataFrame:
     return listings.select("listing_key").join(first, "listing_key", "left").select("listing_key", F.col("m.e").alias("media_key"))
 
 
+def _left_join(df: DataFrame, key: str, side: DataFrame, own: str) -> DataFrame:
+    """``df`` left-joined with ``side`` where ``key`` equals ``own``, which is dropped. Rows without a key match nothing; they are dealt out by their other columns, else they were one task."""
+    plain = [n for n, kind in df.dtypes if not kind.startswith(("map", "variant"))]
+    salted = df.withColumn("__salt", F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*plain), F.lit(1 << 20)) + 1).otherwise(0))
+    # no constant, which would be folded into the condition
+    named = side.withColumn("__none", F.when(F.col(own).isNull(), F.lit(1)).otherwise(0).cast("long"))
+    return salted.join(named, (F.col(key) == F.col(own)) & (F.col("__salt") == F.col("__none")), "left").drop("__salt", "__none", own)
+
+
 def soft_join(df: DataFrame, key: str, entity: DataFrame, entity_key: str, columns: dict[str, str], prefix: str) -> DataFrame:
     """``df`` with columns of the visible entity that ``key`` names; NULL where it is absent or hidden, the key stays."""
     side = entity.where("mlg_can_view").select(F.col(entity_key).alias("__key"), *[F.col(c).alias(f"{prefix}_{n}") for n, c in columns.items()])
-    return df.join(side, F.col(key) == F.col("__key"), "left").drop("__key")
+    return _left_join(df, key, side, "__key")
 
 
 def with_roles(listings: DataFrame, members: DataFrame, offices: DataFrame, roles: list[str] | None = None) -> DataFrame:
@@ -76,7 +85,7 @@ def children_of(listings: DataFrame, children: DataFrame, key: str, name: str, i
 
 def child_parent(children: DataFrame, listings: DataFrame, columns: list[str]) -> DataFrame:
     side = listings.select(F.col("listing_key").alias("__p"), *[F.col(c).alias(f"parent_{c}") for c in columns])
-    return children.join(side, F.col("parent_listing_key") == F.col("__p"), "left").drop("__p")
+    return _left_join(children, "parent_listing_key", side, "__p")
 
 
 def orphan_keys(df: DataFrame, key: str, entity: DataFrame, entity_key: str) -> DataFrame:

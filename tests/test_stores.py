@@ -403,3 +403,20 @@ def test_grid_counts_without_pairs(spark):
     tests = [geo.region(F.col("latitude"), F.col("longitude"), {"polygons": v}).alias(n) for n, v in rings.items()]
     flags = df.select(*tests).collect()
     assert counts == {n: sum(f[n] for f in flags) for n in rings} and counts["a"] == counts["d"] > 0
+
+
+def test_children_without_parent_are_many_tasks(spark):
+    """Rows without a key match nothing, and are not dealt to one task."""
+    rooms = spark.createDataFrame([(f"R{i}", "L1" if i % 4 == 0 else None) for i in range(400)], "room_key string, parent_listing_key string")
+    listings = spark.createDataFrame([("L1", "x"), ("L2", "y"), (None, "z")], "listing_key string, city string")
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, v in zip(names, ("-1", "false"), strict=True):
+            spark.conf.set(n, v)
+        rows = traverse.child_parent(rooms, listings, ["city"]).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert sorted((r.room_key, r.parent_city) for r in rows) == sorted((f"R{i}", "x" if i % 4 == 0 else None) for i in range(400))
+    assert len({r.task for r in rows if r.parent_listing_key is None}) > 1

@@ -420,3 +420,14 @@ def test_children_without_parent_are_many_tasks(spark):
             spark.conf.set(n, v)
     assert sorted((r.room_key, r.parent_city) for r in rows) == sorted((f"R{i}", "x" if i % 4 == 0 else None) for i in range(400))
     assert len({r.task for r in rows if r.parent_listing_key is None}) > 1
+
+
+def test_rooms_are_made_distinct_by_their_keys(spark, tiny):
+    """No text of a room goes into the exchange that makes rooms distinct."""
+    from parcelflow.plans.demo import VIEWS, view
+
+    rooms = view(spark, tiny, "room")
+    plain = spark.sql(VIEWS["room"], lineitem=view(spark, tiny, "lineitem"))
+    assert rooms.exceptAll(plain).isEmpty() and plain.exceptAll(rooms).isEmpty()
+    optimized = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [l_orderkey" in optimized(rooms) and "Aggregate [l_orderkey" not in optimized(plain)

@@ -54,8 +54,9 @@ def poison_cutoff(projected: DataFrame, quarantine: bool = False) -> DataFrame:
     """Good rows strictly before the first poison row, which the next run meets again; all good rows if ``quarantine``."""
     if quarantine:
         return projected.where("error is null").drop("error")
-    first = projected.where("error is not null").agg(F.min("raw_seq").alias("first_poison"))
-    return projected.where("error is null").join(F.broadcast(first), F.col("first_poison").isNull() | (F.col("raw_seq") < F.col("first_poison"))).drop("error", "first_poison")
+    good = projected.where("error is null").drop("error")
+    first = projected.where("error is not null").agg(F.min("raw_seq")).first()[0]  # a number, so that the filter goes below the typing of the rows
+    return good if first is None else good.where(F.col("raw_seq") < first)
 
 
 def project_resource(raw: DataFrame, resource: str) -> DataFrame:

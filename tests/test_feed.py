@@ -571,3 +571,11 @@ def test_stream_states_over_full_commits(spark, tmp_path, monkeypatch):
     feed_stream.fold_batches(stream, f"{tmp_path}/out", f"{tmp_path}/check", "key", ["price"]).awaitTermination()
     got = {r.raw_seq: (r.key, r.outcome, r.prior_seq) for r in spark.read.parquet(f"{tmp_path}/out/data/commit=*/outcomes").collect()}
     assert got == plain_fold(rows)
+
+
+def test_poison_cutoff_is_a_filter(spark):
+    """The first poison is a number, so that rows behind it can be left out before they are typed."""
+    projected = spark.createDataFrame([(i, "bad" if i in (3, 5) else None) for i in range(1, 7)], "raw_seq long, error string")
+    found = project.poison_cutoff(projected)
+    assert sorted(r.raw_seq for r in found.collect()) == [1, 2]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -26,44 +26,71 @@ def record(payload: Column, keys: list[str]) -> Column:
     return F.from_json(payload, f"{fields}, `_bad` string", strict)
 
 
+def plain(payload: Column, columns: list[Col]) -> Column:
+    """The texts of fields, and the lists of strings, as a struct by payload names, whatever their JSON types; a number is the text that it is.
+
+    Beside ``record``, which tells the types: a VARIANT is cast through an expression made for each value, which costs more than reading the payload again.
+    """
+    fields = ", ".join(f"`{c.payload}` {'array<string>' if c.kind == 'strings' else 'string'}" for c in columns if c.kind != "bool")
+    return F.from_json(payload, fields, {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"})
+
+
 def no_object(payload: Column, fields: Column) -> Column:
     """Whether a payload is no JSON object."""
     return payload.isNull() | fields.isNull() | fields["_bad"].isNotNull() | ~F.ltrim(payload).startswith("{")
 
 
-def parsed(col: Col, fields: str = "f") -> str:
-    """SQL of (value, error) of one typed column as a struct; NULL where the field is absent or null.
+def read(col: Col, fields: str = "f", texts: str = "g") -> dict[str, str]:
+    """SQL of what a typed column is made of, by the name to give it: the JSON type of its field (``__k_``), and its text or elements (``__t_``).
 
-    As text, since there are some hundred of these in a projection and each Column operator is a call to the JVM.
+    The columns of ``read``, ``value`` and ``error`` are three projections, so that each is made once; in one, the types and
+    texts are made anew wherever they are named, in methods too long to be compiled. As text, since there are some hundred of
+    these in a projection and each Column operator is a call to the JVM.
     """
-    value = f"{fields}.`{col.payload}`"
-    kind, text = f"schema_of_variant({value})", f"try_variant_get({value}, '$', 'string')"
+    field = f"{fields}.`{col.payload}`"
+    kind, text = f"schema_of_variant({field})", f"{texts}.`{col.payload}`"
+    if col.kind == "bool":
+        text = f"try_variant_get({field}, '$', 'boolean')"
+    elif col.kind.startswith("decimal"):  # exponents are evaluated
+        text = f"case when {kind} in ('DOUBLE', 'FLOAT') then try_variant_get({field}, '$', 'string') else {text} end"
+    return {f"__k_{col.column}": kind, f"__t_{col.column}": text}
+
+
+def value(col: Col) -> str:
+    """SQL of a typed column's value, from what ``read`` has made."""
+    kind, text = f"`__k_{col.column}`", f"`__t_{col.column}`"
     if col.kind == "string":
-        good, out = f"{kind} = 'STRING'", f"nullif({text}, '')"
-    elif col.kind in ("timestamp", "date"):
+        return f"nullif({text}, '')"
+    if col.kind in ("timestamp", "date"):
         form, how = (RFC3339, "") if col.kind == "timestamp" else (DATE, ", 'yyyy-MM-dd'")
-        out = f"case when {text} rlike r'{form}' then try_to_timestamp({text}{how}) end"
+        return f"case when {text} rlike r'{form}' then try_to_timestamp({text}{how}) end"
+    if col.kind.startswith("decimal"):
+        return f"case when {text} rlike r'{NUMBER}' then try_cast({text} as {col.kind}) end"
+    if col.kind == "bool":
+        return text
+    if col.kind in _WHOLE:
+        return f"case when {kind} = 'BIGINT' then try_cast({text} as {_WHOLE[col.kind]}) end"
+    # a null element of a list of strings is an empty string
+    return f"case when size({text}) > 0 then transform({text}, x -> coalesce(x, '')) end"
+
+
+def error(col: Col) -> str:
+    """SQL of a typed column's error, from its value and what ``read`` has made; NULL where the field is absent or null."""
+    kind, text, out = f"`__k_{col.column}`", f"`__t_{col.column}`", f"`{col.column}`"
+    if col.kind == "string":
+        good = f"{kind} = 'STRING'"
+    elif col.kind in ("timestamp", "date"):
         good = f"{kind} = 'STRING' and ({text} = '' or {out} is not null)"
     elif col.kind.startswith("decimal"):
-        out = f"case when {text} rlike r'{NUMBER}' then try_cast({text} as {col.kind}) end"
-        good = f"{kind} rlike '^(STRING|BIGINT|DECIMAL|DOUBLE|FLOAT)' and {out} is not null"
+        good = f"({kind} in ('STRING', 'BIGINT', 'DOUBLE', 'FLOAT') or startswith({kind}, 'DECIMAL')) and {out} is not null"
     elif col.kind == "bool":
-        good, out = f"{kind} = 'BOOLEAN'", f"try_variant_get({value}, '$', 'boolean')"
+        good = f"{kind} = 'BOOLEAN'"
     elif col.kind in _WHOLE:
-        out = f"case when {kind} = 'BIGINT' then try_cast({text} as {_WHOLE[col.kind]}) end"
         good = f"{out} is not null"
     else:
-        # a null element of a list of strings is an empty string
-        items = f"try_variant_get({value}, '$', 'array<variant>')"
-        good = f"{kind} like 'ARRAY%' and coalesce(not exists({items}, x -> schema_of_variant(x) not in ('STRING', 'VOID')), true)"
-        out = f"case when size({items}) > 0 then transform({items}, x -> coalesce(try_variant_get(x, '$', 'string'), '')) end"
-    error = f"case when not coalesce({good}, false) then '{col.payload}: not a {col.kind}' end"
-    return f"case when {value} is not null and {kind} <> 'VOID' then named_struct('value', {out}, 'error', {error}) end"
-
-
-def required(both: str, col: Col) -> str:
-    """SQL of the error of a required column, from its (value, error)."""
-    return f"coalesce({both}.error, case when {both}.value is null then '{col.payload}: required' end)"
+        good = f"{kind} in ('ARRAY<STRING>', 'ARRAY<VOID>')"  # of strings and nulls, or empty
+    wrong = f"case when {kind} <> 'VOID' and not ({good}) then '{col.payload}: not a {col.kind}' end"
+    return f"coalesce({wrong}, case when {out} is null then '{col.payload}: required' end)" if col.required else wrong
 
 
 def required_timestamp(payload: str, fields: str = "f", key: str = "ModificationTimestamp") -> str:

@@ -12,7 +12,7 @@ from parcelflow.plans.registry import MEDIA_OWNERS, RESOURCES, Col
 def project(raw: DataFrame, resource: str) -> DataFrame:
     """Rows of ``raw`` (raw_seq, source_modified_at, payload) as typed columns plus ``error``, NULL where all is well.
 
-    The payload is parsed once, its fields are typed one by one, and the first error in the order of columns makes the record
+    The payload is parsed by one projection, its fields are typed one by one, and the first error in the order of columns makes the record
     poison as a whole; its wrong columns are NULL. Media, rooms and unit types take their time from the raw row, others
     from the payload.
     """
@@ -20,27 +20,28 @@ def project(raw: DataFrame, resource: str) -> DataFrame:
     key = Col(r.key, "string", required=True)
     columns = [key, *parse.METADATA, *r.columns]
     names = [*[c.payload for c in columns], "ModificationTimestamp"]
-    rows = raw.select("raw_seq", F.col("source_modified_at").alias("raw_modified_at"), "payload", parse.record(F.col("payload"), names).alias("f"))
-    # a value and its error are made together, once: projections that the optimizer does not fold into one
-    typed = {c.column: parse.parsed(c) for c in columns}
-    values, errors = {n: f"`_{n}`.value" for n in typed}, {n: f"`_{n}`.error" for n in typed}
-    errors |= {c.column: parse.required(f"`_{c.column}`", c) for c in columns if c.required}
+    rows = raw.select("raw_seq", F.col("source_modified_at").alias("raw_modified_at"), "payload", parse.record(F.col("payload"), names).alias("f"), parse.plain(F.col("payload"), columns).alias("g"))
+    # fields, their types and texts, values, errors: each is made once, in projections that the optimizer does not fold into one
+    read = {n: sql for c in columns for n, sql in parse.read(c).items()}
+    values, errors = {c.column: parse.value(c) for c in columns}, {c.column: parse.error(c) for c in columns}
     if r.own_timestamp:
-        typed["source_modified_at"] = parse.required_timestamp("payload")
-        values["source_modified_at"], errors["source_modified_at"] = "_source_modified_at.value", "_source_modified_at.error"
+        read["__own"] = parse.required_timestamp("payload")
+        values["source_modified_at"], errors["source_modified_at"] = "__own.value", "__own.error"
     else:
-        values["source_modified_at"], errors["source_modified_at"] = "raw_modified_at", "case when raw_modified_at is null then 'source_modified_at: absent' end"
+        values["source_modified_at"], errors["source_modified_at"] = "raw_modified_at", "case when source_modified_at is null then 'source_modified_at: absent' end"
     values["mlg_can_view"] = f"coalesce({values['mlg_can_view']}, true)"
     if "resource_type" in values:
-        owner = values["resource_type"] = f"lower({values['resource_type']})"
-        errors["resource_type"] = f"coalesce({errors['resource_type']}, case when {owner} not in {MEDIA_OWNERS} then 'ResourceName: not a known owner' end)"
+        values["resource_type"] = f"lower({values['resource_type']})"
+        errors["resource_type"] = f"coalesce({errors['resource_type']}, case when resource_type not in {MEDIA_OWNERS} then 'ResourceName: not a known owner' end)"
     known = [*names, *(["Media", "Rooms", "UnitTypes"] if resource == "property" else [])]
     left = [parse.extended(F.col("payload"), known).alias("extended_fields")] if r.extended else []
     cut = rows.select("*", parse.no_object(F.col("payload"), F.col("f")).alias("no_object"), *left)
-    cut = cut.selectExpr("raw_seq", "raw_modified_at", "no_object", *["extended_fields"] * r.extended, *[f"{sql} as `_{n}`" for n, sql in typed.items()])
+    kept = ["raw_seq", "no_object", *["extended_fields"] * r.extended]
+    cut = cut.selectExpr(*kept, "raw_modified_at", *[f"{sql} as `{n}`" for n, sql in read.items()])
     order = [r.key_column, "source_modified_at", *[c.column for c in parse.METADATA], *[c.column for c in r.columns]]
+    made = cut.selectExpr(*kept, *read, *[f"{values[n]} as `{n}`" for n in order])
     error = f"coalesce(case when no_object then 'payload: not a JSON object' end, {', '.join(errors[n] for n in order)})"
-    out = cut.selectExpr("raw_seq", *[f"{values[n]} as `{n}`" for n in order], *["extended_fields"] * r.extended, f"{error} as first_error")
+    out = made.selectExpr("raw_seq", *[f"`{n}`" for n in order], *["extended_fields"] * r.extended, f"{error} as first_error")
     # as a generated column the error is a value that filters use: they would else copy the making of all columns below it
     return out.select("raw_seq", *order, *["extended_fields"] * r.extended, F.explode(F.array("first_error")).alias("error"))
 

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from parcelflow.functions import geo, trigram
+from parcelflow.functions import geo, json_text, parse, trigram
 from parcelflow.operators import audit, jobs, ledger, page, project, state, traverse, versions
 from parcelflow.operators.where import where
 from parcelflow.plans import registry
@@ -579,3 +579,32 @@ def test_poison_cutoff_is_a_filter(spark):
     found = project.poison_cutoff(projected)
     assert sorted(r.raw_seq for r in found.collect()) == [1, 2]
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_types_and_texts_of_a_projection_are_made_once(spark):
+    """In one projection with the values, each type was made some five times, and each text cast from a VARIANT."""
+    columns = [*parse.METADATA, *registry.RESOURCES["property"].columns]
+    raw = spark.createDataFrame([], "raw_seq long, source_modified_at timestamp, payload string")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        plan = project.project(raw, "property")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    numbers = sum(c.kind.startswith("decimal") for c in columns)
+    assert plan.count("SchemaOfVariant") <= len(columns) + numbers + 8  # decimals name it once more; the key and the record's own time
+    assert plan.count("variant_get(") <= numbers + sum(c.kind == "bool" for c in columns) + 8
+
+
+def test_numbers_and_lists_as_they_are_sent(spark):
+    sent = ["250000.00", "1e2", '"1e2"', '" 5"', "5", "true", "1e400", '{"a":1}', "123456789012.345", "null"]
+    lists = ['["a",null]', "[]", "[null]", "[1]", '["a",1]', '"a"', '[["a"]]', "null"]
+    one = lambda name, v: '{"ListingKey":"L","ModificationTimestamp":"2024-01-02T03:04:05Z","%s":%s}' % (name, v)
+    rows = [(i, T0, one("ListPrice", v)) for i, v in enumerate(sent)] + [(100 + i, T0, one("View", v)) for i, v in enumerate(lists)]
+    typed = project.project(spark.createDataFrame(rows, "raw_seq long, source_modified_at timestamp, payload string"), "property")
+    got = {r["raw_seq"]: (r["list_price"] and float(r["list_price"]), r["error"]) for r in typed.where("raw_seq < 100").collect()}
+    wrong = (None, "ListPrice: not a decimal(13,2)")
+    assert [got[i] for i in range(len(sent))] == [(250000.0, None), (100.0, None), (100.0, None), wrong, (5.0, None), wrong, wrong, wrong, wrong, (None, None)]
+    got = {r["raw_seq"]: (r["view"], r["error"]) for r in typed.where("raw_seq >= 100").collect()}
+    bad = "View: not a strings"
+    assert [got[100 + i][1] for i in range(len(lists))] == [None, None, None, bad, bad, bad, bad, None]
+    assert [got[100 + i][0] for i in (0, 1, 2, 7)] == [["a", ""], None, [""], None]

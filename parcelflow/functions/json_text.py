@@ -7,22 +7,26 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-_VALUE = json.JSONDecoder(parse_int=str, parse_float=str)  # only where a value ends matters
+_scan = json.JSONDecoder(parse_int=str, parse_float=str).scan_once  # (value, its end); only where a value ends matters
+_NOT = (ValueError, IndexError, RecursionError, StopIteration)  # what a text that is no JSON raises
 _BLANK = re.compile(r"[ \t\n\r]*")
 
 
 def _skip(text: str, at: int) -> int:
-    return _BLANK.match(text, at).end()
+    return _BLANK.match(text, at).end() if text[at : at + 1] in " \t\n\r" else at
 
 
-def members(text: str) -> list[tuple[str, int, int, int]] | None:
-    """(key, where the key begins, where its value begins, where that ends) of an object's members; None if the text is no object."""
+def members(text: str, lists: dict[str, list[str] | None] | None = None, names: Collection[str] = ()) -> list[tuple[str, int, int, int]] | None:
+    """(key, where the key begins, where its value begins, where that ends) of an object's members; None if the text is no object.
+
+    Of the members in ``names`` the texts of the elements are put into ``lists`` on the way, None for one that is no array.
+    """
     at, out = _skip(text, 0), []
     if text[at : at + 1] != "{":
         return None
@@ -33,12 +37,15 @@ def members(text: str) -> list[tuple[str, int, int, int]] | None:
         while True:
             if text[at] != '"':
                 return None
-            key, end = _VALUE.raw_decode(text, at)
+            key, end = _scan(text, at)
             colon = _skip(text, end)
             if text[colon] != ":":
                 return None
             value = _skip(text, colon + 1)
-            end = _VALUE.raw_decode(text, value)[1]
+            if key in names:
+                lists[key], end = _elements(text, value) if text[value] == "[" else (None, _scan(text, value)[1])
+            else:
+                end = _scan(text, value)[1]
             out.append((key, at, value, end))
             at = _skip(text, end)
             if text[at] == "}":
@@ -46,29 +53,32 @@ def members(text: str) -> list[tuple[str, int, int, int]] | None:
             if text[at] != ",":
                 return None
             at = _skip(text, at + 1)
-    except (ValueError, IndexError, RecursionError):
+    except _NOT:
         return None
 
 
+def _elements(text: str, at: int) -> tuple[list[str], int]:
+    """The texts of the elements of the array that begins at ``at``, and where it ends; one of ``_NOT`` is raised if it is none."""
+    at, out = _skip(text, at + 1), []
+    if text[at] == "]":
+        return out, at + 1
+    while True:
+        end = _scan(text, at)[1]
+        out.append(text[at:end])
+        at = _skip(text, end)
+        if text[at] == "]":
+            return out, at + 1
+        if text[at] != ",":
+            raise ValueError(text[at])
+        at = _skip(text, at + 1)
+
+
 def items(text: str, at: int = 0) -> list[str] | None:
     """The texts of the elements of an array that begins at ``at``; None if there is none."""
-    at, out = _skip(text, at), []
-    if text[at : at + 1] != "[":
-        return None
-    at = _skip(text, at + 1)
-    if text[at : at + 1] == "]":
-        return out
+    at = _skip(text, at)
     try:
-        while True:
-            end = _VALUE.raw_decode(text, at)[1]
-            out.append(text[at:end])
-            at = _skip(text, end)
-            if text[at] == "]":
-                return out
-            if text[at] != ",":
-                return None
-            at = _skip(text, at + 1)
-    except (ValueError, IndexError, RecursionError):
+        return _elements(text, at)[0] if text[at : at + 1] == "[" else None
+    except _NOT:
         return None
 
 
@@ -77,6 +87,10 @@ def without(text: str, names: set[str]) -> str:
     found = members(text)
     if not found or not any(m[0] in names for m in found):
         return text
+    return _joined(text, found, names)
+
+
+def _joined(text: str, found: list[tuple[str, int, int, int]], names: Collection[str]) -> str:
     return "{" + ",".join(text[begin:end] for key, begin, _, end in found if key not in names) + "}"
 
 
@@ -94,15 +108,17 @@ def page_items(envelopes: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def record_cutter(links: dict[str, str]):
     """A function of payloads: the text without the embedded arrays named in ``links``, and the texts of the elements of each, without the link named there."""
+    quoted_links = [(n, link, f'"{link}"') for n, link in links.items()]
+
     @F.pandas_udf(StructType([StructField("rest", StringType()), *[StructField(n, ArrayType(StringType())) for n in links]]))
     def cut(payloads: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         def one(text: str | None) -> list:
-            found = members(text) if text else None
+            arrays = {}
+            found = members(text, arrays, links) if text else None
             if found is None:
                 return [None] * (1 + len(links))
-            arrays = {key: items(text, value) for key, _, value, _ in found if key in links}
-            lists = [None if arrays.get(n) is None else [without(x, {link}) if f'"{link}"' in x else x for x in arrays[n]] for n, link in links.items()]
-            return [without(text, set(links)) if arrays else text, *lists]
+            lists = [None if arrays.get(n) is None else [without(x, {link}) if quoted in x else x for x in arrays[n]] for n, link, quoted in quoted_links]
+            return [_joined(text, found, links) if arrays else text, *lists]
 
         for batch in payloads:
             yield pd.DataFrame([one(t) for t in batch], columns=["rest", *links])

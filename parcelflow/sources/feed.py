@@ -65,10 +65,9 @@ def split_children(records: DataFrame) -> tuple[DataFrame, DataFrame]:
         return out
 
     child = F.col("kind") >= 0
-    named = one.select(
-        "*", F.when(child, of_kind(lambda _, how: F.nullif(F.get_json_object("text", f"$.{RESOURCES[how[0]].key}"), F.lit("")))).otherwise(F.col("parent_key")).alias("source_key"),
-        F.coalesce(of_kind(lambda _, how: F.lit(how[0])), F.lit("property")).alias("resource"),
-    )
+    key = F.when(child, of_kind(lambda _, how: F.nullif(F.get_json_object("text", f"$.{RESOURCES[how[0]].key}"), F.lit("")))).otherwise(F.col("parent_key"))
+    # as a generated column the key is a value that the filters on errors use: they would else read it anew from the text
+    named = one.select("*", F.explode(F.array(key)).alias("source_key")).withColumn("resource", F.coalesce(of_kind(lambda _, how: F.lit(how[0])), F.lit("property")))
     wrong = F.when(~F.coalesce(F.col("text").startswith("{"), F.lit(False)), of_kind(lambda name, _: F.lit(f"{name}: not an object")))
     wrong = wrong.when(F.col("source_key").isNull(), of_kind(lambda name, how: F.lit(f"{name}: no {RESOURCES[how[0]].key}")))
     time = F.coalesce(F.when(child, json_timestamp(F.col("text"))), F.col("parent_time"))

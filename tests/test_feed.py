@@ -5,6 +5,7 @@ import decimal
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -608,3 +609,28 @@ def test_numbers_and_lists_as_they_are_sent(spark):
     bad = "View: not a strings"
     assert [got[100 + i][1] for i in range(len(lists))] == [None, None, None, bad, bad, bad, bad, None]
     assert [got[100 + i][0] for i in (0, 1, 2, 7)] == [["a", ""], None, [""], None]
+
+
+def test_embedded_arrays_are_read_once(spark, monkeypatch):
+    """The elements of an array were found after its end had been looked for, and the parent's members twice."""
+    read = []
+    scan = json_text._scan
+    monkeypatch.setattr(json_text, "_scan", lambda text, at: read.append(at) or scan(text, at))
+    cut = json_text.record_cutter({"Media": "ResourceName", "Rooms": "ListingKey"}).func
+    text = '{"A":[1,2],"Media":[{"k":1}, {"k":2}],"Rooms":"none","Media":[{"k":3}],"B":{}}'
+    wrong = ['{"Media":[1,]}', '{"Media":[1', '{"Media":[1 2]}', "[]", None, '{"Media":[]']
+    got = next(iter(cut(iter([pd.Series([text, *wrong])]))))
+    assert got.iloc[0].tolist() == ['{"A":[1,2],"B":{}}', ['{"k":3}'], None]
+    assert got.iloc[1:].isna().all(axis=None)
+    assert len([at for at in read if text[at : at + 1] == "{"]) >= 3
+    read.clear()
+    next(iter(cut(iter([pd.Series([text])]))))
+    assert len(read) == len(set(read)) == 11  # five keys, three values beside the arrays cut out, three elements
+
+
+def test_key_of_a_child_is_read_once(spark):
+    """The filter on errors had read the key anew from the text."""
+    records = spark.createDataFrame([], "raw_seq long, source_key string, source_modified_at timestamp, payload string")
+    for rows in feed.split_children(records):
+        plan = rows.select("raw_seq", "resource")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("$.MediaKey") == 1

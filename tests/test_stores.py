@@ -431,3 +431,19 @@ def test_rooms_are_made_distinct_by_their_keys(spark, tiny):
     assert rooms.exceptAll(plain).isEmpty() and plain.exceptAll(rooms).isEmpty()
     optimized = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [l_orderkey" in optimized(rooms) and "Aggregate [l_orderkey" not in optimized(plain)
+
+
+def test_directory_deals_rows_out_once_and_forgets_what_was_compacted(spark, tmp_path):
+    """A commit had two exchanges, one to group by id and one to order by it; lookups read compacted commits as well."""
+    directory = NodeDirectory(spark, f"{tmp_path}/nodes")
+    office = spark.createDataFrame([("1", True), ("1", False), ("2", True), ("3", False)], "office_key string, mlg_can_view boolean")
+    dealt = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(office), "sortWithinPartitions", lambda self, *a, f=type(office).sortWithinPartitions: dealt.append(self) or f(self, *a))
+        directory.commit({"office": office})
+        directory.compact()
+    assert [d._jdf.queryExecution().executedPlan().toString().count("Exchange") for d in dealt] == [1, 1]
+    directory.commit({"member": spark.createDataFrame([("3", True)], "member_key string, mlg_can_view boolean")})
+    assert directory._commits() == [1, 2]
+    asked = spark.createDataFrame([("1",), ("2",), ("3",), ("4",)], "id string")
+    assert sorted(map(tuple, directory.match(asked).collect())) == [("1", "office"), ("2", "office"), ("3", "member"), ("4", None)]

@@ -874,12 +874,14 @@ def split_errors(listing, lineitem):
 
 def _nested(listing: DataFrame, lineitem: DataFrame) -> DataFrame:
     """Property records with embedded media and rooms; children of every ninth part have no key."""
-    name = F.when(F.col("l_partkey") % 9 != 0, F.concat(F.lit("K"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_partkey").cast("string")))
-    child = lineitem.select(F.concat(F.lit("L"), F.col("l_orderkey").cast("string")).alias("k"), F.struct(name.alias("MediaKey"), F.col("l_linenumber").alias("Order")).alias("m"), F.struct(name.alias("RoomKey"), F.lit("Main").alias("RoomLevel")).alias("r"))
-    lists = child.groupBy("k").agg(F.collect_list("m").alias("Media"), F.collect_list("r").alias("Rooms"))
-    joined = listing.join(lists, F.col("listing_key") == F.col("k"))
-    record = F.struct(F.col("listing_key").alias("ListingKey"), "list_price", "Media", "Rooms", F.lit("none").alias("UnitTypes"))
-    return spread(joined).select("raw_seq", F.col("listing_key").alias("source_key"), "source_modified_at", F.to_json(record).alias("payload"))
+    lists = lineitem.groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list(F.struct("l_partkey", "l_linenumber")).alias("c"))  # numbers, once; the texts are made of them after the exchange
+    part = lambda c: c["l_partkey"]
+    name = lambda c: F.when(part(c) % 9 != 0, F.concat(F.lit("K"), F.col("k").cast("string"), F.lit("-"), part(c).cast("string")))
+    joined = listing.join(lists, F.col("raw_seq") == F.col("k")).withColumn("c", F.transform("c", lambda c: F.struct(name(c).alias("name"), c["l_linenumber"].alias("n"))))
+    media = F.transform("c", lambda c: F.struct(c["name"].alias("MediaKey"), c["n"].alias("Order")))
+    rooms = F.transform("c", lambda c: F.struct(c["name"].alias("RoomKey"), F.lit("Main").alias("RoomLevel")))
+    record = F.struct(F.col("listing_key").alias("ListingKey"), "list_price", media.alias("Media"), rooms.alias("Rooms"), F.lit("none").alias("UnitTypes"))
+    return joined.select("raw_seq", F.col("listing_key").alias("source_key"), "source_modified_at", F.to_json(record).alias("payload"))
 
 
 @query("listing", oracle="select distinct city as originating_system_name from listing where list_price > 100000")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parcelflow.functions.json_text import page_items, record_cutter
+from parcelflow.functions.json_text import page_items, split_records
 from parcelflow.functions.parse import RFC3339
 from parcelflow.plans.registry import CHILDREN, RESOURCES
 
@@ -48,14 +48,14 @@ def split_children(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``ResourceName`` and rooms and unit types ``ListingKey``. A child without a key or that is no object is an error. All that stays keeps its text.
     Children come in the parent's place of arrival (``ord`` breaks ties).
     """
-    cut = records.withColumn("a", record_cutter({name: how[1] for name, how in CHILDREN.items()})("payload"))
-    parent = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(-1).alias("pos"), F.col("a.rest").alias("text")))
-    numbered = lambda n: lambda x, i: F.struct(F.lit(n).alias("kind"), i.alias("pos"), x.alias("text"))
-    items = [F.transform(F.col(f"a.{name}"), numbered(n)) for n, name in enumerate(CHILDREN)]
-    none = F.expr("cast(array() as array<struct<kind:int,pos:int,text:string>>)")
-    step = F.greatest(F.lit(1_000_000), *[F.size(f"a.{name}") for name in CHILDREN]).cast("long")  # kinds never overlap
-    one = cut.select("raw_seq", step.alias("step"), F.col("source_key").alias("parent_key"), F.col("source_modified_at").cast("timestamp").alias("parent_time"), F.explode(F.concat(parent, *[F.coalesce(i, none) for i in items])).alias("p"))
-    one = one.select("raw_seq", "step", "parent_key", "parent_time", "p.*")
+    records = records.select("raw_seq", F.col("source_key").alias("parent_key"), F.col("source_modified_at").cast("timestamp").alias("parent_time"), "payload")
+    links, keys = {name: how[1] for name, how in CHILDREN.items()}, {name: RESOURCES[how[0]].key for name, how in CHILDREN.items()}
+    # errors are looked for among the children that do not plainly have a key; the others need not leave the records
+    return _found(split_records(records, links)).where("error is null").drop("pos", "error"), _found(split_records(records, links, keys)).where("error is not null").select("raw_seq", "resource", "pos", "error")
+
+
+def _found(one: DataFrame) -> DataFrame:
+    """The texts of ``split_records`` as raw rows, with what is wrong with them."""
 
     def of_kind(pick) -> Column:
         first, *others = enumerate(CHILDREN.items())
@@ -65,9 +65,10 @@ def split_children(records: DataFrame) -> tuple[DataFrame, DataFrame]:
         return out
 
     child = F.col("kind") >= 0
-    key = F.when(child, of_kind(lambda _, how: F.nullif(F.get_json_object("text", f"$.{RESOURCES[how[0]].key}"), F.lit("")))).otherwise(F.col("parent_key"))
-    # as a generated column the key is a value that the filters on errors use: they would else read it anew from the text
-    named = one.select("*", F.explode(F.array(key)).alias("source_key")).withColumn("resource", F.coalesce(of_kind(lambda _, how: F.lit(how[0])), F.lit("property")))
+    key = F.when(child, of_kind(lambda _, how: F.get_json_object("text", f"$.{RESOURCES[how[0]].key}"))).otherwise(F.col("parent_key"))
+    # as a generated column the key is a value: the filters on errors, and nullif, would else read it anew from the text
+    named = one.select("*", F.explode(F.array(key)).alias("key")).withColumn("resource", F.coalesce(of_kind(lambda _, how: F.lit(how[0])), F.lit("property")))
+    named = named.withColumn("source_key", F.when(~child | (F.col("key") != ""), F.col("key"))).drop("key")
     wrong = F.when(~F.coalesce(F.col("text").startswith("{"), F.lit(False)), of_kind(lambda name, _: F.lit(f"{name}: not an object")))
     wrong = wrong.when(F.col("source_key").isNull(), of_kind(lambda name, how: F.lit(f"{name}: no {RESOURCES[how[0]].key}")))
     time = F.coalesce(F.when(child, json_timestamp(F.col("text"))), F.col("parent_time"))
@@ -78,9 +79,8 @@ def split_children(records: DataFrame) -> tuple[DataFrame, DataFrame]:
         head = F.to_json(F.struct(value.alias(link)))
         return F.when(F.col("text").rlike(r"^\{\s*\}$"), head).otherwise(F.concat(F.rtrim(head, F.lit("}")), F.lit(","), F.substring("text", 2, 1 << 30)))
 
-    found = named.select("raw_seq", "step", "kind", "pos", "resource", "source_key", time.alias("source_modified_at"), F.when(child, of_kind(linked)).otherwise(F.col("text")).alias("payload"), F.when(child, wrong).alias("error"))
-    good = found.where("error is null").select("raw_seq", F.greatest(F.lit(-1).cast("long"), F.col("pos") + F.col("kind") * F.col("step")).alias("ord"), "resource", "source_key", "source_modified_at", "payload")
-    return good, found.where("error is not null").select("raw_seq", "resource", "pos", "error")
+    payload = F.when(child, of_kind(linked)).otherwise(F.col("text"))
+    return named.select("raw_seq", "ord", "pos", "resource", "source_key", time.alias("source_modified_at"), payload.alias("payload"), F.when(child, wrong).alias("error"))
 
 
 def land_raw(ledger: DataFrame | None, incoming: DataFrame, arrival: list[str] | None = None) -> DataFrame:

@@ -634,3 +634,30 @@ def test_key_of_a_child_is_read_once(spark):
     for rows in feed.split_children(records):
         plan = rows.drop("payload", "source_modified_at")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("$.MediaKey") <= 2  # nullif names it twice
+
+
+def test_children_that_plainly_have_a_key_stay_in_their_records(spark):
+    """Only what may be wrong leaves the records when errors are looked for, and it is judged as among all rows."""
+    odd = [
+        '{"MediaKey":"a","N":1}', '{ "N" : [1, "}"] , "MediaKey" : "b" }', '{"MediaKey":""}', '{"MediaKey":null}', '{"N":1}', "{}", "7", '"MediaKey"', "null", '[{"MediaKey":"a"}]',
+        '{"N":{"MediaKey":"a"}}', '{"MediaKey":"","MediaKey":"a"}', '{"MediaKey":"a","MediaKey":""}', '{"MediaKey":"","Media\\u004bey":"a"}', '{"MediaKey":"a","N":NaN}', '{"MediaKey":"a","N":-Infinity}',
+        '{"MediaKey":5}', '{"MediaKey":{"a":1}}', '{"MediaKey":"a","N":%s}' % ("1" * 1100), '{"N":"MediaKey","MediaKey":"{"}', '{"MediaKey":"é\\"","N":1}',
+    ]
+    texts = ['{"ListingKey":"L","Media":[%s],"Rooms":[{"RoomKey":"r"},{"RoomKey":""}],"UnitTypes":7}' % ", ".join(odd), None, "no", '{"Media":[]}', *['{"Media":[%s]}' % x for x in odd]]
+    schema = "raw_seq long, source_key string, source_modified_at timestamp, payload string"
+    records = spark.createDataFrame([(i, f"L{i}", T0, text) for i, text in enumerate(texts)], schema)
+    good, errors = (sorted(map(tuple, df.collect()), key=str) for df in feed.split_children(records))
+    links, keys = {"Media": "ResourceName", "Rooms": "ListingKey", "UnitTypes": "ListingKey"}, {"Media": "MediaKey", "Rooms": "RoomKey", "UnitTypes": "UnitTypeKey"}
+    narrow = records.selectExpr("raw_seq", "source_key as parent_key", "source_modified_at as parent_time", "payload")
+    every = feed._found(json_text.split_records(narrow, links))
+    assert errors == sorted(map(tuple, every.where("error is not null").select("raw_seq", "resource", "pos", "error").collect()), key=str)
+    assert [e[2] for e in sorted(e for e in errors if e[0] == 0 and e[1] == "media")] == [*range(2, 12), 13, 14, 15, 18] and len(good) == len(texts) + 2 * (len(odd) - 14) + 1
+    one = json_text.split_records(narrow, links, keys, most=1)
+    left = {(r.raw_seq, r.kind, r.pos): r.text for r in one.collect()}
+    assert all(k >= 0 for _, k, _ in left) and (0, 0, 0) not in left and (0, 1, 0) not in left and left[0, 1, 1] == '{"RoomKey":""}' and (0, 0, 1) not in left and left[0, 0, 10] == odd[10]
+    flat = sorted(map(tuple, json_text.split_records(narrow, links, most=1).collect()), key=str)
+    assert flat == sorted(map(tuple, json_text.split_records(narrow, links).collect()), key=str)
+    few = json_text.split_records(narrow.where("raw_seq = 0"), links, room=3).where("kind >= 0").collect()  # an array has as many numbers as the longest needs
+    assert sorted((r.kind, r.pos, r.ord) for r in few) == [(0, i, i) for i in range(len(odd))] + [(1, i, len(odd) + i) for i in range(2)]
+    plan = feed.split_children(records)[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$.MediaKey") == 1 and plan.count("Generate") == 1  # the key had been read for nullif once more, and children exploded from lists

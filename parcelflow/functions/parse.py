@@ -116,3 +116,9 @@ def extended(text: Column, known: list[str]) -> Column:
     pairs = F.array_sort(F.transform(left, lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("value"))))
     # the array of one is a LET: the payload is read once
     return F.transform(F.array(pairs), lambda p: F.when(F.size(p) > 0, F.map_from_entries(p)))[0]
+
+
+def extended_names(text: Column, known: list[str]) -> Column:
+    """The names of the fields of ``extended``; NULL if there are none."""
+    names = F.array_distinct(F.filter(F.map_keys(F.from_json(text, "map<string,variant>")), lambda k: ~k.isin(known)))
+    return F.transform(F.array(names), lambda n: F.when(F.size(n) > 0, n))[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .project import project
+from .project import project, typed_rows
 from .versions import written_once
 
 
@@ -59,12 +59,12 @@ def audit_once(raw: DataFrame, resource: str) -> dict[str, DataFrame]:
     Counts are observed while the rows go by; of the rows only what is reported on is written: errors, and the names of leftover keys.
     """
     spark = raw.sparkSession
-    typed = project(raw, resource)
+    typed = typed_rows(raw, resource, names_only=True)
     good = F.col("error").isNull()
     data = [c for c in typed.columns if c not in ("raw_seq", "error", "extended_fields", "mlg_can_view", "source_modified_at")]
     seen = Observation(f"audit of {resource}")
     metrics = [F.count("*").alias("rows"), F.count("error").alias("errors"), *[F.count(F.when(good, F.col(c))).alias(f"filled {c}") for c in data]]
-    left = F.map_keys("extended_fields") if "extended_fields" in typed.columns else F.lit(None).cast("array<string>")
+    left = F.col("extended_fields") if "extended_fields" in typed.columns else F.lit(None).cast("array<string>")
     rows = typed.observe(seen, *metrics).select("raw_seq", "error", F.when(good, left).alias("left")).where(~good | F.col("left").isNotNull())
     rows = written_once(rows, "audit")
     found = seen.get

@@ -16,6 +16,13 @@ def project(raw: DataFrame, resource: str) -> DataFrame:
     poison as a whole; its wrong columns are NULL. Media, rooms and unit types take their time from the raw row, others
     from the payload.
     """
+    out = typed_rows(raw, resource)
+    # as a generated column the error is a value that filters use: they would else copy the making of all columns below it
+    return out.select(*out.columns[:-1], F.explode(F.array("error")).alias("error"))
+
+
+def typed_rows(raw: DataFrame, resource: str, names_only: bool = False) -> DataFrame:
+    """``project`` whose error is made wherever it is named. With ``names_only`` leftover fields are an array of their names, without texts made of their values."""
     r = RESOURCES[resource]
     key = Col(r.key, "string", required=True)
     columns = [key, *parse.METADATA, *r.columns]
@@ -34,16 +41,15 @@ def project(raw: DataFrame, resource: str) -> DataFrame:
         values["resource_type"] = f"lower({values['resource_type']})"
         errors["resource_type"] = f"coalesce({errors['resource_type']}, case when resource_type not in {MEDIA_OWNERS} then 'ResourceName: not a known owner' end)"
     known = [*names, *(["Media", "Rooms", "UnitTypes"] if resource == "property" else [])]
-    left = [parse.extended(F.col("payload"), known).alias("extended_fields")] if r.extended else []
+    extended = parse.extended_names if names_only else parse.extended
+    left = [extended(F.col("payload"), known).alias("extended_fields")] if r.extended else []
     cut = rows.select("*", parse.no_object(F.col("payload"), F.col("f")).alias("no_object"), *left)
     kept = ["raw_seq", "no_object", *["extended_fields"] * r.extended]
     cut = cut.selectExpr(*kept, "raw_modified_at", *[f"{sql} as `{n}`" for n, sql in read.items()])
     order = [r.key_column, "source_modified_at", *[c.column for c in parse.METADATA], *[c.column for c in r.columns]]
     made = cut.selectExpr(*kept, *read, *[f"{values[n]} as `{n}`" for n in order])
     error = f"coalesce(case when no_object then 'payload: not a JSON object' end, {', '.join(errors[n] for n in order)})"
-    out = made.selectExpr("raw_seq", *[f"`{n}`" for n in order], *["extended_fields"] * r.extended, f"{error} as first_error")
-    # as a generated column the error is a value that filters use: they would else copy the making of all columns below it
-    return out.select("raw_seq", *order, *["extended_fields"] * r.extended, F.explode(F.array("first_error")).alias("error"))
+    return made.selectExpr("raw_seq", *[f"`{n}`" for n in order], *["extended_fields"] * r.extended, f"{error} as error")
 
 
 def poison_split(projected: DataFrame) -> tuple[DataFrame, DataFrame]:

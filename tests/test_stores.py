@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelflow.functions import geo, sql, trigram
-from parcelflow.operators import audit, traverse, versions
+from parcelflow.operators import audit, project, traverse, versions
 from parcelflow.operators import address_index
 from parcelflow.operators.address_index import AddressIndex
 from parcelflow.operators.node_directory import NodeDirectory
@@ -468,3 +468,19 @@ def test_streets_and_numbers_meet_before_pairs(spark):
     letters, numbers = address_index._parted(q)
     parted = queries.where("query_id like 'q%'").select("query_id", letters.alias("letters"), numbers.alias("numbers"), address_index._needed(F.size(q), F.col("threshold")).alias("needed"))
     assert 10 <= index._hits_by_street(parted).count() < 0.03 * 10 * 400
+
+
+def test_audit_makes_no_texts_of_leftovers(spark):
+    """Only their names are asked for; texts of their values had been made and sorted, and all columns been copied for a generated one."""
+    stamp = '"OfficeKey": "F", "ModificationTimestamp": "2024-01-02T03:04:05Z"'
+    bodies = [f"{{{stamp}}}", f'{{{stamp}, "Z": 1, "A": {{"b": [1, null]}}, "": null}}', f'{{{stamp}, "OfficeName": 5, "New": ""}}', '{"New": 1}', "{}", "[1]", "no", None, f'{{{stamp}, "New": 1,}}']
+    raw = spark.createDataFrame(list(enumerate(bodies)), "raw_seq long, payload string").selectExpr("raw_seq", "timestamp '2024-01-02 00:00:00' as source_modified_at", "payload")
+    names = project.typed_rows(raw, "office", names_only=True)
+    plan = names._jdf.queryExecution().optimizedPlan().toString()
+    assert "to_json" not in plan and "Generate" not in plan
+    whole = project.project(raw, "office").withColumn("extended_fields", F.map_keys("extended_fields"))
+    assert names.columns == whole.columns and sorted(map(str, names.withColumn("extended_fields", F.array_sort("extended_fields")).collect())) == sorted(map(str, whole.collect()))
+    found, plain = audit.audit_once(raw, "office"), audit.validate_raw(raw, "office")
+    for name in plain:
+        assert sorted(map(str, found[name].collect())) == sorted(map(str, plain[name].collect()))
+    assert [tuple(r) for r in found["unconsumed"].collect()] == [("", 1), ("A", 1), ("Z", 1)]

@@ -470,6 +470,45 @@ def test_streets_and_numbers_meet_before_pairs(spark):
     assert 10 <= index._hits_by_street(parted).count() < 0.03 * 10 * 400
 
 
+def test_runs_over_other_words_are_ruled_out_before_pairs_meet(spark, tmp_path):
+    """Texts that share enough as a whole, but in no run, had met by the number of pairs; and postings were written that no query asked for."""
+    streets = ["blue bolt", "large ring", "hot bolt", "blue ring"]
+    rows = [(f"k{i}", f"{i % 90 + 100} {streets[i % 4]} nation {i % 5} {'asia' if i % 4 else 'middle east'} {i * 7919 % 100000:05d}") for i in range(400)]
+    texts = spark.createDataFrame(rows, "listing_key string, address string")
+    asked = [(f"q{i}", f"{streets[i % 4][1:]}e nation {i % 5} {i * 7919 % 100000:05d}", 0.7) for i in range(0, 400, 20)] + [(f"n{i}", f"{streets[i % 4]} nation {i % 5}", 0.8) for i in range(4)]
+    queries = spark.createDataFrame(asked, "query_id string, query string, threshold double")
+    index = AddressIndex.build(texts, address=F.col("address"), folder=f"{tmp_path}/index")
+    got = {(r.query_id, r.key): round(r.similarity, 9) for r in index.match(queries).collect()}
+    want = {}
+    for name, query, threshold in asked:
+        found = texts.select("listing_key", trigram.word_similarity(query, F.col("address")).alias("s")).where(F.col("s") >= threshold)
+        want |= {(name, r.listing_key): round(r.s, 9) for r in found.collect()}
+    assert got == want and want
+    assert not (tmp_path / "index" / "postings").exists()
+    q = F.array_distinct(trigram.trigrams(F.col("query")))
+    letters, numbers = address_index._parted(q)
+    parted = queries.where("query_id like 'q%'").select("query_id", letters.alias("letters"), numbers.alias("numbers"), "threshold", address_index._needed(F.size(q), F.col("threshold")).alias("needed"))
+    assert index._hits_by_street(parted).count() < 10  # each of the twenty shares enough with its own address as a whole
+
+
+def test_least_numbers_is_a_lower_bound():
+    r = random.Random(5)
+    pick = lambda n: " ".join(r.choice(["ab", "abc", "bca", "a1", "1b2", "12", "121", "212", "2"]) for _ in range(n))
+    reached = 0
+    for _ in range(3000):
+        text, query, threshold = trigram.trigrams_of(pick(r.randrange(1, 7))), set(trigram.trigrams_of(pick(r.randrange(1, 4)))), r.choice([0.3, 0.5, 0.7, 0.9, 1.0])
+        digit = lambda g: any(c.isdigit() for c in g)
+        letters = {g for g in query if not digit(g)}
+        least = address_index.least_numbers(letters, len(query), len(query) - len(letters), threshold, ["" if digit(g) else g for g in text])
+        for a in range(len(text)):
+            for b in range(a + 1, len(text) + 1):
+                run = set(text[a:b])
+                if len(run & query) / len(run | query) >= threshold:
+                    reached += 1
+                    assert least is not None and least <= len({g for g in run & query if digit(g)})
+    assert reached > 100
+
+
 def test_audit_makes_no_texts_of_leftovers(spark):
     """Only their names are asked for; texts of their values had been made and sorted, and all columns been copied for a generated one."""
     stamp = '"OfficeKey": "F", "ModificationTimestamp": "2024-01-02T03:04:05Z"'

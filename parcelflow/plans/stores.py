@@ -150,17 +150,23 @@ def office_ancestors(office):
 _PAGE, _LEAST = 1_000, 18
 
 
-def _write_pages(feed, folder: str, pages: int, seqs: int, first: int, last: int) -> None:
-    """The feed, numbered below ``seqs``, as pages of open houses, in order of arrival; every tenth record comes again on the next page. One task writes them one after the other, as a feed does."""
+def _write_pages(feed, folder: str, pages: int, seqs: int, first: int, last: int, batch: int) -> None:
+    """The feed, numbered below ``seqs``, as pages of open houses, in order of arrival; every tenth record comes again on the next page.
+
+    A stream takes files by their times, ``batch`` at once, and folds what it has taken by number: so the files of one batch are written together, by many tasks, and batches one after the other.
+    """
     stamp = F.date_format("source_modified_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     listing = F.concat(F.lit("L"), (F.col("source_key") * 3).cast("string"))
     fields = {"OpenHouseKey": F.col("source_key").cast("string"), "ModificationTimestamp": stamp, "MlgCanView": F.col("mlg_can_view"), "ListingKey": listing, "OpenHouseType": F.col("list_price").cast("string"), "OpenHouseStatus": F.col("status")}
     page = F.floor(F.col("raw_seq") * pages / seqs).cast("int")
     rows = feed.select(page.alias("page"), "raw_seq", F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])).alias("text"))
     rows = rows.union(rows.where("raw_seq % 10 = 0").select(F.col("page") + 1, "raw_seq", "text")).where(F.col("page").between(first, last))
-    each = rows.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("raw_seq", "text"))).alias("r"))
+    there = sorted(r["page"] for r in rows.select("page").distinct().collect())  # numbers of files, which the stream lists too; a page may have no record
     envelope = F.concat(F.lit('{"value":['), F.array_join("r.text", ","), F.lit("]}"))
-    each.select(F.lpad(F.col("page").cast("string"), 6, "0").alias("page"), envelope.alias("value")).coalesce(1).sortWithinPartitions("page").write.mode("append").partitionBy("page").text(folder)
+    for at in range(0, len(there), batch):
+        of_batch = rows.where(F.col("page").between(there[at], there[at : at + batch][-1]))
+        each = of_batch.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("raw_seq", "text"))).alias("r"))
+        each.select(F.lpad(F.col("page").cast("string"), 6, "0").alias("page"), envelope.alias("value")).write.mode("append").partitionBy("page").text(folder)
 
 
 @query("feed", "listing", oracle=_FOLD + """select 'version' as what, cast(o.source_key as varchar) as key, strftime(f.source_modified_at, '%Y-%m-%d %H:%M:%S.%f') as at, outcome as value from outcomes o join feed f using (raw_seq)
@@ -173,9 +179,9 @@ def stream_chain(feed, listing):
     rows, newest = kept.agg(F.count("*"), F.max("raw_seq")).first()
     pages, seqs = max(_LEAST, -(-rows // _PAGE)), (newest or 0) + 1
     stream = lambda: feed_stream.ingest_stream(feed_stream.page_stream(spark, f"{root}/in/*", pages // 17), f"{root}/out", f"{root}/checkpoint", NOW, "open_house", span="yyyy-MM")
-    _write_pages(kept, f"{root}/in", pages, seqs, 0, pages // 2)
+    _write_pages(kept, f"{root}/in", pages, seqs, 0, pages // 2, pages // 17)
     feed_stream.finish(stream(), lambda: None)
-    _write_pages(kept, f"{root}/in", pages, seqs, pages // 2 + 1, pages)
+    _write_pages(kept, f"{root}/in", pages, seqs, pages // 2 + 1, pages, pages // 17)
     links = []
     feed_stream.finish(stream(), lambda: links.append(feed_stream.link_landed(spark, f"{root}/out", "open_house", listing)))
     times = feed_stream.read_ledger(spark, f"{root}/out", feed_stream.LANDED).select("raw_seq", F.date_format("source_modified_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))

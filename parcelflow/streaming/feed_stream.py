@@ -31,6 +31,8 @@ def page_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) ->
 
 #: States are kept in so many buckets of keys. Every so many commits, one has the states of all keys again; a day of the ledger with so many batches becomes one folder.
 BUCKETS, FULL = 64, 16
+#: About so many rows of one batch and day are one file of the ledger, so that many tasks write it and read it.
+FILE_ROWS = 50_000
 
 
 def ledger_paths(spark: SparkSession, root: str, days: list[str], before: int | None = None) -> list[str]:
@@ -59,14 +61,21 @@ def land_batch(batch: DataFrame, batch_id: int, root: str, span: str = "yyyy-MM-
 
     The ledger is kept by day of the rows' own time (or by another ``span``, a date pattern, for feeds that go over many days at once), and by batch. A repeated row has the time of the first one, so a batch meets only the days that it has itself. A batch that is
     tried again is not compared with what it has left, so it lands the same rows. Days with many batches are merged, without the batch itself.
+    The batch is written first, since its days are asked for before its rows, and pages would be cut twice.
     """
     spark, schema = batch.sparkSession, batch.schema.add("change_type", "string")
     day = F.coalesce(F.date_format("source_modified_at", span), F.lit("none"))
-    days = sorted(r["day"] for r in batch.select(day.alias("day")).distinct().collect())
+    batch = written_once(batch, "batch")
+    rows = {r["day"]: r["count"] for r in batch.groupBy(day.alias("day")).count().collect()}
+    days = sorted(rows)
     paths = ledger_paths(spark, root, days, batch_id)
     fresh = land_raw(spark.read.schema(schema).parquet(*paths) if paths else None, batch)
     out = fresh.withColumns({"day": day, "batch": F.lit(batch_id)})
-    out.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(f"{root}/ledger")
+    place = F.lit(0).cast("long")
+    for d, n in rows.items():
+        if n > FILE_ROWS:
+            place = F.when(F.col("day") == d, F.pmod(F.xxhash64(*RAW_KEY), F.lit(-(-n // FILE_ROWS)))).otherwise(place)
+    out.repartition("day", place).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(f"{root}/ledger")
     for d in days:
         old = ledger_paths(spark, root, [d], batch_id)
         if len(old) > FULL:

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -470,6 +471,51 @@ def test_streets_and_numbers_meet_before_pairs(spark):
     assert 10 <= index._hits_by_street(parted).count() < 0.03 * 10 * 400
 
 
+def test_pages_of_a_batch_are_written_together(spark, tmp_path):
+    """One task had written all pages; now the files of a batch come from many, and none is older than one of a batch before."""
+    from parcelflow.plans.stores import _write_pages
+
+    feed = spark.range(0, 4000).where("id % 400 >= 200").selectExpr("id as raw_seq", "id % 7 as source_key", "timestamp_ntz '2024-01-02 03:04:05' as source_modified_at", "true as mlg_can_view", "id as list_price", "'view' as status")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        _write_pages(feed.repartition(3), f"{tmp_path}/in", 40, 4000, 0, 40, 4)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "in").glob("page=*/part-*"))
+    pages = [int(f.parent.name[5:]) for f in files]
+    assert pages == [p for p in range(2, 41) if p % 4 != 1]
+    batches = [files[i : i + 4] for i in range(0, len(files), 4)]
+    assert max(len({f.name.split("-")[1] for f in b}) for b in batches) > 1
+    for before, after in zip(batches, batches[1:], strict=False):
+        assert max(f.stat().st_mtime_ns for f in before) < min(f.stat().st_mtime_ns for f in after)
+    numbers = [int(n) for f in files for n in re.findall(r'"OpenHouseType":"(\d+)"', f.read_text())]
+    assert len(numbers) == 2200 and set(numbers) == {i for i in range(4000) if i % 400 >= 200}
+
+
+def test_large_days_are_landed_by_many_tasks(spark, tmp_path, monkeypatch):
+    """A batch's rows of one day had been one file, written and read by one task; and its pages had been cut twice."""
+    monkeypatch.setattr(feed_stream, "FILE_ROWS", 100)
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(0, 1010).selectExpr("id as raw_seq", "'open_house' as resource", "cast(id % 1005 as string) as source_key", "timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, id % 1005 div 1000) as source_modified_at", "'{}' as payload")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        landed = feed_stream.land_batch(rows.mapInArrow(look, rows.schema), 0, f"{tmp_path}/root")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert seen.value == 1010
+    assert sorted(r.raw_seq for r in landed.collect()) == list(range(1005))
+    sizes = [len(list((tmp_path / "root" / "ledger" / f"day=2024-01-0{d}" / "batch=0").glob("*.parquet"))) for d in (1, 2)]
+    assert sizes[0] > 1 and sizes[1] == 1
+    again = feed_stream.land_batch(rows.where("raw_seq < 500"), 1, f"{tmp_path}/root")
+    assert again.count() == 0
+
+
 def test_runs_over_other_words_are_ruled_out_before_pairs_meet(spark, tmp_path):
     """Texts that share enough as a whole, but in no run, had met by the number of pairs; and postings were written that no query asked for."""
     streets = ["blue bolt", "large ring", "hot bolt", "blue ring"]
